@@ -11,23 +11,38 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Text apart from this is cut in the same places by every Unicode version that is in use.
-_SETTLED = 0x250
+SETTLED = 0x250
 #: A run of white space and what follows it. Between two of these the split always has a boundary.
 CHUNK = re.compile(r"\s*\S+|\s+")
 #: White space for Python's re but not for the split: texts that hold any of them are not cut.
 _UNSURE = re.compile(r"[\x1c-\x1f]")
 
 
-def _settled_words() -> re.Pattern:
-    """The split for settled text, with its classes spelled out: several times as fast."""
-    settled = [chr(c) for c in range(_SETTLED)]
+def settled_pattern(pattern: str) -> re.Pattern:
+    """A pattern of the tokenizers library for settled text, with its classes spelled out for
+    Python's re: several times as fast."""
+    settled = [chr(c) for c in range(SETTLED)]
     letters = "".join(c for c in settled if unicodedata.category(c)[0] == "L")
     numbers = "".join(c for c in settled if unicodedata.category(c)[0] == "N")
     space = r"\t-\r \x85\xa0"
-    return re.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
+    for held, plain in (
+        (r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]"),
+        (r"[\p{L}]", f"[{letters}]"),
+        (r"[\p{N}]", f"[{numbers}]"),
+        (r"\p{L}", f"[{letters}]"),
+        (r"\p{N}", f"[{numbers}]"),
+        (r"\s", f"[{space}]"),
+        (r"\S", f"[^{space}]"),
+    ):
+        pattern = pattern.replace(held, plain)
+    return re.compile(pattern)
 
 
-_SETTLED_WORDS = _settled_words()
+def is_settled(text: str) -> bool:
+    return text.isascii() or ord(max(text)) < SETTLED
+
+
+_SETTLED_WORDS = settled_pattern(public_tokenizers.PATTERN)
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,7 +94,7 @@ class ByteBpe:
     def _split(self, text: str) -> list[bytes]:
         if not text:
             return []
-        if text.isascii() or ord(max(text)) < _SETTLED:
+        if is_settled(text):
             return [word.encode() for word in _SETTLED_WORDS.findall(text)]
         if self._library is None:
             self._library = Tokenizer.from_file(self._path)

@@ -13,19 +13,23 @@ last one can be short.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from meterloom.llm.bpe_text import is_settled, settled_pattern
 from meterloom.llm.common import written
 
-_PIECES_KEPT = 500_000
+_PIECES_KEPT = 800_000
 #: Queue of the sources that are too small for a share in every window.
 POOL = "\0pool"
 #: Rows of the table of queue beginnings up to which it is sent to every task.
@@ -35,23 +39,53 @@ BROADCAST_ROWS = 200_000
 class WordIds:
     """Ids of texts, put together from those of pieces between blanks.
 
-    Only for tokenizers that drop white space and treat what lies between alone."""
+    Only for tokenizers that lower-case, drop white space and treat what lies between alone. Pieces
+    whose classes no Unicode version disputes are split by the tokenizer's own pattern and share the
+    ids of their words; words new to this worker go to the library many at a time, and their ids are
+    told apart by the mark of word ends."""
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self._ids = end, {"": b""}
+        held = json.loads(self.tokenizer.to_str())
+        self.narrow = self.tokenizer.get_vocab_size() <= 65_536
+        splits = [x["pattern"]["Regex"] for x in held["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
+        suffix = held["model"].get("end_of_word_suffix")
+        self._split = settled_pattern(splits[0]).findall if len(splits) == 1 and suffix else None
+        self._is_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self._is_end[[i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and word.endswith(suffix)]] = True
+        self._special = re.compile("|".join(re.escape(x["content"][:2]) for x in held["added_tokens"]) or r"(?!)")
+        self._ids, self._words = {"": b""}, {}
+        self.end = end
+
+    def _learn(self, pieces: list[str]) -> None:
+        split, alone = {}, []
+        for piece in pieces:
+            low = piece.lower()
+            if self._split and is_settled(low) and self._special.search(piece) is None:
+                split[piece] = self._split(low)
+            else:
+                alone.append(piece)
+        new = list({word: None for words in split.values() for word in words if word not in self._words})
+        for at in range(0, len(new), 1000):
+            words = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
+            ends = (4 * (np.nonzero(self._is_end[ids])[0] + 1)).tolist()
+            packed = ids.tobytes()
+            if len(ends) != len(words) or ends[-1] != len(packed):
+                raise ValueError("word ends can't be told apart")
+            self._words.update(zip(words, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        for piece, words in split.items():
+            self._ids[piece] = self._words[words[0]] if len(words) == 1 else b"".join([self._words[word] for word in words])
+        for piece in alone:
+            self._ids[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        ids = self._ids
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if new := [piece for piece in dict.fromkeys(pieces) if piece not in ids]:
-            if len(ids) > _PIECES_KEPT:
-                ids.clear()
-                ids[""] = b""
-                new = list(dict.fromkeys(pieces))
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                ids[piece] = array("I", found.ids).tobytes()
-        return b"".join([ids[piece] for piece in pieces]) + self.end.to_bytes(4, "little")
+        if len(self._ids) > _PIECES_KEPT:
+            self._ids, self._words = {"": b""}, {}
+        if new := set(pieces).difference(self._ids):
+            self._learn(list(new))
+        return b"".join([self._ids[piece] for piece in pieces]) + self.end.to_bytes(4, "little")
 
 
 @functools.cache
@@ -73,7 +107,7 @@ def tokenised(df: DataFrame, path: str, *, end: int) -> DataFrame:
                 ids = own.encode(text)
                 starts.append(at := reached.get(source, 0))
                 sizes.append(len(ids) // 4)
-                packed.append(array("H", array("I", ids)).tobytes() if own.tokenizer.get_vocab_size() <= 65_536 else ids)
+                packed.append(array("H", array("I", ids)).tobytes() if own.narrow else ids)
                 reached[source] = at + len(ids) // 4
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "part": part, "start": starts, "n": sizes, "ids": packed})
 
@@ -143,7 +177,7 @@ def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131
     placed once; an empty table gives no pieces. Tokens of one part of a queue follow those of the
     parts before it, parts being those in which the table was tokenised and written."""
     tokens = written(tokenised(df, path, end=end), "tokens")
-    wide = Tokenizer.from_file(path).get_vocab_size() > 65_536
+    narrow = word_ids(path, end).narrow
     by_part = written(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
     by_source = by_part.groupBy("source").agg(F.sum("n").alias("n"))
     total = by_source.agg(F.sum("n")).first()[0] or 0
@@ -169,7 +203,7 @@ def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131
         for batch in batches:
             rows = []
             for doc_id, source, queue, place, n, ids in batch.itertuples(index=False, name=None):
-                ids = memoryview(ids if wide else array("I", array("H", ids)).tobytes())
+                ids = memoryview(ids if not narrow else array("I", array("H", ids)).tobytes())
                 for start, length, sequence, offset in mixture.pieces(queue, place, n, size):
                     rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, source))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])

@@ -18,7 +18,7 @@ random.seed(5)
 ODD = [None, "", " ", "\n\n  x \t\n", "a" * 3000, "<|endoftext|>a <|endoftext|><|endoftext", "it's they'll 12²½ 漢字\U00020000 é\x85\xa0 ü \x1c\x1f!?", " ".join(["wórd"] * 700)]
 ODD += ["".join(random.choice("ab  \n\tthe'sl9²é漢​\x1c\x85!A") for _ in range(random.randrange(120))) for _ in range(150)]
 ODD += ["".join(chr(random.choice([random.randrange(32, 0xD7FF), random.randrange(0x10000, 0x30000)])) for _ in range(60)) for _ in range(60)]
-DOCS = [(i, text, "src" if i % 3 else None, "extra") for i, text in enumerate(ODD)] + [(7, "again", "src", "x"), (7, "again", "src", "x")]
+DOCS = [(i, text, "src" if i % 3 else None, "extra") for i, text in enumerate(ODD)] + [(900, "again", "src", "x"), (900, "again", "src", "x")]
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,12 @@ def test_codec_round_trip(docs, expected):
     assert sorted(map(tuple, bpe_codec.round_trip(docs, BYTE_BPE).collect())) == sorted((row[0], len(ids), sha(array("I", ids).tobytes()), sha((row[1] or "").encode())) for row, ids in zip(DOCS, expected))
 
 
+def test_word_ids_are_the_librarys():
+    library, own = Tokenizer.from_file(WORD_BPE), packing.word_ids(WORD_BPE, 1)
+    texts = [row[1] or "" for row in DOCS] + [f"a{chr(c)}{chr(c)}1 {chr(c)}B !{chr(c)} {chr(c)} 'S{chr(c)}'LL" for c in range(0x400)] + ["<|ENDOFTEXT|> a<|startoftext|>b", "e\u0301 \u0301e İIıſ"]
+    assert [own.encode(text) for text in texts] == [array("I", [*e.ids, 1]).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert token_counts.count_tokens(none, BYTE_BPE).count() == bpe_codec.round_trip(none, BYTE_BPE).count() == packing.pack(none, WORD_BPE).count() == 0
