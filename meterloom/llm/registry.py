@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterloom.llm import bpe_codec, exact_dedup, packing, simhash_dedup, token_counts, topk_search
-from meterloom.llm.common import table
+from meterloom.llm import bpe_codec, exact_dedup, language_id, license_scan, packing, quality, simhash_dedup, token_counts, topk_search, toxicity
+from meterloom.llm.common import crc32_of_id, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -25,10 +26,28 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), size=2048, end=1)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose crc32(doc_id) mod 4 is 2 are held out, as for quality."""
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), crc32_of_id() % 4 == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return toxicity.classify(docs, labels, ~held_out).withColumn("held_out", held_out)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return license_scan.inherit(license_scan.scan(docs.select("doc_id", license_scan.document_path().alias("path"), "text")))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), crc32_of_id() % 5 == 0
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_BPE))
 
@@ -38,6 +57,12 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), crc32_of_id() % 4 == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return quality.classify(docs, labels, ~held_out, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 _EXACT_SQL = r"""
     WITH d AS (
         SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -63,7 +88,19 @@ _TOP_SQL = """
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op6_simhash_dedup, op8_bpe_codec, op9_topk_search)}
+    found = (
+        op1_token_counts,
+        op2_exact_dedup,
+        op3_packing,
+        op4_toxicity,
+        op5_license_scan,
+        op6_simhash_dedup,
+        op7_language_id,
+        op8_bpe_codec,
+        op9_topk_search,
+        op10_quality,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
