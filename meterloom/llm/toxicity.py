@@ -71,7 +71,7 @@ def learn(rows: list[tuple[int, dict[int, float]]], size: int, grades: int, *, l
     return held[:size], held[size] + np.r_[0, np.cumsum(np.exp(held[size + 1 :]))]
 
 
-def fit(df: DataFrame, labels: DataFrame, *, fit_rows: int = 8_000, vocabulary: int = 1_500, least_documents: int = 3) -> Severity:
+def fit(df: DataFrame, labels: DataFrame, *, fit_rows: int = 12_000, vocabulary: int = 4_000, least_documents: int = 3) -> Severity:
     """The model from texts of df (doc_id, text) and labels (doc_id, label 0 or 1).
 
     About fit_rows labelled rows, chosen by a hash of doc_id, are used. Labels have two levels; a toxic
