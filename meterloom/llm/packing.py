@@ -83,9 +83,11 @@ class WordIds:
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if len(self._ids) > _PIECES_KEPT:
             self._ids, self._words = {"": b""}, {}
-        if new := set(pieces).difference(self._ids):
-            self._learn(list(new))
-        return b"".join([self._ids[piece] for piece in pieces]) + self.end.to_bytes(4, "little")
+        found = list(map(self._ids.get, pieces))
+        if None in found:
+            self._learn(list({piece for piece, ids in zip(pieces, found) if ids is None}))
+            found = [self._ids[piece] for piece in pieces]
+        return b"".join(found) + self.end.to_bytes(4, "little")
 
 
 @functools.cache
