@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.llm.common import mapped
 from meterloom.llm.merge_automaton import merge_automaton
 
 _CHUNKS_KEPT = 800_000
@@ -58,37 +58,35 @@ def encode_documents(df: DataFrame, path: str) -> DataFrame:
     A null text is empty and has no ids. No special tokens are added; special strings in a text
     become their own id. Repeated rows each give a row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         own = codec(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [own.encode(text) for text in batch["text"]]})
+        return lambda texts: ([own.encode(text) for text in texts],)
 
-    return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, ids binary")
+    return mapped(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"], ["text"], start, "ids binary")
 
 
 def decode_documents(df: DataFrame, path: str) -> DataFrame:
     """doc_id and text of each row of df (doc_id, ids); null ids give an empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         own = codec(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [own.decode(ids or b"") for ids in batch["ids"]]})
+        return lambda packed: ([own.decode(ids or b"") for ids in packed],)
 
-    return df.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, text string")
+    return mapped(df, ["doc_id"], ["ids"], start, "text string")
 
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of df (doc_id, text): encoding,
     and decoding of the ids that came out, in one pass, so that ids needn't be stored."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         own = codec(path)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids = own.encode(text)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index).assign(doc_id=batch["doc_id"])[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+
+        def digests(text: str) -> tuple[int, str, str]:
+            ids = own.encode(text)
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+
+        return lambda texts: zip(*map(digests, texts))
 
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs, ["doc_id"], ["text"], start, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -5,9 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+_ARROW = {
+    "bigint": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "boolean": pa.bool_(),
+    "array<string>": pa.list_(pa.string()),
+    "array<int>": pa.list_(pa.int32()),
+    "array<double>": pa.list_(pa.float64()),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -46,6 +61,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def mapped(df: DataFrame, carry: Sequence[str], read: Sequence[str], start: Callable[[], Callable], schema: str, *, rows: int = 256) -> DataFrame:
+    """The columns `carry` of df, which stay as they are, nulls and long numbers included, beside those
+    of `schema`. start() is called once a task and gives a function from lists of the columns `read` to
+    lists of the columns of `schema`, for a few rows at a time. Without `carry` it may give other rows."""
+    names, own = list(dict.fromkeys([*carry, *read])), StructType.fromDDL(schema)
+    types = [_ARROW[field.dataType.simpleString()] for field in own]
+    places, labels = [names.index(name) for name in read], [*carry, *own.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = work(*(part.column(i).to_pylist() for i in places))
+                arrays = [pa.array(values, type=kind) for values, kind in zip(found, types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *arrays], names=labels)
+
+    kept = df.select(*names)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[: len(carry)], *own.fields]))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not hold."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string"))
 

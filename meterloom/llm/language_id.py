@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import spread
+from meterloom.llm.common import mapped, spread
 
 #: Dimensions that n-grams are hashed to.
 DIMENSIONS = 4096
@@ -102,17 +101,16 @@ def fit(df: DataFrame, use: Column | None = None, *, rows_per_language: int = 50
     share = F.create_map(*[x for row in sizes for x in (F.lit(row[0]), F.lit(min(1.0, rows_per_language / row[1])))])
     sample = eligible.where(spread("doc_id", 11) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for lang, text in zip(batch["lang"], batch["text"]):
-                if (found := counts(text)) is not None:
-                    slots = np.nonzero(found)[0]
-                    rows.append((lang, slots.astype(np.int16).tobytes(), found[slots].astype(np.float32).tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "slots", "n"])
+    def start() -> Callable:
+        def sparse(langs: list[str], texts: list[str]) -> tuple:
+            rows = [(lang, found) for lang, text in zip(langs, texts) if (found := counts(text)) is not None]
+            slots = [np.nonzero(found)[0] for _, found in rows]
+            return [lang for lang, _ in rows], [s.astype(np.int16).tobytes() for s in slots], [found[s].astype(np.float32).tobytes() for (_, found), s in zip(rows, slots)]
+
+        return sparse
 
     gathered = []
-    for lang, slots, n in sample.select("lang", "text").mapInPandas(run, "lang string, slots binary, n binary").collect():
+    for lang, slots, n in mapped(sample, [], ["lang", "text"], start, "lang string, slots binary, n binary").collect():
         full = np.zeros(DIMENSIONS, dtype=np.float32)
         full[np.frombuffer(slots, dtype=np.int16)] = np.frombuffer(n, dtype=np.float32)
         gathered.append((lang, full))
@@ -120,20 +118,21 @@ def fit(df: DataFrame, use: Column | None = None, *, rows_per_language: int = 50
     return learn(gathered, **parameters)
 
 
-def predict(df: DataFrame, model: Centroids) -> DataFrame:
-    """doc_id, lang_pred, score (the cosine) and rejected of each row of df (doc_id, text).
+def predict(df: DataFrame, model: Centroids, *, carry: Sequence[str] = ("doc_id",), names: Sequence[str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns `carry` of df, and under `names` the language, score (the cosine) and whether it is
+    rejected, of each row of df (text and others).
 
     A null text and one without letters are `und` with score 0 and rejected. Other texts get the
     language of the nearest centroid, and are rejected where the cosine is below half of what all but
     a thousandth of that language's texts had. Repeated rows each give a row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                found = [counts(text) for text in part["text"]]
-                langs, scores = model.nearest(np.array([np.zeros(DIMENSIONS) if x is None else x for x in found]))
-                rows = [("und", 0.0, True) if x is None else (lang, float(s), bool(s < model.least.get(lang, 0))) for x, lang, s in zip(found, langs, scores)]
-                yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"], index=part.index).assign(doc_id=part["doc_id"])[["doc_id", "lang_pred", "score", "rejected"]]
+    def start() -> Callable:
+        def nearest(texts: list[str]) -> list[tuple]:
+            found = [counts(text) for text in texts]
+            langs, scores = model.nearest(np.array([np.zeros(DIMENSIONS) if x is None else x for x in found]))
+            rows = [("und", 0.0, True) if x is None else (lang, float(s), bool(s < model.least.get(lang, 0))) for x, lang, s in zip(found, langs, scores)]
+            return list(zip(*rows))
+
+        return nearest
 
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return mapped(df, carry, ["text"], start, "{} string, {} double, {} boolean".format(*names), rows=128)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.llm.common import mapped
+
 #: Short notices by which licences are usually granted.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -66,27 +67,26 @@ def scan(df: DataFrame, templates=TEMPLATES, *, least: float = 0.7, whole: float
     is that of a licence file, or where the cosine of the whole text is at least `whole`: it is little
     more than the notice. A null text is empty; a null path is the root's."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         matcher, kept = Matcher(templates), {}
-        for batch in batches:
-            rows = []
-            for doc_id, path, text in batch[["doc_id", "path", "text"]].itertuples(index=False, name=None):
-                best: tuple[str | None, float] = (None, 0.0)
-                if text and _CUE.search(text):
-                    for line in _LINE.findall(text):
-                        if _CUE.search(line):
-                            if line not in kept:
-                                if len(kept) > 50_000:
-                                    kept.clear()
-                                kept[line] = matcher.best(line)
-                            best = max(best, kept[line], key=lambda x: x[1])
-                name = best[0] if best[1] >= least else None
-                grants = name is not None and (_LICENCE_FILE.search(path or "") is not None or matcher.best(text)[1] >= whole)
-                rows.append((doc_id, (path or "").rpartition("/")[0], name, best[1], grants))
-            yield pd.DataFrame(rows, columns=["doc_id", "dir", "own_licence", "cosine", "grants"])
-
-    docs = df.select("doc_id", "path", "text")
-    return docs.mapInPandas(run, "doc_id bigint, dir string, own_licence string, cosine double, grants boolean")
+
+        def one(path: str | None, text: str | None) -> tuple:
+            best: tuple[str | None, float] = (None, 0.0)
+            if text and _CUE.search(text):
+                for line in _LINE.findall(text):
+                    if _CUE.search(line):
+                        if line not in kept:
+                            if len(kept) > 50_000:
+                                kept.clear()
+                            kept[line] = matcher.best(line)
+                        best = max(best, kept[line], key=lambda x: x[1])
+            name = best[0] if best[1] >= least else None
+            grants = name is not None and (_LICENCE_FILE.search(path or "") is not None or matcher.best(text)[1] >= whole)
+            return (path or "").rpartition("/")[0], name, best[1], grants
+
+        return lambda paths, texts: zip(*map(one, paths, texts))
+
+    return mapped(df, ["doc_id"], ["path", "text"], start, "dir string, own_licence string, cosine double, grants boolean")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:

@@ -17,17 +17,16 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meterloom.llm.bpe_text import is_settled, settled_pattern
-from meterloom.llm.common import written
+from meterloom.llm.common import mapped, written
 
 _PIECES_KEPT = 800_000
 #: Queue of the sources that are too small for a share in every window.
@@ -100,21 +99,20 @@ def tokenised(df: DataFrame, path: str, *, end: int) -> DataFrame:
     `end` behind them, and where they begin among the tokens of its source in its part of the table.
     A null text is empty, a null source is the empty one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         own, part = word_ids(path, end), TaskContext.get().partitionId()
         reached: dict[str, int] = {}
-        for batch in batches:
-            starts, sizes, packed = [], [], []
-            for text, source in zip(batch["text"], batch["source"]):
-                ids = own.encode(text)
-                starts.append(at := reached.get(source, 0))
-                sizes.append(len(ids) // 4)
-                packed.append(array("H", array("I", ids)).tobytes() if own.narrow else ids)
-                reached[source] = at + len(ids) // 4
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "part": part, "start": starts, "n": sizes, "ids": packed})
+
+        def place(text: str, source: str) -> tuple[int, int, int, bytes]:
+            ids = own.encode(text)
+            at = reached.get(source, 0)
+            reached[source] = at + len(ids) // 4
+            return part, at, len(ids) // 4, array("H", array("I", ids)).tobytes() if own.narrow else ids
+
+        return lambda texts, sources: zip(*map(place, texts, sources))
 
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
-    return docs.mapInPandas(run, "doc_id bigint, source string, part int, start bigint, n bigint, ids binary")
+    return mapped(docs, ["doc_id", "source"], ["text", "source"], start, "part int, start bigint, n bigint, ids binary")
 
 
 class Mixture:
@@ -200,14 +198,18 @@ def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131
     begins = F.broadcast(begins) if begins.count() <= BROADCAST_ROWS else begins
     placed = tokens.join(begins, ["part", "source"]).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("place"), "n", "ids")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         mixture = Mixture(queues, windows)
-        for batch in batches:
+
+        def cut(*columns: list) -> Iterator[tuple]:
             rows = []
-            for doc_id, source, queue, place, n, ids in batch.itertuples(index=False, name=None):
+            for doc_id, source, queue, place, n, ids in zip(*columns):
                 ids = memoryview(ids if not narrow else array("I", array("H", ids)).tobytes())
                 for start, length, sequence, offset in mixture.pieces(queue, place, n, size):
                     rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, source))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+            return zip(*rows)
+
+        return cut
 
-    return placed.mapInPandas(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
+    pieces = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
+    return mapped(placed, [], placed.columns, start, pieces)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import written
+from meterloom.llm.common import mapped, written
 
 STATISTICS = ("words", "word_length", "upper", "digits", "stops", "bangs", "bars", "symbols", "lines", "variety", "repeats", "commonest", "line_copies", "bare_words")
 _KINDS = ("upper", "lower", "digit", "space", "stop", "bang", "bar", "symbol")
@@ -62,15 +62,13 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def document_statistics(df: DataFrame) -> DataFrame:
-    """doc_id and STATISTICS of each row of df (doc_id, text)."""
+def document_statistics(df: DataFrame, *, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, columns named in `also`, and STATISTICS of each row of df (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [statistics(text) for text in batch["text"]]
-            yield pd.DataFrame(rows, columns=list(STATISTICS), index=batch.index, dtype="float64").assign(doc_id=batch["doc_id"])[["doc_id", *STATISTICS]]
+    def start() -> Callable:
+        return lambda texts: zip(*map(statistics, texts))
 
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id bigint, " + ", ".join(f"{name} double" for name in STATISTICS))
+    return mapped(df, ["doc_id", *also], ["text"], start, ", ".join(f"{name} double" for name in STATISTICS))
 
 
 @dataclass
@@ -152,17 +150,20 @@ def fit(stats: DataFrame, labels: DataFrame, *, waves: int = 256, width: float =
     return model
 
 
-def classify(df: DataFrame, labels: DataFrame, use: Column | None = None, *, threshold: float = 0.7, **parameters) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (1 from the threshold on) of each row of df (doc_id, text),
-    with a model learned from the rows of labels (doc_id, label) where `use` holds.
+def classify(df: DataFrame, labels: DataFrame, use: Column | None = None, *, threshold: float = 0.7, also: Sequence[str] = (), **parameters) -> DataFrame:
+    """doc_id, columns named in `also`, score (0 to 1) and predicted (1 from the threshold on) of each
+    row of df (doc_id, text), with a model learned from the rows of labels (doc_id, label) where `use`
+    holds.
 
     Null and empty texts are scored like others; repeated rows each give a row."""
-    stats = written(document_statistics(df), "statistics")
+    stats = written(document_statistics(df, also=also), "statistics")
     model = fit(stats, labels.where(use) if use is not None else labels, **parameters)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = model.scores(batch[list(STATISTICS)].to_numpy(dtype="float64"))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "predicted": (scores >= threshold).astype("int32")})
+    def start() -> Callable:
+        def scored(*columns: list[float]) -> tuple:
+            scores = model.scores(np.column_stack(columns))
+            return scores, (scores >= threshold).astype("int32")
+
+        return scored
 
-    return stats.mapInPandas(run, "doc_id bigint, score double, predicted int")
+    return mapped(stats, ["doc_id", *also], STATISTICS, start, "score double, predicted int", rows=4096)

@@ -11,16 +11,15 @@ most one answer for a pair of segments, and a few dozen questions. What meets is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm import golay
-from meterloom.llm.common import written
+from meterloom.llm.common import mapped, unused, written
 from meterloom.llm.components import components
 
 SEGMENTS = (22, 21, 21)
@@ -42,15 +41,13 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, *, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of df (doc_id, text)."""
+def fingerprints(df: DataFrame, *, words: int = 3, seed: int = 42, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, columns named in `also`, and fp (the fingerprint as a signed long) of each row of df (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([fingerprint(text, words, seed) for text in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.astype(np.int64)})
+    def start() -> Callable:
+        return lambda texts: (np.array([fingerprint(text, words, seed) for text in texts], dtype=np.uint64).astype(np.int64),)
 
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id bigint, fp bigint")
+    return mapped(df, ["doc_id", *also], ["text"], start, "fp bigint")
 
 
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,36 +88,45 @@ def links(fps: DataFrame, *, bits: int = 3) -> DataFrame:
     if bits > 3:
         raise ValueError("keys find up to 3 bits")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                own = batch["fp"].to_numpy()[at : at + 4096]
-                place, key, ask = keys(own)
-                yield pd.DataFrame({"key": key, "fp": own[place], "ask": ask})
+    def start() -> Callable:
+        def keyed(fps: list[int]) -> tuple:
+            own = np.array(fps, dtype=np.int64)
+            place, key, ask = keys(own)
+            return key, own[place], ask
 
-    keyed = fps.select("fp").mapInPandas(run, "key bigint, fp bigint, ask boolean")
+        return keyed
+
+    keyed = mapped(fps, [], ["fp"], start, "key bigint, fp bigint, ask boolean", rows=4096)
     ask, answer = keyed.where("ask").select("key", F.col("fp").alias("a")), keyed.where("not ask").select("key", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     return ask.join(answer, (ask["key"] == answer["key"]) & near).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, *, words: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, *, words: int = 3, seed: int = 42, bits: int = 3, tie: str | None = None) -> DataFrame:
     """doc_id, fingerprint and component_id for each row of df (doc_id, text).
 
     Documents are linked where fingerprints differ in `bits` bits or fewer; component_id is the
-    smallest doc_id that links lead to. Rows with one fingerprint count as one while links are sought,
-    so a text that very many rows share costs no more than another. Null and empty texts have
-    fingerprint zero and are linked like any other. Repeated rows each give a row."""
-    docs = written(fingerprints(df, words=words, seed=seed), "fingerprints")
-    classes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    smallest doc_id that links lead to, and null where no linked row has one. Rows with one fingerprint
+    count as one while links are sought, so a text that very many rows share costs no more than
+    another. Null and empty texts have fingerprint zero and are linked like any other. Repeated rows
+    each give a row. With `tie`, a column that tells rows apart, the result holds it, too, and `kept`:
+    true for one row of each component, the first by doc_id (nulls last) and then by `tie`."""
+    own = [tie] if tie else []
+    docs = written(fingerprints(df, words=words, seed=seed, also=own), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *[F.col(c).alias("tie") for c in own])
+    classes = written(docs.groupBy("fp").agg(F.min(first).alias("first")), "classes")
     found = components(links(classes, bits=bits))
     joined = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    named = joined.select("fp", "root").join(least, "root").select("fp", "least")
+    kept = [F.col("least.tie").eqNullSafe(F.col(c)).alias("kept") for c in own]
+    return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"), *own, *kept)
 
 
 def keep_one(df: DataFrame, **parameters) -> DataFrame:
-    """The rows of df whose doc_id names their component, with all their columns."""
-    kept = near_duplicates(df, **parameters).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return df.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """One row of each component of df, the first by doc_id, with all its columns. df is read twice and
+    has to give its rows in the same order, as a table does."""
+    row = unused(df, "_row")
+    rows = df.withColumn(row, F.monotonically_increasing_id())
+    kept = near_duplicates(rows, tie=row, **parameters).where("kept").select(row)
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.llm.common import mapped
 from meterloom.llm.merge_automaton import START, merge_automaton
 
 _STATES_KEPT = 300_000
@@ -148,16 +149,13 @@ def count_tokens(df: DataFrame, path: str, *, limit: int = 1024, chunk_chars: in
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole() -> Callable:
         counter = text_counter(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": [counter.count(text) for text in batch["text"]]})
+        return lambda texts: ([counter.count(text) for text in texts],)
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunked() -> Callable:
         counter = text_counter(path)
-        for batch in batches:
-            maps = [counter.chunk_map(chunk) for chunk in batch["chunk"]]
-            yield batch.drop(columns="chunk").assign(head=[m[0] for m in maps], closed=pd.Series([m[1] for m in maps], dtype="Int64", index=batch.index), tail=[m[2] for m in maps])
+        return lambda chunks: zip(*[counter.chunk_map(chunk) for chunk in chunks])
 
     def composed(rows: pd.DataFrame) -> pd.DataFrame:
         counter = text_counter(path)
@@ -166,7 +164,7 @@ def count_tokens(df: DataFrame, path: str, *, limit: int = 1024, chunk_chars: in
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "n_bytes": rows["n_bytes"].iloc[:1], "n_tokens": [counter.apply(counter.scan(maps))]})
 
     length, n_bytes = F.length("text"), F.octet_length("text").cast("long").alias("n_bytes")
-    short = docs.where(length <= chunk_chars).select("doc_id", n_bytes, "text").mapInPandas(whole, sizes)
+    short = mapped(docs.where(length <= chunk_chars).select("doc_id", n_bytes, "text"), ["doc_id", "n_bytes"], ["text"], whole, "n_tokens bigint")
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((length - 1) / chunk_chars).cast("int")),
         lambda i: F.struct(i.alias("seq"), F.substring("text", i * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk")),
@@ -177,8 +175,7 @@ def count_tokens(df: DataFrame, path: str, *, limit: int = 1024, chunk_chars: in
         .select("doc_id", "n_bytes", "row", F.explode(pieces).alias("piece"))
         .select("doc_id", "n_bytes", "row", "piece.*")
         .repartition("row", "seq")
-        .mapInPandas(chunked, "doc_id bigint, n_bytes bigint, row bigint, seq int, head string, closed bigint, tail string")
-        .groupBy("row")
-        .applyInPandas(composed, sizes)
     )
+    maps = mapped(long, ["doc_id", "n_bytes", "row", "seq"], ["chunk"], chunked, "head string, closed bigint, tail string", rows=64)
+    long = maps.groupBy("row").applyInPandas(composed, sizes)
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)

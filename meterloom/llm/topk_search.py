@@ -21,10 +21,10 @@ _EXACT = 2**53
 
 def integer_vectors(df: DataFrame, *, scale: int = 1024) -> DataFrame:
     """vec_id and v (floor(scale * x) of each component) of the rows of df (vec_id, embedding) whose
-    vectors are whole: no null vector, no null, infinite or NaN component."""
+    vectors are whole: no null vector, no null, infinite or NaN component. Rows without vec_id take no part."""
     x = F.col("embedding").cast("array<double>")
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return df.where(F.col("embedding").isNotNull() & whole).select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole).select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
 class SortedLists:

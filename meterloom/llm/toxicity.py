@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import spread
+from meterloom.llm.common import mapped, spread
 
 _WORD = re.compile(r"[^\W\d_]+")
 _WORDS_KEPT = 500_000
@@ -77,17 +76,16 @@ def fit(df: DataFrame, labels: DataFrame, *, fit_rows: int = 12_000, vocabulary:
     About fit_rows labelled rows, chosen by a hash of doc_id, are used. Labels have two levels; a toxic
     document is of grade 2 where its share of words that tell toxic from clean is above the median of
     toxic ones, and of grade 1 otherwise. Features are the `vocabulary` words and word beginnings whose
-    frequencies differ most between labels. Without labels of both kinds all severities are zero."""
+    frequencies differ most between labels. Without labelled texts of both kinds all severities are zero."""
     labels = labels.where("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = labels.count()
     sample = labels.where(spread("doc_id", 3) < min(1.0, fit_rows / max(1, total)))
     texts = df.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "found": [sorted({f for w in word_counts(text) for f in features(w)}) for text in batch["text"]]})
+    def start() -> Callable:
+        return lambda texts: ([sorted({f for w in word_counts(text) for f in features(w)}) for text in texts],)
 
-    present = texts.mapInPandas(run, "label int, found array<string>")
+    present = mapped(texts, ["label"], ["text"], start, "found array<string>")
     sizes = dict(sample.groupBy(F.col("label").cast("int")).count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return Severity({}, np.zeros(0), np.array([30.0, 31.0]))
@@ -98,18 +96,19 @@ def fit(df: DataFrame, labels: DataFrame, *, fit_rows: int = 12_000, vocabulary:
     slots = {row.feature: i for i, row in enumerate(best)}
     strong = {row.feature for row in best if row.z > 0 and row.toxic >= 0.9 * row.n}
 
-    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for label, text in zip(batch["label"], batch["text"]):
-                words = word_counts(text)
-                found = _sparse(words, slots, {})
-                cues = sum(n for w, n in words.items() if any(f in strong for f in features(w)))
-                rows.append((label, cues / max(1, words.total()), list(found), list(found.values())))
-            yield pd.DataFrame(rows, columns=["label", "cues", "slots", "counts"])
-
-    rows = texts.mapInPandas(sparse, "label int, cues double, slots array<int>, counts array<double>").collect()
+    def sparse() -> Callable:
+        def one(text: str) -> tuple[float, list, list]:
+            words = word_counts(text)
+            found = _sparse(words, slots, {})
+            cues = sum(n for w, n in words.items() if any(f in strong for f in features(w)))
+            return cues / max(1, words.total()), list(found), list(found.values())
+
+        return lambda texts: zip(*map(one, texts))
+
+    rows = mapped(texts, ["label"], ["text"], sparse, "cues double, slots array<int>, counts array<double>").collect()
     rows.sort(key=lambda r: (r.label, r.cues, r.slots, r.counts))
+    if len({bool(r.label) for r in rows}) < 2:
+        return Severity({}, np.zeros(0), np.array([30.0, 31.0]))
     median = float(np.median([r.cues for r in rows if r.label]))
     graded = [(int(r.label) + int(bool(r.label) and r.cues > median), dict(zip(r.slots, r.counts))) for r in rows]
     return Severity(slots, *learn(graded, len(slots), 3))
@@ -131,19 +130,22 @@ def severities(df: DataFrame, model: Severity) -> DataFrame:
 
     Null and empty texts are scored like others; repeated rows each give a row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         kept: dict[str, list[int]] = {}
-        for batch in batches:
+
+        def graded(texts: list[str]) -> tuple:
             x = []
-            for text in batch["text"]:
+            for text in texts:
                 if len(kept) > _WORDS_KEPT:
                     kept.clear()
                 x.append(sum(model.weights[s] * v for s, v in _sparse(word_counts(text), model.slots, kept).items()))
             above = model.above(np.array(x, dtype=float))
             each = -np.diff(np.hstack([np.ones((len(x), 1)), above, np.zeros((len(x), 1))]), axis=1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "severity": above.sum(axis=1), "grade": each.argmax(axis=1).astype("int32"), "toxic": above[:, 0] >= 0.5})
+            return above.sum(axis=1), each.argmax(axis=1).astype("int32"), above[:, 0] >= 0.5
+
+        return graded
 
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id bigint, severity double, grade int, toxic boolean")
+    return mapped(df, ["doc_id"], ["text"], start, "severity double, grade int, toxic boolean")
 
 
 def classify(df: DataFrame, labels: DataFrame, use: Column | None = None, **parameters) -> DataFrame:
