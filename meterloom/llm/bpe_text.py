@@ -39,7 +39,13 @@ def settled_pattern(pattern: str) -> re.Pattern:
 
 
 def is_settled(text: str) -> bool:
-    return text.isascii() or ord(max(text)) < SETTLED
+    if text.isascii():
+        return True
+    try:  # the quickest way to look at all characters
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return ord(max(text)) < SETTLED
+    return True
 
 
 _SETTLED_WORDS = settled_pattern(public_tokenizers.PATTERN)

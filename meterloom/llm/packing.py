@@ -56,11 +56,15 @@ class WordIds:
         self._ids, self._words = {"": b""}, {}
         self.end = end
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _is_plain(self, text: str, low: str) -> bool:
+        return self._split is not None and is_settled(low) and self._special.search(text) is None
+
+    def _learn(self, pieces: list[str], plain: bool) -> None:
         split, alone = {}, []
         for piece in pieces:
-            low = piece.lower()
-            if self._split and is_settled(low) and self._special.search(piece) is None:
+            if plain:
+                split[piece] = self._split(piece)
+            elif self._is_plain(piece, low := piece.lower()):
                 split[piece] = self._split(low)
             else:
                 alone.append(piece)
@@ -79,12 +83,13 @@ class WordIds:
             self._ids[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        plain = self._is_plain(text, low := text.lower())
+        pieces = (low if plain else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if len(self._ids) > _PIECES_KEPT:
             self._ids, self._words = {"": b""}, {}
         found = list(map(self._ids.get, pieces))
         if None in found:
-            self._learn(list({piece for piece, ids in zip(pieces, found) if ids is None}))
+            self._learn(list({piece for piece, ids in zip(pieces, found) if ids is None}), plain)
             found = [self._ids[piece] for piece in pieces]
         return b"".join(found) + self.end.to_bytes(4, "little")
 
@@ -107,7 +112,7 @@ def tokenised(df: DataFrame, path: str, *, end: int) -> DataFrame:
             ids = own.encode(text)
             at = reached.get(source, 0)
             reached[source] = at + len(ids) // 4
-            return part, at, len(ids) // 4, array("H", array("I", ids)).tobytes() if own.narrow else ids
+            return part, at, len(ids) // 4, np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if own.narrow else ids
 
         return lambda texts, sources: zip(*map(place, texts, sources))
 
@@ -204,7 +209,7 @@ def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131
         def cut(*columns: list) -> Iterator[tuple]:
             rows = []
             for doc_id, source, queue, place, n, ids in zip(*columns):
-                ids = memoryview(ids if not narrow else array("I", array("H", ids)).tobytes())
+                ids = memoryview(ids if not narrow else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes())
                 for start, length, sequence, offset in mixture.pieces(queue, place, n, size):
                     rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, source))
             return zip(*rows)
