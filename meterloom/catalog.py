@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterloom.plans import usage
+from meterloom.plans import revisions, usage  # noqa: F401  they register their queries
+from meterloom.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:
-    return usage.queries()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return usage.oracle_sql()
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly usage by event type: the series that most questions start from."""
-    return queries()["usage_hourly_series"](spark, sf_dir)
+    return QUERIES["usage_hourly_series"](spark, sf_dir)

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterloom.functions import periods
+from meterloom.plans.registry import query, table
 
-def usage_hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type")
-        .agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"), F.max("value").alias("max_value"))
-    )
 
-
-def queries() -> dict:
-    return {"usage_hourly_series": usage_hourly_series}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "usage_hourly_series": """
-            SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events,
-                   count(DISTINCT user_id) AS n_users, max(value) AS max_value
-            FROM events GROUP BY ALL"""
-    }
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events,
+        count(DISTINCT user_id) AS n_users, max(value) AS max_value FROM events GROUP BY ALL""")
+def usage_hourly_series(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(periods.hour("ts").alias("hour"), "event_type").agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users"), F.max("value").alias("max_value"))
