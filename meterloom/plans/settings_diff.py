@@ -1,0 +1,63 @@
+"""What two snapshots of tool settings allow: entries, their changes, direction and a verdict."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_HOOK = "array<struct<matcher:string,hooks:array<struct<type:string,command:string>>>>"
+SETTINGS = f"permissions struct<allow:array<string>,ask:array<string>,deny:array<string>,defaultMode:string>, hooks map<string,{_HOOK}>, mcpServers map<string,struct<command:string,url:string,type:string>>"
+#: How open each mode is.
+MODES = ("plan", "default", "acceptEdits", "bypassPermissions")
+
+
+def normal_rule(rule):
+    """Tool(spec) with blanks trimmed, `:*` as ` *`, and Tool(*) as the whole tool."""
+    spaced = F.regexp_replace(F.trim(rule), r":\*\)$", " *)")
+    return F.regexp_replace(spaced, r"\(\s*\*?\s*\)$", "")
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """path, kind, key and content of each entry of files (path, content); a file that is no JSON object
+    gives one entry of kind `unreadable`."""
+    held = files.withColumn("j", F.from_json("content", f"{SETTINGS}, _bad string", {"columnNameOfCorruptRecord": "_bad", "allowComments": "true"}))
+    bad = F.col("j").isNull() | F.col("j._bad").isNotNull()
+    good = held.where(~bad)
+    found = held.where(bad).select("path", F.lit("unreadable").alias("kind"), F.col("path").alias("key"), F.sha2("content", 256).alias("content"))
+    for kind in ("allow", "ask", "deny"):
+        found = found.unionByName(good.select("path", F.lit(kind).alias("kind"), F.explode(f"j.permissions.{kind}").alias("rule")).select("path", "kind", normal_rule(F.col("rule")).alias("key"), F.lit("").alias("content")))
+    mode = good.where("j.permissions.defaultMode IS NOT NULL").select("path", F.lit("mode").alias("kind"), F.lit("defaultMode").alias("key"), F.col("j.permissions.defaultMode").alias("content"))
+    events = good.select("path", F.explode("j.hooks").alias("event", "groups")).select("path", "event", F.explode("groups").alias("g")).select("path", "event", F.col("g.matcher").alias("matcher"), F.explode("g.hooks").alias("h"))
+    hooks = events.select("path", F.lit("hook").alias("kind"), F.concat_ws("|", "event", "matcher", "h.command").alias("key"), F.coalesce("h.type", F.lit("")).alias("content"))
+    servers = good.select("path", F.explode("j.mcpServers").alias("key", "s")).select("path", F.lit("server").alias("kind"), "key", F.concat_ws("|", "s.type", "s.command", "s.url").alias("content"))
+    return found.unionByName(mode).unionByName(hooks).unionByName(servers).distinct()
+
+
+def changes(base: DataFrame, head: DataFrame) -> DataFrame:
+    """kind, key, change (added, removed, changed, moved) and direction (widens, narrows, changes) of the
+    entries of two snapshots that differ."""
+    side = lambda df, name: entries(df).withColumn("side", F.lit(name))
+    of = lambda name: F.array_sort(F.collect_set(F.when(F.col("side") == name, F.struct("content", "path"))))
+    both = side(base, "base").unionByName(side(head, "head")).groupBy("kind", "key").agg(of("base").alias("b"), of("head").alias("h"))
+    contents = lambda c: F.array_distinct(F.transform(c, lambda e: e["content"]))
+    change = F.when(F.size("b") == 0, "added").when(F.size("h") == 0, "removed").when(contents("b") != contents("h"), "changed").when(F.col("b") != F.col("h"), "moved")
+    rank = lambda c: F.array_position(F.array(*map(F.lit, MODES)), F.try_element_at(contents(c), F.lit(1)))
+    opens = F.col("kind").isin("allow", "hook", "server")
+    shuts = F.col("kind").isin("deny", "ask")
+    by_mode = F.when(F.coalesce(rank("h"), F.lit(2)) > F.coalesce(rank("b"), F.lit(2)), "widens").otherwise("narrows")
+    direction = (
+        F.when(F.col("kind") == "mode", by_mode)
+        .when((opens & (F.col("change") == "added")) | (shuts & (F.col("change") == "removed")), "widens")
+        .when((opens & (F.col("change") == "removed")) | (shuts & (F.col("change") == "added")), "narrows")
+        .otherwise("changes")
+    )
+    return both.withColumn("change", change).where("change IS NOT NULL").select("kind", "key", "change", direction.alias("direction"))
+
+
+def verdict(found: DataFrame) -> DataFrame:
+    """One row: counts by direction, and exit_code 0 (nothing), 1 (changes that don't widen), 2 (some
+    widen), 3 (a file could not be read)."""
+    of = lambda name: F.count_if(F.col("direction") == name)
+    sums = found.agg(of("widens").alias("widens"), of("narrows").alias("narrows"), of("changes").alias("changes"), F.count_if(F.col("kind") == "unreadable").alias("unreadable"))
+    code = F.when(F.col("unreadable") > 0, 3).when(F.col("widens") > 0, 2).when(F.col("narrows") + F.col("changes") > 0, 1).otherwise(0)
+    return sums.withColumn("exit_code", code)
