@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from meterloom.llm import golay
 from meterloom.llm.common import mapped, unused, written
-from meterloom.llm.components import components
+from meterloom.operators.components import components
 
 SEGMENTS = (22, 21, 21)
 #: Pairs of segments; the first alone is asked with errors in both.
@@ -115,7 +115,7 @@ def near_duplicates(df: DataFrame, *, words: int = 3, seed: int = 42, bits: int
     docs = written(fingerprints(df, words=words, seed=seed, also=own), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *[F.col(c).alias("tie") for c in own])
     classes = written(docs.groupBy("fp").agg(F.min(first).alias("first")), "classes")
-    found = components(links(classes, bits=bits))
+    found = components(links(classes, bits=bits), written)
     joined = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "least")
