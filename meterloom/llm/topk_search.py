@@ -32,57 +32,68 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, self.order, axis=0)
-        self.rank = np.empty_like(self.order)
-        np.put_along_axis(self.rank, self.order, np.arange(len(ids))[:, None], axis=0)
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best."""
-        n, own = len(self.ids), query.astype(np.float64)
-        down = own >= 0
-        best, worst = np.where(down, self.sorted[-1], self.sorted[0]), np.where(down, self.sorted[0], self.sorted[-1])
-        dims = np.nonzero(own)[0]
-        own, best, worst, down = own[dims], best[dims], worst[dims], down[dims]
-        ranks = np.where(down, n - 1 - self.rank[:, dims], self.rank[:, dims])
-        gains = self.vectors[:, dims] * own
-        alive, depth = np.nonzero(self.ids != query_id)[0], min(n, 64)
-        while len(alive) > k and len(dims):
-            met = ranks[alive] < depth
-            reached = np.where(down, self.sorted[n - depth, dims], self.sorted[depth - 1, dims])
-            known = np.where(met, gains[alive], 0)
-            lower = (known + np.where(met, 0, worst * own)).sum(axis=1)
-            upper = (known + np.where(met, 0, reached * own)).sum(axis=1)
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = alive[upper >= bar]
-            if depth == n or len(alive) <= 4 * k:
-                break
-            depth = min(n, 2 * depth)
-        scores = self.vectors[alive] @ query.astype(np.float64)
-        first = np.lexsort((alive, -scores))[:k]  # rows are in order of vec_id
-        return self.ids[alive[first]], scores[first].astype(np.int64)
+        self.ids, self.exact = ids[order], vectors[order].astype(np.float64)
+        self.vectors = self.exact.astype(np.float32)
+        self.lists = np.sort(self.vectors, axis=0)
+        self.largest = float(np.abs(self.exact).max(initial=0))
+
+    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds, (vectors, queries), when each list has been read so far from its end;
+        of equal components all are read. What wasn't met is as bad as the list's other end at worst, and
+        as good as the component reached at best."""
+        v, up, down = self.vectors, np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        high, low = self.lists[len(v) - depth], self.lists[depth - 1]
+        upper = np.maximum(v, high) @ up + np.minimum(v, low) @ down
+        lower = np.where(v >= high, v, self.lists[0]) @ up + np.where(v <= low, v, self.lists[-1]) @ down
+        return lower, upper
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, *, first: int = 64, step: int = 4, few: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best for each query. A query's reading stops when at most few * k
+        vectors can still be among them."""
+        n, width = self.vectors.shape
+        asked = queries.astype(np.float32)
+        # Bounds are rounded; nothing that rounding may have hidden is left out.
+        slack = 8 * (width + 4) * np.finfo(np.float32).eps * self.largest * np.abs(queries).sum(axis=1)
+        own = np.searchsorted(self.ids, query_ids, "left"), np.searchsorted(self.ids, query_ids, "right")
+        found: list = [None] * len(queries)
+        reading, depth = np.arange(len(queries)), min(n, first)
+        while len(reading):
+            lower, upper = self.bounds(asked[reading], depth)
+            for j, q in enumerate(reading):
+                lower[own[0][q] : own[1][q], j] = upper[own[0][q] : own[1][q], j] = -np.inf
+            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(reading), -np.inf)
+            alive = (upper >= bar - slack[reading]) & (upper > -np.inf)
+            ends = (alive.sum(axis=0) <= few * k) | (depth == n)
+            for j in np.nonzero(ends)[0]:
+                rows, q = np.nonzero(alive[:, j])[0], reading[j]
+                scores = self.exact[rows] @ queries[q].astype(np.float64)
+                best = np.lexsort((rows, -scores))[:k]  # rows are in order of vec_id
+                found[q] = self.ids[rows[best]], scores[best].astype(np.int64)
+            reading, depth = reading[~ends], min(n, step * depth)
+        return found
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     width = max(map(len, vectors))
+    if min(map(len, vectors)) == width:
+        return np.vstack(vectors.to_list())
     found = np.zeros((len(vectors), width), dtype=np.int64)
     for i, v in enumerate(vectors):
         found[i, : len(v)] = v
     return found
 
 
-def top_k(df: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+def top_k(df: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id, embedding) the k rows of df
     (vec_id, embedding) with other ids that have the highest inner products of integer components.
 
     Ties go to the smaller vec_id. Vectors with missing components take no part; a shorter vector has
     zeros at its end. Rows that repeat a vec_id are candidates each. Both sides are dealt to blocks by
-    row counts, and each pair of blocks is a task's work: nothing is broadcast."""
+    row counts, whatever their ids, and each pair of blocks is a task's work: nothing is broadcast."""
     vectors, asked = integer_vectors(df, scale=scale), integer_vectors(queries, scale=scale)
     n_blocks = max(1, -(-df.count() // block_rows))
     n_groups = max(1, -(-queries.count() // query_rows))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     candidates = vectors.select("vec_id", "v", dealt(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
     asked = asked.select("vec_id", "v", dealt(n_groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
@@ -92,12 +103,12 @@ def top_k(df: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024,
             width = max(max(map(len, rows["v"])), max(map(len, wanted["v"])))
             widen = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
             lists = SortedLists(rows["vec_id"].to_numpy(), widen(_matrix(rows["v"])))
-            if width and float(np.abs(lists.vectors).max()) ** 2 * width >= _EXACT:
+            if width and lists.largest**2 * width >= _EXACT:
                 raise ValueError("components are too large for exact scores")
-            for query_id, query in zip(wanted["vec_id"], widen(_matrix(wanted["v"]))):
-                ids, scores = lists.top(query_id, query, k)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            ids = wanted["vec_id"].to_numpy()
+            for query_id, (vec_ids, scores) in zip(ids, lists.top(ids, widen(_matrix(wanted["v"])), k)):
+                found.append(np.column_stack([np.full(len(vec_ids), query_id), vec_ids, scores]))
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64), columns=["query_id", "vec_id", "score"])
 
     best = candidates.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(run, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
