@@ -93,9 +93,10 @@ def top_k(df: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024,
     vectors, asked = integer_vectors(df, scale=scale), integer_vectors(queries, scale=scale)
     n_blocks = max(1, -(-df.count() // block_rows))
     n_groups = max(1, -(-queries.count() // query_rows))
-    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    candidates = vectors.select("vec_id", "v", dealt(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
-    asked = asked.select("vec_id", "v", dealt(n_groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    # Blocks are dealt before rows are copied to the blocks of the other side, so copies agree.
+    dealt = lambda d, n, name: d.select("vec_id", "v", F.monotonically_increasing_id().alias("row")).select("vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(name))
+    candidates = dealt(vectors, n_blocks, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    asked = dealt(asked, n_groups, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found = []
