@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import mapped
+from meterloom.llm.common import mapped, written
 
 #: Short notices by which licences are usually granted.
 TEMPLATES = (
@@ -95,7 +95,8 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
     Of several licence files in a directory the smallest doc_id's holds. Ancestors are sought once for
     each directory, so a directory with very many files costs no more than others until the last join,
-    in which its rows can be split."""
+    in which its rows can be split. What was scanned is written first: it is small and read three times."""
+    scanned = written(scanned, "scanned")
     grants = scanned.where("grants").groupBy("dir").agg(F.min_by("own_licence", F.struct("doc_id", "own_licence")).alias("granted")).withColumnRenamed("dir", "above")
     parts = F.split("dir", "/")
     up_to = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))
