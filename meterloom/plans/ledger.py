@@ -188,3 +188,30 @@ def project_resolution(spark, sf_dir):
     folders = nations.select(nation, F.lit("working_directory").alias("kind"), F.lit("1-URGENT").alias("member"), F.lit("outside_roots").alias("resolution"), F.lit(None).cast("string").alias("project"))
     projects = customers.where(segment != "BUILDING").select(install, segment.alias("project"), F.concat_ws("@", segment, F.col("c_nationkey")).alias("project_id")).distinct()
     return project_states(rows, own.unionByName(folders), projects, nations.where("n_regionkey < 3").select(nation)).select("o_orderkey", "project_id", "reason", "state")
+
+
+def callers(calls: DataFrame, agents: DataFrame, requests: DataFrame) -> DataFrame:
+    """Calls (caller, request) counted by who made them: state, who and calls.
+
+    group: the caller's group, or else its request's; label: a caller known by label alone;
+    outside_range: a caller that isn't known; none: no caller. agents (caller, group_id, label) and
+    requests (request, request_group) have one row a key. Calls are counted before they are joined."""
+    counted = calls.groupBy("caller", "request").agg(F.count("*").alias("calls"))
+    known = counted.join(agents.select("caller", "group_id", "label"), "caller", "left").join(requests.select("request", "request_group"), "request", "left")
+    group = F.coalesce("group_id", "request_group")
+    state = F.when(group.isNotNull(), "group").when(F.col("caller").isNull(), "none").when(F.col("label").isNotNull(), "label").otherwise("outside_range")
+    return known.withColumn("state", state).withColumn("who", F.when(F.col("state") == "group", group).when(F.col("state") == "label", F.col("label"))).groupBy("state", "who").agg(F.sum("calls").alias("calls"))
+
+
+@query("""WITH j AS (SELECT CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS own, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END AS asked, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS caller,
+        CASE WHEN c_acctbal BETWEEN 0 AND 5000 THEN c_mktsegment || ' (label)' END AS label
+        FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON c_custkey = CASE WHEN o_orderstatus <> 'P' THEN o_custkey END),
+    s AS (SELECT *, CASE WHEN coalesce(own, asked) IS NOT NULL THEN 'group' WHEN caller IS NULL THEN 'none' WHEN label IS NOT NULL THEN 'label' ELSE 'outside_range' END AS state FROM j)
+    SELECT state, CASE state WHEN 'group' THEN coalesce(own, asked) WHEN 'label' THEN label END AS who, count(*) AS calls FROM s GROUP BY ALL""")
+def caller_resolution(spark, sf_dir):
+    balance, segment = F.col("c_acctbal"), F.col("c_mktsegment")
+    calls = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("caller"), F.col("o_orderpriority").alias("request"))
+    label = F.when(balance <= 5000, F.concat(segment, F.lit(" (label)")))
+    agents = table(spark, sf_dir, "customer").where(balance >= 0).select(F.col("c_custkey").alias("caller"), F.when(balance > 5000, segment).alias("group_id"), label.alias("label"))
+    requests = calls.select("request").distinct().withColumn("request_group", F.when(F.col("request") == "1-URGENT", "urgent"))
+    return callers(calls, agents, requests)

@@ -63,3 +63,12 @@ def test_project_states(spark):
         ("i", "s1", "working_directory", "project", "project", "P"), ("i", "s0", "working_directory", "unassigned", "outside_roots", None), ("i", "s0", "remote", "unknown", "unknown", None),
         ("i", "s2", "working_directory", "unassigned", "missing_project", None), ("i", "s3", "none", "no_project", "no_project", None), ("j", "s1", "working_directory", "not_reported", "not_reported", None),
     }
+
+
+def test_callers(spark):
+    calls = spark.createDataFrame([("a", "r"), ("b", "r"), ("b", None), ("c", None), (None, None), (None, "r"), (None, None)], "caller string, request string")
+    agents = spark.createDataFrame([("a", "A", "x"), ("b", None, "B")], "caller string, group_id string, label string")
+    requests = spark.createDataFrame([("r", "R")], "request string, request_group string")
+    assert {tuple(r) for r in ledger.callers(calls, agents, requests).select("state", "who", "calls").collect()} == {
+        ("group", "A", 1), ("group", "R", 2), ("label", "B", 1), ("outside_range", None, 1), ("none", None, 2),
+    }
