@@ -21,6 +21,7 @@ _ARROW = {
     "boolean": pa.bool_(),
     "array<string>": pa.list_(pa.string()),
     "array<int>": pa.list_(pa.int32()),
+    "array<bigint>": pa.list_(pa.int64()),
     "array<double>": pa.list_(pa.float64()),
 }
 
@@ -89,6 +90,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table that tells its rows apart, and the name of the column that does. The numbers are
+    stored, so each reader sees the same ones however the files are split among however many cores."""
+    row = unused(df, "_row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string"))
 
