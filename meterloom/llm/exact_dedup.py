@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import unused, written
+from meterloom.llm.common import numbered, written
 
 #: Characters of the text that splitters are sampled from. Equal texts begin alike, and samples,
 #: which the driver gathers, stay small however long texts are.
@@ -61,9 +61,7 @@ def exact_duplicates(df: DataFrame, *, lanes: int = 256, tie: str | None = None)
 
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of df (doc_id, text and others) that stay, with all their columns. Of rows that
-    repeat doc_id and text one stays. df is read twice and has to give its rows in the same order, as a
-    table does."""
-    row = unused(df, "_row")
-    rows = df.withColumn(row, F.monotonically_increasing_id())
+    repeat doc_id and text one stays."""
+    rows, row = numbered(df)
     kept = exact_duplicates(rows, tie=row).where("kept").select(row)
     return rows.join(kept, row, "left_semi").drop(row)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm import golay
-from meterloom.llm.common import mapped, unused, written
+from meterloom.llm.common import mapped, numbered, written
 from meterloom.operators.components import components
 
 SEGMENTS = (22, 21, 21)
@@ -124,9 +124,7 @@ def near_duplicates(df: DataFrame, *, words: int = 3, seed: int = 42, bits: int
 
 
 def keep_one(df: DataFrame, **parameters) -> DataFrame:
-    """One row of each component of df, the first by doc_id, with all its columns. df is read twice and
-    has to give its rows in the same order, as a table does."""
-    row = unused(df, "_row")
-    rows = df.withColumn(row, F.monotonically_increasing_id())
+    """One row of each component of df, the first by doc_id, with all its columns."""
+    rows, row = numbered(df)
     kept = near_duplicates(rows, tie=row, **parameters).where("kept").select(row)
     return rows.join(kept, row, "left_semi").drop(row)
