@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 #: Below so many bytes a hash would tell the content.
 LEAST_BYTES = 16
 
-#: Name, pattern, replacement, in the order in which they apply.
+_KEY_NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|credential"
+
+#: Name, pattern, replacement, in the order in which they apply: the reference's seven in its order, before
+#: the last of them the forms for which the query's SQL has texts of its own, and e-mail at the end. What
+#: stands before a name stays as it is, so the last pattern does not have to read it.
 SECRETS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
-    ("bearer", r"(?i)bearer\s+[A-Za-z0-9._~+/-]{8,}=*", "[bearer]"),
+    ("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|(?=\n?\z))", "[REDACTED:private-key]"),
+    ("bearer", r"(?iU)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED:bearer]"),
+    ("aws-key", r"(?U)\b(?:AKIA|ASIA)[0-9A-Z]{12,}\b", "[REDACTED:aws-key]"),
+    ("github-token", r"(?U)\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", "[REDACTED:github-token]"),
+    ("slack-token", r"(?U)\bxox[abprs]-[A-Za-z0-9-]{8,}\b", "[REDACTED:slack-token]"),
+    ("api-key", r"(?U)\bsk-[A-Za-z0-9_-]{8,}\b", "[REDACTED:api-key]"),
     ("key", r"\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{8,}", "[key]"),
     ("assigned", r"(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[=:]\s*\S+", "[secret]"),
+    ("secret-field", rf"(?iU)((?:{_KEY_NAMES})[A-Za-z0-9_-]*+[\"']?\s*[:=]\s*[\"']?)(?!\[REDACTED)[^\"'\s,;&}}\]]+", "$1[REDACTED]"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
 )
 
 

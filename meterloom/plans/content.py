@@ -14,9 +14,18 @@ def fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), text.fingerprint("text").alias("fingerprint"))
 
 
+#: The forms that the SQL knows; tests hold the others to literal texts, since DuckDB has no lookahead.
+_SQL_SECRETS = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
+    (r"(?i)bearer\s+[A-Za-z0-9._~+/-]{8,}=*", "[bearer]"),
+    (r"\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{8,}", "[key]"),
+    (r"(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[=:]\s*\S+", "[secret]"),
+)
+
+
 def _redacted_sql() -> str:
     found = "text"
-    for _, pattern, stand_in in text.SECRETS:
+    for pattern, stand_in in _SQL_SECRETS:
         found = f"regexp_replace({found}, '{pattern}', '{stand_in}', 'g')"
     return f"SELECT doc_id, substr({found}, 1, 200) AS shown FROM documents"
 
