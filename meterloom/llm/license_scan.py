@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,59 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+
+
+def _gnu_header(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, "
+        f"or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        f"FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    )
+
+
+def _gnu_file(name: str, version: str, then: str) -> str:
+    return f"{name} Version {version} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. {then}"
+
+
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_GPL, _LGPL, _AGPL = (f"GNU {kind}General Public License" for kind in ("", "Lesser ", "Affero "))
+#: Headers of source files and beginnings of licence files.
+PASSAGES = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+    including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+    subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+    http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+    CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and
+    conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."""),
+    ("GPL-3.0", _gnu_header(_GPL, "3")),
+    ("GPL-2.0", _gnu_header(_GPL, "2")),
+    ("LGPL-3.0", _gnu_header(_LGPL, "3")),
+    ("LGPL-2.1", _gnu_header(_LGPL, "2.1")),
+    ("AGPL-3.0", _gnu_header(_AGPL, "3")),
+    ("GPL-3.0", _gnu_file(_GPL, "3, 29 June 2007 Copyright (C) 2007", f"Preamble The {_GPL} is a free, copyleft license for software and other kinds of works.")),
+    ("GPL-2.0", _gnu_file(_GPL, "2, June 1991 Copyright (C) 1989, 1991", "Preamble The licenses for most software are designed to take away your freedom to share and change it.")),
+    ("LGPL-3.0", _gnu_file(_LGPL, "3, 29 June 2007 Copyright (C) 2007", f"This version of the {_LGPL} incorporates the terms and conditions of version 3 of the {_GPL}, supplemented by the additional permissions listed below.")),
+    ("LGPL-2.1", _gnu_file(_LGPL, "2.1, February 1999 Copyright (C) 1991, 1999", "This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1.")),
+    ("AGPL-3.0", _gnu_file(_AGPL, "3, 19 November 2007 Copyright (C) 2007", f"Preamble The {_AGPL} is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.")),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+)
+#: A line that is a title and nothing else.
+_TITLE = re.compile(r"^[\W_]*(?:the )?(MIT|ISC|Apache|Mozilla Public) licen[cs]e(?: ?\(MIT\)|,? (?:v|version )?2\.0)?[\W_]*$", re.IGNORECASE)
+_TITLED = {"mit": "MIT", "isc": "ISC", "apache": "Apache-2.0", "mozilla public": "MPL-2.0"}
+#: The expression as it stands, to the end of its line or comment.
+_SPDX = re.compile(r"SPDX-Licen[cs]e-Identifier:[ \t]*([\w.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[\w.+-]+)*)", re.IGNORECASE)
+_GNU = re.compile(r"\b((?:A|L)?GPL-\d\.\d)(?:-only|-or-later|\+)", re.IGNORECASE)
 _TERM = re.compile(r"[a-z]+|\d+")
 _LINE = re.compile(r"[^\n\r]+")
 #: A line with none of these has too little in common with any template.
@@ -59,30 +113,78 @@ class Matcher:
         return name, score
 
 
-def scan(df: DataFrame, templates=TEMPLATES, *, least: float = 0.7, whole: float = 0.5) -> DataFrame:
+class Spans:
+    """The templates against the spans of a text that are as long as each, wherever lines end. A span's
+    product with a template is a difference of running sums, so the best one is found in one pass; the
+    cosine is that of the span with the largest product."""
+
+    def __init__(self, templates):
+        self._matcher = Matcher(templates)
+        self._words: dict[str, int] = {}
+        for _, text in templates:
+            for t in terms(text):
+                self._words.setdefault(t, len(self._words))
+        idf, held = self._matcher._idf, self._matcher._vectors
+        self._sizes = [sum(terms(text).values()) for _, text in templates]
+        self._gains = np.array([[idf[t] * vector.get(t, 0.0) for t in self._words] + [0.0] for _, vector in held])
+
+    def best(self, found: list[str]) -> tuple[str | None, float]:
+        if not found:
+            return None, 0.0
+        codes = np.array([self._words.get(t, -1) for t in found])
+        scores: dict[str, float] = {}
+        for (name, vector), gains, size in zip(self._matcher._vectors, self._gains, self._sizes):
+            sums = np.concatenate([[0.0], np.cumsum(gains[codes])])
+            size = min(size, len(found))
+            at = int(np.argmax(sums[size:] - sums[:-size]))
+            own = self._matcher._weigh(Counter(found[at : at + size]))
+            scores[name] = max(scores.get(name, 0.0), sum(w * own.get(t, 0.0) for t, w in vector.items()))
+        name = max(scores, key=lambda x: (scores[x], x))
+        if name == "BSD-2-Clause" and scores.get("BSD-3-Clause", 0.0) >= 0.95:  # which holds all of the former
+            name = "BSD-3-Clause"
+        return name, scores[name]
+
+
+def scan(df: DataFrame, templates=TEMPLATES, passages=PASSAGES, *, least: float = 0.7, span: float = 0.85, whole: float = 0.5) -> DataFrame:
     """doc_id, dir, own_licence, cosine and grants of each row of df (doc_id, path, text).
 
-    Each line of the whole text that can be a notice is compared with each template, and the best
-    match from `least` on is the row's own licence. The row grants it to its directory where its name
-    is that of a licence file, or where the cosine of the whole text is at least `whole`: it is little
-    more than the notice. A null text is empty; a null path is the root's."""
+    A row's own licence is what an SPDX tag says; or else the best of `passages`, headers and beginnings
+    of licence files, that a span of the text matches from `span` on, however it is wrapped; or else the
+    best template that a line matches from `least` on or a span within a line or over several from `span`
+    on; or else a line that is a title alone. The row grants it to its directory where its name is that of
+    a licence file, or where the cosine of the whole text is at least `whole`: it is little more than the
+    notice. A null text is empty; a null path is the root's."""
 
     def start() -> Callable:
         matcher, kept = Matcher(templates), {}
+        long, short, texts_of = Spans(passages), Spans(templates), Matcher(passages)
 
-        def one(path: str | None, text: str | None) -> tuple:
+        def by_lines(text: str) -> tuple:
             best: tuple[str | None, float] = (None, 0.0)
+            for line in _LINE.findall(text):
+                if _CUE.search(line):
+                    if line not in kept:
+                        if len(kept) > 50_000:
+                            kept.clear()
+                        kept[line] = (_TITLED[found[1].lower()], 1.0) if (found := _TITLE.match(line)) else matcher.best(line)
+                    best = max(best, kept[line], key=lambda x: x[1])
+            return best
+
+        def one(path: str | None, text: str | None) -> tuple:
+            name, score = None, 0.0
             if text and _CUE.search(text):
-                for line in _LINE.findall(text):
-                    if _CUE.search(line):
-                        if line not in kept:
-                            if len(kept) > 50_000:
-                                kept.clear()
-                            kept[line] = matcher.best(line)
-                        best = max(best, kept[line], key=lambda x: x[1])
-            name = best[0] if best[1] >= least else None
-            grants = name is not None and (_LICENCE_FILE.search(path or "") is not None or matcher.best(text)[1] >= whole)
-            return (path or "").rpartition("/")[0], name, best[1], grants
+                if tag := _SPDX.search(text):
+                    name, score = _GNU.sub(r"\1", tag[1]), 1.0
+                else:
+                    found = _TERM.findall(text.lower())
+                    name, score = long.best(found)
+                    if score < span:
+                        name, score = by_lines(text)
+                        if score < least:
+                            within = short.best(found)
+                            name, score = within if within[1] >= span else (None, max(score, within[1]))
+            grants = name is not None and (_LICENCE_FILE.search(path or "") is not None or max(matcher.best(text)[1], texts_of.best(text)[1]) >= whole)
+            return (path or "").rpartition("/")[0], name, score, grants
 
         return lambda paths, texts: zip(*map(one, paths, texts))
 
