@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.llm import bpe_codec, exact_dedup, language_id, license_scan, packing, quality, simhash_dedup, token_counts, topk_search, toxicity
@@ -13,15 +13,23 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def _known(held_out: Column) -> Column:
+    """A row without doc_id has no remainder: nothing is learned from it, and it is not held out."""
+    return F.coalesce(held_out, F.lit(False))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text, and whether they pass 1,024."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal normalised texts; a row for each document."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens, a row for each piece."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), size=2048, end=1)
 
@@ -30,37 +38,43 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose crc32(doc_id) mod 4 is 2 are held out, as for quality."""
     docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), crc32_of_id() % 4 == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    return toxicity.classify(docs, labels, ~held_out).withColumn("held_out", held_out)
+    return toxicity.classify(docs, labels, ~held_out).withColumn("held_out", _known(held_out))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's own licence, or what the nearest directory above grants."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return license_scan.inherit(license_scan.scan(docs.select("doc_id", license_scan.document_path().alias("path"), "text")))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and components of those within 3 bits."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts; rows whose crc32(doc_id) mod 5 is 0 are not learned from."""
     docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), crc32_of_id() % 5 == 0
     model = language_id.fit(docs, ~held_out)
-    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return language_id.predict(docs, model).select("doc_id", _known(held_out).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of what they decode to."""
     return bpe_codec.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_BPE))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest scores of every hundredth vector among all others."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores; rows whose crc32(doc_id) mod 4 is 2 are not learned from."""
     docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), crc32_of_id() % 4 == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    return quality.classify(docs, labels, ~held_out, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return quality.classify(docs, labels, ~held_out, threshold=0.7).select("doc_id", _known(held_out).alias("held_out"), "score", "predicted")
 
 
 _EXACT_SQL = r"""
@@ -74,14 +88,14 @@ _EXACT_SQL = r"""
 
 _TOP_SQL = """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
         FROM embeddings
         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), s AS (
-        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
-        FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+        FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.row <> c.row
     ), r AS (
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s
     )
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""

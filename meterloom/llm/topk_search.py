@@ -1,11 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation of sorted lists.
 
 Vectors are dealt to blocks, and within a block each dimension is a list of its components in order.
-For a query, the lists are read side by side from the end that its component favours. A vector that
-was met in some lists has a lower bound, with the least component of each list where it wasn't met,
-and an upper bound, with the component now reached there. Reading stops when no vector outside the
-k best lower bounds has an upper bound that reaches the k-th; the few that remain get their scores in
-full. Blocks answer each on its own, and the best of their answers are kept.
+For a query, each list is read in order from the end that the query's component favours, a stretch at
+a time. What a vector has from the lists in which it was met is its score so far; each other list can
+add what was reached there at most, and what its far end holds at least. A vector whose upper bound lies
+below the k-th best lower bound is out for good, and so is whatever was not met yet once the lists as
+reached can't add up to that. Reading stops when few are left, and these get their scores in full.
+Blocks answer each on its own, and the best of their answers are kept.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds are held in float64, exact up to this.
-_EXACT = 2**53
+from meterloom.llm.common import written
+
+_LONG = np.iinfo(np.int64)
 
 
 def integer_vectors(df: DataFrame, *, scale: int = 1024) -> DataFrame:
@@ -27,90 +29,120 @@ def integer_vectors(df: DataFrame, *, scale: int = 1024) -> DataFrame:
     return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole).select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
+def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of integers, exact at any size; none is further from zero than the largest long."""
+    sizes = [int(max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))) for x in (vectors, query)]
+    if sizes[0] * sizes[1] * max(1, len(query)) <= _LONG.max:
+        return vectors @ query
+    exact = vectors.astype(object) @ query.astype(object)
+    return np.array([min(max(int(s), -_LONG.max), _LONG.max) for s in exact], dtype=np.int64)
+
+
 class SortedLists:
     """A block of vectors with a sorted list for each dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.exact = ids[order], vectors[order].astype(np.float64)
-        self.vectors = self.exact.astype(np.float32)
-        self.lists = np.sort(self.vectors, axis=0)
-        self.largest = float(np.abs(self.exact).max(initial=0))
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, (vectors, queries), when each list has been read so far from its end;
-        of equal components all are read. What wasn't met is as bad as the list's other end at worst, and
-        as good as the component reached at best."""
-        v, up, down = self.vectors, np.maximum(queries, 0).T, np.minimum(queries, 0).T
-        high, low = self.lists[len(v) - depth], self.lists[depth - 1]
-        upper = np.maximum(v, high) @ up + np.minimum(v, low) @ down
-        lower = np.where(v >= high, v, self.lists[0]) @ up + np.where(v <= low, v, self.lists[-1]) @ down
-        return lower, upper
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, *, first: int = 64, step: int = 4, few: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and scores of the k best for each query. A query's reading stops when at most few * k
-        vectors can still be among them."""
-        n, width = self.vectors.shape
-        asked = queries.astype(np.float32)
-        # Bounds are rounded; nothing that rounding may have hidden is left out.
-        slack = 8 * (width + 4) * np.finfo(np.float32).eps * self.largest * np.abs(queries).sum(axis=1)
-        own = np.searchsorted(self.ids, query_ids, "left"), np.searchsorted(self.ids, query_ids, "right")
-        found: list = [None] * len(queries)
-        reading, depth = np.arange(len(queries)), min(n, first)
-        while len(reading):
-            lower, upper = self.bounds(asked[reading], depth)
-            for j, q in enumerate(reading):
-                lower[own[0][q] : own[1][q], j] = upper[own[0][q] : own[1][q], j] = -np.inf
-            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(reading), -np.inf)
-            alive = (upper >= bar - slack[reading]) & (upper > -np.inf)
-            ends = (alive.sum(axis=0) <= few * k) | (depth == n)
-            for j in np.nonzero(ends)[0]:
-                rows, q = np.nonzero(alive[:, j])[0], reading[j]
-                scores = self.exact[rows] @ queries[q].astype(np.float64)
-                best = np.lexsort((rows, -scores))[:k]  # rows are in order of vec_id
-                found[q] = self.ids[rows[best]], scores[best].astype(np.int64)
-            reading, depth = reading[~ends], min(n, step * depth)
-        return found
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    width = max(map(len, vectors))
-    if min(map(len, vectors)) == width:
-        return np.vstack(vectors.to_list())
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, self.order, axis=0).astype(np.float64)
+
+    def read(self, query: np.ndarray, k: int, *, first: int = 64, few: int = 16) -> tuple[np.ndarray, int]:
+        """Rows that may be among the k best for a query, at most few * k of them unless they can't be
+        told apart, and the number of list entries that were read for that."""
+        n, lists = len(self.vectors), np.nonzero(query)[0]
+        if n <= few * k or not len(lists):
+            return np.arange(n), 0
+        weight = query[lists].astype(np.float64)
+        ends = np.where(weight > 0, 0, n - 1), np.where(weight > 0, n - 1, 0)
+        least = self.values[ends[0], lists] * weight
+        # Sums are rounded; nothing that rounding may have hidden is left out.
+        slack = 8 * (len(lists) + 4) * np.finfo(np.float64).eps * float(np.maximum(np.abs(least), np.abs(self.values[ends[1], lists] * weight)).sum())
+        so_far, seen = np.zeros(n), np.zeros((n, len(lists)), dtype=bool)
+        alive, unmet_count, before, depth = np.zeros(0, dtype=np.int64), n, 0, min(n, first)
+        dead = np.zeros(n, dtype=bool)
+        while True:
+            places = np.arange(before, depth)[:, None]
+            at = np.where(weight > 0, n - 1 - places, places)
+            rows = self.order[at, lists]
+            so_far += np.bincount(rows.ravel(), (self.values[at, lists] * weight).ravel(), n)
+            seen[rows, np.arange(len(lists))] = True
+            reached = self.values[np.where(weight > 0, n - depth, depth - 1), lists] * weight
+            if unmet_count:
+                held = seen.any(axis=1)
+                unmet_count = n - int(held.sum())
+                alive = np.nonzero(held & ~dead)[0]
+            else:
+                alive = alive[~dead[alive]]
+            known = seen[alive]
+            missing = ~known
+            upper, lower = so_far[alive] + missing @ reached, so_far[alive] + missing @ least
+            bar = np.partition(lower, len(lower) - k)[len(lower) - k] - slack if len(lower) >= k else -np.inf
+            out = upper < bar
+            dead[alive[out]] = True
+            alive = alive[~out]
+            if depth == n or (len(alive) <= few * k and (not unmet_count or reached.sum() < bar)):
+                return alive, depth * len(lists)
+            before, depth = depth, min(n, 2 * depth)
+
+
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     found = np.zeros((len(vectors), width), dtype=np.int64)
     for i, v in enumerate(vectors):
         found[i, : len(v)] = v
     return found
 
 
-def top_k(df: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries (vec_id, embedding) the k rows of df
-    (vec_id, embedding) with other ids that have the highest inner products of integer components.
+_FOUND = "asker bigint, query_id bigint, vec_id bigint, score bigint, same boolean, block int, entries_read bigint, entries bigint"
 
-    Ties go to the smaller vec_id. Vectors with missing components take no part; a shorter vector has
-    zeros at its end. Rows that repeat a vec_id are candidates each. Both sides are dealt to blocks by
-    row counts, whatever their ids, and each pair of blocks is a task's work: nothing is broadcast."""
-    vectors, asked = integer_vectors(df, scale=scale), integer_vectors(queries, scale=scale)
-    n_blocks = max(1, -(-df.count() // block_rows))
-    n_groups = max(1, -(-queries.count() // query_rows))
-    # Blocks are dealt before rows are copied to the blocks of the other side, so copies agree.
-    dealt = lambda d, n, name: d.select("vec_id", "v", F.monotonically_increasing_id().alias("row")).select("vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(name))
-    candidates = dealt(vectors, n_blocks, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    asked = dealt(asked, n_groups, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
-    def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+def _answers(df: DataFrame, queries: DataFrame, k: int, scale: int, block_rows: int, query_rows: int) -> DataFrame:
+    """For each query and block the k + 1 best rows, the query's own among them."""
+    vectors = written(integer_vectors(df, scale=scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = written(integer_vectors(queries, scale=scale).withColumn("row", F.monotonically_increasing_id()), "queries")
+    n_blocks, n_groups = max(1, -(-vectors.count() // block_rows)), max(1, -(-asked.count() // query_rows))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = vectors.select("vec_id", "v", dealt(n_blocks).alias("block"), everywhere(n_groups).alias("group"))
+    asked = asked.select("row", "vec_id", "v", dealt(n_groups).alias("group"), everywhere(n_blocks).alias("block"))
+
+    def run(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows) and len(wanted):
             width = max(max(map(len, rows["v"])), max(map(len, wanted["v"])))
-            widen = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-            lists = SortedLists(rows["vec_id"].to_numpy(), widen(_matrix(rows["v"])))
-            if width and lists.largest**2 * width >= _EXACT:
-                raise ValueError("components are too large for exact scores")
-            ids = wanted["vec_id"].to_numpy()
-            for query_id, (vec_ids, scores) in zip(ids, lists.top(ids, widen(_matrix(wanted["v"])), k)):
-                found.append(np.column_stack([np.full(len(vec_ids), query_id), vec_ids, scores]))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64), columns=["query_id", "vec_id", "score"])
-
-    best = candidates.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            ids, vectors = rows["vec_id"].to_numpy(), _matrix(rows["v"], width)
+            lists, lengths = SortedLists(vectors), rows["v"].map(len).to_numpy()
+            for asker, query_id, v, query in zip(wanted["row"], wanted["vec_id"], wanted["v"], _matrix(wanted["v"], width)):
+                left, entries = lists.read(query, k + 1)
+                own = scores(vectors[left], query)
+                same = (ids[left] == query_id) & (lengths[left] == len(v)) & (vectors[left] == query).all(axis=1)
+                best = np.lexsort((~same, ids[left], -own))[: k + 1]
+                found.append(pd.DataFrame({"asker": asker, "query_id": query_id, "vec_id": ids[left][best], "score": own[best], "same": same[best], "block": key[0], "entries_read": entries, "entries": vectors.size}))
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+
+    return candidates.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(run, _FOUND)
+
+
+def top_k(df: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, block_rows: int = 4096, query_rows: int = 16_384) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of queries (vec_id, embedding) the k other rows of df
+    (vec_id, embedding) that have the highest inner products of integer components.
+
+    The queries are rows of df: of the rows that equal a query in id and vector one is its own and is left
+    out, any other is a candidate. Rows that repeat a vec_id are candidates each, and queries each with
+    a ranking of its own. Ties go to the smaller vec_id. Vectors with missing components take no part; a
+    shorter vector has zeros at its end. Scores are exact, and clamped to a long. Both sides are
+    numbered and written, then dealt to blocks by row counts, whatever their ids, and each pair of blocks
+    is a task's work: nothing is broadcast."""
+    best = _answers(df, queries, k, scale, block_rows, query_rows).drop("block", "entries_read", "entries")
+    first = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", F.desc("same"))
+    best = best.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
+    own = F.min(F.when(F.col("same"), F.col("place"))).over(Window.partitionBy("asker"))
+    best = best.withColumn("own", own).where(~F.col("place").eqNullSafe(F.col("own")))
+    rank = (F.col("place") - F.when(F.col("own") < F.col("place"), 1).otherwise(0)).cast("int")
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def reading(df: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, block_rows: int = 4096, query_rows: int = 16_384) -> DataFrame:
+    """query_id, entries_read and entries: how much of the sorted lists each query read before it stopped."""
+    answers = _answers(df, queries, k, scale, block_rows, query_rows)
+    blocks = answers.select("asker", "query_id", "block", "entries_read", "entries").distinct()
+    return blocks.groupBy("asker", "query_id").agg(F.sum("entries_read").alias("entries_read"), F.sum("entries").alias("entries")).drop("asker")
