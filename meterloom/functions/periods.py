@@ -32,3 +32,65 @@ def slot(column: str, minutes: int = 15) -> Column:
 def calendar(bounds: DataFrame, first: str, last: str, name: str = "day") -> DataFrame:
     """Each day from the least `first` to the greatest `last`."""
     return bounds.agg(F.min(first).alias("a"), F.max(last).alias("b")).select(F.explode(F.sequence("a", "b")).alias(name))
+
+
+def offset_seconds(instant: Column, zone: str) -> Column:
+    """Seconds that a zone is ahead of UTC at an instant."""
+    return F.unix_seconds(local(instant, zone).cast("timestamp")) - F.unix_seconds(instant.cast("timestamp_ntz").cast("timestamp"))
+
+
+def instant_of(wall: Column, zone: str) -> Column:
+    """The instant at which a zone's clock shows `wall`: the earlier of two, and in a gap what follows it."""
+    wall = wall.cast("timestamp_ntz")
+    less = lambda at, seconds: at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    first = less(wall, offset_seconds(wall, zone))
+    second = less(wall, offset_seconds(first, zone))
+    fits = lambda at: F.when(local(at, zone) == wall, at)
+    return F.coalesce(F.least(fits(first), fits(second)), F.greatest(first, second))
+
+
+def day_start(instant: Column | str, zone: str) -> Column:
+    return instant_of(local_day(instant, zone), zone)
+
+
+def add_days(start: Column, days: int, zone: str) -> Column:
+    """The start of the local day so many days on; days of 23 or 25 hours keep their length."""
+    return instant_of(F.date_add(local_day(start, zone), days), zone)
+
+
+def month_start(instant: Column | str, zone: str, months: int = 0) -> Column:
+    return instant_of(F.add_months(F.trunc(local_day(instant, zone), "month"), months), zone)
+
+
+def preset_range(preset: str, now: Column, zone: str, start: Column | None = None, end: Column | None = None, most_days: int = 400) -> tuple[Column, Column]:
+    """start and end of a range that has a name, at local boundaries; null for a custom one that is empty,
+    runs backwards or is longer than most_days. A custom end is never after now."""
+    today = day_start(now, zone)
+    if preset == "custom":
+        end = F.least(end, now)
+        good = (end > start) & (F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp")) <= most_days * 86_400)
+        return F.when(good, start), F.when(good, end)
+    if preset == "previous_month":
+        return month_start(now, zone, -1), month_start(now, zone)
+    return {"today": today, "last_7_days": add_days(today, -6, zone), "last_30_days": add_days(today, -29, zone), "month_to_date": month_start(now, zone)}[preset], now
+
+
+def months_within(start: Column, end: Column, zone: str) -> Column:
+    """yyyy-MM of each local month that a half-open range touches, oldest first."""
+    first = F.trunc(local_day(start, zone), "month")
+    last = F.trunc(local_day(end - F.expr("INTERVAL 1 MICROSECOND"), zone), "month")
+    return F.transform(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")), lambda m: F.date_format(m, "yyyy-MM"))
+
+
+def calendar_cells(month: Column) -> Column:
+    """The days of a month (a date in it) in weeks from Monday on, with nulls before and after."""
+    first = F.trunc(month, "month")
+    ahead, count = F.weekday(first), F.dayofmonth(F.last_day(first))
+    cells = F.sequence(F.lit(0), F.ceil((ahead + count) / 7).cast("int") * 7 - 1)
+    return F.transform(cells, lambda i: F.when((i >= ahead) & (i < ahead + count), F.date_format(F.date_add(first, (i - ahead).cast("int")), "yyyy-MM-dd")))
+
+
+def day_load(shared: Column, solo: Column, weekend: Column, workday: float = 8.0) -> list[Column]:
+    """booked hours of a day, open ones (null on a weekend, never below zero) and the scale to draw them by."""
+    booked = shared + solo
+    return [booked.alias("booked"), F.when(~weekend, F.greatest(F.lit(0.0), workday - booked)).alias("open"), F.greatest(F.lit(workday), booked).alias("scale")]

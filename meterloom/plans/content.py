@@ -40,8 +40,8 @@ def page_excerpt(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.excerpt("html").alias("shown"))
 
 
-@query("""SELECT DISTINCT p_name AS name, substr(md5(lower(trim(p_name))), 1, 8) || '-' || substr(md5(lower(trim(p_name))), 9, 4) || '-' || substr(md5(lower(trim(p_name))), 13, 4) || '-' ||
-        substr(md5(lower(trim(p_name))), 17, 4) || '-' || substr(md5(lower(trim(p_name))), 21, 12) AS id FROM part""")
+@query("""WITH m AS (SELECT DISTINCT p_name AS name, md5('app-project-name:' || lower(trim(p_name, ' '))) AS m FROM part)
+    SELECT name, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-4' || substr(m, 14, 3) || '-8' || substr(m, 18, 3) || '-' || substr(m, 21, 12) AS id FROM m""")
 def name_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("id", text.name_id("name"))
 
