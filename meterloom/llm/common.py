@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,39 +34,59 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set one of our own serves a local session;
+    on a cluster each executor would write to its own disk, so that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="meterloom-"))
     return context.getCheckpointDir()
 
 
+#: Paths of the tables that written() has made and discard() has not removed.
+_HELD: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there, a lost
-    executor costs nothing that was finished, and nothing is computed twice. The table goes when
-    the driver ends, since what was made from it may be read until then."""
+    executor costs nothing that was finished, and nothing is computed twice. The table goes by
+    discard(), or when the driver ends, since what was made from it may be read until then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/meterloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _HELD:
+        atexit.register(discard, spark)
+    _HELD.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def held() -> int:
+    """A mark for discard(): the tables that are written from now on come after it."""
+    return len(_HELD)
+
+
+def discard(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Removes the tables written between two marks: what was made from them has been written."""
+    paths = _HELD[since:until]
+    del _HELD[since:until]
     try:
         jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before us
-        pass
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # at the driver's end the session may have gone before us
+        if until is not None:
+            raise
 
 
 def mapped(df: DataFrame, carry: Sequence[str], read: Sequence[str], start: Callable[[], Callable], schema: str, *, rows: int = 256) -> DataFrame:
     """The columns `carry` of df, which stay as they are, nulls and long numbers included, beside those
     of `schema`. start() is called once a task and gives a function from lists of the columns `read` to
-    lists of the columns of `schema`, for a few rows at a time. Without `carry` it may give other rows."""
+    lists of the columns of `schema`, for a few rows at a time. Without `carry` it may give other rows.
+    What crosses to Python at once is bounded by the session's rows and bytes for an Arrow batch."""
     names, own = list(dict.fromkeys([*carry, *read])), StructType.fromDDL(schema)
     types = [_ARROW[field.dataType.simpleString()] for field in own]
     places, labels = [names.index(name) for name in read], [*carry, *own.names]
@@ -91,9 +112,21 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a table that tells its rows apart, and the name of the column that does. The numbers are
-    stored, so each reader sees the same ones however the files are split among however many cores."""
+    """df with a column that tells its rows apart, and that column's name.
+
+    Rows read straight from Parquet files have their file and their place in it, which are the same
+    however the files are split among however many cores, so nothing is copied; that no two rows share
+    them is checked, since an explode or a join before would repeat them. Other frames are written with
+    numbers of their own."""
     row = unused(df, "_row")
+    if "_metadata" not in map(str.lower, df.columns):
+        try:
+            found = df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+            rows, places = found.agg(F.count("*"), F.count_distinct(row)).first()
+            if rows == places:
+                return found, row
+        except AnalysisException:  # not read from Parquet files
+            pass
     return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 

@@ -9,12 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm.common import mapped, written
 
 STATISTICS = ("words", "word_length", "upper", "digits", "stops", "bangs", "bars", "symbols", "lines", "variety", "repeats", "commonest", "line_copies", "bare_words")
+#: Groups of tasks whose sums meet first.
+SHARES = 64
 _KINDS = ("upper", "lower", "digit", "space", "stop", "bang", "bar", "symbol")
 
 
@@ -109,8 +112,8 @@ def isotonic(at: np.ndarray, means: np.ndarray, sizes: np.ndarray) -> tuple[np.n
 def fit(stats: DataFrame, labels: DataFrame, *, waves: int = 256, width: float = 4.0, ridge: float = 0.1, bins: int = 200, seed: int = 5) -> Quality:
     """The model from statistics and labels (doc_id, label 0 or 1), whose rows all count.
 
-    Each task sums the normal equations of its rows; sums meet by row of the matrix. What reaches the
-    driver are the summed matrix and a histogram, of sizes that don't depend on the rows. Without
+    Each task sums the normal equations of its rows; sums meet by row of the matrix and a share of the
+    tasks, then by row, so no group holds more than one in SHARES of them. What reaches the driver are the summed matrix and a histogram, of sizes that don't depend on the rows. Without
     labels of both kinds, every score is the mean label, or 1 where there is none."""
     train = stats.join(labels.where("label IS NOT NULL").groupBy("doc_id").agg(F.avg("label").alias("label")), "doc_id")
     train = written(train.select(*STATISTICS, F.col("label").cast("double")), "labelled")
@@ -130,14 +133,15 @@ def fit(stats: DataFrame, labels: DataFrame, *, waves: int = 256, width: float =
         for batch in batches:
             z = model.features(batch[list(STATISTICS)].to_numpy())
             total += z.T @ np.column_stack([z, batch["label"]])
-        yield pd.DataFrame({"row": np.arange(waves + 1), "v": list(total)})
+        yield pd.DataFrame({"row": np.arange(waves + 1), "share": TaskContext.get().partitionId() % SHARES, "v": list(total)})
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": rows["row"].iloc[:1], "v": [np.sum(np.stack(rows["v"].to_list()), axis=0)]})
+        return rows.iloc[:1].assign(v=[np.sum(np.stack(rows["v"].to_list()), axis=0)])
 
-    schema = "row int, v array<double>"
-    parts = train.mapInPandas(sums, schema).groupBy("row").applyInPandas(added, schema).collect()
-    total = np.array([v for _, v in sorted(map(tuple, parts))])
+    schema = "row int, share int, v array<double>"
+    shares = train.mapInPandas(sums, schema).groupBy("row", "share").applyInPandas(added, schema)
+    parts = shares.groupBy("row").applyInPandas(added, schema).collect()
+    total = np.array([v for _, v in sorted((row, v) for row, _, v in parts)])
     model.weights = np.linalg.solve(total[:, :-1] + ridge * np.eye(waves + 1), total[:, -1])
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,6 +154,20 @@ def fit(stats: DataFrame, labels: DataFrame, *, waves: int = 256, width: float =
     return model
 
 
+def predict(df: DataFrame, model: Quality, *, threshold: float = 0.7, carry: Sequence[str] = ("doc_id",), names: Sequence[str] = ("score", "predicted")) -> DataFrame:
+    """The columns `carry` of df, and under `names` the score and whether it reaches the threshold (1 or
+    0), of each row of df (text and others)."""
+
+    def start() -> Callable:
+        def scored(texts: list[str]) -> tuple:
+            scores = model.scores(np.array([statistics(text) for text in texts]))
+            return scores, (scores >= threshold).astype("int32")
+
+        return scored
+
+    return mapped(df, carry, ["text"], start, "{} double, {} int".format(*names))
+
+
 def classify(df: DataFrame, labels: DataFrame, use: Column | None = None, *, threshold: float = 0.7, also: Sequence[str] = (), **parameters) -> DataFrame:
     """doc_id, columns named in `also`, score (0 to 1) and predicted (1 from the threshold on) of each
     row of df (doc_id, text), with a model learned from the rows of labels (doc_id, label) where `use`

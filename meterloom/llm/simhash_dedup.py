@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm import golay
+from meterloom.llm import golay, near_jaccard
 from meterloom.llm.common import mapped, numbered, written
 from meterloom.operators.components import components
 
@@ -123,8 +123,14 @@ def near_duplicates(df: DataFrame, *, words: int = 3, seed: int = 42, bits: int
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"), *own, *kept)
 
 
-def keep_one(df: DataFrame, **parameters) -> DataFrame:
-    """One row of each component of df, the first by doc_id, with all its columns."""
+def keep_one(df: DataFrame, *, least: float | None = None, words: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
+    """One row of each component of df, the first by doc_id (nulls last), with all its columns.
+
+    Rows are linked by their fingerprints or, with `least`, by a Jaccard similarity of their shingles
+    from there on. At 0.8 two fingerprints of 64 bits differ in ten bits or so, which no key of a few
+    segments survives, so candidates for that come from bands of minima."""
+    if least is not None:
+        return near_jaccard.keep_one(df, words=words, least=least, seed=seed)
     rows, row = numbered(df)
-    kept = near_duplicates(rows, tie=row, **parameters).where("kept").select(row)
+    kept = near_duplicates(rows, words=words, seed=seed, bits=bits, tie=row).where("kept").select(row)
     return rows.join(kept, row, "left_semi").drop(row)

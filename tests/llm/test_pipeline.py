@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from meterloom.llm import language_id, quality, simhash_dedup
+from meterloom.llm import language_id, quality
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -40,10 +40,12 @@ def plain_exact(docs):
 
 
 def plain_near(docs):
-    fps = [simhash_dedup.fingerprint(d.text) for d in docs]
+    """By the similarities of all pairs: the stage's contract is 5 words and a Jaccard of 0.8."""
+    words = [(d.text or "").encode().lower().split() for d in docs]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     root = list(range(len(docs)))
     for i, j in combinations(range(len(docs)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 3:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = root[i], root[j]
             root = [a if r == b else r for r in root]
     least = {}
