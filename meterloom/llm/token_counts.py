@@ -8,10 +8,11 @@ the byte joins tokens into one). States and transitions are made when first met.
 
 A long text is cut anywhere into chunks of a fixed size. What a chunk does to the state before it is
 kept as its map: `head`, which has to be read together with what is pending; `count`, which holds
-whatever came before; `tail`, which is pending afterwards. A boundary before white space that follows
-something else is one in every context, so head and tail end and begin at such. Maps compose, and
-composition is associative: the chunks of a text are counted by different tasks and their maps are
-scanned in pairs.
+whatever came before; `tail`, which is pending afterwards. Some boundaries of words are such in every
+context, as before white space or between letters and digits, so head and tail end and begin at those.
+Maps compose, and composition is associative: the chunks of a text are counted by different tasks, the
+maps of neighbours are composed by others, and theirs by one for each text. A chunk without any boundary,
+say of one letter throughout, is all head: of such a text one task holds the whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,12 @@ from meterloom.llm.merge_automaton import START, merge_automaton
 _STATES_KEPT = 300_000
 _CHUNKS_KEPT = 800_000
 _BIAS, _SHIFT = 512, 10
-_SAFE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])")
+_SPACE = r"(?<=[^\s\x1c-\x1f])(?=[ \n])"
+#: Boundaries whatever stands around them: before white space, between a letter and a digit, and
+#: between an ideograph and a full-width mark.
+_SAFE = re.compile(_SPACE + r"|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[\u4e00-\u9fff])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u4e00-\u9fff])")
+#: Chunks whose maps are composed in one group before the groups of a text meet.
+SCAN_CHUNKS = 64
 
 
 class CountTransducer:
@@ -91,6 +97,8 @@ class TextCounter:
     def __init__(self, path: str):
         self.transducer = CountTransducer(path)
         self._counts: dict[str, int] = {}
+        inside = any(_SAFE.search(x) for x in self.transducer.bpe.special)
+        self._safe = re.compile(_SPACE) if inside else _SAFE
 
     def count(self, text: str) -> int:
         counts, total = self._counts, 0
@@ -104,7 +112,7 @@ class TextCounter:
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
         """head, count, tail; a chunk without a boundary is all head, and its count is None."""
-        cuts = (match.start() for match in _SAFE.finditer(chunk))
+        cuts = (match.start() for match in self._safe.finditer(chunk))
         first = next(cuts, None)
         if first is None:
             return chunk, None, ""
@@ -157,11 +165,17 @@ def count_tokens(df: DataFrame, path: str, *, limit: int = 1024, chunk_chars: in
         counter = text_counter(path)
         return lambda chunks: zip(*[counter.chunk_map(chunk) for chunk in chunks])
 
-    def composed(rows: pd.DataFrame) -> pd.DataFrame:
-        counter = text_counter(path)
+    def scanned(rows: pd.DataFrame) -> tuple:
         rows = rows.sort_values("seq")
-        maps = [(h, None if pd.isna(c) else int(c), t) for h, c, t in zip(rows["head"], rows["closed"], rows["tail"])]
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "n_bytes": rows["n_bytes"].iloc[:1], "n_tokens": [counter.apply(counter.scan(maps))]})
+        return text_counter(path).scan([(h, None if pd.isna(c) else int(c), t) for h, c, t in zip(rows["head"], rows["closed"], rows["tail"])])
+
+    def neighbours(rows: pd.DataFrame) -> pd.DataFrame:
+        head, closed, tail = scanned(rows)
+        found = rows.iloc[:1].assign(seq=rows["seq"].min() // SCAN_CHUNKS, head=head, closed=pd.array([closed], dtype="Int64"), tail=tail)
+        return found[["doc_id", "n_bytes", "row", "seq", "head", "closed", "tail"]]
+
+    def composed(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.iloc[:1][["doc_id", "n_bytes"]].assign(n_tokens=text_counter(path).apply(scanned(rows)))
 
     length, n_bytes = F.length("text"), F.octet_length("text").cast("long").alias("n_bytes")
     short = mapped(docs.where(length <= chunk_chars).select("doc_id", n_bytes, "text"), ["doc_id", "n_bytes"], ["text"], whole, "n_tokens bigint")
@@ -177,5 +191,6 @@ def count_tokens(df: DataFrame, path: str, *, limit: int = 1024, chunk_chars: in
         .repartition("row", "seq")
     )
     maps = mapped(long, ["doc_id", "n_bytes", "row", "seq"], ["chunk"], chunked, "head string, closed bigint, tail string", rows=64)
-    long = maps.groupBy("row").applyInPandas(composed, sizes)
+    near = maps.groupBy("row", F.floor(F.col("seq") / SCAN_CHUNKS).alias("part")).applyInPandas(neighbours, maps.schema)
+    long = near.groupBy("row").applyInPandas(composed, sizes)
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
