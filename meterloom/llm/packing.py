@@ -7,7 +7,8 @@ order, with P tokens in a queue and those before it, floor(r * P / R) counts wha
 after r of R windows; a queue has had the difference to the one before it. Any task can thus place
 any document once it knows where the document lies in its queue: deficits cross windows and partitions
 without being handed on. Windows fill one stream without gaps, which is cut into sequences; only the
-last one can be short.
+last one can be short. Where target proportions differ from the sources' own, queues run dry one after the
+other, and the same holds within each phase from one such end to the next.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 from pyspark import TaskContext
@@ -29,8 +30,9 @@ from meterloom.llm.bpe_text import is_settled, settled_pattern
 from meterloom.llm.common import mapped, written
 
 _PIECES_KEPT = 800_000
-#: Queue of the sources that are too small for a share in every window.
-POOL = "\0pool"
+#: Queue of the sources that are too small for a share in every window, or have no target of their own;
+#: the other queues are named after their sources, with OWN before.
+POOL, OWN = "pool", "own:"
 #: Rows of the table of queue beginnings up to which it is sent to every task.
 BROADCAST_ROWS = 200_000
 
@@ -150,17 +152,59 @@ class Mixture:
         low, _ = self.before[name]
         return window * self.total // self.windows + (window + 1) * low // self.windows - window * low // self.windows
 
+    def turns(self, name: str, place: int, n: int) -> Iterator[tuple[int, int]]:
+        """Where in the stream each turn of n tokens from a place of a queue on lies, and its length."""
+        while n:
+            window = self.window(name, place)
+            turn = min(n, self.had(name, window + 1) - place)
+            yield self.at(name, window) + place - self.had(name, window), turn
+            place, n = place + turn, n - turn
+
+
+class Phases:
+    """A stream of mixtures, one after the other. With natural proportions, where all queues run dry
+    together, it is a single one; else a phase ends where a queue runs dry, and those that are left share
+    the next one by their targets."""
+
+    def __init__(self, queues: list[tuple[str, int]], window_tokens: int, targets: Mapping[str, float] | None = None):
+        left = {name: tokens for name, tokens in queues if tokens}
+        self.phases: list[tuple[Mixture, int, dict[str, int]]] = []
+        served, base = dict.fromkeys(left, 0), 0
+        while left:
+            if targets is None:
+                turn = dict(left)
+            else:
+                ends = min(left, key=lambda name: (left[name] / targets[name], name))
+                time = left[ends] / targets[ends]
+                turn = {name: tokens if name == ends else min(tokens, int(time * targets[name])) for name, tokens in left.items()}
+                turn = {name: n for name, n in turn.items() if n}
+            total = sum(turn.values())
+            windows = max(1, min(-(-total // window_tokens), min(turn.values()) // 2))
+            self.phases.append((Mixture(list(turn.items()), windows), base, {name: served[name] for name in turn}))
+            for name, n in turn.items():
+                served[name] += n
+                left[name] -= n
+            left = {name: n for name, n in left.items() if n}
+            base += total
+
     def pieces(self, name: str, place: int, n: int, size: int) -> Iterator[tuple[int, int, int, int]]:
         """start, length, sequence and offset of each piece of n tokens from a place of a queue on."""
         done = 0
-        while done < n:
-            window = self.window(name, place + done)
-            turn = min(n - done, self.had(name, window + 1) - place - done)
-            at = self.at(name, window) + place + done - self.had(name, window)
-            while turn:
-                length = min(turn, size - at % size)
-                yield done, length, at // size, at % size
-                done, at, turn = done + length, at + length, turn - length
+        for mixture, base, first in self.phases:
+            if done == n:
+                break
+            if name not in first:
+                continue
+            low, high = mixture.before[name]
+            own = place + done - first[name]
+            if own >= high - low:
+                continue
+            for at, turn in mixture.turns(name, own, min(n - done, high - low - own)):
+                at += base
+                while turn:
+                    length = min(turn, size - at % size)
+                    yield done, length, at // size, at % size
+                    done, at, turn = done + length, at + length, turn - length
 
 
 def _queues(sizes: list[tuple[str, int]], pooled: int, window_tokens: int) -> tuple[list[tuple[str, int]], int]:
@@ -173,14 +217,19 @@ def _queues(sizes: list[tuple[str, int]], pooled: int, window_tokens: int) -> tu
     return [*sizes, *([(POOL, pooled)] if pooled else [])], windows
 
 
-def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131_072, end: int = 1) -> DataFrame:
+def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131_072, end: int = 1, targets: Mapping[str, float] | None = None) -> DataFrame:
     """A row for each piece of a document of df (doc_id, text, source): doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset, and source.
 
-    Target proportions are the sources' shares of all tokens, so all queues run dry together. A source
-    with fewer than two tokens a window is served from a pool. Every row, repeated ones included, is
-    placed once; an empty table gives no pieces. Tokens of one part of a queue follow those of the
-    parts before it, parts being those in which the table was tokenised and written."""
+    `targets` are the proportions of sources that each window of window_tokens is to hold; sources
+    without one share what is left up to 1. Where a source runs dry, those that are left share the windows
+    after it by their targets. Without targets, proportions are the sources' shares of all tokens, so
+    all run dry together; a source with fewer than two tokens a window is then served from a pool. Every
+    row, repeated ones included, is placed once; an empty table gives no pieces. Tokens of one part of a
+    queue follow those of the parts before it, parts being those in which the table was tokenised and
+    written: other splits of the table give other sequences, with the same mixture."""
+    if targets is not None and (min(targets.values(), default=1) <= 0 or sum(targets.values()) > 1 + 1e-9):
+        raise ValueError("targets are above 0 and together at most 1")
     tokens = written(tokenised(df, path, end=end), "tokens")
     narrow = word_ids(path, end).narrow
     by_part = written(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
@@ -188,12 +237,19 @@ def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131
     total = by_source.agg(F.sum("n")).first()[0] or 0
     windows = max(1, -(-total // window_tokens))
     # At most window_tokens / 2 sources have two tokens in every window, so this list is bounded.
-    large = [tuple(row) for row in by_source.where(F.col("n") >= 2 * windows).collect()] if windows > 1 else []
-    queues, windows = _queues(large, total - sum(n for _, n in large), window_tokens)
+    named = by_source.where(F.col("source").isin(list(targets))) if targets is not None else by_source.where(F.col("n") >= 2 * windows)
+    large = [tuple(row) for row in named.collect()] if windows > 1 or targets is not None else []
+    pooled = total - sum(n for _, n in large)
+    if targets is None:
+        queues, windows = _queues([(OWN + name, n) for name, n in large], pooled, window_tokens)
+        shares = None
+    else:
+        queues = [*[(OWN + name, n) for name, n in sorted(large)], *([(POOL, pooled)] if pooled else [])]
+        shares = {OWN + name: share for name, share in targets.items()} | {POOL: max(1 - sum(targets.values()), 1e-9)}
     own = [name for name, _ in queues if name != POOL]
     spark = df.sparkSession
-    names = spark.createDataFrame([(name,) for name in own], "source string")
-    marked = by_part.join(F.broadcast(names.withColumn("queue", F.col("source"))), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(POOL)))
+    names = spark.createDataFrame([(name.removeprefix(OWN), name) for name in own], "source string, queue string")
+    marked = by_part.join(F.broadcast(names), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(POOL)))
     within = F.sum("n").over(Window.partitionBy("part", "queue").orderBy("source").rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("within", F.coalesce(within, F.lit(0)))
     parts = marked.groupBy("part", "queue").agg(F.sum("n").alias("n"))
@@ -204,13 +260,13 @@ def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131
     placed = tokens.join(begins, ["part", "source"]).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("place"), "n", "ids")
 
     def start() -> Callable:
-        mixture = Mixture(queues, windows)
+        stream = Phases(queues, window_tokens, shares)
 
         def cut(*columns: list) -> Iterator[tuple]:
             rows = []
             for doc_id, source, queue, place, n, ids in zip(*columns):
                 ids = memoryview(ids if not narrow else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes())
-                for start, length, sequence, offset in mixture.pieces(queue, place, n, size):
+                for start, length, sequence, offset in stream.pieces(queue, place, n, size):
                     rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, source))
             return zip(*rows)
 

@@ -5,6 +5,7 @@ import random
 import zlib
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -105,3 +106,36 @@ def test_windows_hold_the_mixture():
         for name, tokens in queues:
             assert abs(mixture.had(name, window + 1) - mixture.had(name, window) - tokens / 100) <= 2
             assert abs(mixture.had(name, window) - window * tokens / 100) <= 1
+
+
+def test_targets_hold_until_a_queue_runs_dry():
+    queues, targets = [("a", 60_000), ("b", 30_000), ("c", 30_001)], {"a": 0.2, "b": 0.3, "c": 0.5}
+    stream = packing.Phases(queues, 1000, targets)
+    taken, spans = {name: np.zeros(120_001, dtype=int) for name, _ in queues}, []
+    for name, tokens in queues:
+        for place in range(0, tokens, 777):
+            n, done = min(777, tokens - place), 0
+            for start, length, sequence, offset in stream.pieces(name, place, n, 64):
+                assert start == done and offset + length <= 64
+                taken[name][sequence * 64 + offset : sequence * 64 + offset + length] += 1
+                done += length
+            assert done == n
+    assert (sum(taken.values()) == 1).all()
+    for window in range(0, 60_000, 1000):  # c runs dry after 60,002 tokens
+        assert all(abs(taken[name][window : window + 1000].sum() - 1000 * targets[name]) <= 20 for name in targets)
+    for window in range(61_000, 80_000, 1000):  # then a and b share by 2 to 3
+        assert abs(taken["a"][window : window + 1000].sum() - 400) <= 8 and not taken["c"][window : window + 1000].any()
+
+
+def test_packing_with_targets_and_odd_names(spark):
+    rows = [(i, "word " * (i % 40), ["pool", "own:x", "\0pool", None][i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    natural = packing.pack(df, WORD_BPE, size=64, window_tokens=512).collect()
+    asked = packing.pack(df, WORD_BPE, size=64, window_tokens=512, targets={"pool": 0.5, "own:x": 0.2, "absent": 0.1}).collect()
+    for pieces in (natural, asked):
+        slots = sorted((p.sequence_id * 64 + p.offset, p.length) for p in pieces)
+        assert all(a + n == b for (a, n), (b, _) in zip(slots, slots[1:])) and slots[0][0] == 0
+        assert sum(p.length for p in pieces) == sum(i % 40 + 1 for i in range(400))
+    early = [p for p in asked if p.sequence_id < 32]
+    share = sum(p.length for p in early if p.source == "pool") / sum(p.length for p in early)
+    assert abs(share - 0.5 / 0.9) < 0.06
