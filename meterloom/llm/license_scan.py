@@ -82,8 +82,10 @@ _SPDX = re.compile(r"SPDX-Licen[cs]e-Identifier:[ \t]*([\w.+-]+(?:[ \t]+(?:AND|O
 _GNU = re.compile(r"\b((?:A|L)?GPL-\d\.\d)(?:-only|-or-later|\+)", re.IGNORECASE)
 _TERM = re.compile(r"[a-z]+|\d+")
 _LINE = re.compile(r"[^\n\r]+")
-#: A line with none of these has too little in common with any template.
-_CUE = re.compile(r"licen[cs]|permission|redistribution|copyright|spdx", re.IGNORECASE)
+#: What tags and titles hold, whatever the templates.
+_NAMED = re.compile(r"licen[cs]e", re.IGNORECASE)
+#: Words that say little about a text; any choice keeps all matches.
+_EVERYDAY = frozenset("a all and any are as at be but by can change code condition conditions copy copies following for form forms free from in is it its most not of on or out program subject that the this to under use with without work works you".split())
 _LICENCE_FILE = re.compile(r"(?:^|/)(?:licen[cs]e|copying|notice)[^/]*$", re.IGNORECASE)
 
 
@@ -106,6 +108,11 @@ class Matcher:
         norm = math.sqrt(sum(w * w for w in weighed.values())) or 1.0
         return {t: w / norm for t, w in weighed.items()}
 
+    def reachable(self, held: set[str], least: float) -> list[int]:
+        """The templates to which some part of a text of these terms may have a cosine of `least`: no
+        cosine is above the norm of what of a template the text holds."""
+        return [i for i, (_, vector) in enumerate(self._vectors) if sum(w * w for t, w in vector.items() if t in held) >= least**2 - 1e-9]
+
     def best(self, text: str) -> tuple[str | None, float]:
         own = self._weigh(terms(text))
         scored = [(sum(w * own.get(t, 0.0) for t, w in vector.items()), name) for name, vector in self._vectors]
@@ -113,6 +120,22 @@ class Matcher:
         return name, score
 
 
+def needed(templates, least: float) -> re.Pattern:
+    """A pattern that every text has whose cosine to one of the templates is `least` or more.
+
+    A cosine is at most the norm of the template's part that both share. Of each template terms are left
+    out, those that any text may hold first and light ones before heavy ones, while what is left out
+    together stays below that: a text without any of the others can't reach it."""
+    found = set()
+    for _, vector in Matcher(templates)._vectors:
+        out = 0.0
+        for term, weight in sorted(vector.items(), key=lambda x: (x[0] not in _EVERYDAY and x[0].isalpha(), x[1], x[0])):
+            out += weight**2
+            if out >= least**2 - 1e-9:
+                found.add(term)
+    return re.compile("|".join([rf"(?<![a-z])(?:{'|'.join(sorted(t for t in found if t.isalpha()))})(?![a-z])", *[rf"(?<!\d){t}(?!\d)" for t in sorted(found) if t.isdigit()]]))
+
+
 class Spans:
     """The templates against the spans of a text that are as long as each, wherever lines end. A span's
     product with a template is a difference of running sums, so the best one is found in one pass; the
@@ -128,12 +151,14 @@ class Spans:
         self._sizes = [sum(terms(text).values()) for _, text in templates]
         self._gains = np.array([[idf[t] * vector.get(t, 0.0) for t in self._words] + [0.0] for _, vector in held])
 
-    def best(self, found: list[str]) -> tuple[str | None, float]:
-        if not found:
+    def best(self, found: list[str], least: float) -> tuple[str | None, float]:
+        """The best template and its cosine; those that can't reach `least` are not tried."""
+        tried = self._matcher.reachable(set(found), least)
+        if not tried:
             return None, 0.0
         codes = np.array([self._words.get(t, -1) for t in found])
         scores: dict[str, float] = {}
-        for (name, vector), gains, size in zip(self._matcher._vectors, self._gains, self._sizes):
+        for (name, vector), gains, size in ((self._matcher._vectors[i], self._gains[i], self._sizes[i]) for i in tried):
             sums = np.concatenate([[0.0], np.cumsum(gains[codes])])
             size = min(size, len(found))
             at = int(np.argmax(sums[size:] - sums[:-size]))
@@ -153,16 +178,18 @@ def scan(df: DataFrame, templates=TEMPLATES, passages=PASSAGES, *, least: float
     best template that a line matches from `least` on or a span within a line or over several from `span`
     on; or else a line that is a title alone. The row grants it to its directory where its name is that of
     a licence file, or where the cosine of the whole text is at least `whole`: it is little more than the
-    notice. A null text is empty; a null path is the root's."""
+    notice. A null text is empty; a null path is the root's. Lines and texts without any of the words that a
+    match needs are not compared further, and cosine is the best of what was."""
 
     def start() -> Callable:
         matcher, kept = Matcher(templates), {}
         long, short, texts_of = Spans(passages), Spans(templates), Matcher(passages)
+        in_line = needed(templates, least)
 
         def by_lines(text: str) -> tuple:
             best: tuple[str | None, float] = (None, 0.0)
             for line in _LINE.findall(text):
-                if _CUE.search(line):
+                if in_line.search(line.lower()) or _NAMED.search(line):
                     if line not in kept:
                         if len(kept) > 50_000:
                             kept.clear()
@@ -172,16 +199,17 @@ def scan(df: DataFrame, templates=TEMPLATES, passages=PASSAGES, *, least: float
 
         def one(path: str | None, text: str | None) -> tuple:
             name, score = None, 0.0
-            if text and _CUE.search(text):
+            if text:
                 if tag := _SPDX.search(text):
                     name, score = _GNU.sub(r"\1", tag[1]), 1.0
                 else:
                     found = _TERM.findall(text.lower())
-                    name, score = long.best(found)
+                    name, score = long.best(found, span)
                     if score < span:
-                        name, score = by_lines(text)
+                        if matcher.reachable(set(found), least) or _NAMED.search(text):
+                            name, score = by_lines(text)
                         if score < least:
-                            within = short.best(found)
+                            within = short.best(found, span)
                             name, score = within if within[1] >= span else (None, max(score, within[1]))
             grants = name is not None and (_LICENCE_FILE.search(path or "") is not None or max(matcher.best(text)[1], texts_of.best(text)[1]) >= whole)
             return (path or "").rpartition("/")[0], name, score, grants

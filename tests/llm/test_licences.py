@@ -70,3 +70,19 @@ def test_own_licence_of_each_form(scanned):
 
 def test_licence_files_in_full_grant_to_their_directory(scanned):
     assert (scanned[100].licence, scanned[100].granted_by) == ("GPL-3.0", "lib")
+
+
+def test_no_match_is_missed_by_the_words_that_matches_need():
+    lines = ["Released under MIT", "under CC BY-SA 4.0", "Licensed under CC BY 4.0", "licensed under apache 2.0", "GNU General Public License version 3"]
+    lines += [text for _, text in license_scan.TEMPLATES]
+    lines += [" ".join(words[at : at + n]) for _, text in license_scan.TEMPLATES for words in [text.split()] for n in (3, 5, 8) for at in range(0, len(words), 2)]
+    matcher, pattern = license_scan.Matcher(license_scan.TEMPLATES), license_scan.needed(license_scan.TEMPLATES, 0.7)
+    reached = [line for line in lines if matcher.best(line)[1] >= 0.7]
+    assert len(reached) > 20 and all(pattern.search(line.lower()) for line in reached)
+
+
+def test_short_notices_without_a_licence_word_count(spark):
+    rows = [(1, "a/b", "x\nReleased under MIT\ny"), (2, "a/c", "under CC BY-SA 4.0"), (3, "d/LICENSE", "MIT License\n"), (4, "d/LICENSE.old", "Licensed under CC BY 4.0.\n"), (5, "d/e/f", "nothing here")]
+    found = {r.doc_id: r for r in license_scan.inherit(license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string"))).collect()}
+    assert (found[1].own_licence, found[2].own_licence) == ("MIT", "CC-BY-SA-4.0")
+    assert (found[5].licence, found[5].granted_by) == ("MIT", "d")  # of two licence files the smaller doc_id's holds
