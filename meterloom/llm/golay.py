@@ -35,11 +35,10 @@ def index(words: np.ndarray) -> np.ndarray:
 
 
 def indices(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For words whose upper BITS - bits are zero: the nearest index, and an array (words, bits + 1)
-    of the indices of all words up to one bit away; what repeats within a row is -1."""
-    flips = np.concatenate([[0], 1 << np.arange(bits)]).astype(np.uint32)
-    found = index(words.astype(np.uint32)[:, None] ^ flips).astype(np.int64)
-    nearest = found[:, 0].copy()
+    """For words whose upper BITS - bits are zero: the nearest index, and an array (words, bits) of the
+    indices of all words one bit away; what repeats within a row is -1."""
+    words = words.astype(np.uint32)
+    found = index(words[:, None] ^ (1 << np.arange(bits)).astype(np.uint32)).astype(np.int64)
     found.sort(axis=1)
     found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
-    return nearest, found
+    return index(words).astype(np.int64), found

@@ -1,17 +1,25 @@
 """SimHash fingerprints of word shingles, linked by Golay-code fuzzy hashing.
 
-A fingerprint of 64 bits is cut into three segments. Fingerprints that differ in 3 bits or fewer have
-two segments in one of these ways: one bit differs in each; or one of the two is equal and the other
-differs in one bit at most. (Either each segment has one error, or a segment has none, and of the other
-two one has at most one.) A segment is a word of the Golay code, and words one bit apart are both next
-to some word, so the indices of all words up to one bit away include the index of any such partner.
-Each fingerprint therefore asks with the indices of its neighbourhoods and answers with its own: at
-most one answer for a pair of segments, and a few dozen questions. What meets is verified.
+A fingerprint of 64 bits is cut into three segments. Errors of 3 bits or fewer fall on them in one of
+these ways: two segments are equal; one is equal and another differs in one bit; or each differs in one
+bit. A segment that differs is a word of the Golay code, and the words one bit away from it decode to a
+handful of codeword indices, among them the one that any such partner decodes to. So each fingerprint
+answers with its own indices and asks with those around it, and the parity tells that one bit is off:
+
+* two equal segments are a key as they are (42 bits or more);
+* an equal segment, and the index and parity of another (34 bits or more);
+* the indices and parities of two segments, and of the third the half that its one error has
+  left alone (36 bits or more).
+
+A pair within 3 bits meets under one of these at least, whatever its errors; a pair of strangers under
+one of 2^34 or more, so questions, about a hundred a fingerprint, and not chance meetings make the cost.
+What meets is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import combinations, permutations
 
 import numpy as np
 import xxhash
@@ -23,8 +31,8 @@ from meterloom.llm.common import mapped, numbered, written
 from meterloom.operators.components import components
 
 SEGMENTS = (22, 21, 21)
-#: Pairs of segments; the first alone is asked with errors in both.
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Bits of the lower half of the third segment.
+HALF = 10
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -53,33 +61,38 @@ def fingerprints(df: DataFrame, *, words: int = 3, seed: int = 42, also: Sequenc
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of fingerprints: positions, keys, and whether each key asks."""
     fps, at = fps.astype(np.uint64), 0
-    near, around = [], []
+    words, near, around, parity = [], [], [], []
     for bits in SEGMENTS:
-        words = (fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)
-        a, b = golay.indices(words, bits)
+        own = (fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)
+        a, b = golay.indices(own, bits)
+        words.append(own.astype(np.int64))
         near.append(a)
         around.append(b)
+        parity.append(np.bitwise_count(own).astype(np.int64) & 1)
         at += bits
     places, found, asks = [], [], []
 
-    def add(pair: int, i: np.ndarray, a: np.ndarray, b: np.ndarray, ask: bool) -> None:
+    def add(kind: int, i: np.ndarray, key: np.ndarray, ask: bool) -> None:
         places.append(i)
-        found.append(pair << 24 | a << 12 | b)
+        found.append(kind << 44 | key)
         asks.append(np.full(len(i), ask))
 
     everyone = np.arange(len(fps))
-    for n, (x, y) in enumerate(PAIRS):
-        add(n, everyone, near[x], near[y], False)
-        i, k = np.nonzero(around[x] >= 0)
-        add(n, i, around[x][i, k], near[y][i], True)
-        if n:
-            i, k = np.nonzero((around[y] >= 0) & (around[y] != near[y][:, None]))
-            add(n, i, near[x][i], around[y][i, k], True)
-        else:
-            for j in range(SEGMENTS[y] + 1):
-                use = np.nonzero((around[y][:, j] >= 0) & (around[y][:, j] != near[y]))[0]
-                i, k = np.nonzero(around[x][use] >= 0)
-                add(n, use[i], around[x][use[i], k], around[y][use[i], j], True)
+    for kind, (x, y) in enumerate(combinations(range(3), 2)):
+        both = words[x] | words[y] << 22
+        add(kind, everyone, both, False)
+        add(kind, everyone, both, True)
+    for kind, (x, y) in enumerate(permutations(range(3), 2), 3):
+        add(kind, everyone, words[x] | near[y] << 22 | parity[y] << 34, False)
+        i, k = np.nonzero(around[y] >= 0)
+        add(kind, i, words[x][i] | around[y][i, k] << 22 | (1 - parity[y][i]) << 34, True)
+    for kind, half in ((9, words[2] & ((1 << HALF) - 1)), (10, words[2] >> HALF)):
+        add(kind, everyone, near[0] | near[1] << 12 | parity[0] << 24 | parity[1] << 25 | half << 26, False)
+        off = (1 - parity[0]) << 24 | (1 - parity[1]) << 25 | half << 26
+        for j in range(SEGMENTS[1]):
+            use = np.nonzero(around[1][:, j] >= 0)[0]
+            i, k = np.nonzero(around[0][use] >= 0)
+            add(kind, use[i], around[0][use[i], k] | around[1][use[i], j] << 12 | off[use[i]], True)
     return np.concatenate(places), np.concatenate(found), np.concatenate(asks)
 
 
