@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import mapped, spread
+from meterloom.llm.common import mapped, spread, written
 
 #: Dimensions that n-grams are hashed to.
 DIMENSIONS = 4096
@@ -66,56 +67,56 @@ class Centroids:
         return self.languages[best], np.clip(cosines[np.arange(len(found)), best], 0, 1)
 
 
-def learn(rows: list[tuple[str, np.ndarray]], *, per_language: int = 4, rounds: int = 15, seed: int = 7) -> Centroids:
-    """Spherical k-means within each language of (language, counts)."""
-    if not rows:
-        return Centroids(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.array([], dtype=object), {})
-    langs = np.array([lang for lang, _ in rows], dtype=object)
-    found = np.array([x for _, x in rows])
-    model = Centroids(np.log((1 + len(rows)) / (1 + (found > 0).sum(axis=0))) + 1, np.zeros((0, DIMENSIONS)), np.array([], dtype=object), {})
-    units, vectors, owners = model.weigh(found), [], []
-    for lang in sorted(set(langs)):
-        own = units[langs == lang]
-        rng = np.random.default_rng(seed)
-        centres = own[rng.choice(len(own), min(per_language, len(own)), replace=False)]
-        for _ in range(rounds):
-            nearest = (own @ centres.T).argmax(axis=1)
-            sums = np.array([own[nearest == k].sum(axis=0) if (nearest == k).any() else centres[k] for k in range(len(centres))])
-            centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        best = (own @ centres.T).max(axis=1)
-        model.least[lang] = float(0.5 * np.quantile(best, 0.001))
-        vectors.append(centres)
-        owners += [lang] * len(centres)
-    model.vectors, model.languages = np.concatenate(vectors), np.array(owners, dtype=object)
-    return model
+def clustered(units: np.ndarray, *, centroids: int = 4, rounds: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Centroids of a language's unit vectors by spherical k-means, and the least cosine that is believed:
+    half of what all but a thousandth of the vectors have."""
+    rng = np.random.default_rng(seed)
+    centres = units[rng.choice(len(units), min(centroids, len(units)), replace=False)]
+    for _ in range(rounds):
+        nearest = (units @ centres.T).argmax(axis=1)
+        sums = np.array([units[nearest == k].sum(axis=0) if (nearest == k).any() else centres[k] for k in range(len(centres))])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    return centres, float(0.5 * np.quantile((units @ centres.T).max(axis=1), 0.001))
+
 
+def fit(df: DataFrame, use: Column | None = None, *, rows_per_language: int = 500, **parameters) -> Centroids:
+    """Centroids from df (doc_id, text, lang). Rows where `use` holds and lang is not null are eligible;
+    about rows_per_language of each language are learned from, chosen by a hash of doc_id.
 
-def fit(df: DataFrame, use: Column | None = None, *, rows_per_language: int = 500, most_languages: int = 200, **parameters) -> Centroids:
-    """Centroids from df (doc_id, text, lang). Rows where `use` holds and lang is not null are
-    eligible; about rows_per_language of each language, chosen by a hash of doc_id, are gathered as
-    sparse counts. Of more than most_languages languages the most frequent are learned."""
-    eligible = df.where(F.col("lang").isNotNull() & (use if use is not None else F.lit(True)))
-    sizes = eligible.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return learn([])
-    share = F.create_map(*[x for row in sizes for x in (F.lit(row[0]), F.lit(min(1.0, rows_per_language / row[1])))])
-    sample = eligible.where(spread("doc_id", 11) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    Each language is a group of its own for k-means, of that many sparse rows, so tasks stay small
+    whatever the languages; all languages are learned. The driver gets how many rows hold each of the
+    DIMENSIONS, and the centroids: 131 KB a language, whatever the rows."""
+    eligible = df.where(F.col("lang").isNotNull() & (use if use is not None else F.lit(True))).select("doc_id", "lang", "text")
+    share = eligible.groupBy("lang").agg((rows_per_language / F.count("*")).alias("share"))
+    sample = eligible.join(share, "lang").where(spread("doc_id", 11) < F.col("share"))
 
     def start() -> Callable:
         def sparse(langs: list[str], texts: list[str]) -> tuple:
             rows = [(lang, found) for lang, text in zip(langs, texts) if (found := counts(text)) is not None]
             slots = [np.nonzero(found)[0] for _, found in rows]
-            return [lang for lang, _ in rows], [s.astype(np.int16).tobytes() for s in slots], [found[s].astype(np.float32).tobytes() for (_, found), s in zip(rows, slots)]
+            return [lang for lang, _ in rows], [s.astype(np.int32) for s in slots], [found[s].tolist() for (_, found), s in zip(rows, slots)]
 
         return sparse
 
-    gathered = []
-    for lang, slots, n in mapped(sample, [], ["lang", "text"], start, "lang string, slots binary, n binary").collect():
-        full = np.zeros(DIMENSIONS, dtype=np.float32)
-        full[np.frombuffer(slots, dtype=np.int16)] = np.frombuffer(n, dtype=np.float32)
-        gathered.append((lang, full))
-    gathered.sort(key=lambda x: (x[0], x[1].tobytes()))
-    return learn(gathered, **parameters)
+    sample = written(mapped(sample, [], ["lang", "text"], start, "lang string, slots array<int>, n array<double>"), "sample")
+    holding = np.zeros(DIMENSIONS)
+    for slot, n in sample.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect():
+        holding[slot] = n
+    model = Centroids(np.log((1 + sample.count()) / (1 + holding)) + 1, np.zeros((0, DIMENSIONS)), np.array([], dtype=object), {})
+
+    def learned(rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros((len(rows), DIMENSIONS))
+        for own, slots, n in zip(found, rows["slots"], rows["n"]):
+            own[slots] = n
+        found = found[np.lexsort(found.T[::-1])]  # the same order whichever way the rows came
+        centres, least = clustered(model.weigh(found), **parameters)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "v": list(centres), "least": least})
+
+    found = sorted(map(tuple, sample.groupBy("lang").applyInPandas(learned, "lang string, v array<double>, least double").collect()))
+    if found:
+        model.vectors, model.languages = np.array([v for _, v, _ in found]), np.array([lang for lang, _, _ in found], dtype=object)
+        model.least = {lang: least for lang, _, least in found}
+    return model
 
 
 def predict(df: DataFrame, model: Centroids, *, carry: Sequence[str] = ("doc_id",), names: Sequence[str] = ("lang_pred", "score", "rejected")) -> DataFrame:
