@@ -34,19 +34,9 @@ def calendar(bounds: DataFrame, first: str, last: str, name: str = "day") -> Dat
     return bounds.agg(F.min(first).alias("a"), F.max(last).alias("b")).select(F.explode(F.sequence("a", "b")).alias(name))
 
 
-def offset_seconds(instant: Column, zone: str) -> Column:
-    """Seconds that a zone is ahead of UTC at an instant."""
-    return F.unix_seconds(local(instant, zone).cast("timestamp")) - F.unix_seconds(instant.cast("timestamp_ntz").cast("timestamp"))
-
-
 def instant_of(wall: Column, zone: str) -> Column:
     """The instant at which a zone's clock shows `wall`: the earlier of two, and in a gap what follows it."""
-    wall = wall.cast("timestamp_ntz")
-    less = lambda at, seconds: at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
-    first = less(wall, offset_seconds(wall, zone))
-    second = less(wall, offset_seconds(first, zone))
-    fits = lambda at: F.when(local(at, zone) == wall, at)
-    return F.coalesce(F.least(fits(first), fits(second)), F.greatest(first, second))
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), wall.cast("timestamp_ntz"))
 
 
 def day_start(instant: Column | str, zone: str) -> Column:

@@ -1,72 +1,24 @@
-"""Allowance readings: segments without a reset, pace, projection and exhaustion."""
+"""Which reader an allowance sample belongs to."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.operators import sequences
 from meterloom.plans.registry import query, table
 
 
-def segments(readings: DataFrame, keys: Sequence[str], *, value: str, time: str, tie: str, gap_hours: int = 3) -> DataFrame:
-    """readings with `segment`: a new one begins where the value fell or nothing was read for gap_hours."""
-    order = [time, tie]
-    fell = F.col(value) < F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    return sequences.islands(readings, keys, order, F.coalesce(fell, F.lit(False)) | F.coalesce(sequences.gap_over(keys, order, time, gap_hours * 3600), F.lit(False)), "segment")
-
-
-def pace(readings: DataFrame, keys: Sequence[str], *, value: str, time: str, tie: str, until: Column, full: float = 100.0, least_minutes: int = 30) -> DataFrame:
-    """For each key its last segment: readings, level, state, rate an hour, the level projected to `until`
-    and the hours until it is full. A segment shorter than least_minutes or of one reading is `insufficient`."""
-    cut = segments(readings, keys, value=value, time=time, tie=tie)
-    last = F.struct(F.col(time), F.col(tie))
-    spans = cut.groupBy(*keys, "segment").agg(F.count("*").alias("readings"), F.min(time).alias("first"), F.max(time).alias("last"), F.min_by(value, last).alias("from_level"), F.max_by(value, last).alias("level"))
-    newest = spans.groupBy(*keys).agg(F.max_by(F.struct("readings", "first", "last", "from_level", "level"), "segment").alias("s")).select(*keys, "s.*")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    hours = (micros(F.col("last")) - micros(F.col("first"))) / 3.6e9
-    usable = (F.col("readings") >= 2) & (hours * 60 >= least_minutes)
-    rate = F.when(usable, (F.col("level") - F.col("from_level")) / hours)
-    left = (micros(until) - micros(F.col("last"))) / 3.6e9
-    paced = newest.withColumn("rate", rate)
-    return paced.select(
-        *keys,
-        "readings",
-        "level",
-        F.when(usable, "usable").otherwise("insufficient").alias("state"),
-        "rate",
-        (F.col("level") + F.col("rate") * left).alias("projected"),
-        F.when(F.col("rate") > 0, F.greatest(F.lit(full) - F.col("level"), F.lit(0.0)) / F.col("rate")).alias("hours_left"),
-    )
-
-
-@query("""WITH f AS (SELECT *, CASE WHEN value < lag(value) OVER w OR ts - lag(ts) OVER w > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM f),
-    s AS (SELECT user_id, segment, count(*) AS readings, min(ts) AS a, max(ts) AS z, arg_min(value, (ts, event_id)) AS low, arg_max(value, (ts, event_id)) AS level FROM g GROUP BY user_id, segment
-        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY segment DESC) = 1),
-    h AS (SELECT *, (epoch_us(z) - epoch_us(a)) / 3.6e9 AS hours, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(z)) / 3.6e9 AS to_go FROM s),
-    r AS (SELECT *, CASE WHEN readings >= 2 AND hours * 60 >= 30 THEN (level - low) / hours END AS rate FROM h)
-    SELECT user_id, readings, level, CASE WHEN rate IS NULL THEN 'insufficient' ELSE 'usable' END AS state, rate, level + rate * to_go AS projected,
-        CASE WHEN rate > 0 THEN greatest(500.0 - level, 0.0) / rate END AS hours_left FROM r""")
-def quota_pace(spark, sf_dir):
-    return pace(table(spark, sf_dir, "events"), ["user_id"], value="value", time="ts", tie="event_id", until=F.lit("2024-02-01"), full=500.0)
-
-
-@query("""WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) AS level FROM events GROUP BY ALL)
-    SELECT user_id, day, level, CASE WHEN level >= 300 THEN 'critical' WHEN level >= 100 THEN 'watch' ELSE 'ok' END AS tier FROM p
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC) <= 2""")
-def urgency_tiers(spark, sf_dir):
-    from meterloom.operators.canonical import top_n
-
-    days = table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.max("value").alias("level"))
-    tier = F.when(F.col("level") >= 300, "critical").when(F.col("level") >= 100, "watch").otherwise("ok")
-    return top_n(days, ["user_id"], [F.desc("day")], 2).select("user_id", "day", "level", tier.alias("tier"))
-
-
 def bind(samples: DataFrame, bindings: DataFrame, stamp: str) -> DataFrame:
     """samples with the binding that carries the same stamp, or the reason why none can be named."""
     counted = bindings.groupBy(stamp).agg(F.count("*").alias("n"), F.min("binding_id").alias("binding_id"), F.bool_and("enabled").alias("enabled"))
     reason = F.when(F.col(stamp).isNull(), "no_stamp").when(F.col("n").isNull(), "unknown").when(F.col("n") > 1, "ambiguous").when(~F.col("enabled"), "disabled")
     return samples.join(counted, stamp, "left").withColumn("reason", reason).withColumn("binding_id", F.when(F.col("reason").isNull(), F.col("binding_id"))).drop("n", "enabled")
+
+
+@query("""WITH b AS (SELECT CAST(c_nationkey AS BIGINT) AS stamp, count(*) AS n, CAST(min(c_custkey) AS BIGINT) AS binding_id, bool_and(c_acctbal > 0) AS enabled FROM customer WHERE c_nationkey % 3 = 0 OR c_custkey % 20 = 1 GROUP BY 1),
+    s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey % 30 END AS stamp FROM orders), j AS (SELECT s.*, CASE WHEN s.stamp IS NULL THEN 'no_stamp' WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN NOT enabled THEN 'disabled' END AS reason, binding_id FROM s LEFT JOIN b ON b.stamp = s.stamp)
+    SELECT o_orderkey, stamp, reason, CASE WHEN reason IS NULL THEN binding_id END AS binding_id FROM j""")
+def sample_bindings(spark, sf_dir):
+    stamps = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey") % 30).alias("stamp"))
+    bound = table(spark, sf_dir, "customer").where("c_nationkey % 3 = 0 OR c_custkey % 20 = 1").select(F.col("c_nationkey").cast("bigint").alias("stamp"), F.col("c_custkey").alias("binding_id"), (F.col("c_acctbal") > 0).alias("enabled"))
+    return bind(stamps, bound, "stamp")

@@ -77,29 +77,3 @@ def conditional_agg(spark, sf_dir):
         F.count_distinct(F.when(F.col("l_tax") > 0.04, F.col("l_suppkey"))).alias("taxed_suppliers"),
         F.max(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("largest_return"),
     )
-
-
-#: Energy a unit by class (low, high, in Wh) of our own scenarios, and litres and grams a kWh.
-SCENARIOS = {"light": (0.2, 0.6), "heavy": (1.5, 4.0)}
-WATER, CARBON = 1.8, 390.0
-
-
-@query("""WITH m AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS units FROM events GROUP BY ALL)
-    SELECT user_id, month, calls, CASE WHEN units / calls >= 50 THEN 'heavy' ELSE 'light' END AS cohort FROM m""")
-def cohort_class(spark, sf_dir):
-    """The class follows from a whole month's mean, whatever is selected."""
-    months = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("calls"), aggregates.exact_sum("value").alias("units"))
-    return months.select("user_id", "month", "calls", F.when(F.col("units") / F.col("calls") >= 50, "heavy").otherwise("light").alias("cohort"))
-
-
-@query("""WITH m AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS units FROM events GROUP BY ALL),
-    c AS (SELECT CASE WHEN units / calls >= 50 THEN 'heavy' ELSE 'light' END AS cohort, CAST(sum(calls) AS BIGINT) AS calls FROM m GROUP BY 1)
-    SELECT cohort, calls, floor(calls * a / 1000 * 1e6 + 0.5) / 1e6 AS kwh_low, floor(calls * b / 1000 * 1e6 + 0.5) / 1e6 AS kwh_high,
-        floor(calls * b / 1000 * 1.8 * 1e6 + 0.5) / 1e6 AS litres, floor(calls * b / 1000 * 390.0 * 1e6 + 0.5) / 1e6 AS grams
-    FROM c JOIN (VALUES ('light', 0.2::DOUBLE, 0.6::DOUBLE), ('heavy', 1.5::DOUBLE, 4.0::DOUBLE)) AS s(name, a, b) ON name = cohort""")
-def env_scenarios(spark, sf_dir):
-    """Summed first, rounded last."""
-    cohorts = cohort_class(spark, sf_dir).groupBy("cohort").agg(F.sum("calls").alias("calls"))
-    pick = lambda i: F.when(F.col("cohort") == "light", SCENARIOS["light"][i]).otherwise(SCENARIOS["heavy"][i])
-    kwh = [F.col("calls") * pick(i) / 1000 for i in (0, 1)]
-    return cohorts.select("cohort", "calls", numbers.round6(kwh[0]).alias("kwh_low"), numbers.round6(kwh[1]).alias("kwh_high"), numbers.round6(kwh[1] * WATER).alias("litres"), numbers.round6(kwh[1] * CARBON).alias("grams"))
