@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,14 @@ from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """df cut from its lineage in the folder that driver and executors share; one of our own serves a local
+    session alone."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="meterloom-"))
     return df.checkpoint()
 
 

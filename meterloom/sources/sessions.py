@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One row for each model or tool event, whatever it was read from.
-EVENT_COLUMNS = ("run_id", "event_id", "kind", "name", "model", "status", "start_ms", "end_ms", "seq", "parent_id", "tool_call_id", "tokens_in", "tokens_out", "result_hash", "result_bytes", "args_hash")
+#: One row for each model or tool event, whatever it was read from. Hashes carry a label that says how much of
+#: the value was hashed (full, redacted, truncated), tokens the basis they were counted on.
+EVENT_COLUMNS = (
+    ("run_id", "event_id", "kind", "name", "model", "status", "start_ms", "end_ms", "duration_ms", "seq", "parent_id", "tool_call_id", "error_type", "finish_reason")
+    + ("token_basis", "tokens_in", "tokens_out", "tokens_total", "cache_read", "cache_write", "args_hash", "args_label", "result_hash", "result_label", "result_bytes", "scope", "tags", "included")
+)
 
 _USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
 _PART = "struct<type:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>"
@@ -19,9 +23,11 @@ OTLP = (
 
 
 def lines(spark: SparkSession, paths: str | list[str], markers: tuple[str, ...] = ()) -> DataFrame:
-    """value, file and a position of each line; with markers only lines that contain one are kept, before
-    any JSON is parsed."""
-    read = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    """value, file and pos of each line; with markers only lines that contain one are kept, before any JSON is
+    parsed. pos orders the lines of a file however it is split: first where a line's split begins in it, then
+    the line's place among those that its task reads. The numbers themselves say nothing across files."""
+    block, place = F.col("_metadata.file_block_start"), F.monotonically_increasing_id() % (1 << 33)
+    read = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), (block * (1 << 20) + place).alias("pos"))
     if not markers:
         return read
     found = F.lit(False)
@@ -37,6 +43,16 @@ def parsed(read: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return both.where(~bad).drop("value"), both.where(bad).select("file", "pos", F.lit("not_json").alias("problem"))
 
 
+#: How a call ended, the weakest word first: a failure that was seen once is not undone by another result.
+OUTCOMES = ("unknown", "ok", "cancelled", "denied", "blocked", "error")
+
+
+def worst(status: Column) -> Column:
+    """Of several outcomes of one call the one that dominates."""
+    rank = F.array_position(F.array(*map(F.lit, OUTCOMES)), status)
+    return F.max_by(status, F.when(status.isNotNull(), rank))
+
+
 def session_events(rows: DataFrame) -> DataFrame:
     """Events of session transcripts (the rows of parsed() by SESSION_LINE).
 
@@ -68,7 +84,7 @@ def session_events(rows: DataFrame) -> DataFrame:
             first(use, F.col("ms")).alias("start_ms"),
             first(result, F.col("ms")).alias("end_ms"),
             F.min("pos").alias("seq"),
-            F.max(F.when(result, F.when(F.coalesce("p.is_error", F.lit(False)), "error").otherwise("ok"))).alias("status"),
+            worst(F.when(result, F.when(F.coalesce("p.is_error", F.lit(False)), "error").otherwise("ok"))).alias("status"),
             first(use, F.sha2("p.input", 256)).alias("args_hash"),
             first(result, F.sha2("p.content", 256)).alias("result_hash"),
             first(result, F.octet_length("p.content").cast("bigint")).alias("result_bytes"),
@@ -106,12 +122,19 @@ def otlp_events(rows: DataFrame) -> DataFrame:
 
 
 def shaped(df: DataFrame) -> DataFrame:
-    """df with all EVENT_COLUMNS; what it doesn't hold is null."""
-    numbers = {"start_ms", "end_ms", "seq", "tokens_in", "tokens_out", "result_bytes"}
-    column: Column
-    chosen = []
+    """df with all EVENT_COLUMNS; what it doesn't hold is null, but for the label of a hash (full), the scope
+    ({}) and lists (empty)."""
+    numbers = {"start_ms", "end_ms", "duration_ms", "seq", "tokens_in", "tokens_out", "tokens_total", "cache_read", "cache_write", "result_bytes"}
+    held = lambda name, kind: (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+    chosen: list[Column] = []
     for name in EVENT_COLUMNS:
-        kind = "bigint" if name in numbers else "string"
-        column = F.col(name) if name in df.columns else F.lit(None)
-        chosen.append(column.cast(kind).alias(name))
+        if name in ("tags", "included"):
+            column = F.coalesce(held(name, "array<string>"), F.array().cast("array<string>"))
+        elif name.endswith("_label"):
+            column = F.when(held(name.replace("_label", "_hash"), "string").isNotNull(), F.coalesce(held(name, "string"), F.lit("full")))
+        elif name == "scope":
+            column = F.coalesce(held(name, "string"), F.lit("{}"))
+        else:
+            column = held(name, "bigint" if name in numbers else "string")
+        chosen.append(column.alias(name))
     return df.select(*chosen)
