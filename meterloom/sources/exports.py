@@ -1,0 +1,333 @@
+"""Exports of other tools as events, and pages of provider accounts as usage and cost rows.
+
+All take rows of JSON text, so what they read may be files, a stream or a column. Text that is no JSON of
+the expected shape gives a problem row, never an error."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterloom.functions.numbers import tolerant_int
+from meterloom.functions.text import canonical_json
+from meterloom.sources.sessions import EVENT_COLUMNS, shaped
+
+#: Fixed values of the observation export: types, and names under which it tells tools and cached tokens.
+GENERATIONS, TOOLS = ("GENERATION", "EMBEDDING"), ("TOOL",)
+SPANS = ("SPAN", "AGENT", "CHAIN", "RETRIEVER", "EVALUATOR", "GUARDRAIL")
+TOOL_KEYS = ("tool", "tool_name", "toolName", "tool_call_id", "toolCallId", "tool_use_id", "toolUseId")
+CALL_ID_KEYS = ("tool_call_id", "toolCallId", "tool_use_id", "toolUseId")
+CACHE_READ = ("input_cached_tokens", "cache_read_input_tokens", "input_cache_read", "cached_tokens")
+CACHE_WRITE = ("cache_creation_input_tokens", "input_cache_creation", "input_cache_write")
+LEGACY = ("promptTokens", "completionTokens", "totalTokens")
+BASIS = "input_excludes_cache_read"
+LEAST_BYTES = 16
+
+
+def _get(source: str | Column, path: str) -> Column:
+    return F.get_json_object(F.col(source) if isinstance(source, str) else source, f"$.{path}")
+
+
+def text_parts(rows: DataFrame, value: str = "value") -> DataFrame:
+    """rows with one JSON object each in `value`: an array, a page {data: [...]} or an object taken apart."""
+    whole = F.trim(F.col(value))
+    listed = F.when(F.startswith(whole, F.lit("[")), whole).otherwise(_get(whole, "data"))
+    parts = F.coalesce(F.from_json(listed, "array<variant>"), F.when(F.startswith(whole, F.lit("{")) & listed.isNull(), F.array(F.try_parse_json(whole))))
+    others = [c for c in rows.columns if c != value]
+    return rows.select(*others, F.posexplode_outer(parts).alias("part", "v")).withColumn(value, F.to_json("v")).drop("v")
+
+
+def csv_parts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """The rows of CSV files as JSON objects in `value`; dotted column names are objects, cells that hold JSON
+    are taken as such, empty ones are left out."""
+    read = spark.read.csv(paths, header=True, multiLine=True, escape='"')
+    heads: dict[str, list[str]] = {}
+    for c in read.columns:
+        heads.setdefault(c.partition(".")[0], []).append(c)
+    entries = []
+    for head, columns in heads.items():
+        if columns == [head]:
+            json = F.when(F.col(f"`{head}`").rlike(r"^\s*[\[{]"), F.col(f"`{head}`")).otherwise(F.regexp_replace(F.to_json(F.array(F.col(f"`{head}`"))), r"^\[|\]$", ""))
+            entries.append(F.when(F.col(f"`{head}`").isNotNull(), F.concat(F.lit(f'"{head}":'), json)))
+        else:
+            parts = [F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f'"{c.partition(".")[2]}":'), F.regexp_replace(F.to_json(F.array(F.col(f"`{c}`"))), r"^\[|\]$", ""))) for c in columns]
+            entries.append(F.concat(F.lit(f'"{head}":{{'), F.concat_ws(",", *parts), F.lit("}")))
+    return read.select(F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}")).alias("value"))
+
+
+def usage(value: Column) -> dict[str, Column]:
+    """Tokens of an observation, their basis and the shape they were told in.
+
+    Details name disjoint parts, so input is without cached tokens; two names for one part leave it
+    unknown. The older shape has counts without a basis, and none where its unit is not tokens."""
+    n = lambda path: tolerant_int(_get(value, path))
+    details = _get(value, "usageDetails").isNotNull()
+    unit = F.upper(_get(value, "usage.unit"))
+    older = F.coalesce(*[_get(value, k) for k in LEGACY], _get(value, "usage")).isNotNull()
+    tokens = unit.isNull() | (unit == "TOKENS")
+    pick = lambda key, old, plain: F.when(details, n(f"usageDetails.{key}")).when(older & tokens, F.coalesce(n(old), n(f"usage.{plain}")))
+
+    def single(keys: Sequence[str]) -> Column:
+        held = F.array_compact(F.array(*[n(f"usageDetails.{k}") for k in keys]))
+        return F.when(details & (F.size(held) == 1), F.try_element_at(held, F.lit(1)))
+
+    any_cache = F.coalesce(*[n(f"usageDetails.{k}") for k in (*CACHE_READ, *CACHE_WRITE)]).isNotNull()
+    counted = F.coalesce(n("usageDetails.input"), n("usageDetails.output"), n("usageDetails.total")).isNotNull()
+    return {
+        "tokens_in": pick("input", "promptTokens", "input"),
+        "tokens_out": pick("output", "completionTokens", "output"),
+        "tokens_total": pick("total", "totalTokens", "total"),
+        "cache_read": single(CACHE_READ),
+        "cache_write": single(CACHE_WRITE),
+        "token_basis": F.when(details & (counted | any_cache), BASIS),
+        "usage_shape": F.when(details, "v2").when(older, "legacy").otherwise("absent"),
+    }
+
+
+def _hash(value: Column) -> Column:
+    """sha256 of a value in canonical form, of a text as it is in JSON; null where it is short."""
+    canonical = F.coalesce(canonical_json(value), F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
+    return F.when(F.octet_length(canonical) >= LEAST_BYTES, F.sha2(canonical, 256))
+
+
+def _millis(text: Column) -> Column:
+    return F.unix_millis(F.try_to_timestamp(text))
+
+
+def observations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, problems) of observation rows, a JSON object in `value` each (text_parts). A row without id or
+    trace is a problem. A span with a tool's metadata is a tool call, one that has a generation below it an
+    aggregate; ancestors are followed up to a trace's depth."""
+    v = F.col("value")
+    told = rows.withColumns({"id": _get(v, "id"), "trace": _get(v, "traceId")})
+    bad = told.where("id IS NULL OR trace IS NULL").select(F.col("value"), F.lit("no_id_or_trace").alias("problem"))
+    kind_word = F.lower(F.coalesce(_get(v, "metadata.type"), _get(v, "metadata.kind")))
+    is_tool = F.coalesce(*[_get(v, f"metadata.{k}") for k in TOOL_KEYS]).isNotNull() | F.coalesce(kind_word == "tool", F.lit(False))
+    upper = F.upper(F.coalesce(_get(v, "type"), F.lit("")))
+    first = F.when(upper.isin(*GENERATIONS), "model").when(upper.isin(*TOOLS) | (upper.isin(*SPANS) & is_tool), "tool").otherwise("other")
+    good = told.where("id IS NOT NULL AND trace IS NOT NULL").withColumns({"parent": _get(v, "parentObservationId"), "type": upper, "kind": first})
+    wrapping = ancestors(good.where("kind = 'model'").select("trace", "parent"), good.select("trace", "id", "parent"))
+    good = good.join(wrapping.withColumn("_wraps", F.lit(True)), ["trace", "id"], "left")
+    level = _get(v, "level")
+    cut = lambda name: F.lower(F.coalesce(_get(v, name), F.lit(""))).isin("true", "1", "yes")
+    label = lambda name: F.when(cut(name), "truncated").otherwise("full")
+    out = _get(v, "output")
+    kind = F.when((F.col("kind") == "other") & F.col("type").isin(*SPANS) & F.col("_wraps"), "aggregate").otherwise(F.col("kind"))
+    events = good.select(
+        F.col("trace").alias("run_id"),
+        F.col("id").alias("event_id"),
+        kind.alias("kind"),
+        _get(v, "name").alias("name"),
+        _get(v, "model").alias("model"),
+        F.when(level.isNull(), "unknown").when(F.upper(level) == "ERROR", "error").otherwise("ok").alias("status"),
+        _millis(_get(v, "startTime")).alias("start_ms"),
+        _millis(_get(v, "endTime")).alias("end_ms"),
+        F.col("parent").alias("parent_id"),
+        F.when(F.col("kind") == "tool", F.coalesce(*[_get(v, f"metadata.{k}") for k in CALL_ID_KEYS])).alias("tool_call_id"),
+        *[c.alias(name) for name, c in usage(v).items()],
+        _hash(_get(v, "input")).alias("args_hash"),
+        label("inputTruncated").alias("args_label"),
+        _hash(out).alias("result_hash"),
+        label("outputTruncated").alias("result_label"),
+        F.octet_length(out).cast("bigint").alias("result_bytes"),
+        F.to_json(F.struct(F.struct(F.col("type").alias("type"), level.alias("level")).alias("observation"))).alias("scope"),
+    )
+    return shaped(events), bad
+
+
+def ancestors(starts: DataFrame, tree: DataFrame, most: int = 32) -> DataFrame:
+    """trace and id of all rows of tree (trace, id, parent) above `starts` (trace, parent), each once. Every round
+    goes one level up with what is new; a circle brings nothing new."""
+    edges = tree.select("trace", "id", "parent").where("id IS NOT NULL")
+    front = starts.where("parent IS NOT NULL").select("trace", F.col("parent").alias("id")).distinct().join(edges.select("trace", "id"), ["trace", "id"], "left_semi")
+    found = front
+    for _ in range(most):
+        up = front.join(edges, ["trace", "id"]).where("parent IS NOT NULL").select("trace", F.col("parent").alias("id")).distinct().join(edges.select("trace", "id"), ["trace", "id"], "left_semi")
+        front = up.join(found, ["trace", "id"], "left_anti").checkpoint()
+        if front.isEmpty():
+            return found
+        found = found.union(front)
+    return found
+
+
+#: Fields of a record of a bundle, with the types that they must have.
+RECORD = {
+    **dict.fromkeys(("id", "kind", "status", "parent_id", "name", "model", "provider", "adapter", "token_basis", "error_type", "error_code", "finish_reason", "tool_call_id", "native_tool_call_id"), "string"),
+    **dict.fromkeys(("seq", "start_ms", "end_ms", "duration_ms", "tokens_in", "tokens_out", "tokens_total", "cache_read_tokens", "cache_write_tokens", "result_bytes", "preview_bytes"), "count"),
+    **dict.fromkeys(("args_fingerprint", "result_fingerprint"), "fingerprint"),
+    "scope": "object",
+    "included_result_ids": "array",
+    "raw": "any",
+}
+BUNDLE_KINDS = {"model_call": "model", "tool_call": "tool", "aggregate": "aggregate", "approval": "approval", "other": "other"}
+
+
+def bundles(documents: DataFrame, versions: Sequence[str] = ("1",)) -> tuple[DataFrame, DataFrame]:
+    """(events, problems) of record bundles, one JSON document in `value` with its `file`.
+
+    A document without version, run or records is a problem as a whole. A record with an unknown field, a field
+    of another type, or without id, kind and status is left out, and its place in the document told."""
+    v = F.col("value")
+    listed = F.from_json(_get(v, "records"), "array<variant>")
+    whole = documents.select("file", "value", _get(v, "run_id").alias("run"), _get(v, "schema_version").alias("version"), listed.alias("records"))
+    fault = F.when(F.try_parse_json(v).isNull(), "not_json").when(F.col("run").isNull(), "no_run_id").when(~F.coalesce(F.col("version").isin(*versions), F.lit(False)), "unknown_version").when(F.col("records").isNull(), "no_records")
+    marked = whole.withColumn("problem", fault)
+    refused = marked.where("problem IS NOT NULL").select("file", F.lit("").alias("pointer"), "problem")
+    r = marked.where("problem IS NULL").select("file", "run", F.posexplode("records").alias("at", "rec")).withColumn("r", F.to_json("rec"))
+    kinds = F.from_json("r", "map<string,variant>")
+    name_of = F.schema_of_variant
+    typed = []
+    for name, kind in RECORD.items():
+        own = F.try_element_at("fields", F.lit(name))
+        shape = name_of(own)
+        good = {"string": shape == "STRING", "count": shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "fingerprint": F.startswith(shape, F.lit("OBJECT")), "object": F.startswith(shape, F.lit("OBJECT")), "array": F.startswith(shape, F.lit("ARRAY")), "any": F.lit(True)}[kind]
+        typed.append(F.when(F.map_contains_key("fields", F.lit(name)) & ~F.coalesce(good, F.lit(False)), F.lit(f"type:{name}")))
+    r = r.withColumn("fields", kinds)
+    unknown = F.array_sort(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, RECORD))))
+    lacking = [F.when(_get("r", k).isNull(), F.lit(f"missing:{k}")) for k in ("id", "kind", "status")]
+    bad_kind = F.when(~F.coalesce(_get("r", "kind").isin(*BUNDLE_KINDS), F.lit(False)), "kind")
+    labels = [F.when(_get("r", f"{k}_fingerprint").isNotNull() & ~F.coalesce(_get("r", f"{k}_fingerprint.representation").isin("full", "redacted", "truncated") & _get("r", f"{k}_fingerprint.hash").rlike("^[0-9a-f]+$"), F.lit(False)), f"fingerprint:{k}") for k in ("args", "result")]
+    r = r.withColumn("problem", F.coalesce(F.when(F.col("fields").isNull(), "not_an_object"), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.element_at(unknown, 1))), *lacking, *typed, bad_kind, *labels))
+    dropped = r.where("problem IS NOT NULL").select("file", F.concat(F.lit("/records/"), F.col("at").cast("string")).alias("pointer"), "problem")
+    n = lambda k: _get("r", k).try_cast("bigint")
+    kept = r.where("problem IS NULL")
+    kind = F.coalesce(*[F.when(_get("r", "kind") == k, F.lit(v)) for k, v in BUNDLE_KINDS.items()])
+    scope = F.col("fields")["scope"]
+    events = kept.select(
+        F.col("run").alias("run_id"),
+        _get("r", "id").alias("event_id"),
+        kind.alias("kind"),
+        *[_get("r", k).alias(k) for k in ("name", "model", "status", "parent_id", "tool_call_id", "error_type", "finish_reason", "token_basis")],
+        *[n(k).alias(k) for k in ("seq", "start_ms", "end_ms", "duration_ms", "tokens_in", "tokens_out", "tokens_total", "result_bytes")],
+        n("cache_read_tokens").alias("cache_read"),
+        n("cache_write_tokens").alias("cache_write"),
+        *[_get("r", f"{k}_fingerprint.{f}").alias(f"{k}_{g}") for k in ("args", "result") for f, g in (("hash", "hash"), ("representation", "label"))],
+        F.to_json(scope).alias("scope"),
+        F.from_json(_get("r", "included_result_ids"), "array<string>").alias("included"),
+    )
+    return shaped(events), refused.unionByName(dropped)
+
+
+def as_bundle(events: DataFrame, version: str = "1") -> DataFrame:
+    """run_id and value: a bundle document for each run, which bundles() reads as the same events."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in BUNDLE_KINDS.items() for x in (v, k)]), F.col("kind"))
+    plain = ["name", "model", "status", "parent_id", "tool_call_id", "error_type", "finish_reason", "token_basis", "seq", "start_ms", "end_ms", "duration_ms", "tokens_in", "tokens_out", "tokens_total", "result_bytes"]
+    prints = [F.when(F.col(f"{k}_hash").isNotNull(), F.struct(F.col(f"{k}_hash").alias("hash"), F.col(f"{k}_label").alias("representation"))).alias(f"{k}_fingerprint") for k in ("args", "result")]
+    record = F.struct(F.col("event_id").alias("id"), kind.alias("kind"), *plain, F.col("cache_read").alias("cache_read_tokens"), F.col("cache_write").alias("cache_write_tokens"), *prints, F.try_parse_json("scope").alias("scope"), F.col("included").alias("included_result_ids"))
+    listed = F.array_sort(F.collect_list(F.struct("event_id", record.alias("r"))), lambda a, b: F.when(a["event_id"] < b["event_id"], -1).when(a["event_id"] > b["event_id"], 1).otherwise(0))
+    by_run = events.select(*EVENT_COLUMNS).groupBy("run_id").agg(F.transform(listed, lambda x: x["r"]).alias("records"))
+    return by_run.select("run_id", F.to_json(F.struct(F.lit(version).alias("schema_version"), "run_id", "records")).alias("value"))
+
+
+def sniffed(head: Column, suffix: Column) -> Column:
+    """The format of a file by its beginning: spans (a document, or a line for each), observations, a
+    bundle, or a session; null where none fits. What a first line shows decides between the first two."""
+    start, first = F.ltrim(head), F.substring_index(F.ltrim(head), "\n", 1)
+    spans = F.contains(start, F.lit('"resourceSpans"')) & F.startswith(start, F.lit("{"))
+    more = F.length(F.trim(F.substring(start, F.length(first) + 1, F.lit(1_000_000)))) > 0
+    whole_line = F.try_parse_json(first).isNotNull()
+    csv_names = F.transform(F.split(first, ","), lambda c: F.substring_index(F.regexp_replace(F.trim(c), '"', ""), ".", 1))
+    observed = F.when(suffix == "csv", F.size(F.array_intersect(csv_names, F.array(*map(F.lit, ("id", "traceId", "type"))))) == 3).otherwise(
+        start.rlike(r"^[\[{]") & F.contains(start, F.lit('"traceId"')) & F.contains(start, F.lit('"startTime"')) & ~F.contains(start, F.lit('"spanId"')) & ~F.contains(start, F.lit('"resourceSpans"'))
+    )
+    bundle = F.startswith(start, F.lit("{")) & F.contains(start, F.lit('"schema_version"')) & F.contains(start, F.lit('"run_id"')) & F.contains(start, F.lit('"records"'))
+    session = (suffix == "jsonl") & _get(first, "type").isNotNull() & F.coalesce(_get(first, "sessionId"), _get(first, "uuid")).isNotNull()
+    return F.when(spans & ~(whole_line & more), "otlp-json").when(spans & whole_line, "otlp-jsonl").when(observed, "observations").when(bundle, "record-bundle").when(session, "session")
+
+
+def usage_page(pages: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, problems) of pages of an account's usage report (JSON in `value`): a row for each result of each
+    bucket, with exclusive token classes, null where the page tells none."""
+    v = F.col("value")
+    buckets = pages.select("value", F.from_json(_get(v, "data"), "array<variant>").alias("data"), F.coalesce(_get(v, "next_page"), F.when(_get(v, "has_more") == "true", "")).alias("next_page"))
+    faults = buckets.where("data IS NULL").select(F.lit("no_data").alias("problem"))
+    one = buckets.where("data IS NOT NULL").select(F.explode("data").alias("b")).withColumn("b", F.to_json("b"))
+    if provider == "openai":
+        start, end = (F.timestamp_seconds(_get("b", c).try_cast("bigint")) for c in ("start_time", "end_time"))
+        end = F.coalesce(end, start + F.expr("INTERVAL 1 HOUR"))
+    else:
+        start, end = (F.try_to_timestamp(F.coalesce(_get("b", a), _get("b", b))) for a, b in (("starting_at", "start_time"), ("ending_at", "end_time")))
+        end = F.coalesce(end, start + F.expr("INTERVAL 1 HOUR"))
+    one = one.withColumns({"bucket_start": start.cast("timestamp_ntz"), "bucket_end": end.cast("timestamp_ntz"), "results": F.from_json(_get("b", "results"), "array<variant>")})
+    broken = F.col("bucket_start").isNull() | F.col("results").isNull()
+    faults = faults.unionByName(one.where(broken).select(F.lit("bad_bucket").alias("problem")))
+    r = one.where(~broken).select("bucket_start", "bucket_end", F.explode("results").alias("r")).withColumn("r", F.to_json("r"))
+    n = lambda k: F.when(_get("r", k).try_cast("bigint") >= 0, _get("r", k).try_cast("bigint"))
+    if provider == "openai":
+        told, cached = n("input_tokens"), n("input_cached_tokens")
+        classes = {"requests": n("num_model_requests"), "input_fresh": F.when(told.isNotNull(), F.greatest(told - F.coalesce(cached, F.lit(0)), F.lit(0))), "input_cached": cached, "input_cache_write": F.lit(None).cast("bigint"), "output": n("output_tokens")}
+        scope = _get("r", "project_id")
+    else:
+        five, hour = n("cache_creation.ephemeral_5m_input_tokens"), n("cache_creation.ephemeral_1h_input_tokens")
+        written = F.when(five.isNotNull() | hour.isNotNull(), F.coalesce(five, F.lit(0)) + F.coalesce(hour, F.lit(0))).otherwise(n("cache_creation_input_tokens"))
+        classes = {"requests": F.coalesce(n("request_count"), n("requests")), "input_fresh": n("uncached_input_tokens"), "input_cached": n("cache_read_input_tokens"), "input_cache_write": written, "output": n("output_tokens")}
+        scope = _get("r", "workspace_id")
+    return r.select("bucket_start", "bucket_end", _get("r", "model").alias("model"), scope.alias("scope"), _get("r", "service_tier").alias("service_tier"), *[c.alias(k) for k, c in classes.items()]), faults
+
+
+def cost_page(pages: DataFrame, provider: str) -> DataFrame:
+    """Charges of pages of an account's cost report, in dollars; amounts in other currencies are left out.
+    One provider tells cents, as text or number, the other dollars."""
+    v = F.col("value")
+    one = pages.select(F.explode(F.from_json(_get(v, "data"), "array<variant>")).alias("b")).withColumn("b", F.to_json("b"))
+    at = lambda *names: F.coalesce(*[F.coalesce(F.timestamp_seconds(_get("b", c).try_cast("bigint")), F.try_to_timestamp(_get("b", c))) for c in names])
+    start = at("starting_at", "start_time")
+    spans = one.select(start.cast("timestamp_ntz").alias("started"), F.coalesce(at("ending_at", "end_time"), start + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("ended"), F.explode(F.from_json(_get("b", "results"), "array<variant>")).alias("r"))
+    rows = spans.withColumn("r", F.to_json("r"))
+    amount = F.coalesce(_get("r", "amount.value"), F.when(~F.startswith(_get("r", "amount"), F.lit("{")), _get("r", "amount"))).try_cast("decimal(24,8)")
+    dollars = amount if provider == "openai" else amount / 100
+    good = F.coalesce(F.lower(_get("r", "amount.currency")), F.lit("usd")) == "usd"
+    sku = F.coalesce(_get("r", "line_item"), _get("r", "description"), _get("r", "sku"), F.lit("unknown"))
+    return rows.where(good & amount.isNotNull() & F.col("started").isNotNull()).select("started", "ended", sku.alias("sku"), _get("r", "model").alias("model"), dollars.cast("decimal(18,6)").alias("usd"))
+
+
+def event_page(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, problems) of pages of single usage events: tokens exclusive of cached ones where input holds them,
+    and what was charged, in dollars."""
+    v = F.col("value")
+    listed = F.from_json(F.coalesce(_get(v, "usageEventsDisplay"), _get(v, "usageEvents")), "array<variant>")
+    one = pages.select(F.explode(listed).alias("e")).withColumn("e", F.to_json("e"))
+    n = lambda *paths: F.coalesce(*[_get("e", p).try_cast("bigint") for p in paths])
+    names = lambda a, b: n(f"tokenUsage.{a}", f"tokenUsage.{b}", f"token_usage.{a}", f"token_usage.{b}", a, b)
+    told, cached, written, output = names("inputTokens", "input_tokens"), names("cacheReadTokens", "cache_read_tokens"), names("cacheWriteTokens", "cache_write_tokens"), names("outputTokens", "output_tokens")
+    cents = F.coalesce(_get("e", "chargedCents"), _get("e", "charged_cents")).try_cast("decimal(24,8)")
+    stamp = F.coalesce(_get("e", "timestamp"), _get("e", "createdAt"))
+    started = F.coalesce(F.timestamp_millis(stamp.try_cast("bigint")), F.try_to_timestamp(stamp)).cast("timestamp_ntz")
+    rows = one.select(
+        started.alias("started"),
+        F.coalesce(_get("e", "id"), _get("e", "usageEventId"), F.concat_ws(":", stamp, F.coalesce(_get("e", "model"), F.lit("unknown")))).alias("event_id"),
+        _get("e", "model").alias("model"),
+        F.when(told.isNull() | cached.isNull() | (cached > told), told).otherwise(told - cached).alias("input_fresh"),
+        cached.alias("input_cached"),
+        written.alias("input_cache_write"),
+        output.alias("output"),
+        F.when(cents > 0, cents / 100).cast("decimal(18,6)").alias("usd"),
+        cents.isNotNull().alias("_cents"),
+    )
+    parts = ("input_fresh", "input_cached", "input_cache_write", "output")
+    empty = F.coalesce(*parts).isNull() & ~F.col("_cents")
+    total = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in parts), F.lit(0)))
+    bad = empty | F.col("started").isNull()
+    return rows.where(~bad).withColumn("total", total).drop("_cents"), rows.where(bad).select("event_id", F.lit("no_usage_or_time").alias("problem"))
+
+
+def embedded_windows(lines: DataFrame) -> DataFrame:
+    """Allowance readings within token_count records (JSON in `value`): the first and second window, if they can be
+    true, the newest of each window and hour."""
+    v = F.col("value")
+    base = "payload.rate_limits"
+    observed = F.try_to_timestamp(_get(v, "timestamp"))
+    one = lambda key: F.struct(
+        _get(v, f"{base}.{key}.used_percent").try_cast("double").alias("used"),
+        _get(v, f"{base}.{key}.resets_at").try_cast("double").alias("reset"),
+        _get(v, f"{base}.{key}.window_minutes").try_cast("bigint").alias("minutes"),
+    )
+    rows = lines.where(F.contains(v, F.lit("rate_limits"))).select(observed.alias("observed_at"), F.coalesce(_get(v, f"{base}.limit_id"), F.lit("codex")).alias("limit"), F.coalesce(_get(v, f"{base}.limit_name"), F.lit("Codex")).alias("name"), F.explode(F.array(one("primary"), one("secondary"))).alias("w"))
+    rows = rows.select("observed_at", "limit", "name", "w.*").where((F.col("used").between(0, 100)) & (F.col("minutes") > 0) & (F.col("reset") > F.unix_micros("observed_at") / 1e6))
+    label = F.concat("name", F.when(F.col("minutes") == 10_080, F.lit(" · weekly")).otherwise(F.concat(F.lit(" · "), F.floor(F.col("minutes") / 60).cast("string"), F.lit("h"))))
+    key = F.concat_ws(":", "limit", F.col("minutes").cast("string"))
+    told = rows.select(key.alias("window_key"), label.alias("label"), F.date_trunc("hour", "observed_at").alias("hour"), "observed_at", "used", F.timestamp_seconds("reset").alias("resets_at"), F.col("minutes").alias("window_minutes"))
+    newest = told.groupBy("window_key", "hour").agg(F.max_by(F.struct("label", "observed_at", "used", "resets_at", "window_minutes"), F.struct("observed_at", "used")).alias("n"))
+    return newest.select("window_key", "n.label", F.col("n.observed_at").cast("timestamp_ntz").alias("observed_at"), "n.used", F.col("n.resets_at").cast("timestamp_ntz").alias("resets_at"), "n.window_minutes")
