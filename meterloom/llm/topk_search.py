@@ -46,43 +46,39 @@ class SortedLists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0).astype(np.float64)
 
-    def read(self, query: np.ndarray, k: int, *, first: int = 64, few: int = 16) -> tuple[np.ndarray, int]:
-        """Rows that may be among the k best for a query, at most few * k of them unless they can't be
-        told apart, and the number of list entries that were read for that."""
+    def read(self, query: np.ndarray, k: int, *, first: int = 64, step: int = 8, few: int = 16) -> tuple[np.ndarray, int]:
+        """Rows that may be among the k best for a query, at most few * k of them unless the lists had to be
+        read to their ends, and the number of list entries that were read. Each stretch is `step` times as
+        long as what was read before; a last one to the ends leaves nothing to bound, so its rows are
+        given as they are."""
         n, lists = len(self.vectors), np.nonzero(query)[0]
         if n <= few * k or not len(lists):
             return np.arange(n), 0
         weight = query[lists].astype(np.float64)
-        ends = np.where(weight > 0, 0, n - 1), np.where(weight > 0, n - 1, 0)
-        least = self.values[ends[0], lists] * weight
+        top, bottom = (self.values[np.where(weight > 0, a, b), lists] * weight for a, b in ((n - 1, 0), (0, n - 1)))
         # Sums are rounded; nothing that rounding may have hidden is left out.
-        slack = 8 * (len(lists) + 4) * np.finfo(np.float64).eps * float(np.maximum(np.abs(least), np.abs(self.values[ends[1], lists] * weight)).sum())
-        so_far, seen = np.zeros(n), np.zeros((n, len(lists)), dtype=bool)
-        alive, unmet_count, before, depth = np.zeros(0, dtype=np.int64), n, 0, min(n, first)
-        dead = np.zeros(n, dtype=bool)
-        while True:
+        slack = 8 * (len(lists) + 4) * np.finfo(np.float64).eps * float(np.maximum(np.abs(top), np.abs(bottom)).sum())
+        so_far, missing = np.zeros(n), np.ones((n, len(lists)))
+        met, out, before, depth = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), 0, first
+        while depth < n:
             places = np.arange(before, depth)[:, None]
             at = np.where(weight > 0, n - 1 - places, places)
             rows = self.order[at, lists]
             so_far += np.bincount(rows.ravel(), (self.values[at, lists] * weight).ravel(), n)
-            seen[rows, np.arange(len(lists))] = True
+            missing[rows, np.arange(len(lists))] = 0
+            met[rows] = True
             reached = self.values[np.where(weight > 0, n - depth, depth - 1), lists] * weight
-            if unmet_count:
-                held = seen.any(axis=1)
-                unmet_count = n - int(held.sum())
-                alive = np.nonzero(held & ~dead)[0]
-            else:
-                alive = alive[~dead[alive]]
-            known = seen[alive]
-            missing = ~known
-            upper, lower = so_far[alive] + missing @ reached, so_far[alive] + missing @ least
+            alive = np.nonzero(met & ~out)[0]
+            upper, lower = so_far[alive] + (missing[alive] @ np.column_stack([reached, bottom])).T
             bar = np.partition(lower, len(lower) - k)[len(lower) - k] - slack if len(lower) >= k else -np.inf
-            out = upper < bar
-            dead[alive[out]] = True
-            alive = alive[~out]
-            if depth == n or (len(alive) <= few * k and (not unmet_count or reached.sum() < bar)):
+            out[alive[upper < bar]] = True
+            alive = alive[upper >= bar]
+            if reached.sum() < bar:  # whatever was not met yet
+                out |= ~met
+            if len(alive) <= few * k and (out | met).all():
                 return alive, depth * len(lists)
-            before, depth = depth, min(n, 2 * depth)
+            before, depth = depth, step * depth
+        return np.nonzero(~out)[0], n * len(lists)
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -113,11 +109,15 @@ def _answers(df: DataFrame, queries: DataFrame, k: int, scale: int, block_rows:
             lists, lengths = SortedLists(vectors), rows["v"].map(len).to_numpy()
             for asker, query_id, v, query in zip(wanted["row"], wanted["vec_id"], wanted["v"], _matrix(wanted["v"], width)):
                 left, entries = lists.read(query, k + 1)
-                own = scores(vectors[left], query)
+                own = scores(vectors if len(left) == len(vectors) else vectors[left], query)
+                if len(own) > k + 1:
+                    high = own >= np.partition(own, len(own) - k - 1)[len(own) - k - 1]
+                    left, own = left[high], own[high]
                 same = (ids[left] == query_id) & (lengths[left] == len(v)) & (vectors[left] == query).all(axis=1)
                 best = np.lexsort((~same, ids[left], -own))[: k + 1]
-                found.append(pd.DataFrame({"asker": asker, "query_id": query_id, "vec_id": ids[left][best], "score": own[best], "same": same[best], "block": key[0], "entries_read": entries, "entries": vectors.size}))
-        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+                found.append((np.full(len(best), asker), np.full(len(best), query_id), ids[left][best], own[best], same[best], np.full(len(best), key[0]), np.full(len(best), entries), np.full(len(best), vectors.size)))
+        columns = map(np.concatenate, zip(*found)) if found else [[]] * len(_FOUND.split(", "))
+        return pd.DataFrame({c.split()[0]: x for c, x in zip(_FOUND.split(", "), columns)})
 
     return candidates.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(run, _FOUND)
 
