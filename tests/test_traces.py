@@ -1,11 +1,9 @@
-"""Rules, merging and settings against cases made by hand."""
-
-import json
+"""Rules and merging against cases made by hand."""
 
 import pytest
 
 from meterloom.operators.components import components
-from meterloom.plans import settings_diff, traces
+from meterloom.plans import traces
 from meterloom.sources.sessions import EVENT_COLUMNS, shaped
 
 
@@ -138,22 +136,3 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 70), (80, 80)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()))
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 60: 50, 70: 50}
-
-
-def test_settings(spark):
-    one = {"permissions": {"allow": ["Bash(ls:*)", "Read"], "deny": ["Write"], "defaultMode": "default"}}
-    two = {"permissions": {"allow": ["Bash(ls *)", "Bash(*)"], "deny": [], "defaultMode": "bypassPermissions"}, "hooks": {"Stop": [{"matcher": "x", "hooks": [{"type": "command", "command": "run"}]}]}, "mcpServers": {"s": {"url": "https://a"}}}
-    frame = lambda *contents: spark.createDataFrame([(f"f{i}", c) for i, c in enumerate(contents)], "path string, content string")
-    got = settings_diff.changes(frame(json.dumps(one)), frame(json.dumps(two, indent=2)))
-    assert {tuple(r) for r in got.collect()} == {
-        ("allow", "Read", "removed", "narrows"),
-        ("allow", "Bash", "added", "widens"),
-        ("deny", "Write", "removed", "widens"),
-        ("mode", "defaultMode", "changed", "widens"),
-        ("hook", "Stop|x|run", "added", "widens"),
-        ("server", "s", "added", "widens"),
-    }
-    assert settings_diff.verdict(got).first().exit_code == 2
-    same = settings_diff.changes(frame(json.dumps(one)), frame(json.dumps(one, indent=4)))
-    assert settings_diff.verdict(same).first().exit_code == 0
-    assert settings_diff.verdict(settings_diff.changes(frame(json.dumps(one)), frame("{"))).first().exit_code == 3
