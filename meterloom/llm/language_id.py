@@ -15,6 +15,8 @@ from meterloom.llm.common import mapped, spread, written
 #: Dimensions that n-grams are hashed to.
 DIMENSIONS = 4096
 _STEP = 1 << 20
+#: Languages up to which their shares, some 40 bytes each, are sent to every task.
+BROADCAST_LANGUAGES = 100_000
 #: Whether a character is a letter; beyond the table Python is asked.
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
 
@@ -87,8 +89,13 @@ def fit(df: DataFrame, use: Column | None = None, *, rows_per_language: int = 50
     whatever the languages; all languages are learned. The driver gets how many rows hold each of the
     DIMENSIONS, and the centroids: 131 KB a language, whatever the rows."""
     eligible = df.where(F.col("lang").isNotNull() & (use if use is not None else F.lit(True))).select("doc_id", "lang", "text")
-    share = eligible.groupBy("lang").agg((rows_per_language / F.count("*")).alias("share"))
-    sample = eligible.join(share, "lang").where(spread("doc_id", 11) < F.col("share"))
+    share = written(eligible.groupBy("lang").agg((rows_per_language / F.count("*")).alias("share")), "shares")
+    chosen = spread("doc_id", 11) < F.col("share")
+    if share.count() <= BROADCAST_LANGUAGES:
+        sample = eligible.join(F.broadcast(share), "lang").where(chosen)
+    else:  # ids alone go by language, texts by id
+        ids = eligible.select("doc_id", "lang").join(share, "lang").where(chosen).select("doc_id", "lang").distinct()
+        sample = eligible.join(ids, ["doc_id", "lang"], "left_semi")
 
     def start() -> Callable:
         def sparse(langs: list[str], texts: list[str]) -> tuple:

@@ -1,5 +1,7 @@
 """Trained operators against plain versions of their arithmetic and held-out labels."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +92,18 @@ def test_licences_come_from_the_nearest_directory(spark):
     found = {r.doc_id: r for r in license_scan.inherit(license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string"))).collect()}
     assert {i: found[i].licence for i in range(1, 8)} == {1: "MIT", 2: "GPL-3.0", 3: "GPL-3.0", 4: "GPL-3.0", 5: None, 6: "MIT", 7: None}
     assert found[2].granted_by == found[4].granted_by == "a/b" and found[6].granted_by is None and not found[6].grants
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Many languages, each of its own letters; with a shuffle in place of the broadcast, too."""
+    rng = random.Random(9)
+    alphabet = [chr(c) for c in range(0x3B1, 0x3C9)] + [chr(c) for c in range(0x430, 0x450)] + [chr(c) for c in range(97, 123)]
+    letters = {f"l{n}": rng.sample(alphabet, 4) for n in range(230)}
+    rows = [(n, " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(30)), lang) for n, (lang, own) in enumerate((x for x in letters.items() for _ in range(3)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for most in (100_000, 10):
+        monkeypatch.setattr(language_id, "BROADCAST_LANGUAGES", most)
+        model = language_id.fit(df)
+        assert set(model.languages) == set(letters)
+    right = language_id.predict(df, model, carry=["doc_id", "lang"]).where("lang = lang_pred").count()
+    assert right > 0.95 * len(rows)
