@@ -17,9 +17,13 @@ from meterloom.operators.canonical import append_new, winner
 
 
 def _held(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What was appended; nothing where nothing was yet. Any other fault in reading it is an error: a ledger
+    that only seems empty would get everything again."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -31,23 +35,37 @@ def rejected(df: DataFrame, now: Column, *, time: str, required: Sequence[str],
     return F.when(F.col(time) > now + F.expr(f"INTERVAL {ahead_minutes} MINUTES"), "clock_ahead").otherwise(reason)
 
 
-def appender(path: str, quarantine: str, *, revision: Sequence[str], required: Sequence[str], time: str, now: Callable[[], Column] = F.current_timestamp) -> Callable[[DataFrame, int], None]:
+#: Column by whose values the ledger is laid out, a folder for each.
+PART = "_part"
+
+
+def appender(path: str, quarantine: str, *, revision: Sequence[str], required: Sequence[str], time: str, now: Callable[[], Column] = F.current_timestamp, parts: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: bad rows go to quarantine, revisions that aren't held yet to path. A batch
-    that is tried again appends nothing twice."""
+    that is tried again appends nothing twice. The ledger lies in `parts` folders by a hash of the revision,
+    and a batch reads those that it touches."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        marked = batch.withColumn("reason", rejected(batch, now(), time=time, required=required)).persist()
+        marked = batch.withColumn("reason", rejected(batch, now(), time=time, required=required)).withColumn(PART, F.pmod(F.xxhash64(*revision), F.lit(parts)).cast("int")).persist()
         try:
-            marked.where("reason IS NOT NULL").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+            marked.where("reason IS NOT NULL").drop(PART).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
             good = marked.where("reason IS NULL").drop("reason")
-            append_new(_held(spark, path, batch.schema), good, revision).write.mode("append").parquet(path)
+            touched = [row[0] for row in good.select(PART).distinct().collect()]  # no more than `parts`
+            held = _held(spark, path, good.schema).where(F.col(PART).isin(touched))
+            append_new(held, good, revision).write.mode("append").partitionBy(PART).parquet(path)
         finally:
             marked.unpersist()
 
     return append
 
 
+def released(spark: SparkSession, quarantine: str, now: Column, *, time: str, required: Sequence[str]) -> DataFrame:
+    """Rows of the quarantine for which no reason stands any more, say since the clock has caught up, as they came:
+    to be appended once more, which adds none twice."""
+    rows = spark.read.parquet(quarantine).drop("reason", "batch_id", "batch")
+    return rows.where(rejected(rows, now, time=time, required=required).isNull())
+
+
 def start(stream: DataFrame, append: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Everything that is available now, in batches, then an end."""
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -56,6 +74,7 @@ def start(stream: DataFrame, append: Callable[[DataFrame, int], None], checkpoin
 def winners(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column | str], touched: DataFrame | None = None) -> DataFrame:
     """Winners of the appended revisions, of the touched keys alone where they are given."""
     held = spark.read.parquet(path)
+    held = held.drop(PART)
     if touched is not None:
         held = held.join(touched.select(*keys).distinct(), list(keys), "left_semi")
     return winner(held, keys, order)

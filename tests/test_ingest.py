@@ -25,6 +25,8 @@ def test_stream_is_the_batch_whatever_the_order(spark, tmp_path):
         found.append(sorted(map(tuple, ingest.winners(spark, f"{base}/bronze", ["key"], ["calls", "observed_at", "hash"]).collect())))
         assert spark.read.parquet(f"{base}/bronze").count() == 3
         assert sorted(r.reason for r in spark.read.parquet(f"{base}/bad").collect()) == ["clock_ahead", "missing_key"]
+    later = ingest.released(spark, f"{base}/bad", F.lit("3000-01-01").cast("timestamp"), time="observed_at", required=["key"])
+    assert [(r.key, r.hash) for r in later.collect()] == [("c", "h9")]
     batch = spark.createDataFrame(ROWS[:3], "key string, hash string, calls bigint, observed_at string").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     assert found[0] == found[1] == sorted(map(tuple, winner(batch, ["key"], ["calls", "observed_at", "hash"]).collect()))
 
@@ -62,3 +64,25 @@ def test_otlp(spark, tmp_path):
     assert problems.count() == 1
     assert (found["1"].run_id, found["1"].kind, found["1"].tokens_in, found["1"].end_ms - found["1"].start_ms) == ("c", "model", 7, 1500)
     assert (found["2"].run_id, found["2"].kind, found["2"].name, found["2"].status, found["2"].end_ms) == ("t", "tool", "grep", "error", None)
+
+
+def test_a_ledger_that_cannot_be_read_is_an_error(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    (tmp_path / "bronze").mkdir()
+    (tmp_path / "bronze" / "x.parquet").write_text("no parquet")
+    append = ingest.appender(str(tmp_path / "bronze"), str(tmp_path / "bad"), revision=["key"], required=["key"], time="observed_at")
+    rows = spark.createDataFrame([("a", "h", 1, None)], SCHEMA)
+    with pytest.raises(Exception) as raised:
+        append(rows, 0)
+    assert not isinstance(raised.value, AnalysisException) or raised.value.getCondition() != "PATH_NOT_FOUND"
+
+
+def test_a_failure_outweighs_a_later_result(spark, tmp_path):
+    use = {"type": "tool_use", "id": "t1", "name": "read", "input": {}}
+    result = lambda error: {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": "x", "is_error": error}]}
+    lines = [_line("assistant", 1, {"id": "m1", "model": "m", "content": [use]}), _line("user", 2, result(True)), _line("user", 3, result(False))]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    rows, _ = sessions.parsed(sessions.lines(spark, str(tmp_path)), sessions.SESSION_LINE)
+    assert {r.event_id: r.status for r in sessions.session_events(rows).collect()}["t1"] == "error"
