@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame, name: str) -> DataFrame:
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """df cut from its lineage in the folder that driver and executors share; one of our own serves a local
     session alone."""
     context = df.sparkSession.sparkContext
@@ -21,7 +21,7 @@ def _checkpointed(df: DataFrame, name: str) -> DataFrame:
     return df.checkpoint()
 
 
-def components(links: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = _checkpointed) -> DataFrame:
+def components(links: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = checkpointed) -> DataFrame:
     """node and root (the smallest node of its component) for every node of links (a, b).
 
     In turns, each node ties its larger neighbours, then its smaller ones and itself, to the least

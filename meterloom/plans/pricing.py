@@ -56,9 +56,11 @@ def price_rows(spark, sf_dir):
         CAST(sum(CAST(price AS DECIMAL(18,6))) AS DOUBLE) AS price, count(*) FILTER (WHERE reason IS NOT NULL) AS unpriced
     FROM r GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())""")
 def price_marginals(spark, sf_dir):
-    lines, a, b = _lines(spark, sf_dir), F.col("l_returnflag"), F.col("l_linestatus")
-    grouped = lines.groupingSets([[a, b], [a], [b], []], a, b)
-    return grouped.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("calls"), aggregates.exact_sum("price").alias("price"), F.count_if(F.col("reason").isNotNull()).alias("unpriced"))
+    """Lines are reduced to the finest groups first; those few rows alone are spread over the marginals."""
+    a, b = F.col("l_returnflag"), F.col("l_linestatus")
+    finest = _lines(spark, sf_dir).groupBy(a, b).agg(F.count("*").alias("calls"), F.sum(F.col("price").cast("decimal(18,6)")).alias("price"), F.count_if(F.col("reason").isNotNull()).alias("unpriced"))
+    grouped = finest.groupingSets([[a, b], [a], [b], []], a, b)
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), F.sum("calls").alias("calls"), F.sum("price").cast("double").alias("price"), F.sum("unpriced").alias("unpriced"))
 
 
 @query("""SELECT p_brand, p_type, count(*) AS parts, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(q) AS DOUBLE) AS quantity FROM

@@ -146,14 +146,18 @@ def union_ledgers(spark, sf_dir):
     return one.unionByName(two)
 
 
-@query("""WITH l AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS lines FROM lineitem GROUP BY 1)
-    SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS ordered, CAST(sum(CAST(lines AS DECIMAL(18,2))) AS DOUBLE) AS shipped,
-        count(*) FILTER (WHERE lines IS NULL) AS uncovered FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_custkey""")
+@query("""WITH l AS (SELECT o_custkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS covered, count(*) AS requests FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F' AND l_returnflag = 'R' GROUP BY 1),
+    u AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS reported, count(*) AS buckets FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+    SELECT o_custkey, reported, buckets, covered, requests, reported - covered AS unattributed FROM u FULL JOIN l USING (o_custkey)""")
 def reconcile(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(aggregates.exact_sum("l_extendedprice", 2).alias("lines"))
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").groupBy("o_custkey").agg(
-        aggregates.exact_sum("o_totalprice", 2).alias("ordered"), aggregates.exact_sum("lines", 2).alias("shipped"), F.count_if(F.col("lines").isNull()).alias("uncovered")
-    )
+    """What an account reports less what its requests cover; null where either side is not told, never a guess."""
+    orders = table(spark, sf_dir, "orders")
+    covered = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F' AND l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("covered"), F.count("*").alias("requests"))
+    joined = orders.join(covered, "o_orderkey", "left")
+    reported = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("decimal(18,2)"))
+    found = joined.groupBy("o_custkey").agg(F.sum(reported).cast("double").alias("reported"), F.count(reported).alias("buckets"), F.sum("covered").cast("double").alias("covered"), F.sum("requests").alias("requests"))
+    told = found.where("buckets > 0 OR requests IS NOT NULL").withColumn("buckets", F.when(F.col("buckets") > 0, F.col("buckets")))
+    return told.withColumn("unattributed", F.col("reported") - F.col("covered"))
 
 
 @query("""SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'P') AS last_pending FROM orders GROUP BY o_custkey""")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions.numbers import tolerant_int
 from meterloom.functions.text import canonical_json
+from meterloom.operators.components import checkpointed
 from meterloom.sources.sessions import EVENT_COLUMNS, shaped
 
 #: Fixed values of the observation export: types, and names under which it tells tools and cached tokens.
@@ -145,7 +146,8 @@ def ancestors(starts: DataFrame, tree: DataFrame, most: int = 32) -> DataFrame:
     found = front
     for _ in range(most):
         up = front.join(edges, ["trace", "id"]).where("parent IS NOT NULL").select("trace", F.col("parent").alias("id")).distinct().join(edges.select("trace", "id"), ["trace", "id"], "left_semi")
-        front = up.join(found, ["trace", "id"], "left_anti").checkpoint()
+        front = up.join(found, ["trace", "id"], "left_anti")
+        front = checkpointed(front, "ancestors")
         if front.isEmpty():
             return found
         found = found.union(front)
