@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterloom.plans import allowance, content, estimates, evidence, forecast, ledger, pages, pricing, rates, requests, revisions, scalars, series, settings_diff, traces, usage  # noqa: F401  they register their queries
+from meterloom.plans import allowance, collector, content, estimates, evidence, forecast, ledger, pages, pricing, rates, requests, revisions, scalars, series, settings_diff, traces, usage  # noqa: F401  they register their queries
 from meterloom.plans.registry import QUERIES, SQL
 
 
