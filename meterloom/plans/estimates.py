@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterloom.functions import numbers, periods
 from meterloom.operators.canonical import winner
 from meterloom.plans.registry import query, table
-from meterloom.plans.requests import BUCKETS_SQL, REQUESTS_SQL, ZONE, month_population
+from meterloom.plans.requests import BUCKETS_SQL, REQUESTS_SQL, ZONE, account_months
 
 #: Fixed values of the method: Wh a call, millilitres and litres, kilograms, and what they are compared with.
 THRESHOLD_TOKENS = 50_000
@@ -55,7 +55,7 @@ def cohorts(months: DataFrame) -> DataFrame:
 def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole months, heavier for some accounts, of which calls after a day are selected."""
     weight = F.substring("account_id", 6, 1).cast("int") + 1
-    whole = month_population(spark, sf_dir).withColumn("raw_tokens", F.col("raw_tokens") * weight)
+    whole = account_months(spark, sf_dir).withColumn("raw_tokens", F.col("raw_tokens") * weight)
     return whole.withColumn("selected_calls", F.floor(F.col("calls") / 2))
 
 

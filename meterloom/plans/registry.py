@@ -10,6 +10,8 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(function):
+        if function.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {function.__name__}")
         QUERIES[function.__name__] = function
         if sql:
             SQL[function.__name__] = sql

@@ -330,7 +330,7 @@ def bucket_pricing_rows(spark, sf_dir):
 
 
 @query(f"""WITH {REQUESTS_SQL}, {BUCKETS_SQL} SELECT account_id, strftime(hour AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}', '%Y-%m') AS month, CAST(sum(calls) AS DOUBLE) AS calls, CAST(sum(total_tokens) AS DOUBLE) AS raw_tokens FROM buckets GROUP BY ALL""")
-def month_population(spark, sf_dir):
+def account_months(spark, sf_dir):
     by = fixture_buckets(spark, sf_dir).groupBy("account_id", periods.local_month("hour", ZONE).alias("month"))
     return by.agg(F.sum("calls").cast("double").alias("calls"), F.sum("total_tokens").cast("double").alias("raw_tokens"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meterloom.functions import periods
+from meterloom.functions import periods, text
 from meterloom.operators import aggregates, sequences
 from meterloom.plans.registry import query, table
 
@@ -156,3 +156,39 @@ def freshness(spark, sf_dir):
 @query("SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_path(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT user_id AS account, event_type AS model, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS calls, count(*) FILTER (WHERE value > 200) AS late FROM events GROUP BY ALL)
+    SELECT account, model, CAST(hour AT TIME ZONE 'UTC' AT TIME ZONE 'America/Chicago' AS DATE) AS day, CAST(sum(calls) AS BIGINT) AS calls, count(*) AS buckets, count(*) FILTER (WHERE late > 0) AS partial_buckets, max(hour) AS last_hour FROM b GROUP BY ALL""")
+def bucket_series(spark, sf_dir):
+    """Buckets of an account and model by local day, and how many of them are still being written."""
+    hours = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("account"), F.col("event_type").alias("model"), periods.hour("ts").alias("hour")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 200).alias("late"))
+    by = hours.groupBy("account", "model", periods.local_day("hour", "America/Chicago").alias("day"))
+    return by.agg(F.sum("calls").alias("calls"), F.count("*").alias("buckets"), F.count_if(F.col("late") > 0).alias("partial_buckets"), F.max("hour").alias("last_hour"))
+
+
+@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-19 15:00:00' AND ts < TIMESTAMP '2024-01-20 15:00:00' GROUP BY ALL)
+    SELECT user_id, CAST(sum(n) AS BIGINT) AS last_24h, CAST(coalesce(sum(n) FILTER (WHERE hour >= TIMESTAMP '2024-01-20 09:00:00'), 0) AS BIGINT) AS last_6h, coalesce(sum(n) FILTER (WHERE hour >= TIMESTAMP '2024-01-20 09:00:00'), 0) / 6.0::DOUBLE AS mean_6h FROM h GROUP BY user_id""")
+def recent_hours(spark, sf_dir):
+    """The last 24 complete hours before half past three, and the mean of the last six; hours without rows count."""
+    now = F.lit("2024-01-20 15:30:00").cast("timestamp_ntz")
+    end = F.date_trunc("hour", now).cast("timestamp_ntz")
+    back = lambda hours: end - F.expr(f"INTERVAL {hours} HOURS")
+    rows = table(spark, sf_dir, "events").where((F.col("ts") >= back(24)) & (F.col("ts") < end))
+    six = F.count_if(F.col("ts") >= back(6))
+    return rows.groupBy("user_id").agg(F.count("*").alias("last_24h"), six.alias("last_6h"), (six / F.lit(6.0)).alias("mean_6h"))
+
+
+@query("""WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, count(*) AS n, max(value) FILTER (WHERE k = ceil(n * 0.5)) AS p50, max(value) FILTER (WHERE k = ceil(n * 0.9)) AS p90, arg_max(event_id, (value, event_id)) AS slowest FROM r GROUP BY event_type""")
+def slowest_calls(spark, sf_dir):
+    """Percentiles of each kind, and the event that took longest."""
+    events = table(spark, sf_dir, "events")
+    ranks = aggregates.nearest_rank(events, ["event_type"], "value", [("p50", 0.5), ("p90", 0.9)])
+    return ranks.join(events.groupBy("event_type").agg(F.max_by("event_id", F.struct("value", "event_id")).alias("slowest")), "event_type")
+
+
+@query("""SELECT doc_id, substr(trim(regexp_replace(text, '[\\x00-\\x1F\\x7F-\\x9F\\x{00AD}\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{FEFF}]', '', 'g'), ' '), 1, 120) AS shown FROM documents""")
+def display_names(spark, sf_dir):
+    """Names as they may be shown: no control, format or line-separator characters, trimmed, 120 code points."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.display("text").alias("shown"))

@@ -434,3 +434,41 @@ def rule_coverage(spark, sf_dir):
 def connected_components(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_partkey % 3 = 0 AND l_partkey % 7 > 0")
     return components(lines.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") - F.col("l_partkey") % 7).alias("b")))
+
+
+#: Fields of events and the kinds that they apply to.
+APPLICABLE = {"model": ("model",), "token_basis": ("model",), "tokens_in": ("model",), "name": ("tool", "model"), "args_hash": ("tool",), "result_hash": ("tool",), "result_bytes": ("tool",)}
+
+
+def field_states(events: DataFrame) -> DataFrame:
+    """run_id, field and state of each field: present, partial or absent over the events that it applies to, null
+    where a run has none of these."""
+    counts = []
+    for name, kinds in APPLICABLE.items():
+        own = F.col("kind").isin(*kinds)
+        counts += [F.count_if(own).alias(f"n_{name}"), F.count_if(own & F.col(name).isNotNull()).alias(f"h_{name}")]
+    held = events.groupBy("run_id").agg(*counts)
+    state = lambda c: F.when(F.col(f"h_{c}") == F.col(f"n_{c}"), F.when(F.col(f"n_{c}") > 0, "present")).when(F.col(f"h_{c}") == 0, "absent").otherwise("partial")
+    return held.select("run_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), state(c).alias("state")) for c in APPLICABLE])))
+
+
+@query(f"WITH {EVENTS_SQL}, " + """f AS (""" + " UNION ALL ".join(f"SELECT run_id, '{c}' AS field, count(*) FILTER (WHERE kind IN ({', '.join(repr(k) for k in kinds)})) AS n, count({c}) FILTER (WHERE kind IN ({', '.join(repr(k) for k in kinds)})) AS h FROM ev GROUP BY run_id" for c, kinds in APPLICABLE.items()) + """)
+    SELECT run_id, field, CASE WHEN h = n THEN CASE WHEN n > 0 THEN 'present' END WHEN h = 0 THEN 'absent' ELSE 'partial' END AS state FROM f""")
+def event_coverage(spark, sf_dir):
+    return field_states(fixture(spark, sf_dir))
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """One row a run of those that several files tell (run_id, file, format, conversation, started, ended): the first
+    file's format and conversation, the widest span, all files, and what the files disagree on."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("file"))).alias(c)
+    differ = lambda c: F.when(F.count_distinct(c) > 1, F.lit(c))
+    return runs.groupBy("run_id").agg(first("format"), first("conversation"), F.min("started").alias("started"), F.max("ended").alias("ended"), F.array_sort(F.collect_set("file")).alias("files"), F.array_compact(F.array(differ("format"), differ("conversation"))).alias("conflicts"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS run_id, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS file, o_orderstatus AS format, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS conversation, o_orderdate AS started, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 1 HOUR END AS ended FROM orders)
+    SELECT run_id, arg_min(format, file) AS format, arg_min(conversation, file) AS conversation, min(started) AS started, max(ended) AS ended, string_agg(file, ',' ORDER BY file) AS files, concat_ws(',', CASE WHEN count(DISTINCT format) > 1 THEN 'format' END, CASE WHEN count(DISTINCT conversation) > 1 THEN 'conversation' END) AS conflicts FROM r GROUP BY run_id""")
+def run_merge(spark, sf_dir):
+    order = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.lpad(order.cast("string"), 9, "0").alias("file"), F.col("o_orderstatus").alias("format"), F.when(order % 3 > 0, F.col("o_orderpriority")).alias("conversation"), F.col("o_orderdate").alias("started"), F.when(order % 2 == 0, F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("ended"))
+    return merged_runs(rows).withColumn("files", F.array_join("files", ",")).withColumn("conflicts", F.array_join("conflicts", ","))
