@@ -175,7 +175,7 @@ def two_readers(spark, sf_dir):
 
 @query("""WITH q AS (SELECT user_id, ts, value, event_id, event_id % 4 = 0 AS disabled FROM events WHERE event_id % 2 = 0), r AS (SELECT user_id, ts, value, event_id, user_id % 5 > 0 AS enabled FROM events WHERE event_id % 6 = 0 OR event_id % 2 = 1),
     o AS (SELECT user_id, 'samples' AS origin, disabled AS history_only, EXISTS (SELECT 1 FROM r WHERE r.user_id = q.user_id AND r.ts = q.ts AND r.value = q.value AND (q.disabled OR r.enabled)) AS duplicate, ts FROM q UNION ALL SELECT user_id, 'readings', NOT enabled, false, ts FROM r)
-    SELECT user_id, origin, count(*) AS rows, count(*) FILTER (WHERE history_only) AS history_only_rows, count(*) FILTER (WHERE duplicate) AS cross_ledger_duplicates, count(*) FILTER (WHERE NOT history_only) AS visible_before, count(*) FILTER (WHERE NOT duplicate) AS visible_after, min(ts) AS first_observed, max(ts) AS last_observed FROM o GROUP BY 1, 2""")
+    SELECT user_id, origin, count(*) AS n_rows, count(*) FILTER (WHERE history_only) AS history_only_rows, count(*) FILTER (WHERE duplicate) AS cross_ledger_duplicates, count(*) FILTER (WHERE NOT history_only) AS visible_before, count(*) FILTER (WHERE NOT duplicate) AS visible_after, min(ts) AS first_observed, max(ts) AS last_observed FROM o GROUP BY 1, 2""")
 def allowance_ledgers(spark, sf_dir):
     """Samples of the older ledger that the newer one holds as well, and what of both is seen."""
     events = table(spark, sf_dir, "events")
@@ -186,7 +186,7 @@ def allowance_ledgers(spark, sf_dir):
     old = samples.join(facts, ["user_id", "ts", "value"], "left").select("user_id", F.lit("samples").alias("origin"), "history_only", twice.alias("duplicate"), "ts")
     both = old.unionByName(readings.select("user_id", F.lit("readings").alias("origin"), (~F.col("enabled")).alias("history_only"), F.lit(False).alias("duplicate"), "ts"))
     return both.groupBy("user_id", "origin").agg(
-        F.count("*").alias("rows"), F.count_if("history_only").alias("history_only_rows"), F.count_if("duplicate").alias("cross_ledger_duplicates"), F.count_if(~F.col("history_only")).alias("visible_before"), F.count_if(~F.col("duplicate")).alias("visible_after"), F.min("ts").alias("first_observed"), F.max("ts").alias("last_observed")
+        F.count("*").alias("n_rows"), F.count_if("history_only").alias("history_only_rows"), F.count_if("duplicate").alias("cross_ledger_duplicates"), F.count_if(~F.col("history_only")).alias("visible_before"), F.count_if(~F.col("duplicate")).alias("visible_after"), F.min("ts").alias("first_observed"), F.max("ts").alias("last_observed")
     )
 
 

@@ -134,11 +134,11 @@ TIERS = ("short", "exhausted", "tight", "steady", "history")
 
 
 def urgency(outlooks: DataFrame) -> DataFrame:
-    """outlooks with tier and left (what remains at the reset): short of allowance before the reset first,
+    """outlooks with tier and remains (what is left at the reset): short of allowance before the reset first,
     then used up, tight, steady; a key without a current reading is history."""
     left = F.when(F.col("projected").isNotNull(), 100 - F.col("projected"))
-    tier = F.when(F.col("used").isNull(), "history").when((F.col("left") < 0) & (F.col("remaining") > 0), "short").when(F.col("remaining") <= 0, "exhausted").when(F.coalesce("left", "remaining") < TIGHT_REMAINING, "tight").otherwise("steady")
-    return outlooks.withColumn("left", left).withColumn("tier", tier)
+    tier = F.when(F.col("used").isNull(), "history").when((F.col("remains") < 0) & (F.col("remaining") > 0), "short").when(F.col("remaining") <= 0, "exhausted").when(F.coalesce("remains", "remaining") < TIGHT_REMAINING, "tight").otherwise("steady")
+    return outlooks.withColumn("remains", left).withColumn("tier", tier)
 
 
 def by_urgency(rows: DataFrame, *last: str) -> list[Column]:
@@ -146,7 +146,7 @@ def by_urgency(rows: DataFrame, *last: str) -> list[Column]:
     the others, the sooner reset, and the columns named last."""
     rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
     end = F.when(F.col("tier") == "short", _micros("time") / 3.6e9 + F.col("exhausted_in"))
-    return [rank, F.asc_nulls_last(end), F.asc_nulls_last(F.coalesce("left", "remaining")), F.asc_nulls_last("reset"), *map(F.asc, last)]
+    return [rank, F.asc_nulls_last(end), F.asc_nulls_last(F.coalesce("remains", "remaining")), F.asc_nulls_last("reset"), *map(F.asc, last)]
 
 
 NOW = "2024-01-31 12:00:00"
@@ -218,15 +218,15 @@ def quota_outlook(spark, sf_dir):
     return _outlook(spark, sf_dir)
 
 
-@query(f"""WITH {_OUTLOOK_SQL}, u AS (SELECT user_id, time, reset, used, remaining, exhausted_in, CASE WHEN projected IS NOT NULL THEN 100 - projected END AS "left" FROM ol),
-    t AS (SELECT *, CASE WHEN "left" < 0 AND remaining > 0 THEN 'short' WHEN remaining <= 0 THEN 'exhausted' WHEN coalesce("left", remaining) < 20 THEN 'tight' ELSE 'steady' END AS tier FROM u)
-    SELECT user_id, tier, "left", CAST(row_number() OVER (ORDER BY CASE tier WHEN 'short' THEN 0 WHEN 'exhausted' THEN 1 WHEN 'tight' THEN 2 ELSE 3 END, CASE WHEN tier = 'short' THEN epoch_us(time) / 3.6e9 + exhausted_in END NULLS LAST, coalesce("left", remaining) NULLS LAST, reset, user_id) AS INTEGER) AS place
+@query(f"""WITH {_OUTLOOK_SQL}, u AS (SELECT user_id, time, reset, used, remaining, exhausted_in, CASE WHEN projected IS NOT NULL THEN 100 - projected END AS remains FROM ol),
+    t AS (SELECT *, CASE WHEN remains < 0 AND remaining > 0 THEN 'short' WHEN remaining <= 0 THEN 'exhausted' WHEN coalesce(remains, remaining) < 20 THEN 'tight' ELSE 'steady' END AS tier FROM u)
+    SELECT user_id, tier, remains, CAST(row_number() OVER (ORDER BY CASE tier WHEN 'short' THEN 0 WHEN 'exhausted' THEN 1 WHEN 'tight' THEN 2 ELSE 3 END, CASE WHEN tier = 'short' THEN epoch_us(time) / 3.6e9 + exhausted_in END NULLS LAST, coalesce(remains, remaining) NULLS LAST, reset, user_id) AS INTEGER) AS place
     FROM t QUALIFY place <= 25""")
 def urgency_tiers(spark, sf_dir):
     """The 25 most urgent windows: one sorted list that is cut, so each task sends no more than that."""
     told = urgency(_outlook(spark, sf_dir))
     first = told.orderBy(*by_urgency(told, "user_id")).limit(25)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*by_urgency(first, "user_id")))).select("user_id", "tier", "left", "place")
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*by_urgency(first, "user_id")))).select("user_id", "tier", "remains", "place")
 
 
 def calibrations(readings: DataFrame, keys: Sequence[str], local: DataFrame, *, least_hours: float = 2.0, least_readings: int = 3, least_points: float = 3.0, gap_hours: float = GAP_HOURS) -> DataFrame:

@@ -136,7 +136,7 @@ def marginals(rows: DataFrame) -> DataFrame:
     a, b, c = F.col("model"), F.col("effort"), F.col("tier")
     agg = [*[F.sum(x).alias(x) for x in (*SUMS, *COSTS, *REASONS)], F.array_sort(F.array_distinct(F.flatten(F.collect_list("pricing_tiers")))).alias("pricing_tiers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rate_versions")))).alias("rate_versions")]
     found = cross.groupingSets([[a, b, c], [a], [b], [c]], a, b, c).agg(F.grouping_id().alias("level"), *agg)
-    return finished(found).select(*[F.coalesce(x, F.lit("*")).alias(x) for x in ("model", "effort", "tier")], F.element_at(F.create_map(F.lit(0), F.lit("all"), F.lit(3), F.lit("model"), F.lit(5), F.lit("effort"), F.lit(6), F.lit("tier")), F.col("level").cast("int")).alias("by"), *SUMS, *COSTS, "cost", *REASONS, F.array_join("pricing_tiers", ",").alias("pricing_tiers"), F.array_join("rate_versions", ",").alias("rate_versions"))
+    return finished(found).select(*[F.coalesce(x, F.lit("*")).alias(x) for x in ("model", "effort", "tier")], F.element_at(F.create_map(F.lit(0), F.lit("all"), F.lit(3), F.lit("model"), F.lit(5), F.lit("effort"), F.lit(6), F.lit("tier")), F.col("level").cast("int")).alias("marginal"), *SUMS, *COSTS, "cost", *REASONS, F.array_join("pricing_tiers", ",").alias("pricing_tiers"), F.array_join("rate_versions", ",").alias("rate_versions"))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,7 @@ _REASON_SQL = ", ".join(f"CAST(coalesce(sum(unpriced_tokens) FILTER (WHERE reaso
 _LIST_SQL = "coalesce(string_agg(DISTINCT pt, ',' ORDER BY pt), '') AS pricing_tiers, coalesce(string_agg(DISTINCT version, ',' ORDER BY version), '') AS rate_versions"
 
 
-@query(f"""WITH {_PRICED_SQL} SELECT coalesce(model, '*') AS model, coalesce(effort, '*') AS effort, coalesce(tier, '*') AS tier, CASE grouping_id(model, effort, tier) WHEN 0 THEN 'all' WHEN 3 THEN 'model' WHEN 5 THEN 'effort' ELSE 'tier' END AS "by",
+@query(f"""WITH {_PRICED_SQL} SELECT coalesce(model, '*') AS model, coalesce(effort, '*') AS effort, coalesce(tier, '*') AS tier, CASE grouping_id(model, effort, tier) WHEN 0 THEN 'all' WHEN 3 THEN 'model' WHEN 5 THEN 'effort' ELSE 'tier' END AS marginal,
     {_SUM_SQL}, {_COST_SQL}, {_WHOLE_SQL}, {_REASON_SQL}, {_LIST_SQL} FROM p GROUP BY GROUPING SETS ((model, effort, tier), (model), (effort), (tier))""")
 def usage_prices(spark, sf_dir):
     return marginals(_rows(spark, sf_dir))
