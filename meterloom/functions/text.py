@@ -10,9 +10,9 @@ LEAST_BYTES = 16
 
 _KEY_NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|credential"
 
-#: Name, pattern, replacement, in the order in which they apply: the reference's seven in its order, before
-#: the last of them the forms for which the query's SQL has texts of its own, and e-mail at the end. What
-#: stands before a name stays as it is, so the last pattern does not have to read it.
+#: Name, pattern, replacement, in the order in which they apply. Behind the seven kinds of credentials
+#: stand two of our own, keys of other prefixes and e-mail. What stands before a name stays as it is, so the
+#: field pattern does not have to read it.
 SECRETS = (
     ("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|(?=\n?\z))", "[REDACTED:private-key]"),
     ("bearer", r"(?iU)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED:bearer]"),
@@ -20,9 +20,8 @@ SECRETS = (
     ("github-token", r"(?U)\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", "[REDACTED:github-token]"),
     ("slack-token", r"(?U)\bxox[abprs]-[A-Za-z0-9-]{8,}\b", "[REDACTED:slack-token]"),
     ("api-key", r"(?U)\bsk-[A-Za-z0-9_-]{8,}\b", "[REDACTED:api-key]"),
-    ("key", r"\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{8,}", "[key]"),
-    ("assigned", r"(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[=:]\s*\S+", "[secret]"),
     ("secret-field", rf"(?iU)((?:{_KEY_NAMES})[A-Za-z0-9_-]*+[\"']?\s*[:=]\s*[\"']?)(?!\[REDACTED)[^\"'\s,;&}}\]]+", "$1[REDACTED]"),
+    ("key", r"\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{8,}", "[key]"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
 )
 
@@ -36,6 +35,13 @@ def fingerprint(column: str | Column) -> Column:
     return F.when(F.octet_length(column) >= LEAST_BYTES, F.sha2(column, 256))
 
 
+def value_hash(variant: Column) -> Column:
+    """sha256 of a value in canonical JSON, in which a string and what it spells differ; null where that is short,
+    as for empty values."""
+    text = F.to_json(variant)
+    return F.when(F.octet_length(text) >= LEAST_BYTES, F.sha2(text, 256))
+
+
 def redacted(column: str | Column, length: int = 200) -> Column:
     """Secrets replaced first, cut to length after. Texts without any beginning of one go by all patterns."""
     column = F.col(column) if isinstance(column, str) else column
@@ -114,7 +120,7 @@ def shown_namespace(space: Column, label: Column, prefix: str = "codex_apps:") -
     """A namespace as it reads: a connector by its app, a hash without a label cut short."""
     told = F.coalesce(label, space)
     connector = F.startswith(told, F.lit(prefix)) & (F.length(told) > len(prefix))
-    return F.when(connector, F.concat(F.substring(told, len(prefix) + 1, 1_000_000), F.lit(" (connector)"))).when(label.isNull() & space.rlike("^h:[a-f0-9]{16}$"), F.concat(F.substring(space, 1, 6), F.lit("\u2026"))).otherwise(told)
+    return F.when(connector, F.concat(F.substring(told, F.lit(len(prefix) + 1), F.length(told)), F.lit(" (connector)"))).when(label.isNull() & space.rlike("^h:[a-f0-9]{16}$"), F.concat(F.substring(space, 1, 6), F.lit("\u2026"))).otherwise(told)
 
 
 _PART = r"(?i)\s*\((?:\d+\s*/\s*\d+|cont(?:inued|'d|\.)?)\)\s*$"
@@ -149,13 +155,13 @@ def normal_path(column: str | Column, *, home: Column | None = None, base: Colum
     windows = value.rlike("^[A-Za-z]:/")
     whole = (
         F.when((value == "") | value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]+://") | value.rlike(r"[$%]"), nothing)
-        .when(value.rlike("^~(?:/|$)"), below(home, F.substring(value, 3, 1_000_000)))
+        .when(value.rlike("^~(?:/|$)"), below(home, F.substring(value, F.lit(3), F.length(value))))
         .when(F.startswith(value, F.lit("~")), nothing)
         .when(windows | F.startswith(value, F.lit("/")), value)
         .otherwise(below(base, value))
     )
     drive = F.regexp_extract(whole, "^[A-Za-z]:", 0)
-    parts = F.filter(F.split(F.substring(whole, F.length(drive) + 1, F.lit(1_000_000)), "/"), lambda p: ~p.isin("", "."))
+    parts = F.filter(F.split(F.substring(whole, F.length(drive) + 1, F.length(whole)), "/"), lambda p: ~p.isin("", "."))
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda held, p: F.when(p == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.array_append(held, p)))
     joined = F.concat(drive, F.lit("/"), F.array_join(kept, "/"))
     return F.when(drive != "", F.lower(joined)).otherwise(joined)

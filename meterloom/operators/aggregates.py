@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.operators.joins import null_safe_join
+
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Null where the denominator is not positive."""
@@ -32,7 +34,7 @@ def at_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: Sequence[tu
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", ends, accuracy).alias("ends"))
     many = F.col("n") > accuracy
     marks = [F.struct(F.lit(i).alias("i"), rank(F.col("n")).cast("bigint").alias("rank"), F.when(many, F.col("ends")[2 * i]).alias("lo"), F.when(many, F.col("ends")[2 * i + 1]).alias("hi")) for i, (_, _, rank) in enumerate(wanted)]
-    marked = rows.join(found.select(*keys, "n", F.array(*marks).alias("marks")), list(keys))
+    marked = null_safe_join(rows, found.select(*keys, "n", F.array(*marks).alias("marks")), keys, "inner")
     placed = F.transform(F.filter("marks", lambda m: m["hi"].isNull() | (F.col("_v") <= m["hi"])), lambda m: F.struct(m["i"].alias("i"), m["rank"].alias("rank"), F.when(m["lo"].isNull() | (F.col("_v") >= m["lo"]), F.col("_v")).alias("v")))
     counted = marked.select(*keys, "n", F.inline(placed)).groupBy(*keys, "n", "i", "rank", "v").agg(F.count("*").alias("times"))
     upto = F.sum("times").over(Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))

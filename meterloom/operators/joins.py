@@ -18,10 +18,9 @@ def latest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order: S
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """An equality join in which null matches null. right's keys are dropped."""
     renamed = right.select([F.col(c).alias(f"right_{c}") if c in keys else F.col(c) for c in right.columns])
-    condition = None
+    condition = F.lit(True)
     for c in keys:
-        equal = left[c].eqNullSafe(renamed[f"right_{c}"])
-        condition = equal if condition is None else condition & equal
+        condition = condition & F.col(c).eqNullSafe(F.col(f"right_{c}"))
     return left.join(renamed, condition, how).drop(*[f"right_{c}" for c in keys])
 
 
@@ -40,14 +39,15 @@ def overlaps(intervals: DataFrame, points: DataFrame, keys: Sequence[str], *, st
 
 
 def longest_prefix(df: DataFrame, path: str, roots: DataFrame, root: str, columns: Sequence[str], separator: str = "/") -> DataFrame:
-    """df with `columns` of the deepest root that is its path or a directory above it; null without.
+    """df with `columns` of the deepest root that is its path or a directory above it; null without. Of equal roots
+    the one with the least columns counts, from left to right.
 
     A path is compared with its own ancestors by equality, not with every root. Each distinct path is
     resolved once."""
     parts = F.split(F.col(path), separator)
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), separator).alias(root)))
     chains = df.where(F.col(path).isNotNull()).select(path).distinct().select(path, F.explode(ancestors).alias("up")).select(path, "up.*")
-    found = chains.join(roots.select(root, *[c for c in columns if c != root]), root).groupBy(path).agg(F.max_by(F.struct(*columns), "depth").alias("found"))
+    found = chains.join(roots.select(root, *[c for c in columns if c != root]), root).groupBy(path).agg(F.min_by(F.struct(*columns), F.struct((-F.col("depth")).alias("up"), *columns)).alias("found"))
     return df.join(found, path, "left").select(*df.columns, *[F.col(f"found.{c}").alias(c) for c in columns])
 
 

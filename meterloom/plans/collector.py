@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meterloom.operators.canonical import winner
 from meterloom.operators.joins import keyed_diff
+from meterloom.operators.trees import climbed
 from meterloom.plans.registry import query, table
 
 
@@ -246,19 +247,20 @@ def project_statistics(spark, sf_dir):
     return listed.join(used, "proj", "left").select("proj", F.when(F.col("active"), F.col("name")).otherwise(F.concat("name", F.lit(" (removed)"))).alias("name"), "machines", zero("requests"), zero("sessions"), zero("folders"), "last_seen")
 
 
-def descendants(tree: DataFrame, keys: Sequence[str], node: str, parent: str, most: int = 32) -> DataFrame:
-    """keys, node and how many nodes lie below it, of trees whose depth is at most `most`: a level at a time, a node's
-    children hand up what they have. Circles are left out beyond that depth."""
-    keys = list(keys)
-    edges = tree.select(*keys, F.col(node).alias("n"), F.col(parent).alias("p")).where("p IS NOT NULL")
-    reach, total = edges.select(*keys, F.col("p").alias("a"), "n"), None
-    for _ in range(most):
-        total = reach if total is None else total.unionByName(reach)
-        reach = reach.join(edges.select(*keys, F.col("n").alias("a"), F.col("p").alias("up")), [*keys, "a"]).select(*keys, F.col("up").alias("a"), "n")
-        if reach.isEmpty():
-            break
-    counted = total.groupBy(*keys, F.col("a").alias(node)).agg(F.count_distinct("n").alias("below"))
-    return tree.select(*keys, node).distinct().join(counted, [*keys, node], "left").withColumn("below", F.coalesce("below", F.lit(0)))
+def descendants(tree: DataFrame, keys: Sequence[str], node: str, parent: str) -> DataFrame:
+    """keys, node and how many nodes lie below it, however deep; below a node of a circle lies all of the circle
+    and what hangs on it."""
+    return climbed(tree, node=node, parent=parent, keys=keys).select(*keys, node, "below")
+
+
+@query("""WITH RECURSIVE t AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 600 = 0 THEN o_orderkey + 5 WHEN o_orderkey % 200 > 0 THEN o_orderkey - 1 - CASE WHEN o_orderkey % 7 = 6 THEN 1 ELSE 0 END END AS p FROM orders),
+    e AS (SELECT n, p FROM t WHERE p IN (SELECT n FROM t)), r AS (SELECT p AS a, n FROM e UNION SELECT e.p, r.n FROM r JOIN e ON e.n = r.a),
+    c AS (SELECT a, count(DISTINCT n) AS below FROM r GROUP BY a) SELECT t.n AS o_orderkey, CAST(coalesce(below, 0) AS BIGINT) AS below FROM t LEFT JOIN c ON c.a = t.n""")
+def nodes_below(spark, sf_dir):
+    """Chains of 200 orders with side branches; every third of them leads round in a circle at its top."""
+    i = F.col("o_orderkey")
+    parent = F.when(i % 600 == 0, i + 5).when(i % 200 > 0, i - 1 - F.when(i % 7 == 6, 1).otherwise(0))
+    return descendants(table(spark, sf_dir, "orders").select(i, parent.alias("parent")), [], "o_orderkey", "parent")
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn // 2 END AS p FROM conversations), r AS (SELECT conv_id, p AS a, turn AS n FROM t WHERE p IS NOT NULL AND p <> turn UNION SELECT r.conv_id, t.p, r.n FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.a WHERE t.p IS NOT NULL AND t.p <> t.turn),

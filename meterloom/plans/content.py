@@ -19,7 +19,7 @@ _SQL_SECRETS = (
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
     (r"(?i)bearer\s+[A-Za-z0-9._~+/-]{8,}=*", "[bearer]"),
     (r"\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{8,}", "[key]"),
-    (r"(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[=:]\s*\S+", "[secret]"),
+    (r"""(?i)((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|credential)[A-Za-z0-9_-]*["'']?\s*[:=]\s*["'']?)[^"''\s,;&}\]]+""", r"\1[REDACTED]"),
 )
 
 

@@ -86,8 +86,8 @@ def plausible_resets(spark, sf_dir):
 def side_winners(records: DataFrame, keys: Sequence[str], time: str, text: str) -> DataFrame:
     """The newest record of each key; of equal times the one with the smaller text."""
     kept = [c for c in records.columns if c not in keys]
-    newest = records.groupBy(*keys).agg(F.max(time).alias("_newest"))
-    return records.join(newest, list(keys)).where(F.col(time) == F.col("_newest")).groupBy(*keys).agg(F.min_by(F.struct(*kept), F.coalesce(text, F.lit(""))).alias("w")).select(*keys, "w.*")
+    order = F.struct((-F.unix_micros(F.col(time).cast("timestamp"))).alias("t"), F.coalesce(text, F.lit("")).alias("x"))
+    return records.where(F.col(time).isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(*kept), order).alias("w")).select(*keys, "w.*")
 
 
 def forward_upsert(held: DataFrame, arrived: DataFrame, keys: Sequence[str], time: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators.canonical import top_n
+from meterloom.operators.joins import null_safe_join
 from meterloom.plans.registry import query, table
 
 #: Resets this close are one; a longer gap between readings breaks a pace; so far back does a segment go.
@@ -46,7 +47,7 @@ def paced(readings: DataFrame, keys: Sequence[str], *, now: Column, cadence_minu
     half an hour and a fresh reading. Projections start at the reading, not at `now`."""
     reading = F.struct("time", "tie", "used", "reset", "minutes")
     newest = readings.groupBy(*keys).agg(F.max(reading).alias("n"))
-    near = readings.join(newest, list(keys)).where(_hours(F.col("time"), F.col("n.time")) <= span_hours)
+    near = null_safe_join(readings, newest, keys, "inner").where(_hours(F.col("time"), F.col("n.time")) <= span_hours)
     later = Window.partitionBy(*keys).orderBy(F.desc("time"), F.desc("tie"))
     after = F.lag(F.struct("used", "time")).over(later)
     broken = ~F.col("reset").eqNullSafe(F.col("n.reset")) | ~F.col("minutes").eqNullSafe(F.col("n.minutes")) | F.coalesce(F.col("used") > F.col("after.used"), F.lit(False)) | F.coalesce(_hours(F.col("time"), F.col("after.time")) > gap_hours, F.lit(False))

@@ -133,7 +133,7 @@ def _direction_rule() -> Column:
     def flag(on: str, off: str) -> Column:
         return F.when(change == "added", F.when(h == "true", on).otherwise("D-flag-default")).when(change == "removed", F.when(b == "true", off).otherwise("D-flag-default")).otherwise(F.when(h == "true", on).otherwise(off))
 
-    risky = sensitive(F.substring(key, 9, 1_000_000))
+    risky = sensitive(F.substring(key, F.lit(9), F.length(key)))
     return (
         F.when(change == "moved", "D-moved")
         .when(kind == "perm", F.concat(F.lit("D-"), of_list, F.lit("-"), change))

@@ -11,12 +11,14 @@ Windows go by run, so a task sorts whole runs; a run is what one session did.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterloom.functions.text import canonical_json, json_value
 from meterloom.operators.components import components
 from meterloom.plans.registry import query, table
 from meterloom.sources.sessions import EVENT_COLUMNS, shaped
@@ -39,16 +41,57 @@ def _by_run() -> Window:
     return Window.partitionBy("run_id").orderBy(*_ordered())
 
 
+#: Fields that two rows of one operation are compared by and give each other.
+MERGED = tuple(c for c in EVENT_COLUMNS if c not in ("run_id", "event_id", "kind", "scope", *LISTS))
+
+
+def richness(row: Column) -> Column:
+    """How much a row tells: fields that it has, but for an unknown status, namespaces of its scope and the ids it includes."""
+    told = sum((row[c].isNotNull().cast("int") for c in MERGED if not c.endswith("_label")), F.lit(0))
+    return told - (row["status"] == "unknown").cast("int").eqNullSafe(1).cast("int") + F.coalesce(F.size(F.json_object_keys(row["scope"])), F.lit(0)) + F.size(row["included"])
+
+
+def merged_scope(base: Column, other: Column) -> Column:
+    """Two scopes, objects of objects, as one: names of both levels from either, values of base where both have them."""
+    held = lambda c: F.from_json(c, "map<string,map<string,variant>>")
+    none = F.create_map().cast("map<string,map<string,variant>>")
+    inner = F.create_map().cast("map<string,variant>")
+    both = F.map_zip_with(F.coalesce(held(base), none), F.coalesce(held(other), none), lambda _, b, o: F.map_zip_with(F.coalesce(b, inner), F.coalesce(o, inner), lambda _, x, y: F.coalesce(x, y)))
+    return F.when((other == "{}") | (base == other), base).when(base == "{}", other).otherwise(canonical_json(F.to_json(both)))
+
+
+def merged_pair(a: Column, b: Column) -> Column:
+    """One row of two of the same operation: the richer one, a where they are alike, with what the other has beside.
+    An unknown status gives way to a known one."""
+
+    def onto(base: Column, other: Column) -> Column:
+        known = lambda row: F.when(row["status"] != "unknown", row["status"])
+        fields = []
+        for c in EVENT_COLUMNS:
+            if c in LISTS:
+                fields.append(F.array_distinct(F.concat(base[c], other[c])).alias(c))
+            elif c == "scope":
+                fields.append(merged_scope(base[c], other[c]).alias(c))
+            elif c == "status":
+                fields.append(F.coalesce(known(base), known(other), base[c], other[c]).alias(c))
+            elif c in MERGED:
+                fields.append(F.coalesce(base[c], other[c]).alias(c))
+            else:
+                fields.append(base[c].alias(c))
+        return F.struct(*fields)
+
+    return F.when(richness(a) >= richness(b), onto(a, b)).otherwise(onto(b, a))
+
+
 def merged(events: DataFrame) -> DataFrame:
     """One event for each set of rows of a run that share an event id, or a kind and tool call id, directly
-    or through others. Each field is that of the richest row that has it: most fields first, then order;
-    lists are joined, each value once."""
-    rows = _rooted(events)
-    filled = sum((F.col(c).isNotNull().cast("int") for c in EVENT_COLUMNS if c not in (*LISTS, "scope")), F.lit(0))
-    rank = F.struct(filled.alias("n"), -F.coalesce("start_ms", F.lit(2**62)), -F.coalesce("seq", F.lit(2**62)), F.col("event_id"))
-    best = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c)
-    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return rows.groupBy("run_id", "root").agg(*[joined(c) if c in LISTS else best(c) for c in EVENT_COLUMNS if c != "run_id"]).select(*EVENT_COLUMNS)
+    or through others: merged_pair() from one to the next in the run's order. Rows that repeat in every column count
+    once, so what a set gathers is its different versions, not its copies."""
+    rows = _rooted(events).select("run_id", "root", *[c for c in EVENT_COLUMNS if c != "run_id"]).distinct()
+    last = [F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ORDER]
+    row = F.struct(F.struct(*last).alias("order"), F.struct(*EVENT_COLUMNS).alias("row"))
+    found = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"])
+    return rows.groupBy("run_id", "root").agg(found.alias("rows")).select(F.reduce(F.slice("rows", 2, F.size("rows")), F.get("rows", 0), merged_pair).alias("e")).select("e.*")
 
 
 def _rooted(events: DataFrame) -> DataFrame:
@@ -307,8 +350,30 @@ def run_rules(events: DataFrame, rules: Sequence[Rule] = RULES, limits: Mapping[
         found = one if found is None else found.unionByName(one)
     coverage = covered(events, rules)
     judged = found.join(coverage.where("state <> 'abstained'").select("run_id", "rule"), ["run_id", "rule"], "left_semi")
-    whole = judged.groupBy("run_id", "rule", "pattern").agg(F.max("size").alias("size"), F.max_by("evidence", F.size("evidence")).alias("evidence"))
-    return whole.select(*FINDING), coverage
+    return collapsed(judged, events), coverage
+
+
+def collapsed(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """One finding for each run, rule and pattern, with the evidence of all in the run's order; what is cited and is
+    no event of the run stands behind."""
+    keys = ["run_id", "rule", "pattern"]
+    whole = findings.groupBy(*keys).agg(F.max("size").alias("size"), F.count("*").alias("n"), F.first("evidence").alias("evidence"))
+    several = whole.where("n > 1").select(*keys)
+    cited = findings.join(several, keys, "left_semi").select(*keys, F.explode("evidence").alias("event_id")).distinct()
+    placed = events.groupBy("run_id", "event_id").agg(F.min(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ORDER[:2]])).alias("at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("at").isNull().alias("lost"), "at", "event_id"))), lambda x: x["event_id"])
+    united = cited.join(placed, ["run_id", "event_id"], "left").groupBy(*keys).agg(listed.alias("all"))
+    return whole.join(united, keys, "left").select("run_id", "rule", "pattern", "size", F.coalesce("all", "evidence").alias("evidence"))
+
+
+def fingerprinted(findings: DataFrame, rules: Sequence[Rule] = RULES, limits: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """findings with a fingerprint: sha256 of rule, run, evidence in order of its ids and the limits that held, in
+    canonical JSON, so that the same finding is known again."""
+    held = [json.dumps({k: {**rule.limits, **(limits or {}).get(rule.name, {})}[k] for k in sorted(rule.limits)}, separators=(",", ":")) for rule in rules]
+    own = F.coalesce(*[F.when(F.col("rule") == rule.name, F.lit(text)) for rule, text in zip(rules, held)], F.lit("{}"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort("evidence"), json_value), ","), F.lit("]"))
+    whole = F.concat(F.lit('{"evidence":'), listed, F.lit(',"rule_id":'), json_value("rule"), F.lit(',"run_id":'), json_value("run_id"), F.lit(',"thresholds":'), own, F.lit("}"))
+    return findings.withColumn("fingerprint", F.sha2(whole, 256))
 
 
 def cited(findings: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -420,13 +485,13 @@ def retry_findings(spark, sf_dir):
 
 @query(f"""WITH {EVENTS_SQL}, h AS (SELECT run_id, count(*) FILTER (WHERE kind = 'model') AS m, count(*) FILTER (WHERE kind = 'model' AND token_basis IS NOT NULL) AS mb, count(*) FILTER (WHERE kind = 'tool') AS t, count(*) FILTER (WHERE kind = 'tool' AND args_label = 'full') AS ta,
         count(*) FILTER (WHERE kind = 'tool' AND result_hash IS NOT NULL) AS tr FROM ev GROUP BY run_id)
-    SELECT run_id, 'no_progress' AS rule, CASE WHEN ta = 0 OR tr = 0 THEN 'abstained' WHEN ta < t OR tr < t THEN 'partial' ELSE 'checked' END AS state FROM h
-    UNION ALL SELECT run_id, 'retry_after_failure', CASE WHEN ta = 0 THEN 'abstained' WHEN ta < t THEN 'partial' ELSE 'checked' END FROM h
-    UNION ALL SELECT run_id, 'context_growth', CASE WHEN mb = 0 THEN 'abstained' WHEN mb < m THEN 'partial' ELSE 'checked' END FROM h
-    UNION ALL SELECT run_id, 'oversized_result', CASE WHEN tr = 0 THEN 'abstained' WHEN tr < t THEN 'partial' ELSE 'checked' END FROM h
-    UNION ALL SELECT run_id, 'repeated_result', CASE WHEN tr = 0 THEN 'abstained' WHEN tr < t THEN 'partial' ELSE 'checked' END FROM h""")
+    SELECT run_id, 'no_progress' AS rule, CASE WHEN ta = 0 OR tr = 0 THEN 'abstained' WHEN ta < t OR tr < t THEN 'partial' ELSE 'checked' END AS state, concat_ws(',', CASE WHEN ta = 0 THEN 'args(full)' END, CASE WHEN tr = 0 THEN 'result(full)' END) AS missing FROM h
+    UNION ALL SELECT run_id, 'retry_after_failure', CASE WHEN ta = 0 OR t = 0 THEN 'abstained' WHEN ta < t THEN 'partial' ELSE 'checked' END, concat_ws(',', CASE WHEN ta = 0 THEN 'args(full)' END, CASE WHEN t = 0 THEN 'status' END) FROM h
+    UNION ALL SELECT run_id, 'context_growth', CASE WHEN mb = 0 THEN 'abstained' WHEN mb < m THEN 'partial' ELSE 'checked' END, concat_ws(',', CASE WHEN m = 0 THEN 'model' END, CASE WHEN m = 0 THEN 'tokens_in(model)' END, CASE WHEN mb = 0 THEN 'token_basis(model)' END, CASE WHEN m = 0 THEN 'model(model)' END) FROM h
+    UNION ALL SELECT run_id, 'oversized_result', CASE WHEN tr = 0 THEN 'abstained' WHEN tr < t THEN 'partial' ELSE 'checked' END, CASE WHEN tr = 0 THEN 'result_bytes' ELSE '' END FROM h
+    UNION ALL SELECT run_id, 'repeated_result', CASE WHEN tr = 0 THEN 'abstained' WHEN tr < t THEN 'partial' ELSE 'checked' END, CASE WHEN tr = 0 THEN 'result(full),result_bytes' ELSE '' END FROM h""")
 def rule_coverage(spark, sf_dir):
-    return covered(fixture(spark, sf_dir)).drop("missing")
+    return covered(fixture(spark, sf_dir)).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS a, CAST(l_orderkey - l_partkey % 7 AS BIGINT) AS b FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = 0 AND l_partkey % 7 > 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions.numbers import tolerant_int
-from meterloom.functions.text import canonical_json
-from meterloom.operators.components import checkpointed
+from meterloom.functions.text import value_hash
+from meterloom.operators.trees import with_below
 from meterloom.sources.sessions import EVENT_COLUMNS, shaped
 
 #: Fixed values of the observation export: types, and names under which it tells tools and cached tokens.
@@ -24,7 +24,6 @@ CACHE_READ = ("input_cached_tokens", "cache_read_input_tokens", "input_cache_rea
 CACHE_WRITE = ("cache_creation_input_tokens", "input_cache_creation", "input_cache_write")
 LEGACY = ("promptTokens", "completionTokens", "totalTokens")
 BASIS = "input_excludes_cache_read"
-LEAST_BYTES = 16
 
 
 def _get(source: str | Column, path: str) -> Column:
@@ -87,10 +86,8 @@ def usage(value: Column) -> dict[str, Column]:
     }
 
 
-def _hash(value: Column) -> Column:
-    """sha256 of a value in canonical form, of a text as it is in JSON; null where it is short."""
-    canonical = F.coalesce(canonical_json(value), F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
-    return F.when(F.octet_length(canonical) >= LEAST_BYTES, F.sha2(canonical, 256))
+def _hash(value: str | Column, path: str) -> Column:
+    return value_hash(F.try_variant_get(F.try_parse_json(value), f"$.{path}", "variant"))
 
 
 def _millis(text: Column) -> Column:
@@ -100,7 +97,7 @@ def _millis(text: Column) -> Column:
 def observations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, problems) of observation rows, a JSON object in `value` each (text_parts). A row without id or
     trace is a problem. A span with a tool's metadata is a tool call, one that has a generation below it an
-    aggregate; ancestors are followed up to a trace's depth."""
+    aggregate, however far above."""
     v = F.col("value")
     told = rows.withColumns({"id": _get(v, "id"), "trace": _get(v, "traceId")})
     bad = told.where("id IS NULL OR trace IS NULL").select(F.col("value"), F.lit("no_id_or_trace").alias("problem"))
@@ -128,9 +125,9 @@ def observations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("parent").alias("parent_id"),
         F.when(F.col("kind") == "tool", F.coalesce(*[_get(v, f"metadata.{k}") for k in CALL_ID_KEYS])).alias("tool_call_id"),
         *[c.alias(name) for name, c in usage(v).items()],
-        _hash(_get(v, "input")).alias("args_hash"),
+        _hash(v, "input").alias("args_hash"),
         label("inputTruncated").alias("args_label"),
-        _hash(out).alias("result_hash"),
+        _hash(v, "output").alias("result_hash"),
         label("outputTruncated").alias("result_label"),
         F.octet_length(out).cast("bigint").alias("result_bytes"),
         F.to_json(F.struct(F.struct(F.col("type").alias("type"), level.alias("level")).alias("observation"))).alias("scope"),
@@ -138,23 +135,15 @@ def observations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shaped(events), bad
 
 
-def ancestors(starts: DataFrame, tree: DataFrame, most: int = 32) -> DataFrame:
-    """trace and id of all rows of tree (trace, id, parent) above `starts` (trace, parent), each once. Every round
-    goes one level up with what is new; a circle brings nothing new."""
-    edges = tree.select("trace", "id", "parent").where("id IS NOT NULL")
-    front = starts.where("parent IS NOT NULL").select("trace", F.col("parent").alias("id")).distinct().join(edges.select("trace", "id"), ["trace", "id"], "left_semi")
-    found = front
-    for _ in range(most):
-        up = front.join(edges, ["trace", "id"]).where("parent IS NOT NULL").select("trace", F.col("parent").alias("id")).distinct().join(edges.select("trace", "id"), ["trace", "id"], "left_semi")
-        front = up.join(found, ["trace", "id"], "left_anti")
-        front = checkpointed(front, "ancestors")
-        if front.isEmpty():
-            return found
-        found = found.union(front)
-    return found
+def ancestors(starts: DataFrame, tree: DataFrame) -> DataFrame:
+    """trace and id of all rows of tree (trace, id, parent) above `starts` (trace, parent), each once and however far."""
+    met = starts.where("parent IS NOT NULL").select("trace", F.col("parent").alias("id")).distinct().withColumn("_met", F.lit(True))
+    marked = tree.where("id IS NOT NULL").join(met, ["trace", "id"], "left").withColumn("_met", F.coalesce("_met", F.lit(False)))
+    above = with_below(marked, F.col("_met"), node="id", parent="parent", keys=["trace"])
+    return above.unionByName(marked.where("_met").select("trace", "id")).distinct()
 
 
-#: Fields of a record of a bundle, with the types that they must have.
+#: Fields of a record of a bundle, with the types that they must have.
 RECORD = {
     **dict.fromkeys(("id", "kind", "status", "parent_id", "name", "model", "provider", "adapter", "token_basis", "error_type", "error_code", "finish_reason", "tool_call_id", "native_tool_call_id"), "string"),
     **dict.fromkeys(("seq", "start_ms", "end_ms", "duration_ms", "tokens_in", "tokens_out", "tokens_total", "cache_read_tokens", "cache_write_tokens", "result_bytes", "preview_bytes"), "count"),
@@ -228,7 +217,7 @@ def sniffed(head: Column, suffix: Column) -> Column:
     bundle, or a session; null where none fits. What a first line shows decides between the first two."""
     start, first = F.ltrim(head), F.substring_index(F.ltrim(head), "\n", 1)
     spans = F.contains(start, F.lit('"resourceSpans"')) & F.startswith(start, F.lit("{"))
-    more = F.length(F.trim(F.substring(start, F.length(first) + 1, F.lit(1_000_000)))) > 0
+    more = F.length(F.trim(F.substring(start, F.length(first) + 1, F.length(start)))) > 0
     whole_line = F.try_parse_json(first).isNotNull()
     csv_names = F.transform(F.split(first, ","), lambda c: F.substring_index(F.regexp_replace(F.trim(c), '"', ""), ".", 1))
     observed = F.when(suffix == "csv", F.size(F.array_intersect(csv_names, F.array(*map(F.lit, ("id", "traceId", "type"))))) == 3).otherwise(

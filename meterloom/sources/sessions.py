@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterloom.functions.text import value_hash
+
+#: The basis of a session's tokens: input, cache reads and cache writes are counted apart.
+SESSION_BASIS = "input_excludes_cache_read"
+
 #: One row for each model or tool event, whatever it was read from. Hashes carry a label that says how much of
 #: the value was hashed (full, redacted, truncated), tokens the basis they were counted on.
 EVENT_COLUMNS = (
@@ -13,7 +18,7 @@ EVENT_COLUMNS = (
 )
 
 _USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
-_PART = "struct<type:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>"
+_PART = "struct<type:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:boolean>"
 SESSION_LINE = f"type string, uuid string, parentUuid string, sessionId string, timestamp string, isSidechain boolean, agentId string, message struct<id:string,role:string,model:string,content:string,stop_reason:string,usage:{_USAGE}>"
 _ATTRIBUTE = "struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>"
 OTLP = (
@@ -71,9 +76,13 @@ def session_events(rows: DataFrame) -> DataFrame:
         F.min("pos").alias("seq"),
         newest("message.usage.input_tokens").alias("tokens_in"),
         newest("message.usage.output_tokens").alias("tokens_out"),
+        newest("message.usage.cache_read_input_tokens").alias("cache_read"),
+        newest("message.usage.cache_creation_input_tokens").alias("cache_write"),
+        F.max(F.when(F.col("message.usage").isNotNull(), SESSION_BASIS)).alias("token_basis"),
     )
     parts = base.select("run_id", "pos", "ms", F.explode(F.from_json("message.content", f"array<{_PART}>")).alias("p"))
     use, result = F.col("p.type") == "tool_use", F.col("p.type") == "tool_result"
+    shown = F.coalesce(F.try_variant_get("p.content", "$", "string"), F.to_json("p.content"))
     first = lambda which, value: F.min(F.when(which, value))
     tools = (
         parts.where(use | result)
@@ -85,9 +94,9 @@ def session_events(rows: DataFrame) -> DataFrame:
             first(result, F.col("ms")).alias("end_ms"),
             F.min("pos").alias("seq"),
             worst(F.when(result, F.when(F.coalesce("p.is_error", F.lit(False)), "error").otherwise("ok"))).alias("status"),
-            first(use, F.sha2("p.input", 256)).alias("args_hash"),
-            first(result, F.sha2("p.content", 256)).alias("result_hash"),
-            first(result, F.octet_length("p.content").cast("bigint")).alias("result_bytes"),
+            first(use, value_hash(F.col("p.input"))).alias("args_hash"),
+            first(result, value_hash(F.col("p.content"))).alias("result_hash"),
+            first(result, F.octet_length(shown).cast("bigint")).alias("result_bytes"),
         )
         .withColumn("tool_call_id", F.col("event_id"))
     )

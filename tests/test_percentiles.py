@@ -18,3 +18,10 @@ def test_ranks_of_large_and_small_groups(spark):
         values = sorted(groups[k])
         assert found[k].n == len(values) and all(found[k][name] == values[max(1, math.ceil(len(values) * s)) - 1] for name, s in shares)
         assert quarter[k] == values[math.floor((len(values) - 1) * 0.25 + 0.5)]
+
+
+def test_groups_with_null_keys(spark):
+    rows = [(k, j, float(v)) for k in ("a", None) for j in (1, None) for v in range(11)] + [("a", 1, None)]
+    df = spark.createDataFrame(rows, "k string, j int, v double")
+    found = aggregates.nearest_rank(df, ["k", "j"], "v", [("p50", 0.5)]).collect()
+    assert sorted((str(r.k), str(r.j), r.n, r.p50) for r in found) == sorted((str(k), str(j), 11, 5.0) for k in ("a", None) for j in (1, None))

@@ -1,5 +1,7 @@
 """Rules and merging against cases made by hand."""
 
+import hashlib
+
 import pytest
 
 from meterloom.operators.components import components
@@ -136,3 +138,29 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 70), (80, 80)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()))
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 60: 50, 70: 50}
+
+
+def test_duplicates_are_folded_pairwise(spark):
+    base = {"event_id": "e", "kind": "tool", "tool_call_id": "c", "name": "grep"}
+    rows = [
+        {**base, "status": "ok", "start_ms": 1, "scope": '{"a":{"x":1,"y":"1"},"b":{"z":[2]}}', "included": ["q", "p"]},
+        {**base, "status": "unknown", "start_ms": 2, "end_ms": 9, "seq": 4, "error_type": None, "model": "m", "result_hash": "h", "result_bytes": 3, "args_hash": "k", "tokens_in": 1, "tokens_out": 2, "scope": '{"a":{"x":"own"},"c":{}}', "included": ["p", "r"]},
+        {**base, "status": "unknown", "start_ms": 2, "end_ms": 9, "seq": 4, "error_type": None, "model": "m", "result_hash": "h", "result_bytes": 3, "args_hash": "k", "tokens_in": 1, "tokens_out": 2, "scope": '{"a":{"x":"own"},"c":{}}', "included": ["p", "r"]},
+        {**base, "event_id": "late", "name": "other", "status": "error", "start_ms": None},
+    ]
+    (found,) = traces.merged(events(spark, *rows)).collect()
+    # The second row is the richest and unknown, so the first one's status stands; its own names win in both levels.
+    assert (found.event_id, found.status, found.start_ms, found.end_ms, found.name) == ("e", "ok", 2, 9, "grep")
+    assert found.scope == '{"a":{"x":"own","y":"1"},"b":{"z":[2]},"c":{}}' and found.included == ["p", "r", "q"]
+    (told,) = traces.conflicts(events(spark, *rows)).collect()
+    assert set(told.fields) == {"name", "start_ms", "status"}
+
+
+def test_findings_of_one_pattern_unite_their_evidence(spark):
+    rows = [tool(i, i * 10, i * 10 + 5) for i in range(5)]
+    one = lambda *ids: spark.createDataFrame([("r", "rule", "p", len(ids), list(ids))], "run_id string, rule string, pattern string, size bigint, evidence array<string>")
+    (found,) = traces.collapsed(one("t3", "t1").unionByName(one("t0", "t3", "gone")), events(spark, *rows)).collect()
+    assert found.evidence == ["t0", "t1", "t3", "gone"] and found.size == 3
+    prints = {r.fingerprint for ids in (("t1", "t3"), ("t3", "t1")) for r in traces.fingerprinted(one(*ids)).collect()}
+    payload = '{"evidence":["t1","t3"],"rule_id":"rule","run_id":"r","thresholds":{}}'
+    assert prints == {hashlib.sha256(payload.encode()).hexdigest()}
