@@ -4,11 +4,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from meterloom.llm import bpe_codec, exact_dedup, language_id, license_scan, packing, quality, simhash_dedup, token_counts, topk_search, toxicity
+from meterloom.llm import bpe_codec, exact_dedup, fill_in_middle, language_id, license_scan, line_dedup, packing, quality, simhash_dedup, source_divergence, token_counts, topk_search, toxicity
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 BIG = 2**60 + 1
-CLASH = "n_tokens n_bytes row seq head lane norm place fp key part start n ids queue base label score predicted words mean dir path grants keep_id _row _kept_id component_id vec_id v block group".split()
+CLASH = "line pos h1 h2 times places key met last n form output h0 term block a b documents n_tokens n_bytes row seq head lane norm place fp part start ids queue base label score predicted words mean dir path grants keep_id _row _kept_id component_id vec_id v group".split()
 TEXTS = [None, "", " ", "\n", "one", "x" * 200_000, "word " * 40_000, "Licensed under the Apache License, Version 2.0.", "12 34", "é漢字 ß", "tie text", "tie text"]
 ROWS = [(i if i else None, t, None if i % 4 == 0 else "en", None if i % 3 == 0 else "web", None) for i, t in enumerate(TEXTS)]
 ROWS += [(None, "tie text", "de", "web", None), (None, None, None, None, None), (BIG, "big id", "de", "web", 6), (BIG, "big id", "de", "web", 6), (None, "only a null id", "de", "web", 2)]
@@ -38,6 +38,8 @@ OPERATORS = {
     "language": lambda d, _: own_and_grown(d),
     "codec": lambda d, _: bpe_codec.round_trip(d, BYTE_BPE),
     "quality": quality.classify,
+    "lines": lambda d, _: line_dedup.drop_shared_lines(d),
+    "middles": lambda d, _: fill_in_middle.fill_in_middle(d),
 }
 
 
@@ -71,3 +73,9 @@ def test_search_with_nulls(spark):
     df = spark.createDataFrame([(None, [1.0]), (100, [2.0]), (100, [2.0]), (BIG, None), (BIG, [0.5])], "vec_id bigint, embedding array<float>").withColumn("block", F.lit("x"))
     found = topk_search.top_k(df, df.where("vec_id % 100 = 0")).collect()
     assert {r.query_id for r in found} == {100} and all(r.score > 0 for r in found)
+
+
+def test_audit_lists_each_group(docs):
+    found = source_divergence.audit(docs, least_documents=1)
+    assert {(r.lang, r.source) for r in found.collect()} == {(l or "", s or "") for _, _, l, s, _ in ROWS}
+    assert source_divergence.audit(docs.where("false")).count() == 0
