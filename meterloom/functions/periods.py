@@ -84,3 +84,10 @@ def day_load(shared: Column, solo: Column, weekend: Column, workday: float = 8.0
     """booked hours of a day, open ones (null on a weekend, never below zero) and the scale to draw them by."""
     booked = shared + solo
     return [booked.alias("booked"), F.when(~weekend, F.greatest(F.lit(0.0), workday - booked)).alias("open"), F.greatest(F.lit(workday), booked).alias("scale")]
+
+
+def uuid7_seconds(column: str | Column) -> Column:
+    """Seconds since 1970 that an id of version 7 was made at; null for any other text."""
+    column = F.col(column) if isinstance(column, str) else column
+    digits = F.substring(F.regexp_replace(column, "-", ""), 1, 12)
+    return F.when((F.substring(column, 15, 1) == "7") & digits.rlike("^[0-9A-Fa-f]{12}$"), F.conv(digits, 16, 10).cast("bigint") / 1000)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterloom.operators.canonical import append_new, winner
+from meterloom.operators.joins import null_safe_join
 
 
 def _held(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,14 +40,21 @@ def rejected(df: DataFrame, now: Column, *, time: str, required: Sequence[str],
 PART = "_part"
 
 
-def appender(path: str, quarantine: str, *, revision: Sequence[str], required: Sequence[str], time: str, now: Callable[[], Column] = F.current_timestamp, parts: int = 64) -> Callable[[DataFrame, int], None]:
+def _part(keys: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+
+def appender(path: str, quarantine: str, *, revision: Sequence[str], required: Sequence[str], time: str, keys: Sequence[str] = (), now: Callable[[], Column] = F.current_timestamp, parts: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: bad rows go to quarantine, revisions that aren't held yet to path. A batch
-    that is tried again appends nothing twice. The ledger lies in `parts` folders by a hash of the revision,
-    and a batch reads those that it touches."""
+    that is tried again appends nothing twice. The ledger lies in `parts` folders by a hash of `keys`, which
+    are some of the revision's columns (all by default), and a batch reads the folders that it touches, as
+    winners() of its keys does."""
+    if set(keys) - set(revision):
+        raise ValueError("keys have to be part of the revision")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        marked = batch.withColumn("reason", rejected(batch, now(), time=time, required=required)).withColumn(PART, F.pmod(F.xxhash64(*revision), F.lit(parts)).cast("int")).persist()
+        marked = batch.withColumn("reason", rejected(batch, now(), time=time, required=required)).withColumn(PART, _part(keys or revision, parts)).persist()
         try:
             marked.where("reason IS NOT NULL").drop(PART).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
             good = marked.where("reason IS NULL").drop("reason")
@@ -71,13 +79,16 @@ def start(stream: DataFrame, append: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def winners(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column | str], touched: DataFrame | None = None) -> DataFrame:
-    """Winners of the appended revisions, of the touched keys alone where they are given."""
+def winners(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Column | str], touched: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """Winners of the appended revisions, of the touched keys alone where they are given. With the number of parts
+    of a ledger that is laid out by these keys, only the folders of touched keys are read."""
     held = spark.read.parquet(path)
-    held = held.drop(PART)
     if touched is not None:
-        held = held.join(touched.select(*keys).distinct(), list(keys), "left_semi")
-    return winner(held, keys, order)
+        wanted = touched.select(*keys).distinct()
+        if parts:
+            held = held.where(F.col(PART).isin([row[0] for row in wanted.select(_part(keys, parts)).distinct().collect()]))
+        held = null_safe_join(held, wanted, keys, "left_semi")
+    return winner(held.drop(PART), keys, order)
 
 
 def hourly_counts(stream: DataFrame, *, time: str, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
