@@ -28,7 +28,7 @@ _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 #: Bytes of a text whose terms are listed at once.
 PIECE = 1 << 20
 #: Entries that a task gathers before it passes on what it has, looked at after so many rows.
-FLUSH_TERMS, FLUSH_ROWS = 200_000, 256
+FLUSH_TERMS, FLUSH_ROWS = 400_000, 256
 #: Cells (term, source) of a block on average.
 BLOCK_CELLS = 100_000
 #: Places of a dense tally; a source with more combinations of counts in a block is tallied by sorting.
@@ -54,11 +54,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple, tuple[Counter, Counter]] = {}
 
     def gathered() -> pa.RecordBatch:
-        rows = [(*group, term, n, documents[term]) for group, (own, documents) in counts.items() for term, n in own.items()]
+        of_group = np.repeat(np.arange(len(counts)), [len(own) for own, _ in counts.values()])
+        lang, source = (pa.array(names, pa.string()).take(pa.array(of_group)) for names in (zip(*counts) if counts else ([], [])))
+        term, n, documents = [], [], []
+        for own, within in counts.values():
+            term += own.keys()
+            n += own.values()
+            documents += map(within.__getitem__, own)
         counts.clear()
-        lang, source, term, n, documents = zip(*rows) if rows else [()] * 5
         terms = pa.array(term, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), terms, pa.array(n, pa.int64()), pa.array(documents, pa.int64())], names=["lang", "source", "term", "n", "documents"])
+        return pa.RecordBatch.from_arrays([lang, source, terms, pa.array(n, pa.int64()), pa.array(documents, pa.int64())], names=["lang", "source", "term", "n", "documents"])
 
     for batch in batches:
         groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
