@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -33,6 +34,8 @@ _PIECES_KEPT = 800_000
 #: Queue of the sources that are too small for a share in every window, or have no target of their own;
 #: the other queues are named after their sources, with OWN before.
 POOL, OWN = "pool", "own:"
+#: Slices of a phase that has queues which are too small for its windows.
+SLICES = 1000
 #: Rows of the table of queue beginnings up to which it is sent to every task.
 BROADCAST_ROWS = 200_000
 
@@ -164,12 +167,15 @@ class Mixture:
 class Phases:
     """A stream of mixtures, one after the other. With natural proportions, where all queues run dry
     together, it is a single one; else a phase ends where a queue runs dry, and those that are left share
-    the next one by their targets."""
+    the next one by their targets. Queues with less than two tokens for each window of a phase, say a pool that
+    next to nothing is left for, don't set the number of its windows: the phase is cut into slices, and
+    behind the windows of each stands such queues' part of it."""
 
     def __init__(self, queues: list[tuple[str, int]], window_tokens: int, targets: Mapping[str, float] | None = None):
         left = {name: tokens for name, tokens in queues if tokens}
         self.phases: list[tuple[Mixture, int, dict[str, int]]] = []
-        served, base = dict.fromkeys(left, 0), 0
+        self.window_tokens, self.served, self.base = window_tokens, dict.fromkeys(left, 0), 0
+        self.turns: dict[str, tuple[list[int], list[int]]] = {name: ([], []) for name in left}
         while left:
             if targets is None:
                 turn = dict(left)
@@ -177,28 +183,42 @@ class Phases:
                 ends = min(left, key=lambda name: (left[name] / targets[name], name))
                 time = left[ends] / targets[ends]
                 turn = {name: tokens if name == ends else min(tokens, int(time * targets[name])) for name, tokens in left.items()}
-                turn = {name: n for name, n in turn.items() if n}
-            total = sum(turn.values())
-            windows = max(1, min(-(-total // window_tokens), min(turn.values()) // 2))
-            self.phases.append((Mixture(list(turn.items()), windows), base, {name: served[name] for name in turn}))
-            for name, n in turn.items():
-                served[name] += n
-                left[name] -= n
-            left = {name: n for name, n in left.items() if n}
-            base += total
+            windows = -(-sum(turn.values()) // window_tokens)
+            small = {name: n for name, n in turn.items() if n < 2 * windows}
+            large = {name: n for name, n in turn.items() if name not in small}
+            if targets is None or windows == 1 or not any(small.values()) or not large:
+                self._serve(turn)
+            else:
+                slices = min(windows, SLICES)
+                for i in range(slices):
+                    for part in (large, small):
+                        self._serve({name: (i + 1) * n // slices - i * n // slices for name, n in part.items()})
+            left = {name: n - turn[name] for name, n in left.items() if n > turn[name]}
+
+    def _serve(self, turn: dict[str, int]) -> None:
+        turn = {name: n for name, n in turn.items() if n}
+        if not turn:
+            return
+        total = sum(turn.values())
+        windows = max(1, min(-(-total // self.window_tokens), min(turn.values()) // 2))
+        for name in turn:
+            begins, places = self.turns[name]
+            begins.append(self.served[name])
+            places.append(len(self.phases))
+        self.phases.append((Mixture(list(turn.items()), windows), self.base, {name: self.served[name] for name in turn}))
+        for name, n in turn.items():
+            self.served[name] += n
+        self.base += total
 
     def pieces(self, name: str, place: int, n: int, size: int) -> Iterator[tuple[int, int, int, int]]:
         """start, length, sequence and offset of each piece of n tokens from a place of a queue on."""
-        done = 0
-        for mixture, base, first in self.phases:
-            if done == n:
-                break
-            if name not in first:
-                continue
+        begins, places = self.turns[name]
+        done, turn_at = 0, bisect_right(begins, place) - 1
+        while done < n:
+            mixture, base, first = self.phases[places[turn_at]]
+            turn_at += 1
             low, high = mixture.before[name]
             own = place + done - first[name]
-            if own >= high - low:
-                continue
             for at, turn in mixture.turns(name, own, min(n - done, high - low - own)):
                 at += base
                 while turn:
@@ -272,5 +292,5 @@ def pack(df: DataFrame, path: str, *, size: int = 2048, window_tokens: int = 131
 
         return cut
 
-    pieces = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
+    pieces = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
     return mapped(placed, [], placed.columns, start, pieces)

@@ -27,8 +27,8 @@ UNIT = 1_000_000_000
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of a text whose terms are listed at once.
 PIECE = 1 << 20
-#: Entries that a task gathers before it passes on what it has, looked at after so many rows.
-FLUSH_TERMS, FLUSH_ROWS = 400_000, 256
+#: Entries of some 300 bytes that a task gathers before it passes on what it has, looked at after so many rows.
+FLUSH_TERMS, FLUSH_ROWS = 1_000_000, 256
 #: Cells (term, source) of a block on average.
 BLOCK_CELLS = 100_000
 #: Places of a dense tally; a source with more combinations of counts in a block is tallied by sorting.
@@ -52,6 +52,7 @@ def term_lists(text: bytes) -> Iterator[list[bytes]]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by language and source, added up within the task."""
     counts: dict[tuple, tuple[Counter, Counter]] = {}
+    rows = 0
 
     def gathered() -> pa.RecordBatch:
         of_group = np.repeat(np.arange(len(counts)), [len(own) for own, _ in counts.values()])
@@ -67,14 +68,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        for i, (group, text) in enumerate(zip(groups, batch.column(2)), 1):
+        for group, text in zip(groups, batch.column(2)):
             own, documents = counts.setdefault(group, (Counter(), Counter()))
             within: set[bytes] = set()
             for terms in term_lists(text.as_py()):
                 own.update(terms)
                 within.update(terms)
             documents.update(within)
-            if i % FLUSH_ROWS == 0 and sum(len(own) for own, _ in counts.values()) > FLUSH_TERMS:
+            rows += 1
+            if rows % FLUSH_ROWS == 0 and sum(len(own) for own, _ in counts.values()) > FLUSH_TERMS:
                 yield gathered()
     yield gathered()
 

@@ -1,6 +1,8 @@
 """Trained operators against plain versions of their arithmetic and held-out labels."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -107,3 +109,57 @@ def test_every_language_is_learned(spark, monkeypatch):
         assert set(model.languages) == set(letters)
     right = language_id.predict(df, model, carry=["doc_id", "lang"]).where("lang = lang_pred").count()
     assert right > 0.95 * len(rows)
+
+
+ODD = [None, "", "12 34 !", "one", "Tie tie", "Tie tie", "é漢字 straße", "word " * 3000]
+
+
+def test_severities_are_their_plain_arithmetic(spark):
+    """Logits over a dense table of features, and each grade's chance from the thresholds, for every text."""
+    rng, words = random.Random(4), [f"w{chr(97 + i)}{'xyz' * (i % 3)}" for i in range(20)]
+    rows = [(i, " ".join(rng.choices(words[: 8 + 12 * (i % 2)], k=rng.randrange(1, 40))), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "wa")], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, label int"))
+    assert len(model.slots) > 20 and len(model.thresholds) == 2
+    texts = {i: t for i, t, _ in rows} | {1000 + i: t for i, t in enumerate(ODD)} | {None: "wa"}
+    found = toxicity.severities(docs, model).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        dense = np.zeros(len(model.slots))
+        for word in re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()):
+            for feature in [word] + [word[:n] + "~" for n in (4, 5, 6, 7) if len(word) > n]:
+                if feature in model.slots:
+                    dense[model.slots[feature]] += 1
+        logit = float(np.log1p(dense) @ model.weights)
+        one, two = (1 / (1 + math.exp(-min(30, max(-30, logit - t)))) for t in model.thresholds)
+        assert abs(r.severity - (one + two)) < 1e-9 and r.toxic == (one >= 0.5)
+        assert r.grade == int(np.argmax([1 - one, one - two, two]))
+
+
+def test_the_nearest_centroid_is_the_nearest_of_all(spark):
+    """Every text against every centroid, one by one, with n-grams counted one by one."""
+    rng = random.Random(5)
+    letters = {"en": "abcdefgh", "de": "fghijklmü", "el": "αβγδεζ"}
+    rows = [(i, " ".join("".join(rng.choices(own, k=4)) for _ in range(rng.randrange(1, 50))), lang) for i, (lang, own) in enumerate(x for x in letters.items() for _ in range(60))]
+    rows += [(1000 + i, t, None) for i, t in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.vectors) > 3
+    for r, (_, text, _) in zip(sorted(language_id.predict(df, model).collect(), key=lambda r: r.doc_id), rows):
+        plain = re.sub(r"(?:[\W\d_])+", " ", (text or "").lower())
+        if not plain.strip():
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        counts = np.zeros(language_id.DIMENSIONS)
+        for at in range(len(plain)):
+            mixed = 0
+            for n in range(3):
+                if at + n < len(plain):
+                    mixed = (mixed * 0x100000001B3 ^ (ord(plain[at + n]) + n + 1)) & (2**64 - 1)
+                    counts[(mixed * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 52] += 1
+        weighed = np.log1p(counts) * model.idf
+        cosines = [float(v @ weighed) / math.sqrt(float(weighed @ weighed)) for v in model.vectors]
+        best = max(cosines)
+        near = {lang for c, lang in zip(cosines, model.languages) if c > best - 1e-12}
+        assert r.lang_pred in near and abs(r.score - min(1, max(0, best))) < 1e-9
+        assert r.rejected == (r.score < model.least[r.lang_pred])

@@ -139,3 +139,32 @@ def test_packing_with_targets_and_odd_names(spark):
     early = [p for p in asked if p.sequence_id < 32]
     share = sum(p.length for p in early if p.source == "pool") / sum(p.length for p in early)
     assert abs(share - 0.5 / 0.9) < 0.06
+
+
+@pytest.mark.parametrize("pooled", [1, 1000, 40_000])
+def test_targets_hold_beside_a_pool_that_nothing_is_left_for(pooled):
+    """Ten thousand million tokens, by numbers alone."""
+    each, window = 5 * 10**9, 131_072
+    stream = packing.Phases([("a", each), ("b", each), ("pool", pooled)], window, {"a": 0.5, "b": 0.5, "pool": 1e-9})
+    assert stream.served == {"a": each, "b": each, "pool": pooled} and stream.base == 2 * each + pooled
+    rng, seen = np.random.default_rng(5), []
+    for name, tokens in (("a", each), ("b", each)):
+        for place in rng.integers(0, tokens - 3000, 50).tolist():
+            found = list(stream.pieces(name, place, 3000, 2048))
+            assert sum(n for _, n, _, _ in found) == 3000 and found[0][0] == 0
+            at = found[0][2] * 2048 + found[0][3]
+            # Half of what came before is its own, give or take a window and what the pool has had.
+            assert abs(at - 2 * place) < 2 * window + pooled
+            seen += [(sequence * 2048 + offset, n) for _, n, sequence, offset in found]
+    seen.sort()
+    assert all(at + n <= other for (at, n), (other, _) in zip(seen, seen[1:]) if at != other)
+
+
+def test_slices_leave_no_gap():
+    queues = [("a", 4000), ("b", 4001), ("c", 7), ("pool", 3)]
+    stream = packing.Phases(queues, 100, {"a": 0.4, "b": 0.5, "c": 0.001, "pool": 1e-9})
+    taken = []
+    for name, tokens in queues:
+        for place in range(0, tokens, 13):
+            taken += [at for _, n, s, o in stream.pieces(name, place, min(13, tokens - place), 64) for at in range(s * 64 + o, s * 64 + o + n)]
+    assert sorted(taken) == list(range(sum(n for _, n in queues)))
