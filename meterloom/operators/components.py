@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,15 +11,18 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """df cut from its lineage in the folder that driver and executors share; one of our own serves a local
-    session alone."""
+    """df cut from its lineage: written to the folder that driver and executors share and read again, so a lost
+    executor costs nothing that was finished. A folder of our own serves a local session alone. What is written
+    lies in the session's checkpoint folder, as checkpoints do, and goes with it."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="meterloom-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = checkpointed) -> DataFrame:

@@ -31,47 +31,52 @@ def climbed(tree: DataFrame, *, node: str, parent: str, keys: Sequence[str] = ()
     nodes = tree.where(F.col(node).isNotNull()).groupBy(*keys, F.col(node).alias("n")).agg(least, heavy)
     inside = nodes.select(*keys, F.col("n").alias("p"), F.lit(True).alias("_in"))
     edges = cut(nodes.join(inside, [*keys, "p"], "left").select(*keys, "n", F.when(F.col("_in"), F.col("p")).alias("p"), "w"), "edges")
-    found, around = _rounds(edges, keys, cut)
-    if around is None:
-        return found.select(*keys, F.col("n").alias(node), "root", "depth", F.lit(None).cast(edges.schema["n"].dataType).alias("circle"), (F.col("s") - F.col("w")).alias("below"))
-    circles = cut(_circles(edges, around, keys, cut), "circles")
-    opened = edges.join(circles.select(*keys, "n", "circle"), [*keys, "n"], "left")
-    found, _ = _rounds(cut(opened.withColumn("p", F.when(F.col("circle").isNull(), F.col("p"))), "opened"), keys, cut)
-    whole = found.where("circle IS NOT NULL").groupBy(*keys, "circle").agg(F.sum("s").alias("all"))
-    found = found.join(whole, [*keys, "circle"], "left")
-    return found.select(*keys, F.col("n").alias(node), "root", "depth", "circle", F.coalesce("all", F.col("s") - F.col("w")).alias("below"))
+    closed, left = _rounds(edges, keys, cut)
+    shown = [F.col("n").alias(node), "root", "depth"]
+    below = F.col("s") - F.col("w")
+    found = closed.select(*keys, *shown, F.lit(None).cast(edges.schema["n"].dataType).alias("circle"), below.alias("below"))
+    if left is None:
+        return found
+    circles = _circles(left, keys, cut)
+    opened = cut(left.join(circles, [*keys, "n"], "left").withColumn("p", F.when(F.col("circle").isNull(), F.col("p"))), "opened")
+    hung, _ = _rounds(opened, keys, cut)
+    whole = hung.where("circle IS NOT NULL").groupBy(*keys, "circle").agg(F.sum("s").alias("all"))
+    return found.unionByName(hung.join(whole, [*keys, "circle"], "left").select(*keys, *shown, "circle", F.coalesce("all", below).alias("below")))
 
 
 def _rounds(edges: DataFrame, keys: list[str], cut: Cut) -> tuple[DataFrame, DataFrame | None]:
-    """edges with root, depth and s, and None; or what is left open after more rounds than there can be
-    nodes, whose pointers `up` all lie on circles."""
-    total, reach = edges.count(), 1
+    """edges of all nodes that have a root, with root, depth and s; and the edges of those that have none, if there
+    are any. Nodes that are still open after a round lie deeper than its reach, and above each deep one there
+    is one of every depth: where a round closes none, no one is left that ever ends."""
+    reach, before = 1, None
     first = F.col("p").isNull()
     state = edges.select("*", F.col("p").alias("up"), F.when(first, F.col("n")).alias("root"), F.when(first, 0).cast("bigint").alias("depth"), F.col("w").alias("s"))
     while True:
         going = state.where("up IS NOT NULL")
-        if going.isEmpty():
+        now = going.count()
+        if not now:
             return state.drop("p", "up"), None
-        if reach > total:
-            return state, going.select(*keys, F.col("up").alias("n")).distinct()
+        if now == before:
+            return state.where("up IS NULL").drop("p", "up"), going.select(edges.columns)
         gained = going.groupBy(*keys, F.col("up").alias("n")).agg(F.sum("s").alias("more"))
         far = state.select(*keys, F.col("n").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
         others = [c for c in state.columns if c not in (*keys, "up", "root", "depth")]
         jumped = going.join(far, [*keys, "up"]).select(*keys, *others, F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth2") + reach).alias("depth"))
         both = jumped.unionByName(state.where("up IS NULL")).join(gained, [*keys, "n"], "left")
         state = cut(both.withColumn("s", F.col("s") + F.coalesce("more", F.lit(0))).drop("more"), "rounds")
-        reach *= 2
+        reach, before = reach * 2, now
 
 
-def _circles(edges: DataFrame, around: DataFrame, keys: list[str], cut: Cut) -> DataFrame:
-    """keys, n and circle, the least node of the circle, of the nodes that lie on one."""
-    state = cut(edges.join(around, [*keys, "n"], "left_semi").select(*keys, "n", F.col("p").alias("up"), F.col("n").alias("circle")), "circle")
+def _circles(edges: DataFrame, keys: list[str], cut: Cut) -> DataFrame:
+    """keys, n and circle, the least node of the circle, of the nodes that lie on one, where no path ends: after as
+    many steps as there are nodes each has come to a circle, and each of a circle's nodes is come to."""
+    state = cut(edges.select(*keys, "n", F.col("p").alias("up"), F.col("n").alias("circle")), "circle")
     total, reach = state.count(), 1
-    while reach < 2 * total:
+    while reach < total:
         far = state.select(*keys, F.col("n").alias("up"), F.col("up").alias("up2"), F.col("circle").alias("circle2"))
         state = cut(state.join(far, [*keys, "up"]).select(*keys, "n", F.col("up2").alias("up"), F.least("circle", "circle2").alias("circle")), "circle")
         reach *= 2
-    return state
+    return state.join(state.select(*keys, F.col("up").alias("n")).distinct(), [*keys, "n"], "left_semi").select(*keys, "n", "circle")
 
 
 def with_below(tree: DataFrame, marked: Column, *, node: str, parent: str, keys: Sequence[str] = ()) -> DataFrame:
