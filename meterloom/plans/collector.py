@@ -123,11 +123,11 @@ def connector_class(calls: DataFrame, connectors: DataFrame) -> DataFrame:
     return joined.withColumn("class", kind).withColumn("resource", F.when(F.col("class") == "matched", F.col("_r"))).drop("_n", "_r")
 
 
-@query("""WITH k AS (SELECT 'c' || s_suppkey % 7 AS connector, 'r' || s_suppkey AS resource FROM supplier WHERE s_suppkey <= 10 AND s_suppkey % 7 < 5), n AS (SELECT connector, count(DISTINCT resource) AS n, min(resource) AS r FROM k GROUP BY 1), c AS (SELECT o_orderkey, CASE WHEN o_custkey % 9 < 8 THEN 'c' || o_custkey % 9 END AS connector FROM orders)
+@query("""WITH k AS (SELECT 'c' || CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey - 1 ELSE s_suppkey END AS connector, 'r' || s_suppkey AS resource FROM supplier), n AS (SELECT connector, count(DISTINCT resource) AS n, min(resource) AS r FROM k GROUP BY 1), c AS (SELECT o_orderkey, CASE WHEN o_custkey % 9 < 8 THEN 'c' || o_custkey END AS connector FROM orders)
     SELECT o_orderkey, CASE WHEN c.connector IS NULL THEN 'no_evidence' WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS class, CASE WHEN n = 1 THEN r END AS resource FROM c LEFT JOIN n USING (connector)""")
 def connector_matches(spark, sf_dir):
-    known = table(spark, sf_dir, "supplier").where("s_suppkey <= 10 AND s_suppkey % 7 < 5").select(F.concat(F.lit("c"), F.col("s_suppkey") % 7).alias("connector"), F.concat(F.lit("r"), "s_suppkey").alias("resource"))
-    calls = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 9 < 8, F.concat(F.lit("c"), F.col("o_custkey") % 9)).alias("connector"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), F.col("s_suppkey") - F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)).alias("connector"), F.concat(F.lit("r"), "s_suppkey").alias("resource"))
+    calls = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 9 < 8, F.concat(F.lit("c"), F.col("o_custkey"))).alias("connector"))
     return connector_class(calls, known).select("o_orderkey", "class", "resource")
 
 

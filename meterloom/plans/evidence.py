@@ -161,7 +161,7 @@ def ledger_matrix(revisions: DataFrame, keys: Sequence[str], groups: Sequence[st
     )
 
 
-@query("""WITH r AS (SELECT user_id, event_type AS model, date_trunc('hour', ts)::TIMESTAMP AS hour, CASE WHEN event_id % 3 = 0 THEN 'local' ELSE 'companion' END AS mode, event_id % 4 AS calls, event_id % 50 AS tokens, event_id FROM events WHERE user_id % 4 = 0),
+@query("""WITH r AS (SELECT user_id, event_type AS model, date_trunc('hour', ts)::TIMESTAMP AS hour, CASE WHEN event_id % 3 = 0 THEN 'local' ELSE 'companion' END AS mode, event_id % 4 AS calls, event_id % 50 AS tokens, event_id FROM events),
     k AS (SELECT user_id, model, hour, bool_or(mode = 'local') AS v1, bool_or(mode = 'companion') AS v2, max(calls) FILTER (WHERE mode = 'local') AS c1, max(tokens) FILTER (WHERE mode = 'local') AS t1, max(calls) FILTER (WHERE mode = 'companion') AS c2, max(tokens) FILTER (WHERE mode = 'companion') AS t2 FROM r GROUP BY 1, 2, 3),
     c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id, model, hour ORDER BY calls DESC, tokens DESC, event_id DESC) = 1), w AS (SELECT * FROM r WHERE mode = 'companion' QUALIFY row_number() OVER (PARTITION BY user_id, model, hour ORDER BY calls DESC, tokens DESC, event_id DESC) = 1), h AS (SELECT DISTINCT user_id, hour FROM k WHERE v2)
     SELECT k.user_id, k.model, count(*) FILTER (WHERE v1 AND NOT v2) AS old_only, count(*) FILTER (WHERE v2 AND NOT v1) AS new_only, count(*) FILTER (WHERE v1 AND v2) AS shared, count(*) FILTER (WHERE v1 AND v2 AND c1 = c2 AND t1 = t2) AS shared_equal, count(*) FILTER (WHERE v1 AND v2 AND (c2 > c1 OR (c2 = c1 AND t2 > t1))) AS shared_new_larger,
@@ -169,7 +169,7 @@ def ledger_matrix(revisions: DataFrame, keys: Sequence[str], groups: Sequence[st
         CAST(coalesce(sum(c.tokens) FILTER (WHERE c.mode = 'local'), 0) AS DOUBLE) AS canonical_tokens_from_old, CAST(coalesce(sum(w.tokens), 0) AS DOUBLE) AS tokens_without_old, CAST(coalesce(sum(c.tokens) FILTER (WHERE v1 AND NOT v2), 0) AS DOUBLE) AS old_only_tokens
     FROM k JOIN c USING (user_id, model, hour) LEFT JOIN w USING (user_id, model, hour) GROUP BY 1, 2""")
 def two_readers(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("user_id % 4 = 0").select("user_id", F.col("event_type").alias("model"), F.date_trunc("hour", "ts").alias("hour"), F.when(F.col("event_id") % 3 == 0, "local").otherwise("companion").alias("mode"), (F.col("event_id") % 4).alias("calls"), (F.col("event_id") % 50).alias("tokens"), "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("model"), F.date_trunc("hour", "ts").alias("hour"), F.when(F.col("event_id") % 3 == 0, "local").otherwise("companion").alias("mode"), (F.col("event_id") % 4).alias("calls"), (F.col("event_id") % 50).alias("tokens"), "event_id")
     return ledger_matrix(rows, ["user_id", "model", "hour"], ["user_id", "model"], mode="mode", old="local", new="companion", calls="calls", tokens="tokens", order=["event_id"], hour=["user_id", "hour"])
 
 
@@ -202,29 +202,29 @@ def identified(rows: DataFrame, identities: DataFrame, kinds: dict[str, Sequence
     return found.unionByName(others)
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey % 10 AS install, 'a' || o_custkey % 4 AS account, 'e' || o_orderkey % 12 AS evidence, CASE o_orderstatus WHEN 'F' THEN 'working_directory' WHEN 'O' THEN 'native' ELSE 'none' END AS basis FROM orders),
-    i AS (SELECT c_custkey AS identity_id, c_custkey % 10 AS install, 'a' || c_custkey % 4 AS account, 'e' || c_custkey % 12 AS evidence, CASE WHEN c_custkey % 2 = 0 THEN 'working_directory' ELSE 'native' END AS basis FROM customer WHERE c_custkey <= 40)
+@query("""WITH r AS (SELECT o_orderkey, o_custkey % 10 AS install, 'a' || o_custkey % 4 AS account, 'e' || (o_custkey + o_orderkey % 3) AS evidence, CASE o_orderstatus WHEN 'F' THEN 'working_directory' WHEN 'O' THEN 'native' ELSE 'none' END AS basis FROM orders),
+    i AS (SELECT c_custkey AS identity_id, c_custkey % 10 AS install, 'a' || c_custkey % 4 AS account, 'e' || c_custkey AS evidence, CASE WHEN c_custkey % 2 = 0 THEN 'working_directory' ELSE 'native' END AS basis FROM customer)
     SELECT o_orderkey, identity_id FROM r LEFT JOIN i ON (r.basis = 'working_directory' AND i.basis = r.basis AND i.install = r.install AND i.evidence = r.evidence) OR (r.basis = 'native' AND i.basis = r.basis AND i.account = r.account AND i.evidence = r.evidence)""")
 def evidence_identity(spark, sf_dir):
     shape = lambda key: [(F.col(key) % 10).alias("install"), F.concat(F.lit("a"), F.col(key) % 4).alias("account")]
     basis = F.when(F.col("o_orderstatus") == "F", "working_directory").when(F.col("o_orderstatus") == "O", "native").otherwise("none")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", *shape("o_custkey"), F.concat(F.lit("e"), F.col("o_orderkey") % 12).alias("evidence"), basis.alias("basis"))
-    known = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("identity_id"), *shape("c_custkey"), F.concat(F.lit("e"), F.col("c_custkey") % 12).alias("evidence"), F.when(F.col("c_custkey") % 2 == 0, "working_directory").otherwise("native").alias("basis"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *shape("o_custkey"), F.concat(F.lit("e"), F.col("o_custkey") + F.col("o_orderkey") % 3).alias("evidence"), basis.alias("basis"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity_id"), *shape("c_custkey"), F.concat(F.lit("e"), F.col("c_custkey")).alias("evidence"), F.when(F.col("c_custkey") % 2 == 0, "working_directory").otherwise("native").alias("basis"))
     return identified(rows, known, {"working_directory": ["install", "evidence"], "native": ["account", "evidence"]}).select("o_orderkey", "identity_id")
 
 
-@query("""WITH a AS (SELECT user_id, event_id % 300 AS semantic, event_id, ts, 'r' || event_id % 9 AS resource, event_id % 4 AS version, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'search' WHEN 'error' THEN 'unknown' ELSE 'write' END AS kind FROM events),
-    c AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id, semantic ORDER BY ts DESC, event_id DESC) = 1), i AS (SELECT 'r' || s_suppkey AS resource, s_suppkey AS identity, CASE WHEN s_suppkey % 2 = 0 THEN 2 END AS version, CASE WHEN s_suppkey % 3 > 0 THEN 'src' || s_suppkey % 3 END AS source FROM supplier WHERE s_suppkey < 7),
+@query("""WITH a AS (SELECT user_id, event_id % 300 AS semantic, event_id, ts, 'r' || event_id % 307 AS resource, event_id % 4 AS version, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'search' WHEN 'error' THEN 'unknown' ELSE 'write' END AS kind FROM events),
+    c AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id, semantic ORDER BY ts DESC, event_id DESC) = 1), i AS (SELECT 'r' || s_suppkey AS resource, s_suppkey AS identity, CASE WHEN s_suppkey % 2 = 0 THEN 2 END AS version, CASE WHEN s_suppkey % 3 > 0 THEN 'src' || s_suppkey % 3 END AS source FROM supplier),
     k AS (SELECT c.*, i.identity, source, c.version IS NOT DISTINCT FROM i.version AS cur, CASE WHEN i.identity IS NULL THEN 'unknown' WHEN source IS NULL THEN 'unassigned' ELSE 'source' END AS state FROM c LEFT JOIN i USING (resource))
     SELECT state, source, CASE WHEN source IS NULL THEN identity END AS identity, count(*) FILTER (WHERE cur) AS accesses, count(*) FILTER (WHERE NOT cur) AS earlier_accesses, count(DISTINCT semantic) FILTER (WHERE cur) AS invocations, count(DISTINCT user_id) FILTER (WHERE cur) AS sessions,
         count(*) FILTER (WHERE cur AND kind = 'read') AS kind_read, count(*) FILTER (WHERE cur AND kind = 'search') AS kind_search, count(*) FILTER (WHERE cur AND kind = 'write') AS kind_write, count(*) FILTER (WHERE cur AND kind = 'unknown') AS kind_unknown FROM k GROUP BY 1, 2, 3""")
 def knowledge_access(spark, sf_dir):
     """Canonical accesses by source: those made under the current configuration, and earlier ones apart."""
     kind = F.col("event_type")
-    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 300).alias("semantic"), "event_id", "ts", F.concat(F.lit("r"), F.col("event_id") % 9).alias("resource"), (F.col("event_id") % 4).alias("version"), F.when(kind == "view", "read").when(kind == "click", "search").when(kind == "error", "unknown").otherwise("write").alias("kind"))
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 300).alias("semantic"), "event_id", "ts", F.concat(F.lit("r"), F.col("event_id") % 307).alias("resource"), (F.col("event_id") % 4).alias("version"), F.when(kind == "view", "read").when(kind == "click", "search").when(kind == "error", "unknown").otherwise("write").alias("kind"))
     held = winner(rows, ["user_id", "semantic"], ["ts", "event_id"])
     key = F.col("s_suppkey")
-    known = table(spark, sf_dir, "supplier").where("s_suppkey < 7").select(F.concat(F.lit("r"), key).alias("resource"), key.alias("identity"), F.when(key % 2 == 0, F.lit(2).cast("bigint")).alias("current"), F.when(key % 3 > 0, F.concat(F.lit("src"), key % 3)).alias("source"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), key).alias("resource"), key.alias("identity"), F.when(key % 2 == 0, F.lit(2).cast("bigint")).alias("current"), F.when(key % 3 > 0, F.concat(F.lit("src"), key % 3)).alias("source"))
     told = held.join(known, "resource", "left").withColumns({"now": F.col("version").eqNullSafe(F.col("current")), "state": F.when(F.col("identity").isNull(), "unknown").when(F.col("source").isNull(), "unassigned").otherwise("source"), "identity": F.when(F.col("source").isNull(), F.col("identity"))})
     now = F.col("now")
     return told.groupBy("state", "source", "identity").agg(

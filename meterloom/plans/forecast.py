@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators.canonical import top_n
+from meterloom.operators.components import checkpointed
 from meterloom.operators.joins import null_safe_join
 from meterloom.plans.registry import query, table
 
@@ -83,6 +84,7 @@ def cycles(readings: DataFrame, keys: Sequence[str], *, now: Column, gap_hours:
     anchors = seen.groupBy(*keys).agg(begin.alias("anchors"))
     own = F.filter("anchors", lambda a: close(a["reset"], F.col("reset")) & (a["at"] <= F.struct("time", "tie")))
     placed = readings.join(anchors, keys).withColumn("anchor", F.element_at(own, F.lit(-1))["reset"]).drop("anchors")
+    placed = checkpointed(placed, "cycles")  # read for the cycles and for what is asked of them
     before = F.lag(F.struct("used", "time")).over(Window.partitionBy(*keys, "anchor").orderBy("time", "tie"))
     gap = _hours(F.col("before.time"), F.col("time"))
     breaks = F.coalesce((F.col("used") < F.col("before.used")) | (gap <= 0) | (gap > gap_hours), F.lit(False))
@@ -255,37 +257,46 @@ def baseline(found: DataFrame, keys: Sequence[str], *, most: int = 5, spread: fl
     """The median of each key's newest baselines (start, end, confirmed, rate), at most five that don't overlap;
     null with a reason where they disagree by more than a third of it.
 
-    Baselines are confirmed by hand, a few a key; they are taken newest first into one row."""
-    listed = F.array_sort(F.collect_list(F.struct((-_micros("confirmed")).alias("o"), _micros("start").alias("start"), _micros("end").alias("end"), "rate")))
-    apart = lambda h, x: ~F.exists(h, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"]))
-    taken = F.aggregate(listed, F.filter(listed, lambda _: F.lit(False)), lambda h, x: F.when((F.size(h) < most) & apart(h, x), F.array_append(h, x)).otherwise(h))
-    rows = found.groupBy(*keys).agg(taken.alias("taken")).withColumn("rates", F.array_sort(F.transform("taken", lambda x: x["rate"])))
+    A round takes the newest of each key that overlaps none taken before, and leaves out what overlaps it, so
+    a key's baselines are never in one row, however many they are."""
+    keys, place = list(keys), ["o", "s", "e", "rate"]
+    left = found.select(*keys, (-_micros("confirmed")).alias("o"), _micros("start").alias("s"), _micros("end").alias("e"), "rate")
+    taken = None
+    for turn in range(most):
+        best = left.groupBy(*keys).agg(F.min(F.struct(*place)).alias("t"))
+        taken = best if taken is None else taken.unionByName(best)
+        if turn + 1 < most:
+            rest = null_safe_join(left, best, keys, "inner").where(~((F.col("s") < F.col("t.e")) & (F.col("e") > F.col("t.s"))) & (F.struct(*place) > F.col("t")))
+            left = checkpointed(rest.drop("t"), "baselines")
+            if left.isEmpty():
+                break
+    rows = taken.groupBy(*keys).agg(F.array_sort(F.collect_list("t.rate")).alias("rates"))
     n, at = F.size("rates"), lambda i: F.element_at("rates", i.cast("int"))
     middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
     wide = (at(n) - at(F.lit(1))) / F.col("middle") > spread
     return rows.withColumn("middle", middle).select(*keys, n.alias("baselines"), F.when(wide, "baselines_disagree").alias("reason"), F.when(~wide, F.col("middle")).alias("rate"))
 
 
-@query(f"""WITH {_READ_SQL}, s AS (SELECT *, tie % 3 AS spell FROM r WHERE time >= TIMESTAMP '2024-01-29' AND tie % 7 < 3), l AS (SELECT *, lag(used) OVER w AS pu, lag(time) OVER w AS pt, lag(reset) OVER w AS pr FROM s WINDOW w AS (PARTITION BY user_id, spell ORDER BY time, tie)),
+@query(f"""WITH {_READ_SQL}, s AS (SELECT *, tie % 3 AS spell FROM r), l AS (SELECT *, lag(used) OVER w AS pu, lag(time) OVER w AS pt, lag(reset) OVER w AS pr FROM s WINDOW w AS (PARTITION BY user_id, spell ORDER BY time, tie)),
     g AS (SELECT user_id, spell, count(*) AS readings, bool_or(pt IS NOT NULL AND NOT (pr = reset AND pu <= used AND time > pt AND {_H('pt', 'time')} <= 400)) AS broken, arg_max(used, (time, tie)) - arg_min(used, (time, tie)) AS points, {_H('min(time)', 'max(time)')} AS hours FROM l GROUP BY user_id, spell),
     t AS (SELECT user_id, event_id % 3 AS spell, CAST(sum(event_id % 100) AS BIGINT) AS tokens FROM events WHERE event_type = 'click' GROUP BY ALL),
     w AS (SELECT g.*, tokens, CASE WHEN hours < 2 THEN 'too_short' WHEN readings < 3 OR broken THEN 'not_continuous' WHEN points < 3 THEN 'too_few_points' WHEN NOT coalesce(tokens > 0, false) THEN 'no_local_tokens' END AS reason FROM g LEFT JOIN t USING (user_id, spell))
     SELECT *, CASE WHEN reason IS NULL THEN tokens / points END AS tokens_a_point FROM w""")
 def calibration(spark, sf_dir):
     spell = (F.col("tie") % 3).alias("spell")
-    rows = _readings(spark, sf_dir).where("time >= TIMESTAMP_NTZ '2024-01-29' AND tie % 7 < 3").select("*", spell)
+    rows = _readings(spark, sf_dir).select("*", spell)
     local = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy("user_id", (F.col("event_id") % 3).alias("spell")).agg(F.sum(F.col("event_id") % 100).alias("tokens"))
     return calibrations(rows, ["user_id"], local, gap_hours=400)
 
 
-@query("""WITH RECURSIVE b AS (SELECT l_suppkey, l_shipdate AS s, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS e, l_extendedprice / 50 AS rate, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate + to_days(CAST(l_quantity AS INTEGER)) DESC, l_shipdate, l_extendedprice) AS n FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH RECURSIVE b AS (SELECT l_suppkey, l_shipdate AS s, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS e, l_extendedprice / 50 AS rate, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate + to_days(CAST(l_quantity AS INTEGER)) DESC, l_shipdate, l_extendedprice) AS n FROM lineitem),
     f AS (SELECT l_suppkey, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(s TIMESTAMP, e TIMESTAMP, rate DOUBLE)[]) AS h FROM (SELECT DISTINCT l_suppkey FROM b)
         UNION ALL SELECT f.l_suppkey, b.n, CASE WHEN len(h) < 5 AND len(list_filter(h, lambda y: b.s < y.e AND b.e > y.s)) = 0 THEN list_append(h, {'s': b.s, 'e': b.e, 'rate': b.rate}) ELSE h END FROM f JOIN b ON b.l_suppkey = f.l_suppkey AND b.n = f.n + 1),
     t AS (SELECT l_suppkey, list_sort(list_transform(arg_max(h, n), lambda x: x.rate)) AS r FROM f GROUP BY l_suppkey), m AS (SELECT *, len(r) AS k, (r[(len(r) + 1) // 2] + r[len(r) // 2 + 1]) / 2 AS mid FROM t)
     SELECT l_suppkey, CAST(k AS INTEGER) AS baselines, CASE WHEN (r[k] - r[1]) / mid > 0.35 THEN 'baselines_disagree' END AS reason, CASE WHEN NOT (r[k] - r[1]) / mid > 0.35 THEN mid END AS rate FROM m""")
 def baseline_median(spark, sf_dir):
     end = F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", F.col("l_shipdate").alias("start"), end.alias("end"), end.alias("confirmed"), (F.col("l_extendedprice") / 50).alias("rate"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_shipdate").alias("start"), end.alias("end"), end.alias("confirmed"), (F.col("l_extendedprice") / 50).alias("rate"))
     return baseline(rows, ["l_suppkey"])
 
 

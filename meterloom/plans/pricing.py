@@ -32,12 +32,12 @@ def catalogue(spark: SparkSession) -> DataFrame:
 def priced(rows: DataFrame, prices: DataFrame, *, model: str, date: str, units: str, band_from: float) -> DataFrame:
     """rows with price and reason: unknown_model or no_period where nothing applies.
 
-    The catalogue is a list kept by hand, a few hundred rows at most, gathered to one row for each model
-    before it is sent to the tasks: a row of the ledger never multiplies."""
+    The catalogue is gathered to one row for each model first, so a row of the ledger never multiplies. A list
+    that is kept by hand is small enough for Spark to send it to the tasks by itself."""
     listed = prices.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("since", "until", "plain", "band"))).alias("listed"))
     day = F.col(date).cast("date")
     fits = F.filter("listed", lambda p: (day >= p["since"]) & (p["until"].isNull() | (day < p["until"])))
-    found = rows.join(F.broadcast(listed), F.col(model) == F.col("model"), "left").withColumn("period", F.try_element_at(fits, F.lit(-1)))
+    found = rows.join(listed, F.col(model) == F.col("model"), "left").withColumn("period", F.try_element_at(fits, F.lit(-1)))
     reason = F.when(F.col("model").isNull(), "unknown_model").when(F.col("period").isNull(), "no_period")
     rate = F.when(F.col(units) > band_from, F.col("period.band")).otherwise(F.col("period.plain"))
     return found.withColumn("reason", reason).withColumn("price", numbers.round6(F.col(units) * rate)).drop("listed", "period", "model")

@@ -58,11 +58,8 @@ def priced(rows: DataFrame, names: DataFrame) -> DataFrame:
 
     A name is sought as it is, then without the date at its end (Claude's alone are dated). The latest period that
     holds the date counts, the band is that of the catalogue's own threshold, and `fast` is chosen by the
-    recorded speed where a catalogue prices it. The catalogue is a list kept by hand, some hundred rows at
-    most, so its arrays travel to the tasks; its size is checked."""
-    if names.count() > 10_000:
-        raise ValueError("the catalogue is larger than one that is kept by hand")
-    listed = F.broadcast(names)
+    recorded speed where a catalogue prices it. How the catalogue is joined is Spark's choice, by its size."""
+    listed = names
     provider = F.coalesce(*[F.when(F.col("provider") == p, c) for p, c in PROVIDERS.items()])
     sought = rows.withColumns({"_in": provider, "_name": model_name("model"), "_undated": model_name("model", dated=False)})
     sought = sought.join(listed.select(F.col("name").alias("_name"), F.struct("catalog", "canonical", "write_times", "write_1h_times", "periods", "by_version").alias("_own")), "_name", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import periods
 from meterloom.functions.text import json_array
+from meterloom.operators.components import checkpointed
 from meterloom.operators.joins import null_safe_join
 from meterloom.plans.registry import query, table
 
@@ -154,7 +155,7 @@ def agent_rows(found: DataFrame, mapped: DataFrame) -> DataFrame:
     WHERE g.agent_key IS NOT DISTINCT FROM m.agent_key AND g.cursor_session IS NOT DISTINCT FROM m.cursor_session AND g.agent_class IS NOT DISTINCT FROM m.agent_class AND g.agent_name IS NOT DISTINCT FROM m.agent_name
         AND g.agent_depth IS NOT DISTINCT FROM m.agent_depth AND g.parent_agent_key IS NOT DISTINCT FROM m.parent_agent_key AND g.agent_identity_basis IS NOT DISTINCT FROM m.agent_identity_basis GROUP BY 1, 2, 3, 4, 5""")
 def agent_groups(spark, sf_dir):
-    found = groups(spark, sf_dir)
+    found = checkpointed(groups(spark, sf_dir), "groups")  # read for the agents and for their rows
     return agent_rows(found, _agents(spark, found))
 
 
@@ -266,33 +267,52 @@ BUCKETS_SQL = f"""buckets AS (SELECT account_id, provider, install_id, session_h
     {', '.join(f'CAST(sum({c} * CASE WHEN request_key % 5 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS {c}' for c in (*PARTS, 'total_tokens'))}, count(*) AS calls FROM requests WHERE request_key % 7 <> 0 GROUP BY ALL)"""
 
 
-def headline(detail: DataFrame, hourly: DataFrame, filters: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row: the totals that a set of filters gives, and from which ledger.
+def headlines(detail: DataFrame, hourly: DataFrame, scenarios: Sequence[tuple[str, Mapping[str, Sequence[str]]]]) -> DataFrame:
+    """A row for each scenario (name, filters): the totals that a set of filters gives, and from which ledger.
 
     Without detail filters buckets count. With any, matching requests do, and what that leaves out is
     told: bucket tokens that no request stands for (unfilterable) and request tokens in no bucket
-    (uncovered), both over the filtered population and never below zero."""
-    scope = {k: v for k, v in filters.items() if k not in DETAIL}
-    detailed = any(filters.get(k) for k in DETAIL)
-    held = hourly.where(matches(scope, COLUMNS)).agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("b_tokens"), F.coalesce(F.sum("calls"), F.lit(0)).alias("b_calls"), F.count_distinct("session_hash").alias("b_conversations"))
-    fits = matches({k: filters.get(k, ()) for k in ("efforts", "surfaces")}, COLUMNS) & in_projects(filters.get("projects", ()))
-    if filters.get("agent_scope"):
-        fits = fits & agent_role().isin(*filters["agent_scope"])
-    asked = detail.where(matches(scope, COLUMNS)).withColumn("fits", fits)
-    when = lambda c: F.coalesce(F.sum(F.when(F.col("fits"), F.col(c))), F.lit(0))
-    told = asked.agg(
-        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("r_tokens"), F.coalesce(F.sum("calls"), F.lit(0)).alias("r_calls"), when("total_tokens").alias("m_tokens"), when("calls").alias("m_calls"), F.count_distinct(F.when(F.col("fits"), F.col("session_hash"))).alias("m_conversations")
-    )
-    both = held.join(told)  # a row each
-    above = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0)) if detailed else F.lit(0).cast("bigint")
-    source = "m" if detailed else "b"
-    return both.select(
-        F.lit("requests" if detailed else "buckets").alias("basis"),
-        *[F.col(f"{source}_{c}").alias(n) for c, n in (("tokens", "total_tokens"), ("calls", "calls"), ("conversations", "conversations"))],
-        above("b_tokens", "r_tokens").alias("unfilterable_tokens"),
-        above("b_calls", "r_calls").alias("unfilterable_calls"),
-        above("r_tokens", "b_tokens").alias("uncovered_request_tokens"),
-    )
+    (uncovered), both over the filtered population and never below zero.
+
+    Each ledger is read once for all scenarios, and grouped by conversation first, so that conversations
+    are counted without a row for each scenario."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+
+    def sums(rows: DataFrame, chosen: dict[str, Column]) -> DataFrame:
+        told = F.col("session_hash").isNotNull()
+        by = rows.groupBy("session_hash").agg(*[x for name, when in chosen.items() for x in (F.sum(F.when(when, F.col("total_tokens"))).alias(f"{name}_tokens"), F.sum(F.when(when, F.col("calls"))).alias(f"{name}_calls"), F.bool_or(F.coalesce(when, F.lit(False))).alias(f"{name}_met"))])
+        return by.agg(*[x for name in chosen for x in (zero(F.sum(f"{name}_tokens")).alias(f"{name}_tokens"), zero(F.sum(f"{name}_calls")).alias(f"{name}_calls"), F.count_if(F.col(f"{name}_met") & told).alias(f"{name}_conversations"))])
+
+    scopes, fits, detailed = {}, {}, {}
+    for i, (_, filters) in enumerate(scenarios):
+        scope = {k: v for k, v in filters.items() if k not in DETAIL}
+        detailed[i] = any(filters.get(k) for k in DETAIL)
+        scopes[i] = matches(scope, COLUMNS)
+        own = matches({k: filters.get(k, ()) for k in ("efforts", "surfaces")}, COLUMNS) & in_projects(filters.get("projects", ()))
+        fits[i] = scopes[i] & (own & agent_role().isin(*filters["agent_scope"]) if filters.get("agent_scope") else own)
+    held = sums(hourly, {f"b{i}": when for i, when in scopes.items()})
+    some = [i for i in detailed if detailed[i]]
+    told = sums(detail, {f"r{i}": scopes[i] for i in some} | {f"m{i}": fits[i] for i in some}) if some else None
+    both = held.join(told) if some else held  # a row each
+    rows = []
+    for i, (name, _) in enumerate(scenarios):
+        source, above = ("m" if detailed[i] else "b"), lambda a, b, c, i=i: F.greatest(F.col(f"{a}{i}_{c}") - F.col(f"{b}{i}_{c}"), F.lit(0)) if detailed[i] else F.lit(0).cast("bigint")
+        rows.append(
+            F.struct(
+                F.lit(name).alias("scenario"),
+                F.lit("requests" if detailed[i] else "buckets").alias("basis"),
+                *[F.col(f"{source}{i}_{c}").alias(n) for c, n in (("tokens", "total_tokens"), ("calls", "calls"), ("conversations", "conversations"))],
+                above("b", "r", "tokens").alias("unfilterable_tokens"),
+                above("b", "r", "calls").alias("unfilterable_calls"),
+                above("r", "b", "tokens").alias("uncovered_request_tokens"),
+            )
+        )
+    return both.select(F.inline(F.array(*rows)))
+
+
+def headline(detail: DataFrame, hourly: DataFrame, filters: Mapping[str, Sequence[str]]) -> DataFrame:
+    """headlines() of one set of filters."""
+    return headlines(detail, hourly, [("", filters)]).drop("scenario")
 
 
 def _headline_sql(name: str) -> str:
@@ -306,11 +326,7 @@ def _headline_sql(name: str) -> str:
 
 @query(f"WITH {_RESOLVED_SQL}, {BUCKETS_SQL} " + " UNION ALL ".join(_headline_sql(name) for name, _ in SCENARIOS))
 def usage_headline(spark, sf_dir):
-    detail, hourly, found = resolved(spark, sf_dir), fixture_buckets(spark, sf_dir), None
-    for name, filters in SCENARIOS:
-        one = headline(detail, hourly, filters).select(F.lit(name).alias("scenario"), "*")
-        found = one if found is None else found.unionByName(one)
-    return found
+    return headlines(resolved(spark, sf_dir), fixture_buckets(spark, sf_dir), SCENARIOS)
 
 
 @query(f"""WITH {_RESOLVED_SQL} SELECT (surface IN ('cli', 'unknown') AND (reasoning_effort = 'low' OR reasoning_effort IS NULL)) AS matches, account_id, model, CAST(slot AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}' AS DATE) AS day, {_COMPOSITION},
@@ -336,7 +352,7 @@ def account_months(spark, sf_dir):
 
 
 @query(f"""WITH {REQUESTS_SQL}, spawned AS (SELECT account_id, concat('a', l_orderkey % 301, '-', l_linenumber) AS agent_key, CASE l_linenumber WHEN 1 THEN 'spawn' WHEN 2 THEN 'start' WHEN 3 THEN 'finish' ELSE 'note' END AS event_kind
-        FROM (SELECT *, concat('acct-', l_suppkey % 5) AS account_id FROM lineitem) WHERE l_partkey % 3 = 0)
+        FROM (SELECT *, concat('acct-', l_suppkey % 5) AS account_id FROM lineitem))
     SELECT (SELECT count(*) FROM spawned WHERE event_kind = 'spawn') AS spawns, (SELECT count(DISTINCT session_hash) FROM requests) AS conversations,
         (SELECT count(DISTINCT agent_key) FROM (SELECT agent_key FROM spawned WHERE event_kind IN ('start', 'resume', 'finish') AND agent_key IS NOT NULL
             UNION SELECT agent_key FROM requests WHERE agent_key IS NOT NULL AND (agent_depth > 0 OR parent_agent_key IS NOT NULL))) AS observed_children""")
@@ -344,7 +360,7 @@ def agent_evidence(spark, sf_dir):
     """Children are those that events or requests show, each once."""
     rows = requests(spark, sf_dir)
     kind = "CASE l_linenumber WHEN 1 THEN 'spawn' WHEN 2 THEN 'start' WHEN 3 THEN 'finish' ELSE 'note' END"
-    events = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").selectExpr("concat('a', l_orderkey % 301, '-', l_linenumber) AS agent_key", f"{kind} AS event_kind")
+    events = table(spark, sf_dir, "lineitem").selectExpr("concat('a', l_orderkey % 301, '-', l_linenumber) AS agent_key", f"{kind} AS event_kind")
     shown = events.where("event_kind IN ('start', 'resume', 'finish') AND agent_key IS NOT NULL").select("agent_key").unionByName(rows.where("agent_key IS NOT NULL AND (agent_depth > 0 OR parent_agent_key IS NOT NULL)").select("agent_key"))
     counts = events.agg(F.count_if(F.col("event_kind") == "spawn").alias("spawns")), rows.agg(F.count_distinct("session_hash").alias("conversations")), shown.agg(F.count_distinct("agent_key").alias("observed_children"))
     return counts[0].join(counts[1]).join(counts[2])  # a row each

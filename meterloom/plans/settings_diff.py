@@ -292,8 +292,8 @@ def leaves(documents: DataFrame, value: str = "content") -> DataFrame:
     front = documents.select(*others, F.lit("").alias("pointer"), F.try_parse_json(value).alias("v")).where("v IS NOT NULL")
     found = None
     while True:
-        kind = F.schema_of_variant("v")
-        inner = F.when(F.startswith(kind, F.lit("OBJECT")), F.transform(F.map_entries(F.from_json(F.to_json("v"), "map<string,variant>")), lambda e: F.struct(F.replace(F.replace(e["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")).alias("name"), e["value"].alias("v")))).when(F.startswith(kind, F.lit("ARRAY")), F.transform(F.from_json(F.to_json("v"), "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("v"))))
+        entries, items = F.try_variant_get("v", "$", "map<string,variant>"), F.try_variant_get("v", "$", "array<variant>")
+        inner = F.when(entries.isNotNull(), F.transform(F.map_entries(entries), lambda e: F.struct(F.replace(F.replace(e["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")).alias("name"), e["value"].alias("v")))).when(items.isNotNull(), F.transform(items, lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("v"))))
         level = front.withColumn("inner", inner)
         whole = level.where("inner IS NULL OR size(inner) = 0").select(*others, "pointer", F.to_json("v").alias("leaf"))
         found = whole if found is None else found.unionByName(whole)

@@ -250,18 +250,17 @@ def retry_after_failure(events: DataFrame, limits: Mapping[str, int]) -> DataFra
     tries = failed.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(*keys, "event_id", "start_ms", "seq", _end().alias("end"))
     own = Window.partitionBy(*keys).orderBy(*_ordered())
     tries = tries.withColumn("then", F.lead(F.struct("start_ms", "seq", "end")).over(own))
+    # Three lanes of a run, each swept once: timed calls by time, untimed ones and all of them by seq. A try asks in
+    # each for the first call at or after its end, or after its seq.
+    lane = lambda n, place, side: F.struct(F.lit(n).alias("lane"), F.col(place).alias("place"), F.lit(side).alias("side"))
+    asked = tries.select("*", F.inline(F.array(lane(0, "end", 0), lane(1, "seq", 2), lane(2, "seq", 2))))
     model = events.where("kind = 'model'").select("run_id", F.col("event_id").alias("model"), "start_ms", "seq", _end().isNotNull().alias("timed"))
-
-    def next_model(of: DataFrame, place: str, name: str, probe: str) -> DataFrame:
-        """The first of these calls whose place is at or after a try's (after it, by seq)."""
-        told = "struct<place:bigint,model:string>"
-        asks = tries.where(F.col(probe).isNotNull()).select("run_id", F.col(probe).alias("place"), F.lit(0 if place == "start_ms" else 2).alias("side"), "event_id", F.lit(None).cast(told).alias("next"))
-        answers = of.where(F.col(place).isNotNull()).select("run_id", F.col(place).alias("place"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("event_id"), F.struct(F.col(place).alias("place"), "model").cast(told).alias("next"))
-        ahead = Window.partitionBy("run_id").orderBy("place", "side", F.asc_nulls_last("next.model")).rowsBetween(0, Window.unboundedFollowing)
-        return asks.unionByName(answers).withColumn("next", F.first("next", ignorenulls=True).over(ahead)).where("side <> 1").select("run_id", "event_id", F.col("next").alias(name))
-
-    for of, place, name, probe in ((model.where("timed"), "start_ms", "by_time", "end"), (model.where("NOT timed"), "seq", "by_seq", "seq"), (model, "seq", "by_any", "seq")):
-        tries = tries.join(next_model(of, place, name, probe), ["run_id", "event_id"], "left")
+    told = model.select("run_id", "model", F.inline(F.array(F.when(F.col("timed"), lane(0, "start_ms", 1)), F.when(~F.col("timed"), lane(1, "seq", 1)), lane(2, "seq", 1)))).where("place IS NOT NULL")
+    ahead = Window.partitionBy("run_id", "lane").orderBy("place", "side", F.asc_nulls_last("model")).rowsBetween(0, Window.unboundedFollowing)
+    answer = F.first(F.when(F.col("side") == 1, F.struct("place", "model")), ignorenulls=True).over(ahead)
+    swept = asked.unionByName(told, allowMissingColumns=True).withColumn("next", answer).where("side <> 1")
+    of_lane = lambda n, name: F.max(F.when((F.col("lane") == n) & F.col("place").isNotNull(), F.col("next"))).alias(name)
+    tries = swept.groupBy(*keys, "event_id").agg(*[F.first(c).alias(c) for c in ("start_ms", "seq", "end", "then")], of_lane(0, "by_time"), of_lane(1, "by_seq"), of_lane(2, "by_any"))
     timed = F.col("end").isNotNull() & F.col("then.end").isNotNull()
     before = lambda name, place: F.when(F.col(f"{name}.place") < F.col(f"then.{place}"), F.col(f"{name}.model"))
     between = F.when(timed, F.coalesce(before("by_time", "start_ms"), before("by_seq", "seq"))).otherwise(before("by_any", "seq"))
@@ -270,10 +269,10 @@ def retry_after_failure(events: DataFrame, limits: Mapping[str, int]) -> DataFra
     chains = tries.withColumn("chain", chain).groupBy(*keys, "chain").agg(F.array_sort(F.collect_list(F.struct(_placed(F.col("end")).alias("row"), "between"))).alias("rows"))
     whole = chains.groupBy(*keys).agg(F.sum(F.size("rows")).alias("n"), F.max_by("rows", F.struct(F.size("rows"), -F.col("chain"))).alias("best"), F.array_sort(F.flatten(F.collect_list("rows"))).alias("all"))
     ids = lambda c: F.transform(c, lambda r: r["row"]["id"])
-    weak = _finding(whole.where(F.col("n") >= limits["weak"]), "retry_after_failure", F.concat(F.lit("weak:"), _call()), F.col("n"), ids("all"))
-    strong = whole.where(F.size("best") >= F.greatest(F.lit(limits["strong"]), F.lit(1)))
     shown = F.concat(ids("best"), F.filter(F.transform("best", lambda r: r["between"]), lambda m: m.isNotNull()))
-    return weak.unionByName(_finding(strong, "retry_after_failure", F.concat(F.lit("strong:"), _call()), F.size("best"), shown))
+    kinds = (("weak", F.col("n") >= limits["weak"], F.col("n"), ids("all")), ("strong", F.size("best") >= F.greatest(F.lit(limits["strong"]), F.lit(1)), F.size("best"), shown))
+    found = F.array(*[F.when(holds, F.struct(F.concat(F.lit(f"{kind}:"), _call()).alias("pattern"), size.cast("bigint").alias("size"), evidence.alias("evidence"))) for kind, holds, size, evidence in kinds])
+    return whole.select("run_id", F.lit("retry_after_failure").alias("rule"), F.inline(F.array_compact(found)))
 
 
 @dataclass(frozen=True)
@@ -494,11 +493,12 @@ def rule_coverage(spark, sf_dir):
     return covered(fixture(spark, sf_dir)).withColumn("missing", F.array_join("missing", ","))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS a, CAST(l_orderkey - l_partkey % 7 AS BIGINT) AS b FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = 0 AND l_partkey % 7 > 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS a, CAST(l_orderkey // 24 * 24 + l_partkey % 31 % 24 AS BIGINT) AS b FROM lineitem WHERE l_orderkey <> l_orderkey // 24 * 24 + l_partkey % 31 % 24), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen) SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_partkey % 3 = 0 AND l_partkey % 7 > 0")
-    return components(lines.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") - F.col("l_partkey") % 7).alias("b")))
+    order = F.col("l_orderkey")
+    other = F.floor(order / 24) * 24 + F.col("l_partkey") % 31 % 24
+    return components(table(spark, sf_dir, "lineitem").select(order.alias("a"), other.alias("b")))
 
 
 #: Fields of events and the kinds that they apply to.
