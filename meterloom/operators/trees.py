@@ -82,3 +82,24 @@ def _circles(edges: DataFrame, keys: list[str], cut: Cut) -> DataFrame:
 def with_below(tree: DataFrame, marked: Column, *, node: str, parent: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys and node of all nodes that have a marked one below them."""
     return climbed(tree, node=node, parent=parent, keys=keys, weight=marked.cast("int")).where("below > 0").select(*keys, node)
+
+
+def nearest_above(tree: DataFrame, answer: Column, *, node: str, parent: str, keys: Sequence[str] = (), cut: Cut = checkpointed) -> DataFrame:
+    """keys, node and answer, its own or that of the nearest node above that has one; null where none has. Of a node's
+    rows the least parent and the least answer count, and a circle is gone round once.
+
+    In round k a node has looked at all that is less than 2^k above; one that has found an answer asks no more."""
+    keys = list(keys)
+    nodes = tree.where(F.col(node).isNotNull()).groupBy(*keys, F.col(node).alias("n")).agg(F.min(parent).alias("up"), F.min(answer).alias("answer"))
+    state = cut(nodes.withColumn("up", F.when(F.col("answer").isNull(), F.col("up"))), "answers")
+    total, reach = state.count(), 1
+    while reach < 2 * total:
+        going = state.where("answer IS NULL AND up IS NOT NULL")
+        if going.isEmpty():
+            break
+        far = state.select(*keys, F.col("n").alias("up"), F.col("up").alias("up2"), F.col("answer").alias("answer2"))
+        # A parent outside of the tree has no answer and no parent.
+        jumped = going.join(far, [*keys, "up"], "left").select(*keys, "n", F.when(F.col("answer2").isNull(), F.col("up2")).alias("up"), F.col("answer2").alias("answer"))
+        state = cut(jumped.unionByName(state.where("answer IS NOT NULL OR up IS NULL")), "answers")
+        reach *= 2
+    return state.select(*keys, F.col("n").alias(node), "answer")

@@ -1,4 +1,4 @@
-"""Transcripts and traces in JSON lines, as events of one model."""
+"""Transcripts in JSON lines, as events of one model."""
 
 from __future__ import annotations
 
@@ -20,12 +20,6 @@ EVENT_COLUMNS = (
 _USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
 _PART = "struct<type:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:boolean>"
 SESSION_LINE = f"type string, uuid string, parentUuid string, sessionId string, timestamp string, isSidechain boolean, agentId string, message struct<id:string,role:string,model:string,content:string,stop_reason:string,usage:{_USAGE}>"
-_ATTRIBUTE = "struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>"
-OTLP = (
-    "resourceSpans array<struct<scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,startTimeUnixNano:string,endTimeUnixNano:string,"
-    f"attributes:array<{_ATTRIBUTE}>,status:struct<code:string>>>>>>>"
-)
-
 
 def lines(spark: SparkSession, paths: str | list[str], markers: tuple[str, ...] = ()) -> DataFrame:
     """value, file and pos of each line; with markers only lines that contain one are kept, before any JSON is
@@ -103,33 +97,6 @@ def session_events(rows: DataFrame) -> DataFrame:
     return shaped(calls.unionByName(tools, allowMissingColumns=True))
 
 
-def otlp_events(rows: DataFrame) -> DataFrame:
-    """Events of exported spans (the rows of parsed() by OTLP), a line for each envelope."""
-    spans = rows.select("pos", F.explode("j.resourceSpans").alias("r")).select("pos", F.explode("r.scopeSpans").alias("s")).select("pos", F.explode("s.spans").alias("span"))
-    pairs = F.transform(F.filter("span.attributes", lambda a: a["key"].isNotNull()), lambda a: F.struct(a["key"], F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string"))))
-    held = spans.select("pos", "span.*", F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.map_from_arrays(F.array(p["key"]), F.array(p["col2"])))).alias("at"))
-    at = lambda *keys: F.coalesce(*[F.try_element_at("at", F.lit(k)) for k in keys])
-    kind = F.when(at("gen_ai.tool.name", "gen_ai.tool.call.id").isNotNull(), "tool").when(at("gen_ai.request.model", "gen_ai.response.model").isNotNull(), "model").otherwise("other")
-    ms = lambda c: F.floor(F.col(c).try_cast("bigint") / 1_000_000)
-    return shaped(
-        held.select(
-            F.coalesce(at("gen_ai.conversation.id"), F.col("traceId")).alias("run_id"),
-            F.col("spanId").alias("event_id"),
-            kind.alias("kind"),
-            F.coalesce(at("gen_ai.tool.name"), F.col("name")).alias("name"),
-            at("gen_ai.response.model", "gen_ai.request.model").alias("model"),
-            F.when(F.col("status.code").isin("2", "STATUS_CODE_ERROR"), "error").otherwise("ok").alias("status"),
-            ms("startTimeUnixNano").alias("start_ms"),
-            ms("endTimeUnixNano").alias("end_ms"),
-            F.col("pos").alias("seq"),
-            F.col("parentSpanId").alias("parent_id"),
-            at("gen_ai.tool.call.id").alias("tool_call_id"),
-            at("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens").try_cast("bigint").alias("tokens_in"),
-            at("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens").try_cast("bigint").alias("tokens_out"),
-        )
-    )
-
-
 def shaped(df: DataFrame) -> DataFrame:
     """df with all EVENT_COLUMNS; what it doesn't hold is null, but for the label of a hash (full), the scope
     ({}) and lists (empty)."""

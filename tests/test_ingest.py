@@ -52,20 +52,6 @@ def test_sessions(spark, tmp_path):
     assert (found["t1"].name, found["t1"].status, found["t1"].result_bytes, found["t1"].end_ms - found["t1"].start_ms) == ("read", "error", 12, 2000)
 
 
-def test_otlp(spark, tmp_path):
-    at = lambda k, v: {"key": k, "value": v}
-    spans = [
-        {"traceId": "t", "spanId": "1", "name": "chat", "startTimeUnixNano": "1704067200000000000", "endTimeUnixNano": "1704067201500000000", "attributes": [at("gen_ai.request.model", {"stringValue": "m"}), at("gen_ai.usage.input_tokens", {"intValue": "7"}), at("gen_ai.conversation.id", {"stringValue": "c"})]},
-        {"traceId": "t", "spanId": "2", "parentSpanId": "1", "name": "run", "startTimeUnixNano": "1704067201000000000", "endTimeUnixNano": "x", "attributes": [at("gen_ai.tool.name", {"stringValue": "grep"})], "status": {"code": 2}},
-    ]
-    (tmp_path / "a.jsonl").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]}) + "\nnot json\n")
-    rows, problems = sessions.parsed(sessions.lines(spark, str(tmp_path)), sessions.OTLP)
-    found = {r.event_id: r for r in sessions.otlp_events(rows).collect()}
-    assert problems.count() == 1
-    assert (found["1"].run_id, found["1"].kind, found["1"].tokens_in, found["1"].end_ms - found["1"].start_ms) == ("c", "model", 7, 1500)
-    assert (found["2"].run_id, found["2"].kind, found["2"].name, found["2"].status, found["2"].end_ms) == ("t", "tool", "grep", "error", None)
-
-
 def test_a_ledger_that_cannot_be_read_is_an_error(spark, tmp_path):
     import pytest
     from pyspark.errors import AnalysisException
