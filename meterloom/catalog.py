@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterloom.plans import allowance, collector, content, contracts, estimates, evidence, forecast, knowledge, ledger, pages, pricing, rates, requests, reviews, revisions, scalars, scope_rule, series, settings_cases, settings_diff, threads, traces, usage  # noqa: F401  they register their queries
+from meterloom.plans import allowance, collector, content, contracts, estimates, evidence, forecast, knowledge, ledger, pages, pricing, rates, requests, reviews, revisions, scalars, scope_rule, series, settings_cases, settings_diff, span_runs, threads, tools, traces, usage  # noqa: F401  they register their queries
 from meterloom.plans.registry import QUERIES, SQL
 
 

@@ -209,7 +209,9 @@ def span_events(documents: DataFrame, *, run_attribute: str | None = None, token
 
     bytes_of = F.when(F.startswith("_result", F.lit('"')), F.octet_length(F.try_variant_get(F.try_parse_json("_result"), "$", "string"))).otherwise(F.octet_length(F.to_json(F.try_parse_json("_result"))))
     code = F.coalesce(F.try_variant_get("span", "$.status.code", "string"), F.lit("0"))
-    ms = lambda name: F.floor(F.when(F.try_variant_get("span", f"$.{name}", "string").rlike(_INT), F.try_variant_get("span", f"$.{name}", "string").try_cast("bigint")) / 1_000_000)
+    nanos = lambda name: F.when(F.try_variant_get("span", f"$.{name}", "string").rlike(_INT), F.try_variant_get("span", f"$.{name}", "string").try_cast("bigint"))
+    # In whole numbers: nanoseconds of today are more than a double can tell apart.
+    ms = lambda name: F.call_function("div", nanos(name) - F.pmod(nanos(name), F.lit(1_000_000)), F.lit(1_000_000))
     read = read.withColumns({"kind": kind, "_result": result, "start_ms": ms("startTimeUnixNano"), "end_ms": ms("endTimeUnixNano")})
     has_result = F.when(F.col("kind") == "tool", F.col("_result").isNotNull()).when(F.col("kind").isin("model", "aggregate"), F.coalesce("finish_reason", F.col("tokens_out").cast("string")).isNotNull()).otherwise(False)
     used = F.coalesce("tokens_in", "tokens_out").isNotNull() & F.col("kind").isin("model", "aggregate")
