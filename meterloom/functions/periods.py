@@ -72,6 +72,17 @@ def months_within(start: Column, end: Column, zone: str) -> Column:
     return F.transform(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")), lambda m: F.date_format(m, "yyyy-MM"))
 
 
+def periods_within(start: Column, end: Column, zone: str, hourly_days: int = 14) -> Column:
+    """The aligned periods that a half-open range touches, cut to it, as an array of (start, end): hours for a range of
+    up to hourly_days days, local days for a longer one. A day of the change of clocks has its own length."""
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    hour = F.expr("INTERVAL 1 HOUR")
+    final = end - F.expr("INTERVAL 1 MICROSECOND")
+    hours = F.transform(F.sequence(F.date_trunc("hour", start).cast("timestamp_ntz"), F.date_trunc("hour", final).cast("timestamp_ntz"), hour), lambda h: F.struct(F.greatest(h, start).alias("start"), F.least(h + hour, end).alias("end")))
+    days = F.transform(F.sequence(local_day(start, zone), local_day(final, zone), F.expr("INTERVAL 1 DAY")), lambda d: F.struct(F.greatest(instant_of(d, zone), start).alias("start"), F.least(instant_of(F.date_add(d, 1), zone), end).alias("end")))
+    return F.when(end > start, F.when(seconds(end) - seconds(start) <= hourly_days * 86_400, hours).otherwise(days))
+
+
 def calendar_cells(month: Column) -> Column:
     """The days of a month (a date in it) in weeks from Monday on, with nulls before and after."""
     first = F.trunc(month, "month")

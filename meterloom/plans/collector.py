@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.operators.canonical import winner
-from meterloom.operators.joins import keyed_diff
+from meterloom.operators.components import checkpointed
+from meterloom.operators.joins import keyed_diff, null_safe_join
 from meterloom.operators.trees import climbed
 from meterloom.plans.registry import query, table
 
@@ -183,6 +184,24 @@ def to_emit(state: DataFrame, published: DataFrame, keys: Sequence[str], content
     return told.where("change IS NOT NULL").drop("_old", "_known")
 
 
+def with_dependents(changed: DataFrame, state: DataFrame, keys: Sequence[str], depends: DataFrame, on: Sequence[str]) -> DataFrame:
+    """changed (keys, ..., change) and the rows of state that depend on one of them (depends: keys and, under `on`, the
+    keys of what they rest on) without having changed themselves: `dependent`, each once, however long the chain that
+    leads to them. A round takes what rests on the rows that the one before it found, and only what is new, so
+    circles end."""
+    keys, on = list(keys), list(on)
+    found = front = checkpointed(changed.select(*keys).distinct(), "changed")
+    while True:
+        named = front.select(*[F.col(k).alias(o) for k, o in zip(keys, on)])
+        up = null_safe_join(depends, named, on, "left_semi").select(*keys).distinct()
+        front = checkpointed(null_safe_join(up, found, keys, "left_anti"), "dependents")
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    resting = null_safe_join(null_safe_join(state, found, keys, "left_semi"), changed, keys, "left_anti")
+    return changed.unionByName(resting.withColumn("change", F.lit("dependent")).select(changed.columns))
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS c FROM lineitem GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN max(l_quantity) + 1 ELSE max(l_quantity) END AS c FROM lineitem WHERE l_partkey % 4 > 0 GROUP BY l_orderkey, l_linenumber)
     SELECT s.l_orderkey, s.l_linenumber, CASE WHEN p.l_orderkey IS NULL THEN 'new' ELSE 'revised' END AS change FROM s LEFT JOIN p USING (l_orderkey, l_linenumber) WHERE p.l_orderkey IS NULL OR p.c IS DISTINCT FROM s.c""")
 def incremental_emission(spark, sf_dir):
@@ -192,6 +211,17 @@ def incremental_emission(spark, sf_dir):
     return to_emit(state, sent, ["l_orderkey", "l_linenumber"], "c").select("l_orderkey", "l_linenumber", "change")
 
 
+@query("""WITH RECURSIVE c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN 'new' WHEN o_orderkey % 90 = 7 THEN 'revised' END AS change FROM orders), d AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey - o_orderkey % 6 ELSE o_orderkey - o_orderkey % 36 END AS base FROM orders WHERE o_orderkey % 36 > 0),
+    r AS (SELECT o_orderkey AS row FROM c WHERE change IS NOT NULL UNION SELECT d.row FROM r JOIN d ON d.base = r.row) SELECT c.o_orderkey, coalesce(change, 'dependent') AS change FROM c JOIN r ON r.row = c.o_orderkey""")
+def emission_with_dependents(spark, sf_dir):
+    """What is sent again since it changed, or since it rests on what did."""
+    order = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(order % 90 == 7, 1).otherwise(0).alias("c"))
+    sent = orders.where(order % 40 > 0).withColumn("c", F.lit(0))
+    depends = orders.where(order % 36 > 0).select("o_orderkey", (order - F.when(order % 6 > 0, order % 6).otherwise(order % 36)).alias("base"))
+    return with_dependents(to_emit(orders, sent, ["o_orderkey"], "c"), orders, ["o_orderkey"], depends, ["base"]).select("o_orderkey", "change")
+
+
 @query("""WITH b AS (SELECT p_brand, p_partkey, p_size, p_type FROM part WHERE p_partkey % 10 > 0), a AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size, CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE p_type END AS p_type FROM part WHERE p_partkey % 9 > 0)
     SELECT coalesce(a.p_brand, b.p_brand) AS kind, count(*) FILTER (WHERE b.p_partkey IS NULL) AS added, count(*) FILTER (WHERE a.p_partkey IS NULL) AS lost, count(*) FILTER (WHERE a.p_size <> b.p_size) AS size_revised, count(*) FILTER (WHERE a.p_type <> b.p_type) AS type_revised,
         count(*) FILTER (WHERE a.p_partkey IS NULL OR a.p_type <> b.p_type) = 0 AS passes FROM b FULL JOIN a ON a.p_partkey = b.p_partkey GROUP BY 1""")

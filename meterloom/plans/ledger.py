@@ -36,18 +36,20 @@ def batch_verdict(spark, sf_dir):
     return batch_verdicts(arrived, held, ["user_id", "event_type"], revision="event_id", order=["value"]).select("event_id", "verdict", "gain")
 
 
-def window_states(readings: DataFrame, keys: Sequence[str], *, value: str, time: str, tie: str, reset: str, now: Column, cadence_minutes: int = 60, gap_hours: int = 3) -> DataFrame:
-    """The newest reading of each key with state and points an hour against the one before.
+def window_states(readings: DataFrame, keys: Sequence[str], *, value: str, time: str, tie: str, reset: str, now: Column, cadence_minutes: Column | int = 60, gap_hours: int = 3) -> DataFrame:
+    """The newest reading of each key with state, points an hour against the one before, the level that this comes to
+    at the reset (projected) and the hours until all is used (exhausted_in; null where it isn't rising).
 
     insufficient: not between 0 and 100; stale: its window has ended, or it is older than two
     cadences and a quarter of an hour (two hours at least); discontinuous: another window, a fall, two levels
     at one time or a gap over gap_hours; usable otherwise. Only usable ones with a reading before have a rate."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    reading = F.struct(F.col(value).alias("level"), micros(F.col(time)).alias("at"), micros(F.col(reset)).alias("reset"), F.col(tie).alias("id"))
+    cadence = F.lit(cadence_minutes) if isinstance(cadence_minutes, int) else cadence_minutes
+    reading = F.struct(F.col(value).alias("level"), micros(F.col(time)).alias("at"), micros(F.col(reset)).alias("reset"), F.col(tie).alias("id"), cadence.cast("bigint").alias("cadence"))
     newest = top_n(readings, keys, [F.desc(time), F.desc(tie)], 2, "_rank").groupBy(*keys)
     both = newest.agg(F.max(F.when(F.col("_rank") == 1, reading)).alias("c"), F.max(F.when(F.col("_rank") == 2, reading)).alias("p"))
     level, at, before, then = F.col("c.level"), F.col("c.at"), F.col("p.level"), F.col("p.at")
-    old = (micros(now) - at) > max(120, 2 * cadence_minutes + 15) * 60_000_000
+    old = (micros(now) - at) > F.greatest(F.lit(120), 2 * F.col("c.cadence") + 15) * 60_000_000
     broken = ~F.col("p.reset").eqNullSafe(F.col("c.reset")) | (before > level) | ((then == at) & (before != level)) | (at - then > gap_hours * 3_600_000_000)
     reason = F.when(F.col("c.reset") <= micros(now), "reset_passed").when(old, "too_old")
     state = (
@@ -59,19 +61,22 @@ def window_states(readings: DataFrame, keys: Sequence[str], *, value: str, time:
     hours = (at - then) / 3.6e9
     rate = F.when((F.col("state") == "usable") & F.col("p").isNotNull(), F.when(hours > 0, (level - before) / hours).otherwise(0.0))
     found = both.withColumn("reason", reason).withColumn("state", state).withColumn("rate", rate)
-    return found.select(*keys, F.col("c.id").alias(tie), level.alias("level"), "state", F.when(F.col("state") == "stale", F.col("reason")).alias("reason"), "rate")
+    left = (F.col("c.reset") - at) / 3.6e9
+    more = ((level + F.col("rate") * left).alias("projected"), F.when(F.col("rate") > 0, (100 - level) / F.col("rate")).alias("exhausted_in"))
+    return found.select(*keys, F.col("c.id").alias(tie), level.alias("level"), "state", F.when(F.col("state") == "stale", F.col("reason")).alias("reason"), "rate", *more)
 
 
 @query("""WITH r AS (SELECT user_id, event_id, value, ts, lead(value) OVER w AS pv, lead(ts) OVER w AS pt, row_number() OVER w AS n, CAST(date_trunc('week', ts) AS TIMESTAMP) + INTERVAL 7 DAY AS reset,
         lead(CAST(date_trunc('week', ts) AS TIMESTAMP) + INTERVAL 7 DAY) OVER w AS preset FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)),
-    s AS (SELECT *, CASE WHEN reset <= TIMESTAMP '2024-01-31' THEN 'reset_passed' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts) > 173700000000 THEN 'too_old' END AS why FROM r WHERE n = 1),
+    s AS (SELECT *, CASE WHEN reset <= TIMESTAMP '2024-01-31' THEN 'reset_passed' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts) > (CASE WHEN user_id % 2 = 0 THEN 173700000000 ELSE 951300000000 END) THEN 'too_old' END AS why FROM r WHERE n = 1),
     t AS (SELECT *, CASE WHEN value IS NULL OR value < 0 OR value > 100 THEN 'insufficient' WHEN why IS NOT NULL THEN 'stale'
-        WHEN pt IS NOT NULL AND (reset <> preset OR pv > value OR (pt = ts AND pv <> value) OR epoch_us(ts) - epoch_us(pt) > 345600000000) THEN 'discontinuous' ELSE 'usable' END AS state FROM s)
-    SELECT user_id, event_id, value AS level, state, CASE WHEN state = 'stale' THEN why END AS reason,
-        CASE WHEN state = 'usable' AND pt IS NOT NULL THEN CASE WHEN ts > pt THEN (value - pv) / ((epoch_us(ts) - epoch_us(pt)) / 3.6e9) ELSE 0.0::DOUBLE END END AS rate FROM t""")
+        WHEN pt IS NOT NULL AND (reset <> preset OR pv > value OR (pt = ts AND pv <> value) OR epoch_us(ts) - epoch_us(pt) > 345600000000) THEN 'discontinuous' ELSE 'usable' END AS state FROM s),
+    u AS (SELECT user_id, event_id, value AS level, state, CASE WHEN state = 'stale' THEN why END AS reason, (epoch_us(reset) - epoch_us(ts)) / 3.6e9 AS hours,
+        CASE WHEN state = 'usable' AND pt IS NOT NULL THEN CASE WHEN ts > pt THEN (value - pv) / ((epoch_us(ts) - epoch_us(pt)) / 3.6e9) ELSE 0.0::DOUBLE END END AS rate FROM t)
+    SELECT user_id, event_id, level, state, reason, rate, level + rate * hours AS projected, CASE WHEN rate > 0 THEN (100 - level) / rate END AS exhausted_in FROM u""")
 def window_state(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("reset", F.date_trunc("week", "ts") + F.expr("INTERVAL 7 DAYS"))
-    return window_states(events, ["user_id"], value="value", time="ts", tie="event_id", reset="reset", now=F.lit("2024-01-31"), cadence_minutes=1440, gap_hours=96)
+    return window_states(events, ["user_id"], value="value", time="ts", tie="event_id", reset="reset", now=F.lit("2024-01-31"), cadence_minutes=F.when(F.col("user_id") % 2 == 0, 1440).otherwise(7920), gap_hours=96)
 
 
 def nested_calls(calls: DataFrame, scope: Column, *, key: str, parent: str, name: str, wrapper: str, nestable: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterloom.plans.registry import query, table
-from meterloom.sources import exports
+from meterloom.sources import exports, feeds
 
 
 def _lines(spark, sf_dir):
@@ -117,3 +117,42 @@ def observation_events(spark, sf_dir):
     pages = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(row).alias("data")).select(F.to_json(F.struct("data")).alias("value"))
     found = exports.observations(exports.text_parts(pages))[0]
     return found.select("run_id", "event_id", "kind", "status", "start_ms", "tokens_in", "cache_read", "token_basis", "tool_call_id")
+
+
+_FEED_SQL = """f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders), bad AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 499 = 0 AND NOT (o_custkey % 2 = 1 AND o_orderkey % 4 = 0) UNION SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 41 = 0),
+    k AS (SELECT o_custkey AS feed, 'id' || o_orderkey // 3 AS id, place, o_custkey % 2 = 1 AS ann, CASE o_orderkey % 5 WHEN 0 THEN 'banked' WHEN 1 THEN 'mixed' ELSE 'regular' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN 'observed' ELSE 'x_post' END AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'broad' END AS scope, o_orderkey, o_orderdate FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM bad))"""
+
+
+@query(f"""WITH {_FEED_SQL} SELECT feed, id, 'T ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'more' ELSE '' END AS title, o_orderdate AS announced_at, 'https://example.org/' || o_orderkey AS url, CASE WHEN ann OR kind <> 'regular' THEN 'announcement' ELSE 'history' END AS category,
+        CASE WHEN kind = 'banked' THEN 'banked' WHEN kind <> 'regular' THEN 'credits' WHEN scope = 'broad' THEN 'global' ELSE 'reset' END AS reset_kind, source || ':' || kind AS source_type, CASE WHEN source = 'observed' THEN 'archive observation' WHEN kind <> 'regular' THEN 'announced credits' WHEN ann THEN 'reset announcement' ELSE 'reported reset' END AS status, scope,
+        TIMESTAMP '2024-01-01 10:00:00' AS checked_at, feed % 3 = 0 AS stale FROM k WHERE NOT (ann AND source = 'observed') QUALIFY row_number() OVER (PARTITION BY feed, id ORDER BY place DESC) = 1""")
+def reset_feed_items(spark, sf_dir):
+    """A feed for each customer, with a record for each order."""
+    return feeds.reset_items(_feeds(spark, sf_dir))[0]
+
+
+@query(f"""WITH {_FEED_SQL} SELECT o_custkey AS feed, 'schema_changed' AS problem FROM bad UNION ALL SELECT DISTINCT o_custkey, 'pending_unavailable' FROM orders WHERE o_custkey % 7 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM bad)""")
+def reset_feed_problems(spark, sf_dir):
+    return feeds.reset_items(_feeds(spark, sf_dir))[1]
+
+
+def _feeds(spark, sf_dir):
+    order, cust = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(order % 5 == 0, "banked").when(order % 5 == 1, "mixed").otherwise("regular")
+    scheme = F.when(order % 499 == 0, "ftp").otherwise("https")
+    record = F.struct(
+        F.concat(F.lit("id"), F.floor(order / 3)).alias("id"),
+        F.struct(F.concat(F.lit("T "), order).alias("en")).alias("title"),
+        F.struct(F.when(order % 2 == 0, "more").alias("en")).alias("summary"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("announcedAt"),
+        kind.alias("kind"),
+        F.when(order % 4 == 0, "observed").otherwise("x_post").alias("sourceKind"),
+        F.concat(scheme, F.lit("://example.org/"), order).alias("sourceUrl"),
+        F.when(order % 3 == 0, "broad").alias("scope"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), record.alias("r")))), lambda x: x["r"])
+    by = table(spark, sf_dir, "orders").groupBy(cust.alias("feed")).agg(listed.alias("data"))
+    meta = lambda at: F.struct(F.lit(at).alias("checked_at"), (F.col("feed") % 3 > 0).alias("fresh"))
+    archive = F.when(F.col("feed") % 41 == 0, F.lit('{"data":{}}')).otherwise(F.to_json(F.struct("data", meta("2024-01-01T12:00:00Z").alias("meta"))))
+    status = F.concat(F.lit('{"scheduled":'), F.when(F.col("feed") % 7 == 0, '{"when":"soon"}').otherwise("null"), F.lit(',"latest_update":null,"meta":'), F.to_json(meta("2024-01-01T10:00:00Z")), F.lit("}"))
+    return by.select("feed", (F.col("feed") % 2 == 1).alias("announcements"), archive.alias("archive"), status.alias("status"))

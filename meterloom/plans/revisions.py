@@ -171,3 +171,28 @@ def ordered_first(spark, sf_dir):
 def counts_by_flag(spark, sf_dir):
     found = aggregates.state_counts(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_returnflag")
     return found.select("l_suppkey", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
+
+
+@query("""WITH b AS (SELECT l_suppkey % 5 AS account, l_returnflag AS source, date_trunc('month', l_shipdate)::TIMESTAMP AS start, md5(l_linestatus || '/' || l_partkey % 40) AS dims, CASE WHEN l_partkey % 3 > 0 THEN l_shipdate + to_days(CAST(l_linenumber AS INTEGER)) END AS refreshed, l_shipdate AS observed, l_orderkey * 10 + l_linenumber AS id, l_quantity AS tokens FROM lineitem)
+    SELECT account, source, start, dims, refreshed, id, tokens FROM b QUALIFY row_number() OVER (PARTITION BY account, source, start, dims ORDER BY refreshed DESC NULLS LAST, observed DESC, id DESC) = 1""")
+def canonical_provider_bucket(spark, sf_dir):
+    """A provider's bucket by its dimensions: what it refreshed last, then what was observed last."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 5).alias("account"),
+        F.col("l_returnflag").alias("source"),
+        F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("start"),
+        F.md5(F.concat_ws("/", "l_linestatus", (F.col("l_partkey") % 40).cast("string"))).alias("dims"),
+        F.when(F.col("l_partkey") % 3 > 0, F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber").cast("int"))).alias("refreshed"),
+        F.col("l_shipdate").alias("observed"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.col("l_quantity").alias("tokens"),
+    )
+    return canonical.winner(rows, ["account", "source", "start", "dims"], ["refreshed", "observed", "id"], ["refreshed", "id", "tokens"])
+
+
+@query("""WITH e AS (SELECT user_id % 7 AS account, event_id % 400 AS semantic_key, event_type AS kind, ts AS observed, event_id AS id, 'g' || user_id % 9 AS agent FROM events)
+    SELECT account, semantic_key, kind, observed, agent FROM e QUALIFY row_number() OVER (PARTITION BY account, semantic_key ORDER BY observed DESC, id DESC) = 1""")
+def canonical_agent_event(spark, sf_dir):
+    """What is told of an agent counts by its key's newest row."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("account"), (F.col("event_id") % 400).alias("semantic_key"), F.col("event_type").alias("kind"), F.col("ts").alias("observed"), F.col("event_id").alias("id"), F.concat(F.lit("g"), F.col("user_id") % 9).alias("agent"))
+    return canonical.winner(rows, ["account", "semantic_key"], ["observed", "id"], ["kind", "observed", "agent"])

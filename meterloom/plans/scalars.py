@@ -124,6 +124,36 @@ def preset_ranges(spark, sf_dir):
     return found.withColumn("months", F.coalesce(F.size(F.when(F.col("range_start").isNotNull(), periods.months_within(F.col("range_start"), F.col("range_end"), ZONE))), F.lit(-1)).cast("int"))
 
 
+_DAY = lambda at, back: _AT(f"CAST(CAST({_WALL(at)} AS DATE) - {back} AS TIMESTAMP)")
+_MONTH = lambda at, back: _AT(f"CAST(date_trunc('month', {_WALL(at)}) - to_months({back}) AS TIMESTAMP)")
+_RANGES_SQL = f"""e AS (SELECT event_id, ts, ts - to_days(CAST(event_id % 500 - 20 AS INTEGER)) AS a, least(ts, ts + to_days(CAST(event_id % 7 - 3 AS INTEGER))) AS b FROM events),
+    r AS (SELECT event_id, 'today' AS preset, {_DAY('ts', 0)} AS range_start, ts AS range_end FROM e UNION ALL SELECT event_id, 'last_7_days', {_DAY('ts', 6)}, ts FROM e UNION ALL SELECT event_id, 'last_30_days', {_DAY('ts', 29)}, ts FROM e
+        UNION ALL SELECT event_id, 'month_to_date', {_MONTH('ts', 0)}, ts FROM e UNION ALL SELECT event_id, 'previous_month', {_MONTH('ts', 1)}, {_MONTH('ts', 0)} FROM e
+        UNION ALL SELECT event_id, 'custom', CASE WHEN b > a AND epoch_us(b) // 1000000 - epoch_us(a) // 1000000 <= 34560000 THEN a END, CASE WHEN b > a AND epoch_us(b) // 1000000 - epoch_us(a) // 1000000 <= 34560000 THEN b END FROM e)"""
+
+
+@query(f"""WITH {_RANGES_SQL} SELECT event_id, preset, range_start, range_end, CASE WHEN range_end > range_start THEN 1 + CAST(date_diff('month', date_trunc('month', {_WALL('range_start')}), date_trunc('month', {_WALL("(range_end - INTERVAL 1 MICROSECOND)")})) AS INTEGER) ELSE -1 END AS months FROM r""")
+def event_ranges(spark, sf_dir):
+    """Every named range as it was at each event's instant, and the months that it touches."""
+    now, number = F.col("ts"), F.col("event_id")
+    start, end = now - F.make_dt_interval((number % 500 - 20).cast("int")), now + F.make_dt_interval((number % 7 - 3).cast("int"))
+    ranges = {preset: periods.preset_range(preset, now, ZONE) for preset in ("today", "last_7_days", "last_30_days", "month_to_date", "previous_month")} | {"custom": periods.preset_range("custom", now, ZONE, start, end)}
+    listed = F.array(*[F.struct(F.lit(preset).alias("preset"), a.cast("timestamp_ntz").alias("range_start"), b.cast("timestamp_ntz").alias("range_end")) for preset, (a, b) in ranges.items()])
+    rows = table(spark, sf_dir, "events").select("event_id", F.inline(listed))
+    months = F.size(F.when(F.col("range_end") > F.col("range_start"), periods.months_within(F.col("range_start"), F.col("range_end"), ZONE)))
+    return rows.withColumn("months", F.when(F.col("range_end") > F.col("range_start"), months).otherwise(-1))
+
+
+@query(f"""WITH g AS (SELECT user_id, max(ts) - to_days(CAST(5 + user_id % 20 AS INTEGER)) AS a, max(ts) AS b FROM events GROUP BY user_id), h AS (SELECT user_id, a, b, unnest(range(date_trunc('hour', a), b, INTERVAL 1 HOUR)) AS p FROM g WHERE user_id % 20 <= 9),
+    d AS (SELECT user_id, a, b, unnest(range(CAST(CAST({_WALL('a')} AS DATE) AS TIMESTAMP), {_WALL('b')}, INTERVAL 1 DAY)) AS p FROM g WHERE user_id % 20 > 9)
+    SELECT user_id, greatest(p, a) AS period_start, least(p + INTERVAL 1 HOUR, b) AS period_end FROM h UNION ALL SELECT user_id, greatest({_AT('p')}, a), least({_AT('(p + INTERVAL 1 DAY)')}, b) FROM d""")
+def aligned_periods(spark, sf_dir):
+    """Days and hours of each user's last days, cut to the range."""
+    held = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("b"))
+    start = F.col("b") - F.make_dt_interval((5 + F.col("user_id") % 20).cast("int"))
+    return held.select("user_id", F.inline(periods.periods_within(start, F.col("b"), ZONE))).select("user_id", F.col("start").cast("timestamp_ntz").alias("period_start"), F.col("end").cast("timestamp_ntz").alias("period_end"))
+
+
 @query("""WITH m AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS first FROM orders), d AS (SELECT first, CAST(unnest(range(first, CAST(first + INTERVAL 1 MONTH AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM m)
     SELECT strftime(first, '%Y-%m') AS month, strftime(day, '%Y-%m-%d') AS day, CAST((isodow(first) - 1 + date_diff('day', first, day)) // 7 AS INTEGER) AS week, CAST(isodow(day) - 1 AS INTEGER) AS weekday FROM d""")
 def calendar_grid(spark, sf_dir):
