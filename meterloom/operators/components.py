@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of this driver's tables in the shared one; it goes when the driver ends.
+_OWN: list[str] = []
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """df cut from its lineage: written to the folder that driver and executors share and read again, so a lost
-    executor costs nothing that was finished. A folder of our own serves a local session alone. What is written
-    lies in the session's checkpoint folder, as checkpoints do, and goes with it."""
-    context = df.sparkSession.sparkContext
+
+def _own_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="meterloom-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = context.getCheckpointDir().rstrip("/")
+    if not _OWN or not _OWN[-1].startswith(base):
+        _OWN.append(f"{base}/meterloom-{uuid.uuid4().hex}")
+        atexit.register(_removed, context, _OWN[-1])
+    return _OWN[-1]
+
+
+def _removed(context: SparkContext, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have gone before us, and its folder with it
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """df cut from its lineage: written to the folder that driver and executors share and read again, so a lost
+    executor costs nothing that was finished. A folder of our own serves a local session alone."""
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

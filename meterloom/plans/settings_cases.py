@@ -114,7 +114,7 @@ def settings_verdicts(spark, sf_dir):
     return verdict(changes(base, head, ["customer"]), keys=["customer"], among=base)
 
 
-@query("""SELECT c_custkey AS customer, unnest(['/env/A~1' || c_custkey % 9, '/nested/0/deep~0er/' || (c_custkey % 3), '/nested/1', '/permissions/allow/0', '/permissions/other']) AS pointer, unnest([to_json(c_name), CAST(c_custkey AS VARCHAR), '{}', '"Read"', 'null']) AS leaf, unnest([true, false, false, true, false]) AS read, unnest([true, true, true, true, true]) AS found FROM customer""")
+@query("""SELECT c_custkey AS customer, unnest(['/env/A~1' || c_custkey % 9, '/nested/0/deep~0er/' || (c_custkey % 3), '/nested/1', '/permissions/allow/0', '/permissions/other']) AS pointer, unnest([CAST(to_json(c_name) AS VARCHAR), CAST(c_custkey AS VARCHAR), '{}', '"Read"', 'null']) AS leaf, unnest([true, false, false, true, false]) AS read, unnest([true, true, true, true, true]) AS found FROM customer""")
 def settings_leaves(spark, sf_dir):
     """Every value of a settings file by its pointer, whether it is read, and whether its pointer leads to it."""
     key, text = F.col("c_custkey"), lambda c: c.cast("string")

@@ -44,7 +44,7 @@ def totals(spark, base):
 def test_a_batch_that_is_cut_off_anywhere_and_tried_again(spark, tmp_path):
     rows = spark.createDataFrame(RECORDS, NAMES)
     whole = f"{tmp_path}/whole"
-    envelopes.ingester(whole, ROUTES)(rows, 0)
+    envelopes.ingester(whole, ROUTES, parts=2)(rows, 0)
     expected = tables(spark, whole), totals(spark, whole)
     assert expected[0] == [
         ["Row(install_id='a', id='r1', rev='1', tokens=1)", "Row(install_id='a', id='r2', rev='1', tokens=2)", "Row(install_id='c', id='r1', rev='2', tokens=1)"],
@@ -53,7 +53,7 @@ def test_a_batch_that_is_cut_off_anywhere_and_tried_again(spark, tmp_path):
     ]
     assert expected[1] == {("a", "request"): (6, 2, 1, 3, 0, 0), ("c", "request"): (1, 1, 0, 0, 0, 0), ("b", "label"): (5, 3, 1, 0, 1, 0), ("a", "other"): (1, 0, 0, 1, 0, 0), (None, ""): (1, 0, 0, 1, 0, 0)}
 
-    for step in ("tables/request", "pending/request", "tables/label", "refused", "receipts"):
+    for step in ("tables/request", "tables/label", "receipts"):
         base, calls = f"{tmp_path}/{step.replace('/', '-')}", []
 
         def stop(name, step=step, calls=calls):
@@ -61,7 +61,7 @@ def test_a_batch_that_is_cut_off_anywhere_and_tried_again(spark, tmp_path):
             if name == step and calls.count(name) == 1:
                 raise RuntimeError("cut off")
 
-        ingest_batch = envelopes.ingester(base, ROUTES, stop_after=stop)
+        ingest_batch = envelopes.ingester(base, ROUTES, parts=2, stop_after=stop)
         with pytest.raises(RuntimeError):
             ingest_batch(rows, 0)
         assert tables(spark, base) == [[], [], []] and totals(spark, base) == {}
@@ -72,30 +72,29 @@ def test_a_batch_that_is_cut_off_anywhere_and_tried_again(spark, tmp_path):
 
 def test_order_and_cuts_into_batches_do_not_matter(spark, tmp_path):
     rng, found = random.Random(7), []
-    for turn in range(3):
+    for turn in range(2):
         rows, base = RECORDS[:], f"{tmp_path}/{turn}"
         rng.shuffle(rows)
-        step = envelopes.ingester(base, ROUTES, parts=4)
-        for i, at in enumerate(range(0, len(rows), 4)):
-            step(spark.createDataFrame(rows[at : at + 4], NAMES), i)
+        step = envelopes.ingester(base, ROUTES, parts=2)
+        for i, at in enumerate(range(0, len(rows), 5)):
+            step(spark.createDataFrame(rows[at : at + 5], NAMES), i)
         found.append(tables(spark, base))
         told = totals(spark, base)
         assert all(r[0] == sum(r[1:5]) for r in told.values())
         assert sum(r[1] + r[5] for r in told.values()) == len(found[-1][0]) + len(found[-1][1])
-    assert found[0] == found[1] == found[2] and len(found[0][2]) == 1
+    assert found[0] == found[1] and len(found[0][2]) == 1
 
 
 def test_a_stream_of_envelopes(spark, tmp_path):
     for i in range(0, len(RECORDS), 3):
         spark.createDataFrame(RECORDS[i : i + 3], NAMES).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-    stream = spark.readStream.schema(NAMES).option("maxFilesPerTrigger", 2).json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(NAMES).option("maxFilesPerTrigger", 3).json(f"{tmp_path}/in")
     for _ in range(2):
-        ingest.start(stream, envelopes.ingester(f"{tmp_path}/out", ROUTES), f"{tmp_path}/check").awaitTermination()
+        ingest.start(stream, envelopes.ingester(f"{tmp_path}/out", ROUTES, parts=2), f"{tmp_path}/check").awaitTermination()
     assert [len(x) for x in tables(spark, f"{tmp_path}/out")] == [3, 3, 1]
 
 
 def test_winners_read_the_folders_of_touched_keys(spark, tmp_path):
-    schema = "key string, hash string, calls bigint, observed_at timestamp"
     rows = spark.range(200).selectExpr("concat('k', id % 50) AS key", "concat('h', id) AS hash", "id AS calls", "timestamp '2024-01-01' AS observed_at")
     ingest.appender(f"{tmp_path}/l", f"{tmp_path}/bad", revision=["key", "hash"], keys=["key"], required=["key"], time="observed_at", parts=16)(rows, 0)
     touched = spark.createDataFrame([("k3",), (None,)], "key string")
@@ -105,4 +104,3 @@ def test_winners_read_the_folders_of_touched_keys(spark, tmp_path):
     assert "PartitionFilters: [_part" in found._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         ingest.appender("x", "y", revision=["a"], keys=["b"], required=[], time="t")
-    assert schema
