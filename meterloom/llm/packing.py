@@ -30,7 +30,8 @@ from tokenizers import Tokenizer
 from meterloom.llm.bpe_text import is_settled, settled_pattern
 from meterloom.llm.common import mapped, written
 
-_PIECES_KEPT = 800_000
+#: Pieces whose ids a worker keeps, some 400 bytes each, and how long they are at most: longer ones are seldom met again.
+_PIECES_KEPT, _PIECE_CHARS = 250_000, 64
 #: Queue of the sources that are too small for a share in every window, or have no target of their own;
 #: the other queues are named after their sources, with OWN before.
 POOL, OWN = "pool", "own:"
@@ -90,12 +91,18 @@ class WordIds:
     def encode(self, text: str) -> bytes:
         plain = self._is_plain(text, low := text.lower())
         pieces = (low if plain else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(self._ids) > _PIECES_KEPT:
+        if max(len(self._ids), len(self._words)) > _PIECES_KEPT:
             self._ids, self._words = {"": b""}, {}
         found = list(map(self._ids.get, pieces))
         if None in found:
-            self._learn(list({piece for piece, ids in zip(pieces, found) if ids is None}), plain)
+            new = list({piece for piece, ids in zip(pieces, found) if ids is None})
+            self._learn(new, plain)
             found = [self._ids[piece] for piece in pieces]
+            for piece in new:
+                if len(piece) > _PIECE_CHARS:
+                    del self._ids[piece]
+            if max(map(len, new)) > _PIECE_CHARS:
+                self._words = {word: ids for word, ids in self._words.items() if len(word) <= _PIECE_CHARS}
         return b"".join(found) + self.end.to_bytes(4, "little")
 
 
