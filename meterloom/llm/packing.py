@@ -30,8 +30,9 @@ from tokenizers import Tokenizer
 from meterloom.llm.bpe_text import is_settled, settled_pattern
 from meterloom.llm.common import mapped, written
 
-#: Pieces whose ids a worker keeps, some 400 bytes each, and how long they are at most: longer ones are seldom met again.
-_PIECES_KEPT, _PIECE_CHARS = 250_000, 64
+#: Pieces of a generation whose ids a worker keeps, some 400 bytes each, and how long they are at most: longer ones
+#: are seldom met again. Of two generations the older one goes, but for what was met again.
+_PIECES_KEPT, _PIECE_CHARS = 300_000, 64
 #: Queue of the sources that are too small for a share in every window, or have no target of their own;
 #: the other queues are named after their sources, with OWN before.
 POOL, OWN = "pool", "own:"
@@ -59,7 +60,7 @@ class WordIds:
         self._is_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self._is_end[[i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and word.endswith(suffix)]] = True
         self._special = re.compile("|".join(re.escape(x["content"][:2]) for x in held["added_tokens"]) or r"(?!)")
-        self._ids, self._words = {"": b""}, {}
+        self._ids, self._words, self._old_ids, self._old_words = {"": b""}, {}, {}, {}
         self.end = end
 
     def _is_plain(self, text: str, low: str) -> bool:
@@ -74,7 +75,9 @@ class WordIds:
                 split[piece] = self._split(low)
             else:
                 alone.append(piece)
-        new = list({word: None for words in split.values() for word in words if word not in self._words})
+        lacking = {word: None for words in split.values() for word in words if word not in self._words}
+        self._words.update({word: self._old_words[word] for word in lacking if word in self._old_words})
+        new = [word for word in lacking if word not in self._words]
         for at in range(0, len(new), 1000):
             words = new[at : at + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
@@ -92,16 +95,20 @@ class WordIds:
         plain = self._is_plain(text, low := text.lower())
         pieces = (low if plain else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if max(len(self._ids), len(self._words)) > _PIECES_KEPT:
+            self._old_ids, self._old_words = self._ids, self._words
             self._ids, self._words = {"": b""}, {}
         found = list(map(self._ids.get, pieces))
         if None in found:
-            new = list({piece for piece, ids in zip(pieces, found) if ids is None})
-            self._learn(new, plain)
+            lacking = {piece for piece, ids in zip(pieces, found) if ids is None}
+            known = {piece: self._old_ids[piece] for piece in lacking if piece in self._old_ids}
+            self._ids.update(known)
+            if new := list(lacking - known.keys()):
+                self._learn(new, plain)
             found = [self._ids[piece] for piece in pieces]
-            for piece in new:
-                if len(piece) > _PIECE_CHARS:
-                    del self._ids[piece]
-            if max(map(len, new)) > _PIECE_CHARS:
+            if max(map(len, lacking)) > _PIECE_CHARS:
+                for piece in lacking:
+                    if len(piece) > _PIECE_CHARS:
+                        del self._ids[piece]
                 self._words = {word: ids for word, ids in self._words.items() if len(word) <= _PIECE_CHARS}
         return b"".join(found) + self.end.to_bytes(4, "little")
 
