@@ -179,7 +179,7 @@ def audit(df: DataFrame, *, least_documents: int = 30, smooth: int = 5, terms_sh
     above that of the whole language. Ranks go by value descending, then by item in order of UTF-8.
 
     Null text, lang and source count as empty, repeated rows each as a document; a text without letters has no
-    terms, and its group is listed all the same. An empty table gives an empty table.
+    terms, and its group is paired all the same; the only source of a language has no pairs. An empty table gives an empty table.
 
     Texts are counted where they are read; what is shuffled is a task's counts, so a source or a word that a
     third of all rows has is one row a task or so. Pairs are as many as the result has rows."""
