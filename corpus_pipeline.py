@@ -37,7 +37,8 @@ def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of at least 0.8 between their runs of 5 words the one
+    """SimHash fingerprints within 3 bits, met under Golay keys, give the first candidates, bands of minima what lies
+    further apart. Of documents linked by a Jaccard similarity of at least 0.8 between their runs of 5 words the one
     with the smallest doc_id stays, a null one only where all are null, and of equal ids one row. Null and empty
     texts have no runs and count as copies of each other; a text of fewer words is one run. No documents
     give none."""

@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands bring rows together, whole
-shingle sets decide.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash fingerprints under Golay keys bring rows
+together, MinHash bands what these leave apart, and whole shingle sets decide.
 
+Fingerprints within 3 bits are linked as in simhash_dedup, and what is linked is a group of candidates. Few of
+the pairs at 0.8 lie as near as that, so bands follow, which compare what is not one component by then.
 Of two sets with similarity s a band of 5 minima agrees with probability s^5, so of 20 bands at least one
 does for 99.96 % of pairs at 0.8 and more of those above; what a band brings together is counted exactly.
 Each row of a band is first compared with the band's least row, its hub, whatever other bands they share:
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.llm import simhash_dedup
 from meterloom.llm.common import mapped, numbered, written
 from meterloom.operators.components import components
 
@@ -88,6 +91,16 @@ def connected(first: list[np.ndarray], second: list[np.ndarray] | None, least: f
     return links
 
 
+def fingerprint_groups(classes: DataFrame) -> DataFrame:
+    """key and id of the rows of `classes` (id, size, fp) whose fingerprints others are linked to, with size. Rows
+    without shingles are one class and have no group."""
+    rows = classes.where("size > 0").select("id", "size", "fp")
+    found = components(simhash_dedup.links(rows.select("fp").distinct()), written)
+    keyed = rows.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("key"), "id", "size")
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    return written(keyed.join(shared, "key"), "close")
+
+
 def band_groups(classes: DataFrame) -> DataFrame:
     """key and id of the rows of `classes` (id, size, keys) that share a band, with size. Of bands that the
     same rows share one is kept: groups agree in size and in two sums of hashes, 128 bits in all."""
@@ -125,10 +138,14 @@ def _each(blocks: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
 
-def with_hubs(members: DataFrame) -> DataFrame:
-    """Each row against the least of each group that it is in, in blocks of a hub's rows."""
+def with_hubs(members: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Each row against the least of each group that it is in, in blocks of a hub's rows, but for pairs that `found`
+    (node, root) holds together."""
     hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
     pairs = members.join(hubs, "key").where("id <> hub").select("hub", "id", "size").distinct()
+    if found is not None:
+        one, other = found.select(F.col("node").alias("id"), F.col("root").alias("one")), found.select(F.col("node").alias("hub"), F.col("root").alias("other"))
+        pairs = pairs.join(one, "id", "left").join(other, "hub", "left").where("one IS NULL OR other IS NULL OR one <> other").select("hub", "id", "size")
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("hub", _blocks("n", "total").alias("blocks"))
     answers = pairs.join(sizes, "hub").select("hub", _block("blocks").alias("block"), "id", F.lit(False).alias("asks"))
     asks = sizes.select("hub", _each("blocks").alias("block"), F.col("hub").alias("id"), F.lit(True).alias("asks"))
@@ -151,6 +168,15 @@ def with_others(members: DataFrame, found: DataFrame) -> DataFrame:
     return answers.unionByName(asks)
 
 
+def linked(members: DataFrame, sets: DataFrame, least: float, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b), those of `known` included, that connect what is similar within the groups of members."""
+    found = None if known is None else components(known, written)
+    links = written(compared(with_hubs(members, found), sets, ["hub", "block"], least), "links")
+    links = links if known is None else known.unionByName(links)
+    more = written(compared(with_others(members, components(links, written)), sets, ["key", "block", "ask_block"], least), "links")
+    return links.unionByName(more)
+
+
 def keep_one(df: DataFrame, *, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """One row of each component of df (doc_id, text and others), the first by doc_id (nulls last), with
     all its columns. Rows are linked where the Jaccard similarity of their shingles is at least `least`.
@@ -162,24 +188,22 @@ def keep_one(df: DataFrame, *, words: int = 5, least: float = 0.8, seed: int = 4
 
         def signed(texts: list) -> tuple:
             sets = [shingles(text, words, seed) for text in texts]
-            return [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [bands.keys(x) for x in sets]
+            return [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [bands.keys(x) for x in sets], np.array([simhash_dedup.folded(x) for x in sets], dtype=np.uint64).astype(np.int64)
 
         return signed
 
-    signed = mapped(rows, [row, "doc_id"], ["text"], start, "digest binary, size int, keys array<bigint>").withColumn("id", F.monotonically_increasing_id())
+    signed = mapped(rows, [row, "doc_id"], ["text"], start, "digest binary, size int, keys array<bigint>, fp bigint").withColumn("id", F.monotonically_increasing_id())
     signed = written(signed.withColumnRenamed(row, "row"), "signed")
     classes = signed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    single = signed.select("id", "row", "digest", "size", "keys").join(classes.select("id"), "id")
-    members = band_groups(single)
+    single = signed.select("id", "row", "digest", "size", "keys", "fp").join(classes.select("id"), "id")
+    close, members = fingerprint_groups(single), band_groups(single)
 
     def hashed() -> Callable:
         return lambda texts: ([shingles(text, words, seed).tobytes() for text in texts],)
 
-    asked = single.select("id", "row").join(members.select("id").distinct(), "id").select("id", F.col("row").alias(row))
+    asked = single.select("id", "row").join(members.select("id").union(close.select("id")).distinct(), "id").select("id", F.col("row").alias(row))
     sets = written(mapped(rows.join(asked, row), ["id"], ["text"], hashed, "hashes binary"), "sets")
-    links = written(compared(with_hubs(members), sets, ["hub", "block"], least), "links")
-    more = written(compared(with_others(members, components(links, written)), sets, ["key", "block", "ask_block"], least), "links")
-    found = components(links.unionByName(more), written)
+    found = components(linked(members, sets, least, linked(close, sets, least)), written)
     named = classes.join(found.select(F.col("node").alias("id"), "root"), "id", "left").where("copies > 1 or root is not null")
     named = signed.select("row", "doc_id", "digest").join(named.select("digest", F.coalesce("root", "id").alias("root")), "digest")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm import golay, near_jaccard
+from meterloom.llm import golay
 from meterloom.llm.common import mapped, numbered, written
 from meterloom.operators.components import components
 
@@ -42,7 +42,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
         return 0
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    return folded(np.array([digest(s, seed) for s in shingles], dtype="<u8"))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes, zero for none."""
     set_bits = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         set_bits += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -140,9 +144,11 @@ def keep_one(df: DataFrame, *, least: float | None = None, words: int = 3, seed:
     """One row of each component of df, the first by doc_id (nulls last), with all its columns.
 
     Rows are linked by their fingerprints or, with `least`, by a Jaccard similarity of their shingles
-    from there on. At 0.8 two fingerprints of 64 bits differ in ten bits or so, which no key of a few
-    segments survives, so candidates for that come from bands of minima."""
+    from there on. Fingerprints then give the first candidates. At 0.8 they differ in ten bits or so, which
+    no key of a few segments survives, so bands of minima stand beside them for the rest."""
     if least is not None:
+        from meterloom.llm import near_jaccard  # it takes fingerprints and links from here
+
         return near_jaccard.keep_one(df, words=words, least=least, seed=seed)
     rows, row = numbered(df)
     kept = near_duplicates(rows, words=words, seed=seed, bits=bits, tie=row).where("kept").select(row)

@@ -84,3 +84,13 @@ def test_links_connect_what_all_pairs_connect():
     assert all(exact(i, j) for i, j in within) and groups(within) == groups((i, j) for i, j in combinations(range(60), 2) if exact(i, j))
     across = near_jaccard.connected(sets[:25], sets[25:], 0.8)
     assert all(exact(i, j) for i, j in across) and groups(across) == groups((i, j) for i in range(25) for j in range(25, 60) if exact(i, j))
+
+
+def test_fingerprints_alone_give_candidates(spark, monkeypatch):
+    """Without bands, what lies within 3 bits is still linked, and only where the sets are similar."""
+    monkeypatch.setattr(near_jaccard.Bands, "keys", lambda self, hashes: [])
+    rng = random.Random(8)
+    words = [rng.choice(WORDS) for _ in range(3_000)]
+    rows = [(i, edited(rng, words, 1)) for i in range(6)] + [(10, " ".join(rng.choice(WORDS) for _ in range(300))), (11, None), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_jaccard.keep_one(docs).collect()) == kept(rows) == [0, 10, 11]
