@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions.numbers import tolerant_int
 from meterloom.functions.text import value_hash
+from meterloom.operators.components import checkpointed
 from meterloom.operators.trees import with_below
 from meterloom.sources.sessions import EVENT_COLUMNS, shaped
 
@@ -30,6 +31,34 @@ def _get(source: str | Column, path: str) -> Column:
     return F.get_json_object(F.col(source) if isinstance(source, str) else source, f"$.{path}")
 
 
+def _fields(source: str | Column, names: Sequence[str]) -> Column:
+    """The texts of some fields of a JSON object as a struct, read in one pass where a path for each would read the
+    whole text again; a field with a dot lies in an object within, one that ends in [] is a list of texts."""
+    inner: dict[str, list[str]] = {}
+    for name in names:
+        head, _, rest = name.partition(".")
+        inner.setdefault(head, []).extend([rest] if rest else [])
+    kinds = [f"`{head}` struct<{', '.join(f'`{r}`: string' for r in rest)}>" if rest else f"`{head[:-2]}` array<string>" if head.endswith("[]") else f"`{head}` string" for head, rest in inner.items()]
+    return F.from_json(source, ", ".join(kinds))
+
+
+def _each(rows: DataFrame, listed: Column, name: str) -> DataFrame:
+    """rows with `name`, a row for each element of a list, nulls included. Spark evaluates a filter, and the one that it
+    adds to a plain explode, below the projections, where each field would be parsed out of its text again."""
+    return rows.select("*", F.posexplode_outer(listed).alias("_at", name)).where("_at IS NOT NULL").drop("_at")
+
+
+def _kept(rows: DataFrame, good: Column) -> DataFrame:
+    """Rows for which a condition holds, evaluated once, as in _each."""
+    held = rows.select(F.when(good, F.array(F.struct(*rows.columns))).alias("_held"))
+    return _each(held, F.col("_held"), "_row").select("_row.*")
+
+
+def _whole(text: str) -> Column:
+    """A whole number out of its text, 5.0 included."""
+    return F.coalesce(F.col(text).try_cast("bigint"), F.regexp_extract(text, r"^(-?\d+)\.0+$", 1).try_cast("bigint"))
+
+
 def text_parts(rows: DataFrame, value: str = "value") -> DataFrame:
     """rows with one JSON object each in `value`: an array, a page {data: [...]} or an object taken apart."""
     whole = F.trim(F.col(value))
@@ -57,40 +86,47 @@ def csv_parts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return read.select(F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}")).alias("value"))
 
 
-def usage(value: Column) -> dict[str, Column]:
-    """Tokens of an observation, their basis and the shape they were told in.
+#: Where usage() looks: details and the older shape, each read as a struct of texts.
+DETAILS, OLDER = ("input", "output", "total", *CACHE_READ, *CACHE_WRITE), ("unit", "input", "output", "total")
+
+
+def usage(told: str, details: str, older: str) -> dict[str, Column]:
+    """Tokens of an observation, their basis and the shape they were told in, out of columns with its texts (`told`:
+    usageDetails, usage and LEGACY), with DETAILS and with OLDER.
 
     Details name disjoint parts, so input is without cached tokens; two names for one part leave it
     unknown. The older shape has counts without a basis, and none where its unit is not tokens."""
-    n = lambda path: tolerant_int(_get(value, path))
-    details = _get(value, "usageDetails").isNotNull()
-    unit = F.upper(_get(value, "usage.unit"))
-    older = F.coalesce(*[_get(value, k) for k in LEGACY], _get(value, "usage")).isNotNull()
+    of = lambda source, k: tolerant_int(F.col(f"{source}.{k}"))
+    has_details = F.col(f"{told}.usageDetails").isNotNull()
+    unit = F.upper(F.col(f"{older}.unit"))
+    has_older = F.coalesce(*[F.col(f"{told}.{k}") for k in LEGACY], F.col(f"{told}.usage")).isNotNull()
     tokens = unit.isNull() | (unit == "TOKENS")
-    pick = lambda key, old, plain: F.when(details, n(f"usageDetails.{key}")).when(older & tokens, F.coalesce(n(old), n(f"usage.{plain}")))
+    pick = lambda key, old: F.when(has_details, of(details, key)).when(has_older & tokens, F.coalesce(of(told, old), of(older, key)))
 
     def single(keys: Sequence[str]) -> Column:
-        held = F.array_compact(F.array(*[n(f"usageDetails.{k}") for k in keys]))
-        return F.when(details & (F.size(held) == 1), F.try_element_at(held, F.lit(1)))
+        held = F.array_compact(F.array(*[of(details, k) for k in keys]))
+        return F.when(has_details & (F.size(held) == 1), F.try_element_at(held, F.lit(1)))
 
-    any_cache = F.coalesce(*[n(f"usageDetails.{k}") for k in (*CACHE_READ, *CACHE_WRITE)]).isNotNull()
-    counted = F.coalesce(n("usageDetails.input"), n("usageDetails.output"), n("usageDetails.total")).isNotNull()
+    counted = F.coalesce(*[of(details, k) for k in DETAILS]).isNotNull()
     return {
-        "tokens_in": pick("input", "promptTokens", "input"),
-        "tokens_out": pick("output", "completionTokens", "output"),
-        "tokens_total": pick("total", "totalTokens", "total"),
+        "tokens_in": pick("input", "promptTokens"),
+        "tokens_out": pick("output", "completionTokens"),
+        "tokens_total": pick("total", "totalTokens"),
         "cache_read": single(CACHE_READ),
         "cache_write": single(CACHE_WRITE),
-        "token_basis": F.when(details & (counted | any_cache), BASIS),
-        "usage_shape": F.when(details, "v2").when(older, "legacy").otherwise("absent"),
+        "token_basis": F.when(has_details & counted, BASIS),
+        "usage_shape": F.when(has_details, "v2").when(has_older, "legacy").otherwise("absent"),
     }
 
 
-def _hash(value: str | Column, path: str) -> Column:
-    return value_hash(F.try_variant_get(F.try_parse_json(value), f"$.{path}", "variant"))
+def _hash(value: str, path: str) -> Column:
+    """Of a field's value; a text that has the field's name nowhere, plain or escaped, is not parsed for it."""
+    named = F.contains(F.col(value), F.lit(f'"{path}"')) | F.contains(F.col(value), F.lit("\\u"))
+    parsed = F.when(named, F.try_parse_json(value))
+    return value_hash(F.try_variant_get(parsed, f"$.{path}", "variant"))
 
 
-def _millis(text: Column) -> Column:
+def _millis(text: str) -> Column:
     return F.unix_millis(F.try_to_timestamp(text))
 
 
@@ -98,40 +134,48 @@ def observations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, problems) of observation rows, a JSON object in `value` each (text_parts). A row without id or
     trace is a problem. A span with a tool's metadata is a tool call, one that has a generation below it an
     aggregate, however far above."""
-    v = F.col("value")
-    told = rows.withColumns({"id": _get(v, "id"), "trace": _get(v, "traceId")})
-    bad = told.where("id IS NULL OR trace IS NULL").select(F.col("value"), F.lit("no_id_or_trace").alias("problem"))
-    kind_word = F.lower(F.coalesce(_get(v, "metadata.type"), _get(v, "metadata.kind")))
-    is_tool = F.coalesce(*[_get(v, f"metadata.{k}") for k in TOOL_KEYS]).isNotNull() | F.coalesce(kind_word == "tool", F.lit(False))
-    upper = F.upper(F.coalesce(_get(v, "type"), F.lit("")))
+    names = ["id", "traceId", "parentObservationId", "type", "level", "name", "model", "startTime", "endTime", "inputTruncated", "outputTruncated", "metadata", "usageDetails", "usage", "output", *LEGACY]
+    read = rows.select("value", _fields("value", names).alias("o"))
+    bad = read.where("o.id IS NULL OR o.traceId IS NULL").select("value", F.lit("no_id_or_trace").alias("problem"))
+    read = _kept(read, F.col("o.id").isNotNull() & F.col("o.traceId").isNotNull()).withColumns({"m": _fields("o.metadata", ["type", "kind", *TOOL_KEYS]), "details": _fields("o.usageDetails", DETAILS), "older": _fields("o.usage", OLDER)})
+    word = F.lower(F.coalesce("m.type", "m.kind"))
+    is_tool = F.coalesce(*[f"m.{k}" for k in TOOL_KEYS]).isNotNull() | F.coalesce(word == "tool", F.lit(False))
+    upper = F.upper(F.coalesce("o.type", F.lit("")))
     first = F.when(upper.isin(*GENERATIONS), "model").when(upper.isin(*TOOLS) | (upper.isin(*SPANS) & is_tool), "tool").otherwise("other")
-    good = told.where("id IS NOT NULL AND trace IS NOT NULL").withColumns({"parent": _get(v, "parentObservationId"), "type": upper, "kind": first})
-    wrapping = ancestors(good.where("kind = 'model'").select("trace", "parent"), good.select("trace", "id", "parent"))
-    good = good.join(wrapping.withColumn("_wraps", F.lit(True)), ["trace", "id"], "left")
-    level = _get(v, "level")
-    cut = lambda name: F.lower(F.coalesce(_get(v, name), F.lit(""))).isin("true", "1", "yes")
+    cut = lambda name: F.lower(F.coalesce(f"o.{name}", F.lit(""))).isin("true", "1", "yes")
     label = lambda name: F.when(cut(name), "truncated").otherwise("full")
-    out = _get(v, "output")
-    kind = F.when((F.col("kind") == "other") & F.col("type").isin(*SPANS) & F.col("_wraps"), "aggregate").otherwise(F.col("kind"))
-    events = good.select(
-        F.col("trace").alias("run_id"),
-        F.col("id").alias("event_id"),
-        kind.alias("kind"),
-        _get(v, "name").alias("name"),
-        _get(v, "model").alias("model"),
-        F.when(level.isNull(), "unknown").when(F.upper(level) == "ERROR", "error").otherwise("ok").alias("status"),
-        _millis(_get(v, "startTime")).alias("start_ms"),
-        _millis(_get(v, "endTime")).alias("end_ms"),
-        F.col("parent").alias("parent_id"),
-        F.when(F.col("kind") == "tool", F.coalesce(*[_get(v, f"metadata.{k}") for k in CALL_ID_KEYS])).alias("tool_call_id"),
-        *[c.alias(name) for name, c in usage(v).items()],
-        _hash(v, "input").alias("args_hash"),
-        label("inputTruncated").alias("args_label"),
-        _hash(v, "output").alias("result_hash"),
-        label("outputTruncated").alias("result_label"),
-        F.octet_length(out).cast("bigint").alias("result_bytes"),
-        F.to_json(F.struct(F.struct(F.col("type").alias("type"), level.alias("level")).alias("observation"))).alias("scope"),
+    level = F.col("o.level")
+    # What is read of a row is told once, for the tree and for the events; the texts stay behind.
+    good = checkpointed(
+        read.select(
+            F.col("o.traceId").alias("trace"),
+            "o.id",
+            F.col("o.parentObservationId").alias("parent"),
+            upper.alias("type"),
+            first.alias("kind"),
+            "o.level",
+            "o.name",
+            "o.model",
+            F.when(level.isNull(), "unknown").when(F.upper(level) == "ERROR", "error").otherwise("ok").alias("status"),
+            _millis("o.startTime").alias("start_ms"),
+            _millis("o.endTime").alias("end_ms"),
+            F.when(first == "tool", F.coalesce(*[f"m.{k}" for k in CALL_ID_KEYS])).alias("tool_call_id"),
+            *[c.alias(name) for name, c in usage("o", "details", "older").items()],
+            _hash("value", "input").alias("args_hash"),
+            label("inputTruncated").alias("args_label"),
+            _hash("value", "output").alias("result_hash"),
+            label("outputTruncated").alias("result_label"),
+            F.octet_length("o.output").cast("bigint").alias("result_bytes"),
+        ),
+        "observations",
     )
+    above_model = ancestors(good.where("kind = 'model'").select("trace", "parent"), good.select("trace", "id", "parent"))
+    wraps = good.join(above_model.withColumn("_wraps", F.lit(True)), ["trace", "id"], "left")
+    kind = F.when((F.col("kind") == "other") & F.col("type").isin(*SPANS) & F.col("_wraps"), "aggregate").otherwise(F.col("kind"))
+    scope = F.to_json(F.struct(F.struct("type", "level").alias("observation")))
+    same = ("name", "model", "status", "start_ms", "end_ms")
+    rest = [c for c in good.columns if c not in ("trace", "id", "parent", "type", "kind", "level", *same)]
+    events = wraps.select(F.col("trace").alias("run_id"), F.col("id").alias("event_id"), kind.alias("kind"), *same, F.col("parent").alias("parent_id"), *rest, scope.alias("scope"))
     return shaped(events), bad
 
 
@@ -228,72 +272,87 @@ def sniffed(head: Column, suffix: Column) -> Column:
     return F.when(spans & ~(whole_line & more), "otlp-json").when(spans & whole_line, "otlp-jsonl").when(observed, "observations").when(bundle, "record-bundle").when(session, "session")
 
 
+#: Counts of a result of a usage report.
+USAGE_COUNTS = {
+    "openai": ("num_model_requests", "input_tokens", "input_cached_tokens", "output_tokens"),
+    "anthropic": ("request_count", "requests", "uncached_input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens"),
+}
+
+
 def usage_page(pages: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of pages of an account's usage report (JSON in `value`): a row for each result of each
     bucket, with exclusive token classes, null where the page tells none."""
-    v = F.col("value")
-    buckets = pages.select("value", F.from_json(_get(v, "data"), "array<variant>").alias("data"), F.coalesce(_get(v, "next_page"), F.when(_get(v, "has_more") == "true", "")).alias("next_page"))
-    faults = buckets.where("data IS NULL").select(F.lit("no_data").alias("problem"))
-    one = buckets.where("data IS NOT NULL").select(F.explode("data").alias("b")).withColumn("b", F.to_json("b"))
+    told = pages.select(_fields("value", ["data[]"]).alias("p")).select("p.data")
+    faults = told.where("data IS NULL").select(F.lit("no_data").alias("problem"))
+    one = _each(told, F.col("data"), "b").select(_fields("b", ["starting_at", "start_time", "ending_at", "end_time", "results[]"]).alias("b"))
     if provider == "openai":
-        start, end = (F.timestamp_seconds(_get("b", c).try_cast("bigint")) for c in ("start_time", "end_time"))
-        end = F.coalesce(end, start + F.expr("INTERVAL 1 HOUR"))
+        start, end = (F.timestamp_seconds(F.col(f"b.{c}").try_cast("bigint")) for c in ("start_time", "end_time"))
     else:
-        start, end = (F.try_to_timestamp(F.coalesce(_get("b", a), _get("b", b))) for a, b in (("starting_at", "start_time"), ("ending_at", "end_time")))
-        end = F.coalesce(end, start + F.expr("INTERVAL 1 HOUR"))
-    one = one.withColumns({"bucket_start": start.cast("timestamp_ntz"), "bucket_end": end.cast("timestamp_ntz"), "results": F.from_json(_get("b", "results"), "array<variant>")})
+        start, end = (F.try_to_timestamp(F.coalesce(f"b.{a}", f"b.{b}")) for a, b in (("starting_at", "start_time"), ("ending_at", "end_time")))
+    end = F.coalesce(end, start + F.expr("INTERVAL 1 HOUR"))
+    one = one.select(start.cast("timestamp_ntz").alias("bucket_start"), end.cast("timestamp_ntz").alias("bucket_end"), "b.results")
     broken = F.col("bucket_start").isNull() | F.col("results").isNull()
     faults = faults.unionByName(one.where(broken).select(F.lit("bad_bucket").alias("problem")))
-    r = one.where(~broken).select("bucket_start", "bucket_end", F.explode("results").alias("r")).withColumn("r", F.to_json("r"))
-    n = lambda k: F.when(_get("r", k).try_cast("bigint") >= 0, _get("r", k).try_cast("bigint"))
+    counts = USAGE_COUNTS[provider]
+    within = ["ephemeral_5m_input_tokens", "ephemeral_1h_input_tokens"]
+    names = ["model", "service_tier", "project_id", "workspace_id", *counts, *[f"cache_creation.{c}" for c in within]]
+    r = _each(one, F.when(~broken, F.col("results")), "r").select("bucket_start", "bucket_end", _fields("r", names).alias("r"))
+    whole = {c: _whole(f"r.{c}") for c in counts} | {c: _whole(f"r.cache_creation.{c}") for c in within}
+    r = r.select("bucket_start", "bucket_end", "r.model", "r.service_tier", "r.project_id", "r.workspace_id", *[c.alias(k) for k, c in whole.items()])
+    n = lambda k: F.when(F.col(k) >= 0, F.col(k))
     if provider == "openai":
         told, cached = n("input_tokens"), n("input_cached_tokens")
         classes = {"requests": n("num_model_requests"), "input_fresh": F.when(told.isNotNull(), F.greatest(told - F.coalesce(cached, F.lit(0)), F.lit(0))), "input_cached": cached, "input_cache_write": F.lit(None).cast("bigint"), "output": n("output_tokens")}
-        scope = _get("r", "project_id")
+        scope = F.col("project_id")
     else:
-        five, hour = n("cache_creation.ephemeral_5m_input_tokens"), n("cache_creation.ephemeral_1h_input_tokens")
+        five, hour = (n(c) for c in within)
         written = F.when(five.isNotNull() | hour.isNotNull(), F.coalesce(five, F.lit(0)) + F.coalesce(hour, F.lit(0))).otherwise(n("cache_creation_input_tokens"))
         classes = {"requests": F.coalesce(n("request_count"), n("requests")), "input_fresh": n("uncached_input_tokens"), "input_cached": n("cache_read_input_tokens"), "input_cache_write": written, "output": n("output_tokens")}
-        scope = _get("r", "workspace_id")
-    return r.select("bucket_start", "bucket_end", _get("r", "model").alias("model"), scope.alias("scope"), _get("r", "service_tier").alias("service_tier"), *[c.alias(k) for k, c in classes.items()]), faults
+        scope = F.col("workspace_id")
+    return r.select("bucket_start", "bucket_end", "model", scope.alias("scope"), "service_tier", *[c.alias(k) for k, c in classes.items()]), faults
 
 
 def cost_page(pages: DataFrame, provider: str) -> DataFrame:
     """Charges of pages of an account's cost report, in dollars; amounts in other currencies are left out.
     One provider tells cents, as text or number, the other dollars."""
-    v = F.col("value")
-    one = pages.select(F.explode(F.from_json(_get(v, "data"), "array<variant>")).alias("b")).withColumn("b", F.to_json("b"))
-    at = lambda *names: F.coalesce(*[F.coalesce(F.timestamp_seconds(_get("b", c).try_cast("bigint")), F.try_to_timestamp(_get("b", c))) for c in names])
+    one = pages.select(_fields("value", ["data[]"]).alias("p")).transform(_each, F.col("p.data"), "b").select(_fields("b", ["starting_at", "start_time", "ending_at", "end_time", "results[]"]).alias("b"))
+    at = lambda *names: F.coalesce(*[F.coalesce(F.timestamp_seconds(F.col(f"b.{c}").try_cast("bigint")), F.try_to_timestamp(f"b.{c}")) for c in names])
     start = at("starting_at", "start_time")
-    spans = one.select(start.cast("timestamp_ntz").alias("started"), F.coalesce(at("ending_at", "end_time"), start + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("ended"), F.explode(F.from_json(_get("b", "results"), "array<variant>")).alias("r"))
-    rows = spans.withColumn("r", F.to_json("r"))
-    amount = F.coalesce(_get("r", "amount.value"), F.when(~F.startswith(_get("r", "amount"), F.lit("{")), _get("r", "amount"))).try_cast("decimal(24,8)")
+    told = one.select(start.alias("start"), at("ending_at", "end_time").alias("end"), "b.results")
+    told = _each(told, F.when(F.col("start").isNotNull(), F.col("results")), "r")
+    spans = told.select(F.col("start").cast("timestamp_ntz").alias("started"), F.coalesce("end", F.col("start") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("ended"), "r")
+    rows = spans.withColumn("r", _fields("r", ["amount", "line_item", "description", "sku", "model"])).select("started", "ended", "r.*")
+    rows = rows.withColumn("within", _fields(F.when(F.startswith("amount", F.lit("{")), F.col("amount")), ["value", "currency"]))
+    amount = F.coalesce("within.value", F.when(~F.startswith("amount", F.lit("{")), F.col("amount"))).try_cast("decimal(24,8)")
     dollars = amount if provider == "openai" else amount / 100
-    good = F.coalesce(F.lower(_get("r", "amount.currency")), F.lit("usd")) == "usd"
-    sku = F.coalesce(_get("r", "line_item"), _get("r", "description"), _get("r", "sku"), F.lit("unknown"))
-    return rows.where(good & amount.isNotNull() & F.col("started").isNotNull()).select("started", "ended", sku.alias("sku"), _get("r", "model").alias("model"), dollars.cast("decimal(18,6)").alias("usd"))
+    good = F.coalesce(F.lower("within.currency"), F.lit("usd")) == "usd"
+    sku = F.coalesce("line_item", "description", "sku", F.lit("unknown"))
+    return _kept(rows.select("started", "ended", sku.alias("sku"), "model", F.when(good & amount.isNotNull(), dollars).cast("decimal(18,6)").alias("usd"), (good & amount.isNotNull()).alias("good")), F.col("good")).drop("good")
 
 
 def event_page(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of pages of single usage events: tokens exclusive of cached ones where input holds them,
     and what was charged, in dollars."""
-    v = F.col("value")
-    listed = F.from_json(F.coalesce(_get(v, "usageEventsDisplay"), _get(v, "usageEvents")), "array<variant>")
-    one = pages.select(F.explode(listed).alias("e")).withColumn("e", F.to_json("e"))
-    n = lambda *paths: F.coalesce(*[_get("e", p).try_cast("bigint") for p in paths])
+    told = pages.select(_fields("value", ["usageEventsDisplay", "usageEvents"]).alias("p"))
+    counts = ("inputTokens", "input_tokens", "cacheReadTokens", "cache_read_tokens", "cacheWriteTokens", "cache_write_tokens", "outputTokens", "output_tokens")
+    fields = ["timestamp", "createdAt", "id", "usageEventId", "model", "chargedCents", "charged_cents", *counts, *[f"{own}.{c}" for own in ("tokenUsage", "token_usage") for c in counts]]
+    one = _each(told, F.from_json(F.coalesce("p.usageEventsDisplay", "p.usageEvents"), "array<string>"), "e").select(_fields("e", fields).alias("e"))
+    n = lambda *paths: F.coalesce(*[_whole(f"e.{p}") for p in paths])
     names = lambda a, b: n(f"tokenUsage.{a}", f"tokenUsage.{b}", f"token_usage.{a}", f"token_usage.{b}", a, b)
-    told, cached, written, output = names("inputTokens", "input_tokens"), names("cacheReadTokens", "cache_read_tokens"), names("cacheWriteTokens", "cache_write_tokens"), names("outputTokens", "output_tokens")
-    cents = F.coalesce(_get("e", "chargedCents"), _get("e", "charged_cents")).try_cast("decimal(24,8)")
-    stamp = F.coalesce(_get("e", "timestamp"), _get("e", "createdAt"))
+    cents = F.coalesce("e.chargedCents", "e.charged_cents").try_cast("decimal(24,8)")
+    stamp = F.coalesce("e.timestamp", "e.createdAt")
     started = F.coalesce(F.timestamp_millis(stamp.try_cast("bigint")), F.try_to_timestamp(stamp)).cast("timestamp_ntz")
+    id_ = F.coalesce("e.id", "e.usageEventId", F.concat_ws(":", stamp, F.coalesce("e.model", F.lit("unknown"))))
+    one = one.select(started.alias("started"), id_.alias("event_id"), "e.model", cents.alias("cents"), names("inputTokens", "input_tokens").alias("told"), names("cacheReadTokens", "cache_read_tokens").alias("cached"), names("cacheWriteTokens", "cache_write_tokens").alias("written"), names("outputTokens", "output_tokens").alias("output"))
+    told, cached, cents = F.col("told"), F.col("cached"), F.col("cents")
     rows = one.select(
-        started.alias("started"),
-        F.coalesce(_get("e", "id"), _get("e", "usageEventId"), F.concat_ws(":", stamp, F.coalesce(_get("e", "model"), F.lit("unknown")))).alias("event_id"),
-        _get("e", "model").alias("model"),
+        "started",
+        "event_id",
+        "model",
         F.when(told.isNull() | cached.isNull() | (cached > told), told).otherwise(told - cached).alias("input_fresh"),
         cached.alias("input_cached"),
-        written.alias("input_cache_write"),
-        output.alias("output"),
+        F.col("written").alias("input_cache_write"),
+        "output",
         F.when(cents > 0, cents / 100).cast("decimal(18,6)").alias("usd"),
         cents.isNotNull().alias("_cents"),
     )
@@ -301,7 +360,7 @@ def event_page(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     empty = F.coalesce(*parts).isNull() & ~F.col("_cents")
     total = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in parts), F.lit(0)))
     bad = empty | F.col("started").isNull()
-    return rows.where(~bad).withColumn("total", total).drop("_cents"), rows.where(bad).select("event_id", F.lit("no_usage_or_time").alias("problem"))
+    return _kept(rows, ~bad).withColumn("total", total).drop("_cents"), rows.where(bad).select("event_id", F.lit("no_usage_or_time").alias("problem"))
 
 
 def embedded_windows(lines: DataFrame) -> DataFrame:

@@ -63,3 +63,16 @@ def test_formats_by_their_beginning(spark):
     heads = [(span, "json", "otlp-json"), (span + "\n" + span, "jsonl", "otlp-jsonl"), ("{\n " + span[1:], "json", "otlp-json"), ('[{"traceId": "t", "startTime": "x"}]', "json", "observations"), ('"id",traceId,type,usage.input\n1,2,3,4', "csv", "observations"), ('{"schema_version": "1", "run_id": "r", "records": []}', "json", "record-bundle"), (session + "\n" + session, "jsonl", "session"), ("hello", "txt", None), ("", "json", None)]
     rows = spark.createDataFrame([(h, s) for h, s, _ in heads], "head string, suffix string").select(exports.sniffed(F.col("head"), F.col("suffix")).alias("f"))
     assert [r.f for r in rows.collect()] == [f for _, _, f in heads]
+
+
+def test_pages_are_read_in_one_pass(spark):
+    """Odd elements stand alone, and no plan asks a text for one path after another."""
+    start, results = "2024-01-01T00:00:00Z", [5, None, {"model": {"a": 1}, "requests": "7", "output_tokens": 5.0, "cache_creation": 5, "cache_creation_input_tokens": 9}]
+    pages = frame(spark, {"data": [7, {"starting_at": start, "results": results}], "usageEvents": [5, {"timestamp": start, "tokenUsage": 7, "input_tokens": 8}]})
+    rows, problems = exports.usage_page(pages, "anthropic")
+    assert [tuple(r)[2:] for r in rows.where("model IS NOT NULL").collect()] == [('{"a":1}', None, None, 7, None, None, 9, 5)]
+    assert rows.count() == 3 and [r.problem for r in problems.collect()] == ["bad_bucket"]
+    events, odd = exports.event_page(pages)
+    assert [(r.input_fresh, r.total) for r in events.collect()] == [(8, 8)] and odd.count() == 1
+    for found in (rows, events, exports.cost_page(pages, "anthropic"), exports.observations(frame(spark, {"id": "a", "traceId": "t"}))[0]):
+        assert "get_json_object" not in found._jdf.queryExecution().optimizedPlan().toString()
