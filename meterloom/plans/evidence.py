@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meterloom.operators.canonical import top_n, winner
 from meterloom.operators.components import checkpointed
+from meterloom.operators.trees import solved
 from meterloom.plans.registry import query, table
 
 
@@ -311,23 +312,22 @@ def interval_shares(spark, sf_dir):
     return found.select("o_orderkey", F.timestamp_seconds("f").cast("timestamp_ntz").alias("day"), "share")
 
 
-def depths(tree: DataFrame, *, node: str, parent: str, keys: Sequence[str] = (), most: int = 64, cut: Callable[[DataFrame, str], DataFrame] = checkpointed) -> DataFrame:
-    """tree with depth (0 at a root or where the parent is not in the tree) and root, and null for both within a
-    circle. Each round doubles the reach: a node knows its ancestor 2^n above, so a chain of a million takes
-    twenty joins and no row of one task ever holds a path."""
+def depths(tree: DataFrame, *, node: str, parent: str, keys: Sequence[str] = (), cut: Callable[[DataFrame, str], DataFrame] = checkpointed) -> DataFrame:
+    """tree, a row a node, with depth (0 at a root or where the parent is not in the tree) and root, and null for both within
+    a circle and on what hangs on one. No row of one task ever holds a path."""
     keys = list(keys)
-    edges = tree.select(*keys, F.col(node).alias("n"), F.col(parent).alias("p"))
-    inside = edges.select(*keys, F.col("n").alias("p")).withColumn("_in", F.lit(True))
-    state = edges.join(inside, [*keys, "p"], "left").select(*keys, "n", F.when(F.col("_in"), F.col("p")).alias("up"), F.when(F.col("_in"), 1).otherwise(0).cast("bigint").alias("steps"), F.when(~F.coalesce("_in", F.lit(False)), F.col("n")).alias("root"))
-    total, open_before = tree.count(), None
-    for turn in range(most):
-        far = state.select(*keys, F.col("n").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"), F.col("root").alias("root2"))
-        state = cut(state.join(far, [*keys, "up"], "left").select(*keys, "n", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("root", "root2").alias("root")), "depths")
-        open_now = state.where("root IS NULL").count()
-        if not open_now or (open_now == open_before and 2**turn > total):  # what is left goes round in circles
-            break
-        open_before = open_now
-    return tree.join(state.select(*keys, F.col("n").alias(node), F.when(F.col("root").isNotNull(), F.col("steps")).alias("depth"), "root"), [*keys, node])
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    kind, others = tree.schema[node].dataType, [c for c in tree.columns if c not in (*keys, node)]
+    above = F.when(whole, F.col(parent).try_cast(kind)).alias("p")
+    held = tree.where(F.col(node).isNotNull()).select(*keys, F.col(node).alias("n"), above, F.lit(0).cast("bigint").alias("w"), F.struct(*others).alias("row"))
+    closed, left = solved(held, keys, cut)
+    told = [F.col("n").alias(c) if c == node else F.col(c if c in keys else f"row.{c}").alias(c) for c in tree.columns]
+    found = closed.select(*told, "depth", "root")
+    if left is None:
+        return found
+    return found.unionByName(left.select(*told, F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast(kind).alias("root")))
 
 
 @query("""WITH RECURSIVE t AS (SELECT DISTINCT l_orderkey AS n, CASE WHEN l_orderkey % 9 = 0 THEN NULL WHEN l_orderkey % 50 = 7 THEN l_orderkey + 1 ELSE l_orderkey - 1 - l_orderkey % 3 END AS p FROM (SELECT DISTINCT l_orderkey FROM lineitem)), e AS (SELECT t.n, CASE WHEN x.n IS NOT NULL THEN t.p END AS p FROM t LEFT JOIN t x ON x.n = t.p),
