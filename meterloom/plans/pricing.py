@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import numbers, periods
 from meterloom.operators import aggregates
-from meterloom.plans.registry import query, table
+from meterloom.plans.registry import query, small_table, table
 
 #: A catalogue of our own: product, from, until (open where null), price a unit, price beyond 40 units.
 CATALOGUE = (
@@ -25,7 +25,7 @@ _PRICED = f"""WITH c(model, since, until, plain, band) AS (VALUES {_ROWS}),
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(list(CATALOGUE), "model string, since string, until string, plain double, band double")
+    rows = small_table(spark, CATALOGUE, "model string, since string, until string, plain double, band double")
     return rows.select("model", F.col("since").cast("date").alias("since"), F.col("until").cast("date").alias("until"), "plain", "band")
 
 
