@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import numbers, periods
 from meterloom.functions.text import model_name
-from meterloom.plans.registry import query
+from meterloom.plans.registry import query, small_table
 from meterloom.plans.requests import GROUPS_SQL, ZONE, groups
 
 REASONS = ("model_not_in_catalog", "no_rate_for_event_date", "service_tier_or_context_not_priced", "legacy_total_only")
@@ -37,10 +37,10 @@ UNIT = 1_000_000
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """One row for each name that may be looked up, with its periods, and in each its rates by tier and band."""
-    names = spark.createDataFrame(list(NAMES), "catalog string, name string, canonical string, write_times double, write_1h_times double")
-    rates = spark.createDataFrame(list(RATES), "canonical string, version string, tier string, band string, input double, cached double, output double")
+    names = small_table(spark, NAMES, "catalog string, name string, canonical string, write_times double, write_1h_times double")
+    rates = small_table(spark, RATES, "canonical string, version string, tier string, band string, input double, cached double, output double")
     held = rates.groupBy("canonical", "version").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "tier", "band"), F.struct("input", "cached", "output")))).alias("rates"))
-    spans = spark.createDataFrame(list(PERIODS), "canonical string, since string, until string, version string, priority_as string").join(held, ["canonical", "version"])
+    spans = small_table(spark, PERIODS, "canonical string, since string, until string, version string, priority_as string").join(held, ["canonical", "version"])
     listed = spans.groupBy("canonical").agg(F.array_sort(F.collect_list(F.struct("since", "until", "version", "priority_as"))).alias("periods"), F.map_from_entries(F.collect_list(F.struct("version", "rates"))).alias("by_version"))
     return names.join(listed, "canonical")
 
