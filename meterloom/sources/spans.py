@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructType
 
 from meterloom.functions.text import value_hash
+from meterloom.operators.components import checkpointed
 from meterloom.operators.trees import climbed, nearest_above
 from meterloom.sources import sessions
 from meterloom.sources.sessions import shaped
@@ -186,7 +187,8 @@ def span_events(documents: DataFrame, *, run_attribute: str | None = None, token
     tool = F.coalesce(F.col("operation").isin(*TOOL_OPERATIONS), F.lit(False)) | F.exists(F.map_keys("own.held"), lambda k: F.startswith(k, F.lit("gen_ai.tool.")))
     signal = F.coalesce("model", "finish_reason", *[F.col(c).cast("string") for c in COUNTS]).isNotNull()
     model = ~tool & (F.coalesce(F.col("operation").isin(*MODEL_OPERATIONS), F.lit(False)) | signal)
-    read = read.withColumns({"tool": tool, "model_span": model})
+    # Written once: the trees, the runs and the events below all read it, and none parses the envelopes again.
+    read = checkpointed(read.withColumns({"tool": tool, "model_span": model}).drop("outer"), "spans")
     tree = read.select("trace", "id", "parent", "model_span", "own_run")
     # A model span is a call where none lies below it, and calls below are counted by these.
     below = climbed(tree, node="id", parent="parent", keys=["trace"], weight=F.col("model_span").cast("int")).select("trace", "id", F.col("below").alias("models_below"))

@@ -29,3 +29,8 @@ def test_lines_are_not_sent_to_their_prices(spark):
     """A model with a third of all lines was read by one task."""
     plan = planned(spark, "price_rows")
     assert "BroadcastHashJoin" in plan and "hashpartitioning(l_returnflag" not in plan
+
+
+def test_envelopes_are_taken_apart_once(spark):
+    """Trees, runs and events of spans read what was written, none the table again."""
+    assert "events.parquet" not in planned(spark, "span_trees")
