@@ -289,7 +289,9 @@ def leaves(documents: DataFrame, value: str = "content") -> DataFrame:
     Each round takes all values apart by one level, those that are left are whole, so a round is as wide as
     the documents are together and there are as many as the deepest has levels."""
     others = [c for c in documents.columns if c != value]
-    front = documents.select(*others, F.lit("").alias("pointer"), F.try_parse_json(value).alias("v")).where("v IS NOT NULL")
+    # A small file is few tasks, however long its texts take.
+    dealt = documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    front = dealt.select(*others, F.lit("").alias("pointer"), F.try_parse_json(value).alias("v")).where("v IS NOT NULL")
     found = None
     while True:
         entries, items = F.try_variant_get("v", "$", "map<string,variant>"), F.try_variant_get("v", "$", "array<variant>")
@@ -306,7 +308,8 @@ def at_pointer(value: Column, pointer: Column) -> Column:
     """The JSON at a pointer in JSON text; null where nothing is there."""
     names = F.transform(F.filter(F.split(pointer, "/"), lambda _, i: i > 0), lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
     place = lambda t: F.when(t.rlike("^(?:0|[1-9][0-9]*)$"), t.try_cast("int"))
-    step = lambda held, t: F.coalesce(F.try_element_at(F.from_json(held, "map<string,variant>"), t), F.get(F.from_json(held, "array<variant>"), place(t)))
+    # Written by to_json, so the first character tells what it is, and it is read as that alone.
+    step = lambda held, t: F.when(F.startswith(held, F.lit("{")), F.try_element_at(F.from_json(held, "map<string,variant>"), t)).when(F.startswith(held, F.lit("[")), F.get(F.from_json(held, "array<variant>"), place(t)))
     return F.reduce(names, F.to_json(F.try_parse_json(value)), lambda held, t: F.to_json(step(held, t)))
 
 

@@ -34,3 +34,8 @@ def test_lines_are_not_sent_to_their_prices(spark):
 def test_envelopes_are_taken_apart_once(spark):
     """Trees, runs and events of spans read what was written, none the table again."""
     assert "events.parquet" not in planned(spark, "span_trees")
+
+
+def test_settings_are_dealt_to_all_tasks(spark):
+    """A table of one row group was taken apart by one task."""
+    assert "RoundRobinPartitioning" in planned(spark, "settings_leaves")
