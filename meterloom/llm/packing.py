@@ -25,7 +25,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from meterloom.llm.bpe_text import is_settled, settled_pattern
 from meterloom.llm.common import mapped, written
@@ -47,69 +47,78 @@ class WordIds:
 
     Only for tokenizers that lower-case, drop white space and treat what lies between alone. Pieces
     whose classes no Unicode version disputes are split by the tokenizer's own pattern and share the
-    ids of their words; words new to this worker go to the library many at a time, and their ids are
-    told apart by the mark of word ends."""
+    ids of their words, which are kept as pieces, too; words new to this worker go to the library many
+    at a time, without what settled words in lower case don't need, and their ids are told apart by the
+    mark of word ends."""
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
         held = json.loads(self.tokenizer.to_str())
         self.narrow = self.tokenizer.get_vocab_size() <= 65_536
-        splits = [x["pattern"]["Regex"] for x in held["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
+        steps = held["pre_tokenizer"].get("pretokenizers", [])
+        splits = [x["pattern"]["Regex"] for x in steps if x["type"] == "Split"]
         suffix = held["model"].get("end_of_word_suffix")
         self._split = settled_pattern(splits[0]).findall if len(splits) == 1 and suffix else None
+        self._of_words = self.tokenizer
+        if [x["type"] for x in steps] == ["Split", "ByteLevel"] and not (steps[1]["use_regex"] or steps[1]["add_prefix_space"]):
+            self._of_words = Tokenizer(self.tokenizer.model)
+            self._of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._is_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self._is_end[[i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and word.endswith(suffix)]] = True
         self._special = re.compile("|".join(re.escape(x["content"][:2]) for x in held["added_tokens"]) or r"(?!)")
-        self._ids, self._words, self._old_ids, self._old_words = {"": b""}, {}, {}, {}
+        self._ids, self._old = {"": b""}, {}
         self.end = end
 
     def _is_plain(self, text: str, low: str) -> bool:
         return self._split is not None and is_settled(low) and self._special.search(text) is None
 
-    def _learn(self, pieces: list[str], plain: bool) -> None:
-        split, alone = {}, []
+    def _learned(self, pieces: list[str], plain: bool) -> dict[str, bytes]:
+        """Ids of pieces that are not kept, and of their words."""
+        found, split, new = {}, {}, {}
         for piece in pieces:
-            if plain:
+            if plain and piece.isalpha():
+                new[piece] = None
+            elif plain:
                 split[piece] = self._split(piece)
             elif self._is_plain(piece, low := piece.lower()):
                 split[piece] = self._split(low)
             else:
-                alone.append(piece)
-        lacking = {word: None for words in split.values() for word in words if word not in self._words}
-        self._words.update({word: self._old_words[word] for word in lacking if word in self._old_words})
-        new = [word for word in lacking if word not in self._words]
-        for at in range(0, len(new), 1000):
-            words = new[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
+                found[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        for words in split.values():
+            for word in words:
+                if word not in found and word not in new:
+                    if (ids := self._ids.get(word) or self._old.get(word)) is None:
+                        new[word] = None
+                    else:
+                        found[word] = ids
+        new = list(new)
+        for at in range(0, len(new), 200):
+            words = new[at : at + 200]
+            ids = np.array(self._of_words.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
             ends = (4 * (np.nonzero(self._is_end[ids])[0] + 1)).tolist()
             packed = ids.tobytes()
             if len(ends) != len(words) or ends[-1] != len(packed):
                 raise ValueError("word ends can't be told apart")
-            self._words.update(zip(words, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+            found.update(zip(words, [packed[a:b] for a, b in zip([0, *ends], ends)]))
         for piece, words in split.items():
-            self._ids[piece] = self._words[words[0]] if len(words) == 1 else b"".join([self._words[word] for word in words])
-        for piece in alone:
-            self._ids[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            found[piece] = b"".join([found[word] for word in words])
+        return found
 
     def encode(self, text: str) -> bytes:
         plain = self._is_plain(text, low := text.lower())
         pieces = (low if plain else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if max(len(self._ids), len(self._words)) > _PIECES_KEPT:
-            self._old_ids, self._old_words = self._ids, self._words
-            self._ids, self._words = {"": b""}, {}
+        if len(self._ids) > _PIECES_KEPT:
+            self._old, self._ids = self._ids, {"": b""}
         found = list(map(self._ids.get, pieces))
         if None in found:
-            lacking = {piece for piece, ids in zip(pieces, found) if ids is None}
-            known = {piece: self._old_ids[piece] for piece in lacking if piece in self._old_ids}
-            self._ids.update(known)
-            if new := list(lacking - known.keys()):
-                self._learn(new, plain)
-            found = [self._ids[piece] for piece in pieces]
-            if max(map(len, lacking)) > _PIECE_CHARS:
-                for piece in lacking:
-                    if len(piece) > _PIECE_CHARS:
-                        del self._ids[piece]
-                self._words = {word: ids for word, ids in self._words.items() if len(word) <= _PIECE_CHARS}
+            places = [i for i, ids in enumerate(found) if ids is None]
+            lacking = {pieces[i] for i in places}
+            met = {piece: self._old[piece] for piece in lacking if piece in self._old}
+            if new := list(lacking - met.keys()):
+                met.update(self._learned(new, plain))
+            for i in places:
+                found[i] = met[pieces[i]]
+            self._ids.update(met if max(map(len, met)) <= _PIECE_CHARS else {piece: ids for piece, ids in met.items() if len(piece) <= _PIECE_CHARS})
         return b"".join(found) + self.end.to_bytes(4, "little")
 
 

@@ -71,6 +71,18 @@ def test_word_ids_are_the_librarys():
     assert [own.encode(text) for text in texts] == [array("I", [*e.ids, 1]).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_settled_words_go_to_the_library_as_words(monkeypatch):
+    """Without the normaliser and the split that they have been through, each once while it is kept; when
+    generations change, ids stay the same."""
+    monkeypatch.setattr(packing, "_PIECES_KEPT", 40)
+    library, own = Tokenizer.from_file(WORD_BPE), packing.WordIds(WORD_BPE, 1)
+    own.tokenizer = None
+    texts = ["It's naïve, they'll see: x''t 12²½ ''s \x85é\xa0ü", "a" * 300 + " b", *[f"word{i}th naïve-{i} the {i % 7}, Ünit{i}" for i in range(60)]]
+    for text in [*texts, *texts[::-1]]:
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+        assert max(map(len, own._ids)) <= 64
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert token_counts.count_tokens(none, BYTE_BPE).count() == bpe_codec.round_trip(none, BYTE_BPE).count() == packing.pack(none, WORD_BPE).count() == 0
